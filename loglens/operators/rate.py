@@ -72,26 +72,37 @@ def _rate_bucketed(df, w, ip_col, ts_col, pcols, out_col, bucket_s):
         raise ValueError("bucket_seconds must be >= the rate window")
     w_us, b_us = w * _MICROS, bucket_s * _MICROS
     keys = list(pcols) + [ip_col]
-    t, b, kind, real, pair, s = "_rr_t", "_rr_b", "_rr_kind", "_rr_real", "_rr_pair", "_rr_s"
+    t, b, kind, real, pair, s, cp = "_rr_t", "_rr_b", "_rr_kind", "_rr_real", "_rr_pair", "_rr_s", "_rr_copy"
     valid = F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
+    others = [c for c in df.columns if c not in keys]
 
     base = df.withColumn(t, epoch_micros(ts_col)).withColumn(b, _floor_div(F.col(t), b_us))
-    real_rows = base.withColumns({kind: F.lit(1), real: F.lit(True), pair: F.col(t)})
-    narrow = base.where(valid).select(*keys, t, b)
-    # previous bucket's tail: rows that fall in the next bucket's first window
-    context = (narrow.where(F.col(t) >= (F.col(b) + 1) * b_us - w_us)
-               .select(*keys, F.col(t), (F.col(b) + 1).alias(b), F.lit(1).alias(kind),
-                       F.lit(False).alias(real), F.lit(None).cast("long").alias(pair)))
-    probes = narrow.select(*keys, (F.col(t) - w_us).alias(t), b, F.lit(0).alias(kind),
-                           F.lit(False).alias(real), F.col(t).alias(pair))
-    u = real_rows.unionByName(context, allowMissingColumns=True) \
-                 .unionByName(probes, allowMissingColumns=True)
+    tail = F.col(t) >= (F.col(b) + 1) * b_us - w_us
+
+    def copy(k, is_real, tt, bb, pp):
+        return F.struct(F.lit(k).alias("k"), F.lit(is_real).alias("r"), tt.cast("long").alias("t"),
+                        bb.cast("long").alias("b"), pp.cast("long").alias("p"))
+
+    # one pass over the input: the row itself, its probe at t - w, and (for the
+    # last w seconds of a bucket) a context copy for the next bucket
+    copies = F.array(
+        copy(1, True, F.col(t), F.col(b), F.col(t)),
+        F.when(valid, copy(0, False, F.col(t) - w_us, F.col(b), F.col(t))),
+        F.when(valid & tail, copy(1, False, F.col(t), F.col(b) + 1, F.lit(None))),
+    )
+    u = (base.select(*keys, *others, F.explode(copies).alias(cp))
+             .where(F.col(cp).isNotNull())
+             .select(*keys,
+                     *[F.when(F.col(f"{cp}.r"), F.col(c)).alias(c) for c in others],
+                     F.col(f"{cp}.k").alias(kind), F.col(f"{cp}.r").alias(real),
+                     F.col(f"{cp}.t").alias(t), F.col(f"{cp}.b").alias(b), F.col(f"{cp}.p").alias(pair)))
 
     running = (Window.partitionBy(*keys, b).orderBy(t, kind)
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     pairing = Window.partitionBy(*keys, b, pair)
     u = u.withColumn(s, F.sum(kind).over(running))
     u = u.withColumn(out_col, F.col(s) - F.max(F.when(F.col(kind) == 0, F.col(s))).over(pairing))
+    valid_out = F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
     return (u.where(F.col(real))
-             .withColumn(out_col, F.when(valid, F.col(out_col)).otherwise(0).cast("double"))
-             .drop(t, b, kind, real, pair, s))
+             .withColumn(out_col, F.when(valid_out, F.col(out_col)).otherwise(0).cast("double"))
+             .select(*df.columns, out_col))

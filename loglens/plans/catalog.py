@@ -111,3 +111,217 @@ def q_rate_60(spark, sf):
 def q_rate_1h(spark, sf):
     log = fixture.fixture_log(spark, sf).select("event_id", "client_ip", "timestamp")
     return rate.request_rate(log, 3600)
+
+
+# ---- ordering and split --------------------------------------------------------
+
+from loglens.operators import ordering  # noqa: E402
+
+SPLIT_CTES = """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS row_idx,
+                    count(*) OVER () AS n_rows FROM clean),
+split AS (SELECT * EXCLUDE (n_rows),
+   CASE WHEN row_idx < CAST(floor(n_rows * 0.7::DOUBLE) AS BIGINT) THEN 'train'
+        WHEN row_idx < CAST(floor(n_rows * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT) THEN 'val'
+        ELSE 'test' END AS split FROM numbered)
+"""
+
+
+def split_sql(body: str) -> str:
+    return _CLEAN_SQL + SPLIT_CTES + body
+
+
+def _split(spark, sf):
+    return ordering.chronological_split(_clean(spark, sf), tiebreak=["event_id"])
+
+
+@register("order_by_time", clean_sql(
+    "SELECT event_id, \"timestamp\", row_number() OVER (ORDER BY \"timestamp\", event_id) - 1 AS row_idx FROM clean"))
+def q_order_by_time(spark, sf):
+    return ordering.with_row_index(_clean(spark, sf), ["timestamp", "event_id"]).select("event_id", "timestamp", "row_idx")
+
+
+@register("chronological_split", split_sql("SELECT event_id, row_idx, split FROM split"))
+def q_chronological_split(spark, sf):
+    return _split(spark, sf).select("event_id", "row_idx", "split")
+
+
+@register("split_counts", split_sql("SELECT split, count(*) AS n FROM split GROUP BY split"))
+def q_split_counts(spark, sf):
+    return _split(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- fitted statistics, lookups and features -------------------------------------
+
+from loglens.functions import features as fx  # noqa: E402
+from loglens.operators import stats  # noqa: E402
+from loglens.plans.feature_builder import FeatureBuilder, feature_matrix  # noqa: E402
+from loglens.schema import FEATURE_COLUMNS  # noqa: E402
+
+FIT_CTES = SPLIT_CTES + """,
+train AS (SELECT * FROM split WHERE split = 'train'),
+ef AS (SELECT endpoint_uri, count(*) / (SELECT count(endpoint_uri) FROM train) AS endpoint_freq
+       FROM train WHERE endpoint_uri IS NOT NULL GROUP BY endpoint_uri),
+ips AS (SELECT client_ip, avg(coalesce(CAST(status_code >= 400 AS INTEGER), 0)) AS ip_error_rate,
+               avg(response_time_ms) AS ip_avg_latency FROM train WHERE client_ip IS NOT NULL GROUP BY client_ip),
+gm AS (SELECT quantile_cont(response_time_ms, 0.5) AS global_median_latency FROM train)
+"""
+
+_RAW_FEATURES = """
+SELECT s.event_id, s.split,
+ ln(1 + greatest(response_time_ms, 0.0)) AS response_time_log1p,
+ CAST(floor(status_code / 100) AS DOUBLE) AS status_class,
+ coalesce(CAST(status_code >= 500 AS DOUBLE), 0.0) AS is_5xx,
+ coalesce(CAST(status_code >= 400 AND status_code < 500 AS DOUBLE), 0.0) AS is_4xx,
+ CAST(count(*) OVER (PARTITION BY s.split, s.client_ip ORDER BY s."timestamp"
+      RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS DOUBLE) AS request_rate,
+ sin(2 * pi() * (hour(s."timestamp") + minute(s."timestamp") / 60.0) / 24.0) AS hour_sin,
+ cos(2 * pi() * (hour(s."timestamp") + minute(s."timestamp") / 60.0) / 24.0) AS hour_cos,
+ sin(2 * pi() * (isodow(s."timestamp") - 1) / 7.0) AS dow_sin,
+ cos(2 * pi() * (isodow(s."timestamp") - 1) / 7.0) AS dow_cos,
+ coalesce(ef.endpoint_freq, 0.0) AS endpoint_freq,
+ CAST(CASE http_method WHEN 'GET' THEN 0 WHEN 'POST' THEN 1 WHEN 'PUT' THEN 2 WHEN 'DELETE' THEN 3
+      WHEN 'PATCH' THEN 4 WHEN 'HEAD' THEN 5 WHEN 'OPTIONS' THEN 6 ELSE -1 END AS DOUBLE) AS method_code,
+ ln(1 + greatest(CAST(bytes_sent AS DOUBLE), 0.0)) AS bytes_sent_log1p,
+ coalesce(ips.ip_error_rate, 0.0) AS ip_error_rate,
+ coalesce(ips.ip_avg_latency, gm.global_median_latency) AS ip_avg_latency
+FROM split s LEFT JOIN ef ON s.endpoint_uri = ef.endpoint_uri LEFT JOIN ips ON s.client_ip = ips.client_ip
+CROSS JOIN gm
+"""
+
+_IMPUTED = ",\n".join(
+    f" round(coalesce(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, "
+    f"quantile_cont(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, 0.5) OVER (PARTITION BY split)), 6) AS {c}"
+    for c in FEATURE_COLUMNS)
+
+FEATURE_CTES = FIT_CTES + f""",
+rawf AS ({_RAW_FEATURES}),
+feats AS (SELECT event_id, split,
+{_IMPUTED}
+FROM rawf)
+"""
+
+
+def features_sql(body: str) -> str:
+    return _CLEAN_SQL + FEATURE_CTES + body
+
+
+def _fitted(spark, sf):
+    split = _split(spark, sf)
+    fb = FeatureBuilder().fit(split.where(F.col("split") == "train"))
+    return split, fb
+
+
+def _features(spark, sf):
+    split, fb = _fitted(spark, sf)
+    return fb.transform(split, partition_cols=["split"])
+
+
+@register("fit_endpoint_freq", features_sql("SELECT endpoint_uri, round(endpoint_freq, 6) AS endpoint_freq FROM ef"))
+def q_fit_endpoint_freq(spark, sf):
+    _, fb = _fitted(spark, sf)
+    return fb.endpoint_freq.select("endpoint_uri", r6(F.col("endpoint_freq")).alias("endpoint_freq"))
+
+
+@register("fit_ip_stats", features_sql(
+    "SELECT client_ip, round(ip_error_rate, 6) AS ip_error_rate, round(ip_avg_latency, 6) AS ip_avg_latency FROM ips"))
+def q_fit_ip_stats(spark, sf):
+    _, fb = _fitted(spark, sf)
+    return fb.ip_stats.select("client_ip", r6(F.col("ip_error_rate")).alias("ip_error_rate"),
+                              r6(F.col("ip_avg_latency")).alias("ip_avg_latency"))
+
+
+@register("fit_median", features_sql("SELECT round(global_median_latency, 6) AS global_median_latency FROM gm"))
+def q_fit_median(spark, sf):
+    _, fb = _fitted(spark, sf)
+    return fb.median.select(r6(F.col("global_median_latency")).alias("global_median_latency"))
+
+
+@register("endpoint_freq_lookup", features_sql(
+    "SELECT s.event_id, s.split, round(coalesce(ef.endpoint_freq, 0.0), 6) AS endpoint_freq "
+    "FROM split s LEFT JOIN ef ON s.endpoint_uri = ef.endpoint_uri"))
+def q_endpoint_freq_lookup(spark, sf):
+    split, fb = _fitted(spark, sf)
+    out = stats.lookup_endpoint_freq(split, fb.endpoint_freq)
+    return out.select("event_id", "split", r6(F.col("endpoint_freq")).alias("endpoint_freq"))
+
+
+@register("ip_stats_lookup", features_sql(
+    "SELECT s.event_id, s.split, round(coalesce(ips.ip_error_rate, 0.0), 6) AS ip_error_rate, "
+    "round(coalesce(ips.ip_avg_latency, gm.global_median_latency), 6) AS ip_avg_latency "
+    "FROM split s LEFT JOIN ips ON s.client_ip = ips.client_ip CROSS JOIN gm"))
+def q_ip_stats_lookup(spark, sf):
+    split, fb = _fitted(spark, sf)
+    out = stats.lookup_ip_stats(split, fb.ip_stats, fb.median)
+    return out.select("event_id", "split", r6(F.col("ip_error_rate")).alias("ip_error_rate"),
+                      r6(F.col("ip_avg_latency")).alias("ip_avg_latency"))
+
+
+@register("unseen_keys", features_sql(
+    "SELECT DISTINCT 'endpoint' AS kind, s.endpoint_uri AS \"key\" FROM split s "
+    "WHERE NOT EXISTS (SELECT 1 FROM ef WHERE ef.endpoint_uri = s.endpoint_uri) "
+    "UNION ALL SELECT DISTINCT 'client_ip' AS kind, s.client_ip AS \"key\" FROM split s "
+    "WHERE NOT EXISTS (SELECT 1 FROM ips WHERE ips.client_ip = s.client_ip)"))
+def q_unseen_keys(spark, sf):
+    split, fb = _fitted(spark, sf)
+    return stats.unseen_keys(split, fb.endpoint_freq, fb.ip_stats)
+
+
+@register("method_code", clean_sql(
+    "SELECT http_method, CAST(CASE http_method WHEN 'GET' THEN 0 WHEN 'POST' THEN 1 WHEN 'PUT' THEN 2 "
+    "WHEN 'DELETE' THEN 3 WHEN 'PATCH' THEN 4 WHEN 'HEAD' THEN 5 WHEN 'OPTIONS' THEN 6 ELSE -1 END AS DOUBLE) "
+    "AS method_code, count(*) AS n FROM clean GROUP BY http_method"))
+def q_method_code(spark, sf):
+    return (_clean(spark, sf).groupBy("http_method").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("method_code", fx.method_code(F.col("http_method"))))
+
+
+@register("feat_logs", clean_sql(
+    "SELECT event_id, round(ln(1 + greatest(response_time_ms, 0.0)), 6) AS response_time_log1p, "
+    "round(ln(1 + greatest(CAST(bytes_sent AS DOUBLE), 0.0)), 6) AS bytes_sent_log1p FROM clean"))
+def q_feat_logs(spark, sf):
+    return _clean(spark, sf).select(
+        "event_id", r6(fx.log1p_clipped(F.col("response_time_ms"))).alias("response_time_log1p"),
+        r6(fx.log1p_clipped(F.col("bytes_sent"))).alias("bytes_sent_log1p"))
+
+
+@register("feat_status", clean_sql(
+    "SELECT event_id, CAST(floor(status_code / 100) AS DOUBLE) AS status_class, "
+    "coalesce(CAST(status_code >= 500 AS DOUBLE), 0.0) AS is_5xx, "
+    "coalesce(CAST(status_code >= 400 AND status_code < 500 AS DOUBLE), 0.0) AS is_4xx FROM clean"))
+def q_feat_status(spark, sf):
+    st = F.col("status_code")
+    return _clean(spark, sf).select("event_id", fx.status_class(st).alias("status_class"),
+                                    fx.is_5xx(st).alias("is_5xx"), fx.is_4xx(st).alias("is_4xx"))
+
+
+@register("feat_time_cycle", clean_sql(
+    "SELECT event_id, round(sin(2 * pi() * (hour(\"timestamp\") + minute(\"timestamp\") / 60.0) / 24.0), 6) AS hour_sin, "
+    "round(cos(2 * pi() * (hour(\"timestamp\") + minute(\"timestamp\") / 60.0) / 24.0), 6) AS hour_cos, "
+    "round(sin(2 * pi() * (isodow(\"timestamp\") - 1) / 7.0), 6) AS dow_sin, "
+    "round(cos(2 * pi() * (isodow(\"timestamp\") - 1) / 7.0), 6) AS dow_cos FROM clean"))
+def q_feat_time_cycle(spark, sf):
+    ts = F.col("timestamp")
+    hs, hc = fx.cyclic(fx.hour_of_day(ts), 24)
+    ds, dc = fx.cyclic(fx.day_of_week(ts), 7)
+    return _clean(spark, sf).select("event_id", r6(hs).alias("hour_sin"), r6(hc).alias("hour_cos"),
+                                    r6(ds).alias("dow_sin"), r6(dc).alias("dow_cos"))
+
+
+@register("feature_matrix", features_sql("SELECT * FROM feats"))
+def q_feature_matrix(spark, sf):
+    feats = feature_matrix(_features(spark, sf), keep=["event_id", "split"])
+    return feats.select("event_id", "split", *[r6(F.col(c)).alias(c) for c in FEATURE_COLUMNS])
+
+
+@register("impute_median", features_sql(
+    "SELECT split, " + ", ".join(
+        f"round(quantile_cont({c}, 0.5), 6) AS med_{c}" for c in FEATURE_COLUMNS) +
+    " FROM rawf GROUP BY split"))
+def q_impute_median(spark, sf):
+    from loglens.operators.quantiles import medians_wide
+
+    split, fb = _fitted(spark, sf)
+    raw = fb.raw_features(split, partition_cols=["split"])
+    med = medians_wide(raw, FEATURE_COLUMNS, ["split"], prefix="med_")
+    return med.select("split", *[r6(F.col("med_" + c)).alias("med_" + c) for c in FEATURE_COLUMNS])
