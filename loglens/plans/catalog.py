@@ -325,3 +325,113 @@ def q_impute_median(spark, sf):
     raw = fb.raw_features(split, partition_cols=["split"])
     med = medians_wide(raw, FEATURE_COLUMNS, ["split"], prefix="med_")
     return med.select("split", *[r6(F.col("med_" + c)).alias("med_" + c) for c in FEATURE_COLUMNS])
+
+
+# ---- threshold sweep and evaluation on a surrogate score --------------------------
+# The forest cannot be re-run inside DuckDB, so these queries score rows with
+# round(ln(1 + latency), 6); the operators under test are the same ones the
+# pipeline applies to forest scores.
+
+from loglens.operators import threshold as th  # noqa: E402
+
+SURROGATE_CTES = """,
+scored AS (SELECT event_id, split, is_anomaly, round(ln(1 + response_time_ms), 6) AS anomaly_score FROM split),
+val AS (SELECT * FROM scored WHERE split = 'val'),
+b0 AS (SELECT quantile_cont(anomaly_score, 0.01) AS lo, quantile_cont(anomaly_score, 0.99) AS hi0 FROM val),
+b AS (SELECT lo, CASE WHEN lo >= hi0 THEN lo + 1e-6 ELSE hi0 END AS hi FROM b0),
+th AS (SELECT i AS step, CASE WHEN i = 199 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 199.0) + lo END AS threshold
+       FROM b, range(200) t(i) WHERE lo IS NOT NULL),
+cm AS (SELECT step, threshold,
+        count_if(anomaly_score >= threshold AND is_anomaly = 1) AS tp,
+        count_if(anomaly_score >= threshold AND is_anomaly = 0) AS fp,
+        count_if(anomaly_score < threshold AND is_anomaly = 1) AS fn,
+        count_if(anomaly_score < threshold AND is_anomaly = 0) AS tn
+       FROM th CROSS JOIN val GROUP BY step, threshold),
+sweep AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+        CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM cm),
+best AS (SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, step LIMIT 1),
+test_flagged AS (SELECT s.event_id, s.is_anomaly, s.anomaly_score,
+        CAST(s.anomaly_score >= best.threshold AS INTEGER) AS is_anomaly_pred,
+        s.anomaly_score >= best.threshold AS predicted_anomaly FROM scored s CROSS JOIN best WHERE s.split = 'test'),
+conf AS (SELECT count_if(is_anomaly = 1 AND is_anomaly_pred = 1) AS tp, count_if(is_anomaly <> 1 AND is_anomaly_pred <> 1) AS tn,
+        count_if(is_anomaly <> 1 AND is_anomaly_pred = 1) AS fp, count_if(is_anomaly = 1 AND is_anomaly_pred <> 1) AS fn
+        FROM test_flagged)
+"""
+
+
+def surrogate_sql(body: str) -> str:
+    return _CLEAN_SQL + SPLIT_CTES + SURROGATE_CTES + body
+
+
+def _surrogate_scored(spark, sf):
+    return _split(spark, sf).withColumn("anomaly_score", r6(F.log1p(F.col("response_time_ms"))))
+
+
+def _sweep(spark, sf):
+    scored = _surrogate_scored(spark, sf)
+    return scored, th.threshold_sweep(scored.where(F.col("split") == "val"))
+
+
+def _test_flagged(spark, sf):
+    scored, sweep = _sweep(spark, sf)
+    best = th.best_threshold(sweep).select(F.col("threshold").alias("_best"))
+    test = scored.where(F.col("split") == "test").crossJoin(F.broadcast(best))
+    return th.flag_scores(test, F.col("_best"))
+
+
+@register("score_bounds", surrogate_sql("SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM b"))
+def q_score_bounds(spark, sf):
+    scored = _surrogate_scored(spark, sf).where(F.col("split") == "val")
+    return th.score_bounds(scored).select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
+
+
+@register("threshold_sweep", surrogate_sql(
+    "SELECT step, round(threshold, 6) AS threshold, tp, fp, fn, tn, round(precision, 6) AS precision, "
+    "round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep"))
+def q_threshold_sweep(spark, sf):
+    _, sweep = _sweep(spark, sf)
+    return sweep.select("step", r6(F.col("threshold")).alias("threshold"), "tp", "fp", "fn", "tn",
+                        *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("best_threshold", surrogate_sql("SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM best"))
+def q_best_threshold(spark, sf):
+    _, sweep = _sweep(spark, sf)
+    return th.best_threshold(sweep).select(r6(F.col("threshold")).alias("threshold"), r6(F.col("f1")).alias("f1"))
+
+
+@register("flag_scores", surrogate_sql(
+    "SELECT event_id, anomaly_score, is_anomaly_pred, predicted_anomaly FROM test_flagged"))
+def q_flag_scores(spark, sf):
+    return _test_flagged(spark, sf).select("event_id", "anomaly_score", "is_anomaly_pred", "predicted_anomaly")
+
+
+@register("confusion_matrix", surrogate_sql("SELECT tp, tn, fp, fn FROM conf"))
+def q_confusion_matrix(spark, sf):
+    return th.confusion_matrix(_test_flagged(spark, sf))
+
+
+@register("eval_metrics", surrogate_sql(
+    "SELECT tp + tn + fp + fn AS test_size, "
+    "round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, "
+    "round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, "
+    "round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, "
+    "round(CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy, "
+    "round(CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END, 6) AS false_positive_rate, "
+    "tp, tn, fp, fn FROM conf"))
+def q_eval_metrics(spark, sf):
+    m = th.eval_metrics(th.confusion_matrix(_test_flagged(spark, sf)))
+    return m.select("test_size", *[r6(F.col(c)).alias(c) for c in
+                                   ("precision", "recall", "f1", "accuracy", "false_positive_rate")],
+                    "tp", "tn", "fp", "fn")
+
+
+@register("decision_offset", surrogate_sql(
+    "SELECT round(quantile_cont(anomaly_score, 0.92), 6) AS score_offset FROM scored WHERE split = 'train'"))
+def q_decision_offset(spark, sf):
+    from loglens.operators.quantiles import quantile_row
+
+    train = _surrogate_scored(spark, sf).where(F.col("split") == "train")
+    return quantile_row(train, "anomaly_score", [0.92], names=["score_offset"]).select(
+        r6(F.col("score_offset")).alias("score_offset"))
