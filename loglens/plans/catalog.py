@@ -435,3 +435,182 @@ def q_decision_offset(spark, sf):
     train = _surrogate_scored(spark, sf).where(F.col("split") == "train")
     return quantile_row(train, "anomaly_score", [0.92], names=["score_offset"]).select(
         r6(F.col("score_offset")).alias("score_offset"))
+
+
+# ---- sources and sinks ---------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from loglens.session import checkpoint_dir  # noqa: E402
+from loglens.sources import logfiles  # noqa: E402
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint location."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/loglens-scratch/{uuid.uuid4().hex}/{name}"
+
+
+@register("scan_logs_csv", clean_sql("SELECT * FROM clean"))
+def q_scan_logs_csv(spark, sf):
+    path = logfiles.write_csv(fixture.fixture_raw(spark, sf), scratch_path(spark, "raw_logs.csv"))
+    return logfiles.load_logs(spark, path).withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@register("csv_round_trip", fixture.with_log_sql(
+    "SELECT event_id, \"timestamp\", client_ip, endpoint_uri, http_method, response_time_ms, status_code, "
+    "bytes_sent, is_anomaly, anomaly_type FROM log"))
+def q_csv_round_trip(spark, sf):
+    path = logfiles.write_csv(fixture.fixture_log(spark, sf), scratch_path(spark, "logs.csv"))
+    back = logfiles.load_logs(spark, path, require_labels=True)
+    return back.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@register("literal_log_row", clean_sql(
+    "SELECT * FROM clean UNION ALL SELECT -1 AS event_id, TIMESTAMP '2024-01-15 07:00:00' AS \"timestamp\", "
+    "'10.0.0.1' AS client_ip, '/api/v1/transfer/0' AS endpoint_uri, 'GET' AS http_method, "
+    "100.0 AS response_time_ms, 200 AS status_code, CAST(1000 AS BIGINT) AS bytes_sent, 0 AS is_anomaly, "
+    "'normal' AS anomaly_type"))
+def q_literal_log_row(spark, sf):
+    one = logfiles.single_record(spark, timestamp="2024-01-15T07:00:00", client_ip="10.0.0.1",
+                                 endpoint_uri="/api/v1/transfer/0", http_method="GET",
+                                 response_time_ms=100.0, status_code=200, bytes_sent=1000)
+    one = one.withColumn("event_id", F.lit("-1"))
+    batch = fixture.fixture_raw(spark, sf).withColumnRenamed("response_time", "response_time_ms") \
+                   .withColumn("event_id", F.col("event_id").cast("string"))
+    out = cleaning.clean_logs(batch.unionByName(one))
+    return out.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+# ---- result views over predictions (surrogate score, val-tuned threshold) -------------
+
+from loglens.operators import reports  # noqa: E402
+from loglens.sources import history  # noqa: E402
+
+PRED_CTES = SURROGATE_CTES + """,
+preds AS (SELECT sp.*, round(ln(1 + sp.response_time_ms), 6) AS anomaly_score,
+        CAST(round(ln(1 + sp.response_time_ms), 6) >= best.threshold AS INTEGER) AS is_anomaly_pred,
+        round(ln(1 + sp.response_time_ms), 6) >= best.threshold AS predicted_anomaly
+        FROM split sp CROSS JOIN best)
+"""
+
+
+def preds_sql(body: str) -> str:
+    return _CLEAN_SQL + SPLIT_CTES + PRED_CTES + body
+
+
+def _preds(spark, sf):
+    scored, sweep = _sweep(spark, sf)
+    best = th.best_threshold(sweep).select(F.col("threshold").alias("_best"))
+    return th.flag_scores(scored.crossJoin(F.broadcast(best)), F.col("_best")).drop("_best")
+
+
+_DISPLAY_SQL = ", ".join([
+    "\"timestamp\" AS \"Time\"", "client_ip AS \"IP\"", "endpoint_uri AS \"Endpoint\"", "http_method AS \"Method\"",
+    "response_time_ms AS \"Latency (ms)\"", "status_code AS \"HTTP status\"", "bytes_sent AS \"Bytes\"",
+    "anomaly_score AS \"Anomaly score\"",
+    "CASE is_anomaly_pred WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS \"Anomalous\""])
+
+
+@register("display_projection", preds_sql(f"SELECT {_DISPLAY_SQL} FROM preds"))
+def q_display_projection(spark, sf):
+    return reports.display_projection(_preds(spark, sf))
+
+
+@register("filter_anomalous", preds_sql("SELECT event_id, anomaly_score FROM preds WHERE is_anomaly_pred = 1"))
+def q_filter_anomalous(spark, sf):
+    return reports.filter_predictions(_preds(spark, sf), "anomalous").select("event_id", "anomaly_score")
+
+
+@register("filter_normal", preds_sql("SELECT event_id, anomaly_score FROM preds WHERE is_anomaly_pred = 0"))
+def q_filter_normal(spark, sf):
+    return reports.filter_predictions(_preds(spark, sf), "normal").select("event_id", "anomaly_score")
+
+
+@register("preview_20", clean_sql(
+    "SELECT event_id, \"timestamp\", client_ip, endpoint_uri, http_method, response_time_ms, status_code, "
+    "bytes_sent FROM clean ORDER BY \"timestamp\", event_id LIMIT 20"))
+def q_preview_20(spark, sf):
+    return reports.preview(_clean(spark, sf), 20, order=("timestamp", "event_id")).select(
+        "event_id", "timestamp", "client_ip", "endpoint_uri", "http_method", "response_time_ms",
+        "status_code", "bytes_sent")
+
+
+@register("result_summary", preds_sql(
+    "SELECT count(*) AS total, CAST(coalesce(sum(is_anomaly_pred), 0) AS BIGINT) AS anomalies, "
+    "round(100.0 * sum(is_anomaly_pred) / count(*), 6) AS anomaly_pct FROM preds"))
+def q_result_summary(spark, sf):
+    return reports.result_summary(_preds(spark, sf)).withColumn("anomaly_pct", r6(F.col("anomaly_pct")))
+
+
+@register("status_counts", preds_sql(
+    "SELECT CAST(status_code AS VARCHAR) AS status, count(*) AS n FROM preds GROUP BY 1"))
+def q_status_counts(spark, sf):
+    return reports.status_counts(_preds(spark, sf))
+
+
+@register("label_counts", preds_sql(
+    "SELECT CASE is_anomaly_pred WHEN 0 THEN 'Normal' WHEN 1 THEN 'Anomalous' END AS label, count(*) AS n "
+    "FROM preds GROUP BY 1"))
+def q_label_counts(spark, sf):
+    return reports.label_counts(_preds(spark, sf))
+
+
+@register("anomaly_share", clean_sql(
+    "SELECT round(avg(CAST(is_anomaly AS DOUBLE)) * 100.0, 6) AS anomaly_pct, count(*) AS n FROM clean"))
+def q_anomaly_share(spark, sf):
+    return reports.anomaly_share(_clean(spark, sf)).withColumn("anomaly_pct", r6(F.col("anomaly_pct")))
+
+
+@register("score_series", preds_sql("SELECT event_id, \"timestamp\", anomaly_score FROM preds"))
+def q_score_series(spark, sf):
+    return reports.score_series(_preds(spark, sf), order=("timestamp", "event_id"))
+
+
+@register("latency_series", preds_sql("SELECT event_id, \"timestamp\", response_time_ms FROM preds"))
+def q_latency_series(spark, sf):
+    return reports.latency_series(_preds(spark, sf), order=("timestamp", "event_id"))
+
+
+_HISTORY_SQL = """,
+hist AS (SELECT row_number() OVER (ORDER BY "timestamp", client_ip, endpoint_uri, response_time_ms, status_code,
+                anomaly_score, is_anomaly_pred = 1) AS id,
+         "timestamp", client_ip, endpoint_uri, response_time_ms, status_code, anomaly_score,
+         is_anomaly_pred = 1 AS is_anomaly FROM preds)
+"""
+
+
+def _saved_history(spark, sf):
+    path = scratch_path(spark, "history")
+    history.append_results(_preds(spark, sf), path)
+    return history.read_history(spark, path)
+
+
+@register("save_results_rows", preds_sql(_HISTORY_SQL + "SELECT * FROM hist"))
+def q_save_results_rows(spark, sf):
+    return _saved_history(spark, sf).drop("predicted_at")
+
+
+@register("history_top_n", preds_sql(_HISTORY_SQL + "SELECT * FROM hist ORDER BY id DESC LIMIT 20"))
+def q_history_top_n(spark, sf):
+    path = scratch_path(spark, "history")
+    history.append_results(_preds(spark, sf), path)
+    return history.recent_results(spark, path, 20).drop("predicted_at")
+
+
+@register("history_summary", preds_sql(
+    _HISTORY_SQL + "SELECT count(*) AS \"rows\", count_if(is_anomaly) AS anomalies FROM "
+    "(SELECT * FROM hist ORDER BY id DESC LIMIT 100)"))
+def q_history_summary(spark, sf):
+    path = scratch_path(spark, "history")
+    history.append_results(_preds(spark, sf), path)
+    return history.history_summary(history.recent_results(spark, path, 100))
+
+
+@register("results_contract", preds_sql(
+    "SELECT " + ", ".join(f"count_if({c} IS NULL) AS null_{c}" for c in
+                          ["\"timestamp\"", "client_ip", "endpoint_uri", "response_time_ms", "status_code",
+                           "anomaly_score"]).replace("null_\"timestamp\"", "null_timestamp") +
+    ", count_if(is_anomaly_pred IS NULL) AS null_is_anomaly, count_if(length(client_ip) > 45) AS long_client_ip, "
+    "count_if(length(endpoint_uri) > 512) AS long_endpoint_uri FROM preds"))
+def q_results_contract(spark, sf):
+    return history.contract_violations(history.history_rows(_preds(spark, sf)))
