@@ -614,3 +614,140 @@ def q_history_summary(spark, sf):
     "count_if(length(endpoint_uri) > 512) AS long_endpoint_uri FROM preds"))
 def q_results_contract(spark, sf):
     return history.contract_violations(history.history_rows(_preds(spark, sf)))
+
+
+@register("csv_export", preds_sql(
+    "SELECT event_id, \"timestamp\", client_ip, anomaly_score, is_anomaly_pred, predicted_anomaly FROM preds"))
+def q_csv_export(spark, sf):
+    cols = ["event_id", "timestamp", "client_ip", "anomaly_score", "is_anomaly_pred", "predicted_anomaly"]
+    path = logfiles.write_csv(_preds(spark, sf).select(*cols), scratch_path(spark, "predictions.csv"))
+    back = logfiles.read_raw_csv(spark, path)
+    return back.select(F.col("event_id").cast("long"), F.col("timestamp").try_cast("timestamp_ntz"),
+                       "client_ip", F.col("anomaly_score").cast("double"),
+                       F.col("is_anomaly_pred").cast("int"), F.col("predicted_anomaly").cast("boolean"))
+
+
+# ---- isolation forest, bundle and jobs -------------------------------------------------
+
+from loglens.operators import forest as iforest  # noqa: E402
+from loglens.plans import pipeline  # noqa: E402
+from loglens.sources.bundle import load_bundle, save_bundle  # noqa: E402
+
+_TRAINED: dict = {}
+
+
+def trained(spark, sf):
+    """Train once per session and data folder (the jobs below reuse the model)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = pipeline.train(spark, fixture.fixture_raw(spark, sf), tiebreak=["event_id"])
+    return _TRAINED[key]
+
+
+_C_SQL = ("CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE "
+          "2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END")
+
+
+@register("c_normaliser", clean_sql(
+    "SELECT client_ip, count(*) AS n, round(" + _C_SQL.format(n="CAST(count(*) AS DOUBLE)") +
+    ", 6) AS c_n FROM clean GROUP BY client_ip"))
+def q_c_normaliser(spark, sf):
+    g = _clean(spark, sf).groupBy("client_ip").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("c_n", r6(fx.average_path_length(F.col("n"))))
+
+
+# two hand-made trees over the real feature matrix; leaf value = depth + c(size)
+FIXED_TREES = [
+    # tree_id, node_id, depth, feature, threshold, left, right, size
+    (0, 0, 0, 0, 3.0, 1, 2, 256), (0, 1, 1, 4, 1.5, 3, 4, 250), (0, 2, 1, -1, None, -1, -1, 6),
+    (0, 3, 2, -1, None, -1, -1, 200), (0, 4, 2, -1, None, -1, -1, 50),
+    (1, 0, 0, 9, 0.03, 1, 2, 256), (1, 1, 1, -1, None, -1, -1, 4), (1, 2, 1, 3, 0.5, 3, 4, 252),
+    (1, 3, 2, -1, None, -1, -1, 150), (1, 4, 2, -1, None, -1, -1, 102),
+]
+
+
+def _leaf(depth, size):
+    return f"({depth} + {_C_SQL.format(n=f'{float(size)}')})"
+
+
+_FIXED_SCORE_SQL = (
+    "power(2.0, -((CASE WHEN response_time_log1p <= 3.0 THEN (CASE WHEN request_rate <= 1.5 THEN "
+    f"{_leaf(2, 200)} ELSE {_leaf(2, 50)} END) ELSE {_leaf(1, 6)} END) + "
+    f"(CASE WHEN endpoint_freq <= 0.03 THEN {_leaf(1, 4)} ELSE (CASE WHEN is_4xx <= 0.5 THEN {_leaf(2, 150)} "
+    f"ELSE {_leaf(2, 102)} END) END)) / 2.0 / ({_C_SQL.format(n='256.0')}))")
+
+
+@register("fixed_forest_score", features_sql(
+    f"SELECT event_id, split, round({_FIXED_SCORE_SQL}, 6) AS score FROM feats"))
+def q_fixed_forest_score(spark, sf):
+    import pandas as pd
+
+    nodes = pd.DataFrame(FIXED_TREES, columns=["tree_id", "node_id", "depth", "feature", "threshold",
+                                               "left", "right", "size"])
+    packed = iforest.PackedForest.from_nodes(nodes, 256)
+    feats = _features(spark, sf)
+    # the oracle sees features rounded to 6 digits; score on the same values
+    feats = feats.select("event_id", "split", *[r6(F.col(c)).alias(c) for c in FEATURE_COLUMNS])
+    s = iforest.score_column(spark, packed, FEATURE_COLUMNS)
+    return feats.select("event_id", "split", r6(s).alias("score"))
+
+
+@register("iforest_sample")
+def q_iforest_sample(spark, sf):
+    """Per tree: rows drawn and distinct positions (both must equal psi)."""
+    split = _split(spark, sf)
+    n_train = split.where(F.col("split") == "train").count()
+    samples = iforest.draw_samples(spark, n_train)
+    picked = split.where(F.col("split") == "train").join(F.broadcast(samples), "row_idx")
+    return picked.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                         F.count_distinct("row_idx").alias("n_distinct"))
+
+
+@register("iforest_train")
+def q_iforest_train(spark, sf):
+    res = trained(spark, sf)
+    return spark.createDataFrame(res.bundle.nodes, iforest.NODE_SCHEMA)
+
+
+@register("iforest_score")
+def q_iforest_score(spark, sf):
+    return trained(spark, sf).scored.select("event_id", "split", "anomaly_score")
+
+
+@register("train_report")
+def q_train_report(spark, sf):
+    rep = trained(spark, sf).report
+    return spark.createDataFrame([{k: v for k, v in rep.items() if k not in ("best_params", "output_path")}])
+
+
+@register("model_info")
+def q_model_info(spark, sf):
+    meta = trained(spark, sf).bundle.meta
+    keys = ["threshold", "score_offset", "psi", "n_estimators", "contamination", "max_features",
+            "random_state", "rate_window_seconds", "val_f1", "test_f1", "feature_columns"]
+    return spark.createDataFrame([{k: meta[k] for k in keys}])
+
+
+@register("predict_logs")
+def q_predict_logs(spark, sf):
+    res = trained(spark, sf)
+    return pipeline.predict(spark, fixture.fixture_raw(spark, sf), res.bundle)
+
+
+@register("evaluate_pipeline")
+def q_evaluate_pipeline(spark, sf):
+    res = trained(spark, sf)
+    return pipeline.evaluate(spark, fixture.fixture_raw(spark, sf), res.bundle, tiebreak=["event_id"])
+
+
+@register("bundle_round_trip")
+def q_bundle_round_trip(spark, sf):
+    """Save, load, predict again: rows whose score changed (must be none)."""
+    res = trained(spark, sf)
+    path = scratch_path(spark, "bundle")
+    save_bundle(spark, res.bundle, path)
+    loaded = load_bundle(spark, path)
+    raw = fixture.fixture_raw(spark, sf)
+    a = pipeline.predict(spark, raw, res.bundle).select("event_id", F.col("anomaly_score").alias("a"))
+    b = pipeline.predict(spark, raw, loaded).select("event_id", F.col("anomaly_score").alias("b"))
+    return a.join(b, "event_id").where(F.abs(F.col("a") - F.col("b")) > 1e-12)
