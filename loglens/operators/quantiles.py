@@ -5,9 +5,9 @@ single task; that does not survive billions of distinct values.  Here:
 
 1. value histogram ``(group, column, value) -> count`` (hot values collapse in
    the map-side partial aggregate, so no value can skew a task);
-2. the histogram is range-partitioned by ``(group, column, value)`` and a
-   running count is taken inside each partition (``mapInPandas`` over sorted
-   Arrow batches), tagged with the partition index and persisted;
+2. the histogram is range-partitioned by ``(group, column, value)``, tagged
+   with its range-partition index, and a running count is taken per
+   ``(group, column, partition)`` with a window (all JVM; persisted);
 3. per-partition totals (one row per partition and key run: bounded by the
    partition count plus the number of groups) give each partition its offset;
 4. the rows whose count interval covers the wanted ranks are picked by a join
@@ -21,36 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _local_running_count(key_cols: list[str]):
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key_cols]
-            cum = pdf.groupby(key_cols, sort=False, dropna=False)["_q_w"].cumsum().to_numpy()
-            if carry_key is not None:
-                first = np.ones(len(pdf), dtype=bool)
-                for c, v in zip(key_cols, carry_key):
-                    col = keys[c].to_numpy()
-                    first &= (col == v) if v is not None else pd.isna(col)
-                cum = cum + np.where(first, carry, 0)
-            last = keys.iloc[-1]
-            carry_key = tuple(None if pd.isna(x) else x for x in last)
-            carry = int(cum[-1])
-            yield pdf.assign(_q_cum=cum.astype("int64"), _q_pid=np.int32(pid))
-    return run
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -66,11 +39,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     hist = stacked.groupBy(*g, "column", "v").agg(F.count(F.lit(1)).alias("_q_w"))
     keys = g + ["column"]
 
-    ranged = hist.repartitionByRange(n_parts, *keys, "v").sortWithinPartitions(*keys, "v")
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_q_cum", T.LongType()),
-                                                 T.StructField("_q_pid", T.IntegerType())])
-    # persisted so the totals below and the rows joined later are the same rows
-    ranked = ranged.mapInPandas(_local_running_count(keys), schema).persist(StorageLevel.MEMORY_AND_DISK)
+    # the range partition index is stored as a column; the running count is a
+    # window per (key, partition), i.e. per slice of a key's value range, so no
+    # task ever holds more than one range partition of one key.  Persisted so
+    # the totals below and the rows joined later are the same rows.
+    ranged = hist.repartitionByRange(n_parts, *keys, "v").withColumn("_q_pid", F.spark_partition_id())
+    running = Window.partitionBy(*keys, "_q_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_q_cum", F.sum("_q_w").over(running)).persist(StorageLevel.MEMORY_AND_DISK)
 
     part_tot = ranked.groupBy("_q_pid", *keys).agg(F.sum("_q_w").alias("_q_pt"))
     before = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
