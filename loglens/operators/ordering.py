@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.schema import TRAIN_RATIO, VAL_RATIO
+from loglens.session import persist_for_reuse
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -50,8 +50,8 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row
                 .withColumn(mid, F.monotonically_increasing_id())
                 .withColumn(pid, F.shiftright(F.col(mid), 33).cast("int"))
                 .withColumn(local, F.col(mid).bitwiseAND(F.lit(_LOW_BITS)))
-                .drop(mid)
-                .persist(StorageLevel.MEMORY_AND_DISK))
+                .drop(mid))
+    tagged = persist_for_reuse(tagged)
     counts = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias("_ri_n"))
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

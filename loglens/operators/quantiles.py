@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglens.session import persist_for_reuse
+
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
@@ -45,7 +46,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     # the totals below and the rows joined later are the same rows.
     ranged = hist.repartitionByRange(n_parts, *keys, "v").withColumn("_q_pid", F.spark_partition_id())
     running = Window.partitionBy(*keys, "_q_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("_q_cum", F.sum("_q_w").over(running)).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = persist_for_reuse(ranged.withColumn("_q_cum", F.sum("_q_w").over(running)))
 
     part_tot = ranked.groupBy("_q_pid", *keys).agg(F.sum("_q_w").alias("_q_pt"))
     before = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,20 +5,25 @@ For every row: the number of rows of the same client whose timestamp lies in
 timestamp or client get 0.  ``partition_cols`` keeps independent frames apart
 (e.g. train/validation/test are rated separately).
 
-Two exact plans:
+The rate depends on ``(client, timestamp)`` only, so it is computed on the
+*key table*: distinct ``(partition_cols, client, timestamp)`` with a
+multiplicity ``n`` (copies of a row collapse in the map-side partial
+aggregate, so a group of copies never reaches one task).  ``request_rate``
+joins the key table back to the rows (one shuffle join of the rows; a key
+that still holds many rows is split by adaptive skew-join handling).
 
-* ``"window"`` - ``count(*) OVER (PARTITION BY ip ORDER BY t RANGE w PRECEDING)``.
+Two exact plans for the key table:
+
+* ``"window"`` - ``sum(n) OVER (PARTITION BY ip ORDER BY t RANGE w PRECEDING)``.
   One task holds a whole client, and Spark re-aggregates a sliding frame each
-  time it moves (cost ~ rows x rows-in-frame).  Kept as the reference form.
-* ``"bucketed"`` (default) - rows are keyed by ``(ip, floor(t / B))`` with
-  ``B >= w``.  Each bucket also receives a narrow *context* copy of the
-  previous bucket's last ``w`` seconds, and one narrow *probe* row at ``t - w``
-  per row.  A running ``sum(kind)`` (incremental frame, O(1) per row) gives
-  ``#rows <= t`` at each row and ``#rows < t - w`` at its probe; their
-  difference is the rate.  A hot client is spread over many buckets, no row
-  ever needs rows outside its bucket, and the only shuffle is one hash
-  exchange on ``(ip, bucket)``; the pairing of rows with their probes reuses
-  that partitioning (same keys plus the pair key), so it adds a sort, not a
+  time it moves (cost ~ keys x keys-in-frame).  Kept as the reference form.
+* ``"bucketed"`` (default) - keys are grouped by ``(ip, floor(t / B))`` with
+  ``B >= w``.  Each bucket also receives a *context* copy of the previous
+  bucket's last ``w`` seconds, and one *probe* key at ``t - w`` per key.  A
+  running ``sum(n)`` (incremental frame, O(1) per row) gives ``#rows <= t`` at
+  each key and ``#rows < t - w`` at its probe; the difference is the rate.  A
+  hot client is spread over its time buckets; the pairing of keys with their
+  probes reuses the ``(ip, bucket)`` partitioning, so it adds a sort, not a
   shuffle.
 """
 
@@ -47,62 +52,91 @@ def _floor_div(x: Column, d: int) -> Column:
     return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("long")
 
 
+def key_table(df: DataFrame, ip_col: str = "client_ip", ts_col: str = "timestamp",
+              partition_cols: Sequence[str] = ()) -> DataFrame:
+    """Distinct (partition_cols, ip, ts) with multiplicity ``_rr_n``."""
+    return df.groupBy(*partition_cols, ip_col, ts_col).agg(F.count(F.lit(1)).alias("_rr_n"))
+
+
+def rate_table(keys: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS,
+               ip_col: str = "client_ip", ts_col: str = "timestamp", partition_cols: Sequence[str] = (),
+               out_col: str = "request_rate", method: str = "bucketed",
+               bucket_seconds: int | None = None) -> DataFrame:
+    """Key table (with ``_rr_n``) -> same columns + ``out_col`` (double)."""
+    if method == "window":
+        return _rate_window(keys, window_seconds, ip_col, ts_col, partition_cols, out_col)
+    if method != "bucketed":
+        raise ValueError(f"unknown rate method {method!r}")
+    bucket_s = bucket_seconds or 4 * window_seconds
+    if bucket_s < window_seconds:
+        raise ValueError("bucket_seconds must be >= the rate window")
+    return _rate_bucketed(keys, window_seconds, ip_col, ts_col, partition_cols, out_col, bucket_s)
+
+
 def request_rate(df: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS,
                  ip_col: str = "client_ip", ts_col: str = "timestamp",
                  partition_cols: Sequence[str] = (), out_col: str = "request_rate",
                  method: str = "bucketed", bucket_seconds: int | None = None) -> DataFrame:
-    if method == "window":
-        return _rate_window(df, window_seconds, ip_col, ts_col, partition_cols, out_col)
-    if method != "bucketed":
-        raise ValueError(f"unknown rate method {method!r}")
-    return _rate_bucketed(df, window_seconds, ip_col, ts_col, partition_cols, out_col,
-                          bucket_seconds or 4 * window_seconds)
+    """Rows of ``df`` plus ``out_col``."""
+    rates = rate_table(key_table(df, ip_col, ts_col, partition_cols), window_seconds, ip_col, ts_col,
+                       partition_cols, out_col, method, bucket_seconds).drop("_rr_n")
+    return join_keys(df, rates, [*partition_cols, ip_col, ts_col])
+
+
+def join_keys(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys with null-safe equality (null client/time rows keep their values)."""
+    renamed = table.select(*[F.col(k).alias(f"_jk_{i}") for i, k in enumerate(keys)],
+                           *[c for c in table.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = df[k].eqNullSafe(renamed[f"_jk_{i}"])
+        cond = c if cond is None else cond & c
+    return df.join(renamed, cond, "left").drop(*[f"_jk_{i}" for i in range(len(keys))])
+
 
+def _valid(ip_col, ts_col):
+    return F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
 
-def _rate_window(df, w, ip_col, ts_col, pcols, out_col):
+
+def _rate_window(keys, w, ip_col, ts_col, pcols, out_col):
     t = epoch_micros(ts_col)
     win = (Window.partitionBy(*pcols, ip_col).orderBy(t)
            .rangeBetween(-w * _MICROS, Window.currentRow))
-    valid = F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
-    return df.withColumn(out_col, F.when(valid, F.count(F.lit(1)).over(win)).otherwise(0).cast("double"))
+    return keys.withColumn(out_col, F.when(_valid(ip_col, ts_col), F.sum("_rr_n").over(win))
+                           .otherwise(0).cast("double"))
 
 
-def _rate_bucketed(df, w, ip_col, ts_col, pcols, out_col, bucket_s):
-    if bucket_s < w:
-        raise ValueError("bucket_seconds must be >= the rate window")
+def _rate_bucketed(keys, w, ip_col, ts_col, pcols, out_col, bucket_s):
     w_us, b_us = w * _MICROS, bucket_s * _MICROS
-    keys = list(pcols) + [ip_col]
-    t, b, kind, real, pair, s, cp = "_rr_t", "_rr_b", "_rr_kind", "_rr_real", "_rr_pair", "_rr_s", "_rr_copy"
-    valid = F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
-    others = [c for c in df.columns if c not in keys]
-
-    base = df.withColumn(t, epoch_micros(ts_col)).withColumn(b, _floor_div(F.col(t), b_us))
+    group = list(pcols) + [ip_col]
+    t, b, kind, wt, real, pair, s, cp = ("_rr_t", "_rr_b", "_rr_kind", "_rr_w", "_rr_real", "_rr_pair",
+                                         "_rr_s", "_rr_copy")
+    valid = _valid(ip_col, ts_col)
+    base = keys.withColumn(t, epoch_micros(ts_col)).withColumn(b, _floor_div(F.col(t), b_us))
     tail = F.col(t) >= (F.col(b) + 1) * b_us - w_us
 
-    def copy(k, is_real, tt, bb, pp):
-        return F.struct(F.lit(k).alias("k"), F.lit(is_real).alias("r"), tt.cast("long").alias("t"),
-                        bb.cast("long").alias("b"), pp.cast("long").alias("p"))
+    def copy(k, weight, is_real, tt, bb, pp):
+        return F.struct(F.lit(k).alias("k"), weight.cast("long").alias("w"), F.lit(is_real).alias("r"),
+                        tt.cast("long").alias("t"), bb.cast("long").alias("b"), pp.cast("long").alias("p"))
 
-    # one pass over the input: the row itself, its probe at t - w, and (for the
-    # last w seconds of a bucket) a context copy for the next bucket
+    n = F.col("_rr_n")
+    # per key: itself, its probe at t - w, and (in the last w seconds of a
+    # bucket) a context copy that the next bucket counts
     copies = F.array(
-        copy(1, True, F.col(t), F.col(b), F.col(t)),
-        F.when(valid, copy(0, False, F.col(t) - w_us, F.col(b), F.col(t))),
-        F.when(valid & tail, copy(1, False, F.col(t), F.col(b) + 1, F.lit(None))),
+        copy(1, n, True, F.col(t), F.col(b), F.col(t)),
+        F.when(valid, copy(0, F.lit(0), False, F.col(t) - w_us, F.col(b), F.col(t))),
+        F.when(valid & tail, copy(1, n, False, F.col(t), F.col(b) + 1, F.lit(None))),
     )
-    u = (base.select(*keys, *others, F.explode(copies).alias(cp))
+    u = (base.select(*group, ts_col, "_rr_n", F.explode(copies).alias(cp))
              .where(F.col(cp).isNotNull())
-             .select(*keys,
-                     *[F.when(F.col(f"{cp}.r"), F.col(c)).alias(c) for c in others],
-                     F.col(f"{cp}.k").alias(kind), F.col(f"{cp}.r").alias(real),
-                     F.col(f"{cp}.t").alias(t), F.col(f"{cp}.b").alias(b), F.col(f"{cp}.p").alias(pair)))
-
-    running = (Window.partitionBy(*keys, b).orderBy(t, kind)
+             .select(*group, ts_col, "_rr_n", *[F.col(f"{cp}.{x}").alias(y) for x, y in
+                                                 (("k", kind), ("w", wt), ("r", real), ("t", t), ("b", b),
+                                                  ("p", pair))]))
+    running = (Window.partitionBy(*group, b).orderBy(t, kind)
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    pairing = Window.partitionBy(*keys, b, pair)
-    u = u.withColumn(s, F.sum(kind).over(running))
+    pairing = Window.partitionBy(*group, b, pair)
+    u = u.withColumn(s, F.sum(wt).over(running))
     u = u.withColumn(out_col, F.col(s) - F.max(F.when(F.col(kind) == 0, F.col(s))).over(pairing))
-    valid_out = F.col(ts_col).isNotNull() & F.col(ip_col).isNotNull()
     return (u.where(F.col(real))
-             .withColumn(out_col, F.when(valid_out, F.col(out_col)).otherwise(0).cast("double"))
-             .select(*df.columns, out_col))
+             .select(*group, ts_col, "_rr_n",
+                     F.when(valid, F.col(out_col)).otherwise(0).cast("double").alias(out_col)))

@@ -1,9 +1,11 @@
 """Feature stage: fit statistics on training logs, transform any log batch.
 
-``fit`` plans three small tables (endpoint shares, per-client stats, the
-median latency); ``transform`` is one plan: the request-rate window, the two
-lookups, the row-local formulas, then +-inf -> null and median imputation
-with medians of the batch being transformed (per ``partition_cols`` group).
+``fit`` plans three tables (endpoint shares, per-client stats, the median
+latency); ``transform`` is one plan: the request rate and the client lookup
+on the distinct (client, time) key table, one join of that table back to the
+rows, the endpoint lookup, the row-local formulas, then +-inf -> null and
+median imputation with medians of the batch being transformed (per
+``partition_cols`` group).
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from loglens.functions import features as fx
 from loglens.operators import rate, stats
 from loglens.operators.quantiles import medians_wide
 from loglens.schema import FEATURE_COLUMNS, RATE_WINDOW_SECONDS
+from loglens.session import persist_for_reuse
 
 
 @dataclass
@@ -46,10 +48,15 @@ class FeatureBuilder:
         ts, st = F.col("timestamp"), F.col("status_code")
         hour_sin, hour_cos = fx.cyclic(fx.hour_of_day(ts), 24)
         dow_sin, dow_cos = fx.cyclic(fx.day_of_week(ts), 7)
-        out = rate.request_rate(df, self.rate_window_seconds, partition_cols=partition_cols,
-                                method=self.rate_method)
+        # rate and client statistics depend on (client, time) only: attach both
+        # to the narrow key table, then join it back to the rows once
+        key_cols = [*partition_cols, "client_ip", "timestamp"]
+        keys = rate.key_table(df, partition_cols=partition_cols)
+        keyed = rate.rate_table(keys, self.rate_window_seconds, partition_cols=partition_cols,
+                                method=self.rate_method).drop("_rr_n")
+        keyed = stats.lookup_ip_stats(keyed, self.ip_stats, self.median)
+        out = rate.join_keys(df, keyed, key_cols)
         out = stats.lookup_endpoint_freq(out, self.endpoint_freq)
-        out = stats.lookup_ip_stats(out, self.ip_stats, self.median)
         out = out.withColumns({
             "response_time_log1p": fx.log1p_clipped(F.col("response_time_ms")),
             "status_class": fx.status_class(st),
@@ -72,7 +79,7 @@ class FeatureBuilder:
         """
         raw = self.raw_features(df, partition_cols)
         if impute_columns is None:
-            raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+            raw = persist_for_reuse(raw)
             counts = raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FEATURE_COLUMNS]).first()
             impute_columns = [c for c in FEATURE_COLUMNS if counts[c] > 0]
         return impute_with_medians(raw, impute_columns, partition_cols)

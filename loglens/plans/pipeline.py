@@ -37,7 +37,7 @@ from loglens.schema import (
     TRAIN_RATIO,
     VAL_RATIO,
 )
-from loglens.session import materialize
+from loglens.session import materialize, persist_for_reuse, release_persisted
 from loglens.sources.bundle import Bundle, save_bundle
 
 
@@ -90,7 +90,7 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     }
     bundle = Bundle(features=fb, nodes=nodes, meta=meta)
     raw = iforest.score_column(spark, bundle.packed(), FEATURE_COLUMNS)
-    scored = feats.withColumn("_s", raw).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = persist_for_reuse(feats.withColumn("_s", raw))
     offset = quantile_row(scored.where(is_train), "_s", [1.0 - contamination], names=["q"]).first()["q"]
     meta["score_offset"] = float(offset)
     scored = scored.withColumn("anomaly_score", F.col("_s") - F.lit(float(offset))).drop("_s")
@@ -108,6 +108,9 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     })
     if out_dir:
         save_bundle(spark, bundle, out_dir)
+    scored = materialize(scored)
+    # intermediate frames are no longer needed: split, features, scores are checkpointed
+    release_persisted()
     report = {
         "output_path": out_dir, "best_params": meta["best_params"], "threshold": threshold,
         "val_f1": val_f1, "test_f1_preview": float(test_m["f1"]),

@@ -63,3 +63,23 @@ def materialize(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_PERSISTED: list = []
+
+
+def persist_for_reuse(df):
+    """Persist a frame that is read twice and must give the same rows both times.
+
+    Jobs call :func:`release_persisted` once their results are materialised.
+    """
+    from pyspark import StorageLevel
+
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(out)
+    return out
+
+
+def release_persisted() -> None:
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
