@@ -5,13 +5,14 @@ Instead the table is range-partitioned on the order key, sorted within each
 partition, and each row gets ``offset(partition) + position``.  Positions
 come from ``monotonically_increasing_id`` (partition index in the high bits,
 position in the low 33 bits); offsets are a running sum over the per-partition
-counts, a table with one row per partition (its size is bounded by the
-partition count, so it is broadcast).
+counts, a table with one row per partition (bounded by the partition count).
 
 The tagged frame is persisted and both the counts and the final rows are read
 from it: the partition index is then a stored column, so the two readers agree
 even when the upstream row order is not reproducible (a lost cached block is
 rebuilt through the same range partitioner and the same total-order sort).
+The per-partition counts are collected (one row per partition) and the
+offsets enter the plan as a literal array.
 The partition count is fixed explicitly so adaptive execution does not
 coalesce the range partitions.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.schema import TRAIN_RATIO, VAL_RATIO
@@ -42,7 +43,12 @@ def order_by_time(df: DataFrame, ts_col: str = "timestamp", tiebreak: Sequence[s
 
 def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row_idx",
                    total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based global position in ``order_cols`` order (ties: give a total order)."""
+    """Add a 0-based global position in ``order_cols`` order (ties: give a total order).
+
+    Runs one small job now (row counts per range partition); the offsets
+    (one per partition) enter the plan as a literal array indexed by the
+    partition index, so the result needs no join.
+    """
     n = _partitions(df, num_partitions)
     pid, local, mid = "_ri_pid", "_ri_local", "_ri_mid"
     tagged = (df.repartitionByRange(n, *order_cols)
@@ -52,19 +58,18 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row
                 .withColumn(local, F.col(mid).bitwiseAND(F.lit(_LOW_BITS)))
                 .drop(mid))
     tagged = persist_for_reuse(tagged)
-    counts = tagged.groupBy(pid).agg(F.count(F.lit(1)).alias("_ri_n"))
-    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(
-        pid,
-        F.coalesce(F.sum("_ri_n").over(before), F.lit(0)).alias("_ri_off"),
-        F.sum("_ri_n").over(everything).alias("_ri_total"),
-    )
-    out = (tagged.join(F.broadcast(offsets), pid)
-                 .withColumn(idx_col, F.col("_ri_off") + F.col(local)))
+    counts = {r[0]: r[1] for r in tagged.groupBy(pid).agg(F.count(F.lit(1))).collect()}
+    offsets, running = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(running)
+        running += counts.get(p, 0)
+    if not offsets:
+        offsets = [0]
+    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]).cast("array<bigint>"), F.col(pid) + 1)
+    out = tagged.withColumn(idx_col, offset + F.col(local))
     if total_col:
-        out = out.withColumn(total_col, F.col("_ri_total"))
-    return out.drop(pid, local, "_ri_off", "_ri_total")
+        out = out.withColumn(total_col, F.lit(running).cast("bigint"))
+    return out.drop(pid, local)
 
 
 def split_bounds(n_col, train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO):

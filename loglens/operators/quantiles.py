@@ -8,28 +8,39 @@ single task; that does not survive billions of distinct values.  Here:
 2. the histogram is range-partitioned by ``(group, column, value)``, tagged
    with its range-partition index, and a running count is taken per
    ``(group, column, partition)`` with a window (all JVM; persisted);
-3. per-partition totals (one row per partition and key run: bounded by the
-   partition count plus the number of groups) give each partition its offset;
-4. the rows whose count interval covers the wanted ranks are picked by a join
-   with a target table of ``#groups x #columns x #probs`` rows and
-   interpolated as numpy's ``linear`` method does.
-
-NaN and null values are ignored.
+3. per-(partition, key) totals are collected - at most ``#partitions +
+   #keys`` rows, since each partition holds a contiguous key range - and the
+   driver locates, for every wanted rank, the partition and the local rank
+   that hold it;
+4. one filtered scan of the persisted histogram returns the (at most
+   ``2 x #keys x #probs``) values at those ranks, interpolated as numpy's
+   ``linear`` method does.
+
+NaN and null values are ignored; a key with no values yields null.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglens.session import persist_for_reuse
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Long result: ``group_cols..., column, prob, value`` (null when no values)."""
+def _lerp(lo: float, hi: float, frac: float) -> float:
+    if frac >= 0.5:
+        return hi - (hi - lo) * (1.0 - frac)
+    return lo + (hi - lo) * frac
+
+
+def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    group_cols: Sequence[str] = (), num_partitions: int | None = None) -> dict:
+    """``{(group values..., column): {prob: value}}`` for every group with values."""
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
@@ -40,66 +51,86 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     hist = stacked.groupBy(*g, "column", "v").agg(F.count(F.lit(1)).alias("_q_w"))
     keys = g + ["column"]
 
-    # the range partition index is stored as a column; the running count is a
-    # window per (key, partition), i.e. per slice of a key's value range, so no
-    # task ever holds more than one range partition of one key.  Persisted so
-    # the totals below and the rows joined later are the same rows.
     ranged = hist.repartitionByRange(n_parts, *keys, "v").withColumn("_q_pid", F.spark_partition_id())
     running = Window.partitionBy(*keys, "_q_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = persist_for_reuse(ranged.withColumn("_q_cum", F.sum("_q_w").over(running)))
 
-    part_tot = ranked.groupBy("_q_pid", *keys).agg(F.sum("_q_w").alias("_q_pt"))
-    before = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = part_tot.select("_q_pid", *keys,
-                              F.coalesce(F.sum("_q_pt").over(before), F.lit(0)).alias("_q_off"),
-                              F.sum("_q_pt").over(whole).alias("_q_n"))
-
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (offsets.select(*keys, "_q_n").distinct()
-                      .select(*keys, "_q_n", F.explode(prob_arr).alias("prob"))
-                      .withColumn("_q_pos", F.col("prob") * (F.col("_q_n") - 1).cast("double"))
-                      .withColumn("_q_lo", F.floor("_q_pos").cast("long"))
-                      .withColumn("_q_hi", F.ceil("_q_pos").cast("long")))
-
-    placed = (ranked.join(F.broadcast(offsets.select("_q_pid", *keys, "_q_off")), ["_q_pid", *keys])
-                    .withColumn("_q_end", F.col("_q_cum") + F.col("_q_off"))
-                    .withColumn("_q_start", F.col("_q_end") - F.col("_q_w")))
-    tk = {k: f"_t_{i}" for i, k in enumerate(keys)}
-    targets = targets.select(*[F.col(k).alias(tk[k]) for k in keys], "prob", "_q_pos", "_q_lo", "_q_hi")
-    cond = [F.col(k).eqNullSafe(F.col(tk[k])) for k in keys]
-    covers_lo = (F.col("_q_lo") >= F.col("_q_start")) & (F.col("_q_lo") < F.col("_q_end"))
-    covers_hi = (F.col("_q_hi") >= F.col("_q_start")) & (F.col("_q_hi") < F.col("_q_end"))
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    hit = placed.join(F.broadcast(targets), cond_all & (covers_lo | covers_hi))
-    picked = hit.groupBy(*[F.col(tk[k]).alias(k) for k in keys], "prob", "_q_pos", "_q_lo").agg(
-        F.max(F.when(covers_lo, F.col("v"))).alias("_q_vlo"),
-        F.max(F.when(covers_hi, F.col("v"))).alias("_q_vhi"),
-    )
-    frac = F.col("_q_pos") - F.col("_q_lo").cast("double")
-    lo, hi = F.col("_q_vlo"), F.col("_q_vhi")
-    value = F.when(frac >= 0.5, hi - (hi - lo) * (F.lit(1.0) - frac)).otherwise(lo + (hi - lo) * frac)
-    return picked.select(*keys, "prob", value.alias("value"))
+    part = ranked.groupBy("_q_pid", *keys).agg(F.sum("_q_w").alias("_q_pt")).collect()
+    by_key = defaultdict(list)
+    for r in part:
+        by_key[tuple(r[k] for k in keys)].append((r["_q_pid"], r["_q_pt"]))
+
+    # rank -> (partition, local rank) for every wanted rank
+    wanted = {}  # (key, pid, local rank) -> global rank
+    plan = {}    # key -> [(prob, pos, lo_rank, hi_rank)]
+    for key, parts in by_key.items():
+        parts.sort()
+        total = sum(c for _, c in parts)
+        plan[key] = []
+        for p in probs:
+            pos = float(p) * float(total - 1)
+            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
+            plan[key].append((float(p), pos, lo_r, hi_r))
+            for rank in (lo_r, hi_r):
+                start = 0
+                for pid, c in parts:
+                    if rank < start + c:
+                        wanted[(key, pid, rank - start)] = rank
+                        break
+                    start += c
+    if not wanted:
+        return {}
+
+    conds = None
+    for (key, pid, local) in wanted:
+        c = (F.col("_q_pid") == pid) & (F.col("_q_cum") - F.col("_q_w") <= local) & (F.col("_q_cum") > local)
+        for k, v in zip(keys, key):
+            c = c & (F.col(k).eqNullSafe(F.lit(v)))
+        conds = c if conds is None else conds | c
+    picked = ranked.where(conds).select(*keys, "_q_pid", "v", "_q_cum", "_q_w").collect()
+    value_at = {}
+    for r in picked:
+        key = tuple(r[k] for k in keys)
+        for (wk, pid, local), rank in wanted.items():
+            if wk == key and pid == r["_q_pid"] and r["_q_cum"] - r["_q_w"] <= local < r["_q_cum"]:
+                value_at[(key, rank)] = r["v"]
+    out = {}
+    for key, items in plan.items():
+        out[key] = {p: _lerp(value_at[(key, lo)], value_at[(key, hi)], pos - lo) for p, pos, lo, hi in items}
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """Long result: ``group_cols..., column, prob, value`` (computed now, tiny)."""
+    vals = quantile_values(df, columns, probs, group_cols, num_partitions)
+    fields = [T.StructField(g, df.schema[g].dataType) for g in group_cols] + [
+        T.StructField("column", T.StringType()), T.StructField("prob", T.DoubleType()),
+        T.StructField("value", T.DoubleType())]
+    rows = [(*key, float(p), v) for key, d in vals.items() for p, v in d.items()]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
 def quantile_row(df: DataFrame, column: str, probs: Sequence[float], group_cols: Sequence[str] = (),
                  names: Sequence[str] | None = None) -> DataFrame:
-    """Wide form for one column: ``group_cols..., <name per prob>``."""
+    """Wide form for one column: ``group_cols..., <name per prob>`` (one row if ungrouped)."""
     names = list(names or [f"q{p}" for p in probs])
-    long = exact_quantiles(df, [column], probs, group_cols)
-    aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(n) for p, n in zip(probs, names)]
+    vals = quantile_values(df, [column], probs, group_cols)
+    fields = [T.StructField(g, df.schema[g].dataType) for g in group_cols] + [
+        T.StructField(n, T.DoubleType()) for n in names]
     if group_cols:
-        return long.groupBy(*group_cols).agg(*aggs)
-    # a global quantile of an empty input is one row of nulls
-    return long.agg(*aggs)
+        rows = [(*key[:-1], *[d[float(p)] for p in probs]) for key, d in vals.items()]
+    else:
+        d = vals.get((column,), {})
+        rows = [tuple(d.get(float(p)) for p in probs)]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
 def medians_wide(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = (),
                  prefix: str = "_med_") -> DataFrame:
-    long = exact_quantiles(df, columns, [0.5], group_cols)
-    aggs = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(prefix + c) for c in columns]
-    if group_cols:
-        return long.groupBy(*group_cols).agg(*aggs)
-    return long.agg(*aggs)
+    vals = quantile_values(df, columns, [0.5], group_cols)
+    groups = sorted({key[:-1] for key in vals}, key=repr) if group_cols else [()]
+    fields = [T.StructField(g, df.schema[g].dataType) for g in group_cols] + [
+        T.StructField(prefix + c, T.DoubleType()) for c in columns]
+    rows = [(*grp, *[vals.get((*grp, c), {}).get(0.5) for c in columns]) for grp in groups]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))

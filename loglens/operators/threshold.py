@@ -1,12 +1,12 @@
 """F1-optimal threshold search, flagging and evaluation metrics.
 
 The sweep is one pass over the scored rows: the candidate thresholds are
-``linspace(p1, p99, n)``; each row is bucketed by how many thresholds lie at
-or below its score (arithmetic guess, then one exact comparison each way),
-the rows collapse to at most ``n + 1`` bucket counts, and the confusion
-counts at threshold ``i`` are sums over buckets ``> i`` (a join of two tables
-of at most ``n + 1`` rows).  No per-threshold jobs and no ``n x rows`` cross
-join.
+``linspace(p1, p99, n)`` (exact distributed quantiles); each row is bucketed
+by how many thresholds lie at or below its score (arithmetic guess, then one
+exact comparison each way against the literal threshold array), the rows
+collapse to at most ``n + 1`` bucket counts, and the confusion counts at
+threshold ``i`` are suffix sums over those buckets.  No per-threshold jobs
+and no ``n x rows`` cross join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.operators.quantiles import quantile_row
+from pyspark.sql import types as T
+
+from loglens.operators.quantiles import quantile_values
 from loglens.schema import THRESHOLD_STEPS
 
 
@@ -22,15 +24,39 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
 
 
+SWEEP_SCHEMA = T.StructType([
+    T.StructField("step", T.LongType()), T.StructField("threshold", T.DoubleType()),
+    T.StructField("tp", T.LongType()), T.StructField("fp", T.LongType()),
+    T.StructField("fn", T.LongType()), T.StructField("tn", T.LongType()),
+    T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType()),
+    T.StructField("f1", T.DoubleType()),
+])
+
+
+def bounds(scored: DataFrame, score_col: str = "anomaly_score") -> tuple[float, float] | None:
+    """(p1, p99) of the scores, hi = lo + 1e-6 when lo >= hi; None without scores."""
+    vals = quantile_values(scored, [score_col], [0.01, 0.99]).get((score_col,))
+    if not vals:
+        return None
+    lo, hi = vals[0.01], vals[0.99]
+    return (lo, lo + 1e-6) if lo >= hi else (lo, hi)
+
+
 def score_bounds(scored: DataFrame, score_col: str = "anomaly_score") -> DataFrame:
-    """One row: ``lo`` = p1, ``hi`` = p99 (hi = lo + 1e-6 when lo >= hi)."""
-    b = quantile_row(scored, score_col, [0.01, 0.99], names=["lo", "hi"])
-    return b.withColumn("hi", F.when(F.col("lo") >= F.col("hi"), F.col("lo") + F.lit(1e-6)).otherwise(F.col("hi")))
+    """One row: ``lo`` = p1, ``hi`` = p99 (nulls without scores)."""
+    b = bounds(scored, score_col)
+    schema = T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    return scored.sparkSession.createDataFrame([b or (None, None)], schema)
+
+
+def candidate_thresholds(lo: float, hi: float, n_steps: int = THRESHOLD_STEPS) -> list[float]:
+    """``linspace(lo, hi, n)``: ``i * step + lo``, the last one exactly ``hi``."""
+    step = (hi - lo) / (n_steps - 1)
+    return [i * step + lo for i in range(n_steps - 1)] + [hi]
 
 
-def _threshold_at(i: Column, n_steps: int) -> Column:
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(n_steps - 1))
-    return F.when(i == n_steps - 1, F.col("hi")).otherwise(i.cast("double") * step + F.col("lo"))
+def _ratio_py(num: int, den: int) -> float:
+    return 0.0 if den == 0 else num / den
 
 
 def threshold_sweep(scored: DataFrame, score_col: str = "anomaly_score", label_col: str = "is_anomaly",
@@ -40,38 +66,44 @@ def threshold_sweep(scored: DataFrame, score_col: str = "anomaly_score", label_c
     Predicted positive means ``score >= threshold``.  No rows -> empty table.
     """
     spark = scored.sparkSession
-    bounds = score_bounds(scored, score_col).where(F.col("lo").isNotNull())
+    b = bounds(scored, score_col)
+    if b is None:
+        return spark.createDataFrame([], SWEEP_SCHEMA)
+    lo, hi = b
+    ths = candidate_thresholds(lo, hi, n_steps)
+    step = (hi - lo) / (n_steps - 1)
+    arr = F.array(*[F.lit(t) for t in ths])
     s = F.col(score_col)
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(n_steps - 1))
-    guess = F.least(F.greatest(F.floor((s - F.col("lo")) / step).cast("long") + 1, F.lit(0)), F.lit(n_steps))
-    b = F.col("_k0")
-    down = F.when((b > 0) & (_threshold_at(b - 1, n_steps) > s), b - 1).otherwise(b)
-    rows = (scored.select(s.alias(score_col), F.col(label_col).cast("int").alias("_y"))
-                  .where(s.isNotNull() & ~F.isnan(s))
-                  .crossJoin(F.broadcast(bounds))
-                  .withColumn("_k0", guess)
-                  .withColumn("_k0", down)
-                  .withColumn("_k", F.when((b < n_steps) & (_threshold_at(b, n_steps) <= s), b + 1).otherwise(b)))
-    hist = rows.groupBy("_k").agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
-    steps = (spark.range(n_steps).select(F.col("id").alias("step"))
-                  .crossJoin(F.broadcast(bounds))
-                  .withColumn("threshold", _threshold_at(F.col("step"), n_steps))
-                  .select("step", "threshold"))
-    totals = hist.agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("_P"),
-                      F.coalesce(F.sum(F.col("_cnt") - F.col("_pos")), F.lit(0)).alias("_N"))
-    above = (steps.join(F.broadcast(hist), F.col("_k") > F.col("step"), "left")
-                  .groupBy("step", "threshold")
-                  .agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp"),
-                       F.coalesce(F.sum(F.col("_cnt") - F.col("_pos")), F.lit(0)).alias("fp")))
-    out = above.crossJoin(F.broadcast(totals)).select(
-        "step", "threshold", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
-        (F.col("_P") - F.col("tp")).cast("long").alias("fn"), (F.col("_N") - F.col("fp")).cast("long").alias("tn"))
-    return out.select(
-        "*",
-        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
-        _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
-    )
+    guess = F.least(F.greatest(F.floor((s - F.lit(lo)) / F.lit(step)).cast("int") + 1, F.lit(0)), F.lit(n_steps))
+    k0 = F.col("_k0")
+    # exact correction: k = number of thresholds <= s
+    down = F.when((k0 > 0) & (F.element_at(arr, F.greatest(k0, F.lit(1))) > s), k0 - 1).otherwise(k0)
+    up = F.when((k0 < n_steps) & (F.element_at(arr, F.least(k0 + 1, F.lit(n_steps))) <= s), k0 + 1).otherwise(k0)
+    hist = (scored.select(s.alias("_s"), F.col(label_col).cast("int").alias("_y"))
+                  .where(F.col("_s").isNotNull() & ~F.isnan("_s"))
+                  .withColumnRenamed("_s", score_col)
+                  .withColumn("_k0", guess).withColumn("_k0", down).withColumn("_k0", up)
+                  .groupBy("_k0").agg(F.sum("_y").alias("pos"), F.count(F.lit(1)).alias("cnt"))
+                  .collect())
+    pos = [0] * (n_steps + 1)
+    neg = [0] * (n_steps + 1)
+    for r in hist:  # at most n_steps + 1 buckets
+        pos[r["_k0"]] += int(r["pos"] or 0)
+        neg[r["_k0"]] += int(r["cnt"]) - int(r["pos"] or 0)
+    P, N = sum(pos), sum(neg)
+    rows, tp, fp = [], 0, 0
+    above = []
+    for i in range(n_steps, 0, -1):  # tp(i) = positives in buckets > i
+        tp += pos[i]
+        fp += neg[i]
+        above.append((tp, fp))
+    above.reverse()  # above[i] = counts in buckets i+1 .. n_steps
+    for i, t in enumerate(ths):
+        tp_i, fp_i = above[i]
+        fn_i, tn_i = P - tp_i, N - fp_i
+        rows.append((i, t, tp_i, fp_i, fn_i, tn_i, _ratio_py(tp_i, tp_i + fp_i), _ratio_py(tp_i, tp_i + fn_i),
+                     _ratio_py(2 * tp_i, 2 * tp_i + fp_i + fn_i)))
+    return spark.createDataFrame(rows, SWEEP_SCHEMA)
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -32,6 +32,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r9(c):
+    """For means of float sums: absorbs summation-order noise without 6-digit ties."""
+    return F.round(c, 9)
+
+
 # ---- cleaning --------------------------------------------------------------
 
 def _clean(spark, sf):
@@ -189,9 +194,10 @@ FROM split s LEFT JOIN ef ON s.endpoint_uri = ef.endpoint_uri LEFT JOIN ips ON s
 CROSS JOIN gm
 """
 
+_DIGITS = {c: (9 if c == "ip_avg_latency" else 6) for c in FEATURE_COLUMNS}
 _IMPUTED = ",\n".join(
     f" round(coalesce(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, "
-    f"quantile_cont(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, 0.5) OVER (PARTITION BY split)), 6) AS {c}"
+    f"quantile_cont(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, 0.5) OVER (PARTITION BY split)), {_DIGITS[c]}) AS {c}"
     for c in FEATURE_COLUMNS)
 
 FEATURE_CTES = FIT_CTES + f""",
@@ -224,11 +230,11 @@ def q_fit_endpoint_freq(spark, sf):
 
 
 @register("fit_ip_stats", features_sql(
-    "SELECT client_ip, round(ip_error_rate, 6) AS ip_error_rate, round(ip_avg_latency, 6) AS ip_avg_latency FROM ips"))
+    "SELECT client_ip, round(ip_error_rate, 6) AS ip_error_rate, round(ip_avg_latency, 9) AS ip_avg_latency FROM ips"))
 def q_fit_ip_stats(spark, sf):
     _, fb = _fitted(spark, sf)
     return fb.ip_stats.select("client_ip", r6(F.col("ip_error_rate")).alias("ip_error_rate"),
-                              r6(F.col("ip_avg_latency")).alias("ip_avg_latency"))
+                              r9(F.col("ip_avg_latency")).alias("ip_avg_latency"))
 
 
 @register("fit_median", features_sql("SELECT round(global_median_latency, 6) AS global_median_latency FROM gm"))
@@ -248,13 +254,13 @@ def q_endpoint_freq_lookup(spark, sf):
 
 @register("ip_stats_lookup", features_sql(
     "SELECT s.event_id, s.split, round(coalesce(ips.ip_error_rate, 0.0), 6) AS ip_error_rate, "
-    "round(coalesce(ips.ip_avg_latency, gm.global_median_latency), 6) AS ip_avg_latency "
+    "round(coalesce(ips.ip_avg_latency, gm.global_median_latency), 9) AS ip_avg_latency "
     "FROM split s LEFT JOIN ips ON s.client_ip = ips.client_ip CROSS JOIN gm"))
 def q_ip_stats_lookup(spark, sf):
     split, fb = _fitted(spark, sf)
     out = stats.lookup_ip_stats(split, fb.ip_stats, fb.median)
     return out.select("event_id", "split", r6(F.col("ip_error_rate")).alias("ip_error_rate"),
-                      r6(F.col("ip_avg_latency")).alias("ip_avg_latency"))
+                      r9(F.col("ip_avg_latency")).alias("ip_avg_latency"))
 
 
 @register("unseen_keys", features_sql(
@@ -311,12 +317,12 @@ def q_feat_time_cycle(spark, sf):
 @register("feature_matrix", features_sql("SELECT * FROM feats"))
 def q_feature_matrix(spark, sf):
     feats = feature_matrix(_features(spark, sf), keep=["event_id", "split"])
-    return feats.select("event_id", "split", *[r6(F.col(c)).alias(c) for c in FEATURE_COLUMNS])
+    return feats.select("event_id", "split", *[F.round(F.col(c), _DIGITS[c]).alias(c) for c in FEATURE_COLUMNS])
 
 
 @register("impute_median", features_sql(
     "SELECT split, " + ", ".join(
-        f"round(quantile_cont({c}, 0.5), 6) AS med_{c}" for c in FEATURE_COLUMNS) +
+        f"round(quantile_cont({c}, 0.5), {_DIGITS[c]}) AS med_{c}" for c in FEATURE_COLUMNS) +
     " FROM rawf GROUP BY split"))
 def q_impute_median(spark, sf):
     from loglens.operators.quantiles import medians_wide
@@ -324,7 +330,7 @@ def q_impute_median(spark, sf):
     split, fb = _fitted(spark, sf)
     raw = fb.raw_features(split, partition_cols=["split"])
     med = medians_wide(raw, FEATURE_COLUMNS, ["split"], prefix="med_")
-    return med.select("split", *[r6(F.col("med_" + c)).alias("med_" + c) for c in FEATURE_COLUMNS])
+    return med.select("split", *[F.round(F.col("med_" + c), _DIGITS[c]).alias("med_" + c) for c in FEATURE_COLUMNS])
 
 
 # ---- threshold sweep and evaluation on a surrogate score --------------------------

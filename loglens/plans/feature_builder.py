@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loglens.functions import features as fx
 from loglens.operators import rate, stats
-from loglens.operators.quantiles import medians_wide
+from loglens.operators.quantiles import quantile_values
 from loglens.schema import FEATURE_COLUMNS, RATE_WINDOW_SECONDS
 from loglens.session import persist_for_reuse
 
@@ -89,14 +89,32 @@ class FeatureBuilder:
 
 
 def impute_with_medians(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Fill nulls in ``columns`` with the exact median of the same group."""
+    """Fill nulls in ``columns`` with the exact median of the same group.
+
+    The medians (one per group and column; groups are few, e.g. the three
+    splits) are computed now and enter the plan as literals.
+    """
     columns = list(columns)
     if not columns:
         return df
-    med = medians_wide(df, columns, group_cols)
-    joined = df.join(F.broadcast(med), list(group_cols), "left") if group_cols else df.crossJoin(F.broadcast(med))
-    return (joined.withColumns({c: F.coalesce(F.col(c), F.col("_med_" + c)) for c in columns})
-                  .drop(*["_med_" + c for c in columns]))
+    vals = quantile_values(df, columns, [0.5], group_cols)
+    fills = {}
+    for c in columns:
+        if not group_cols:
+            m = vals.get((c,), {}).get(0.5)
+            fills[c] = F.lit(m).cast("double")
+            continue
+        expr = None
+        for key, d in vals.items():
+            if key[-1] != c:
+                continue
+            match = None
+            for g, v in zip(group_cols, key[:-1]):
+                m = F.col(g).eqNullSafe(F.lit(v))
+                match = m if match is None else match & m
+            expr = F.when(match, F.lit(d[0.5])) if expr is None else expr.when(match, F.lit(d[0.5]))
+        fills[c] = expr.cast("double") if expr is not None else F.lit(None).cast("double")
+    return df.withColumns({c: F.coalesce(F.col(c), fills[c]) for c in columns})
 
 
 def feature_matrix(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
