@@ -129,12 +129,11 @@ def grow_forest(samples: DataFrame, feature_cols: Sequence[str], psi: int,
 
 @dataclass
 class PackedForest:
-    """Flat node arrays of all trees (global node indices)."""
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    leaf_value: np.ndarray  # depth + c(size) at leaves
+    """Flat node arrays of all trees (global node indices, int32)."""
+    feature: np.ndarray      # split feature (0 at leaves)
+    threshold: np.ndarray    # +inf at leaves, so a leaf "goes left" ...
+    children: np.ndarray     # (nodes, 2): left, right; a leaf points to itself
+    leaf_value: np.ndarray   # depth + c(size) at leaves
     roots: np.ndarray
     max_depth: int
     psi: int
@@ -146,23 +145,24 @@ class PackedForest:
         offsets = np.concatenate([[0], np.cumsum(tree_sizes.to_numpy())[:-1]]).astype(np.int64)
         base = pd.Series(offsets, index=tree_sizes.index)[nodes["tree_id"]].to_numpy()
         is_leaf = nodes["feature"].to_numpy() < 0
-        left = np.where(is_leaf, np.arange(len(nodes)), nodes["left"].to_numpy() + base)
-        right = np.where(is_leaf, np.arange(len(nodes)), nodes["right"].to_numpy() + base)
+        own = np.arange(len(nodes))
+        left = np.where(is_leaf, own, nodes["left"].to_numpy() + base)
+        right = np.where(is_leaf, own, nodes["right"].to_numpy() + base)
         leaf_value = np.where(is_leaf, nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy()), 0.0)
         return cls(
-            feature=np.where(is_leaf, 0, nodes["feature"].to_numpy()).astype(np.int64),
+            feature=np.where(is_leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),
             threshold=np.nan_to_num(nodes["threshold"].to_numpy(dtype=np.float64), nan=np.inf),
-            left=left.astype(np.int64), right=right.astype(np.int64),
-            leaf_value=leaf_value.astype(np.float64), roots=offsets,
+            children=np.stack([left, right], axis=1).astype(np.int32),
+            leaf_value=leaf_value.astype(np.float64), roots=offsets.astype(np.int32),
             max_depth=int(nodes["depth"].max()) if len(nodes) else 0, psi=psi)
 
     def path_lengths(self, X: np.ndarray) -> np.ndarray:
-        """Mean path length of each row of X over all trees."""
+        """Mean path length of each row of X over all trees (all trees walked together)."""
         node = np.broadcast_to(self.roots, (X.shape[0], self.roots.size)).copy()
-        rows = np.arange(X.shape[0])[:, None]
+        rows = np.arange(X.shape[0], dtype=np.int32)[:, None]
         for _ in range(self.max_depth):
             x = X[rows, self.feature[node]]
-            node = np.where(x <= self.threshold[node], self.left[node], self.right[node])
+            node = self.children[node, (x > self.threshold[node]).astype(np.int8)]
         return self.leaf_value[node].mean(axis=1)
 
     def scores(self, X: np.ndarray) -> np.ndarray:

@@ -108,8 +108,8 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     })
     if out_dir:
         save_bundle(spark, bundle, out_dir)
-    scored = materialize(scored)
-    # intermediate frames are no longer needed: split, features, scores are checkpointed
+    # intermediate frames are no longer needed: split and features are checkpointed
+    # (scores are one vectorised UDF over the checkpointed features)
     release_persisted()
     report = {
         "output_path": out_dir, "best_params": meta["best_params"], "threshold": threshold,
