@@ -19,12 +19,11 @@ Two exact plans for the key table:
   time it moves (cost ~ keys x keys-in-frame).  Kept as the reference form.
 * ``"bucketed"`` (default) - keys are grouped by ``(ip, floor(t / B))`` with
   ``B >= w``.  Each bucket also receives a *context* copy of the previous
-  bucket's last ``w`` seconds, and one *probe* key at ``t - w`` per key.  A
-  running ``sum(n)`` (incremental frame, O(1) per row) gives ``#rows <= t`` at
-  each key and ``#rows < t - w`` at its probe; the difference is the rate.  A
-  hot client is spread over its time buckets; the pairing of keys with their
-  probes reuses the ``(ip, bucket)`` partitioning, so it adds a sort, not a
-  shuffle.
+  bucket's last ``w`` seconds (a fraction ``w / B`` of the keys).  In one
+  window ordered by time, the rate is ``sum(n)`` up to the current row minus
+  ``sum(n)`` up to ``t - w - 1us``: two growing frames, each O(1) per row.  A
+  hot client is spread over its time buckets; one hash exchange on
+  ``(ip, bucket)`` and one sort.
 """
 
 from __future__ import annotations
@@ -109,34 +108,25 @@ def _rate_window(keys, w, ip_col, ts_col, pcols, out_col):
 def _rate_bucketed(keys, w, ip_col, ts_col, pcols, out_col, bucket_s):
     w_us, b_us = w * _MICROS, bucket_s * _MICROS
     group = list(pcols) + [ip_col]
-    t, b, kind, wt, real, pair, s, cp = ("_rr_t", "_rr_b", "_rr_kind", "_rr_w", "_rr_real", "_rr_pair",
-                                         "_rr_s", "_rr_copy")
+    t, b, real, cp = "_rr_t", "_rr_b", "_rr_real", "_rr_copy"
     valid = _valid(ip_col, ts_col)
     base = keys.withColumn(t, epoch_micros(ts_col)).withColumn(b, _floor_div(F.col(t), b_us))
     tail = F.col(t) >= (F.col(b) + 1) * b_us - w_us
-
-    def copy(k, weight, is_real, tt, bb, pp):
-        return F.struct(F.lit(k).alias("k"), weight.cast("long").alias("w"), F.lit(is_real).alias("r"),
-                        tt.cast("long").alias("t"), bb.cast("long").alias("b"), pp.cast("long").alias("p"))
-
-    n = F.col("_rr_n")
-    # per key: itself, its probe at t - w, and (in the last w seconds of a
-    # bucket) a context copy that the next bucket counts
+    # each key in its own bucket, plus (in the last w seconds of a bucket) a
+    # context copy that the next bucket counts but does not output
     copies = F.array(
-        copy(1, n, True, F.col(t), F.col(b), F.col(t)),
-        F.when(valid, copy(0, F.lit(0), False, F.col(t) - w_us, F.col(b), F.col(t))),
-        F.when(valid & tail, copy(1, n, False, F.col(t), F.col(b) + 1, F.lit(None))),
+        F.struct(F.lit(True).alias("r"), F.col(b).alias("b")),
+        F.when(valid & tail, F.struct(F.lit(False).alias("r"), (F.col(b) + 1).alias("b"))),
     )
-    u = (base.select(*group, ts_col, "_rr_n", F.explode(copies).alias(cp))
+    u = (base.select(*group, ts_col, t, "_rr_n", F.explode(copies).alias(cp))
              .where(F.col(cp).isNotNull())
-             .select(*group, ts_col, "_rr_n", *[F.col(f"{cp}.{x}").alias(y) for x, y in
-                                                 (("k", kind), ("w", wt), ("r", real), ("t", t), ("b", b),
-                                                  ("p", pair))]))
-    running = (Window.partitionBy(*group, b).orderBy(t, kind)
-               .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    pairing = Window.partitionBy(*group, b, pair)
-    u = u.withColumn(s, F.sum(wt).over(running))
-    u = u.withColumn(out_col, F.col(s) - F.max(F.when(F.col(kind) == 0, F.col(s))).over(pairing))
-    return (u.where(F.col(real))
-             .select(*group, ts_col, "_rr_n",
-                     F.when(valid, F.col(out_col)).otherwise(0).cast("double").alias(out_col)))
+             .select(*group, ts_col, t, "_rr_n", F.col(f"{cp}.r").alias(real), F.col(f"{cp}.b").alias(b)))
+    # rows in [t - w, t] = rows <= t  minus  rows <= t - w - 1us: two growing
+    # frames (incremental), no sliding-frame re-aggregation
+    order = Window.partitionBy(*group, b).orderBy(t)
+    upto = F.sum("_rr_n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("_rr_n").over(order.rangeBetween(Window.unboundedPreceding, -(w_us + 1)))
+    rated = u.withColumn(out_col, upto - F.coalesce(before, F.lit(0)))
+    return (rated.where(F.col(real))
+                 .select(*group, ts_col, "_rr_n",
+                         F.when(valid, F.col(out_col)).otherwise(0).cast("double").alias(out_col)))

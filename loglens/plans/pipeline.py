@@ -63,7 +63,8 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     validate_log_schema(logs, require_labels=True)
     clean = clean_logs(logs)
     order = list(tiebreak) if tiebreak is not None else [c for c in clean.columns if c != "timestamp"]
-    split = materialize(chronological_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio))
+    split = materialize(chronological_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio),
+                        partition_by="split", name="split")
     sizes = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = int(sizes.get("train", 0))
     if n_train == 0:
@@ -75,7 +76,7 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     fb.ip_stats = fb.ip_stats.persist(StorageLevel.MEMORY_AND_DISK)
     median = fb.median.first()["global_median_latency"]
     fb.median = spark.range(1).select(F.lit(median).cast("double").alias("global_median_latency"))
-    feats = materialize(fb.transform(split, partition_cols=["split"]))
+    feats = materialize(fb.transform(split, partition_cols=["split"]), partition_by="split", name="features")
 
     psi = min(max_samples, n_train)
     samples = iforest.draw_samples(spark, n_train, n_estimators, max_samples, seed)

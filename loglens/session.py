@@ -59,10 +59,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df, partition_by=None, name: str = "table"):
+    """Cut lineage: write ``df`` as a Parquet table under the shared checkpoint
+    folder and return a fresh scan of it.
+
+    Parquet (not a row-serialised RDD checkpoint) keeps the copy compressed and
+    columnar, so later reads prune columns, push filters down and, with
+    ``partition_by`` (e.g. the split label), skip whole partitions.  The files
+    live on the shared file system, so they survive lost executors.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    writer.parquet(path)
+    return spark.read.parquet(path).select(*df.columns)
 
 
 _PERSISTED: list = []

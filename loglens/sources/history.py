@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators.ordering import with_row_index
@@ -82,9 +82,11 @@ def append_results(results: DataFrame, path: str, order: Sequence[str] | None =
                    .withColumn("predicted_at", F.current_timestamp())
                    .withColumn("predicted_date", F.to_date("predicted_at"))
                    .select(*HISTORY_COLUMNS, "predicted_date"))
-    n = rows.count()
-    out.write.mode("append").partitionBy("predicted_date").parquet(path)
-    return n
+    # the row count is observed while the rows are written (no second pass)
+    seen = Observation("history_append")
+    out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append") \
+       .partitionBy("predicted_date").parquet(path)
+    return int(seen.get["rows"])
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
