@@ -84,8 +84,8 @@ def q_valid_status(spark, sf):
 
 
 @register("quality_metrics", clean_sql(
-    f"SELECT count(*) AS total_rows, count_if({O.VALID}) AS valid_rows, "
-    f"count_if(NOT ({O.VALID})) AS dropped_rows, "
+    f"SELECT count(*) AS total_rows, CAST(count_if({O.VALID}) AS BIGINT) AS valid_rows, "
+    f"CAST(count_if(NOT ({O.VALID})) AS BIGINT) AS dropped_rows, "
     f"count(DISTINCT CASE WHEN {O.VALID} THEN client_ip END) AS distinct_ips FROM parsed"))
 def q_quality_metrics(spark, sf):
     return cleaning.quality_counts(fixture.fixture_raw(spark, sf))
@@ -348,10 +348,10 @@ b AS (SELECT lo, CASE WHEN lo >= hi0 THEN lo + 1e-6 ELSE hi0 END AS hi FROM b0),
 th AS (SELECT i AS step, CASE WHEN i = 199 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 199.0) + lo END AS threshold
        FROM b, range(200) t(i) WHERE lo IS NOT NULL),
 cm AS (SELECT step, threshold,
-        count_if(anomaly_score >= threshold AND is_anomaly = 1) AS tp,
-        count_if(anomaly_score >= threshold AND is_anomaly = 0) AS fp,
-        count_if(anomaly_score < threshold AND is_anomaly = 1) AS fn,
-        count_if(anomaly_score < threshold AND is_anomaly = 0) AS tn
+        CAST(count_if(anomaly_score >= threshold AND is_anomaly = 1) AS BIGINT) AS tp,
+        CAST(count_if(anomaly_score >= threshold AND is_anomaly = 0) AS BIGINT) AS fp,
+        CAST(count_if(anomaly_score < threshold AND is_anomaly = 1) AS BIGINT) AS fn,
+        CAST(count_if(anomaly_score < threshold AND is_anomaly = 0) AS BIGINT) AS tn
        FROM th CROSS JOIN val GROUP BY step, threshold),
 sweep AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
         CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
@@ -360,8 +360,8 @@ best AS (SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, step LIMIT 1),
 test_flagged AS (SELECT s.event_id, s.is_anomaly, s.anomaly_score,
         CAST(s.anomaly_score >= best.threshold AS INTEGER) AS is_anomaly_pred,
         s.anomaly_score >= best.threshold AS predicted_anomaly FROM scored s CROSS JOIN best WHERE s.split = 'test'),
-conf AS (SELECT count_if(is_anomaly = 1 AND is_anomaly_pred = 1) AS tp, count_if(is_anomaly <> 1 AND is_anomaly_pred <> 1) AS tn,
-        count_if(is_anomaly <> 1 AND is_anomaly_pred = 1) AS fp, count_if(is_anomaly = 1 AND is_anomaly_pred <> 1) AS fn
+conf AS (SELECT CAST(count_if(is_anomaly = 1 AND is_anomaly_pred = 1) AS BIGINT) AS tp, CAST(count_if(is_anomaly <> 1 AND is_anomaly_pred <> 1) AS BIGINT) AS tn,
+        CAST(count_if(is_anomaly <> 1 AND is_anomaly_pred = 1) AS BIGINT) AS fp, CAST(count_if(is_anomaly = 1 AND is_anomaly_pred <> 1) AS BIGINT) AS fn
         FROM test_flagged)
 """
 
@@ -604,7 +604,7 @@ def q_history_top_n(spark, sf):
 
 
 @register("history_summary", preds_sql(
-    _HISTORY_SQL + "SELECT count(*) AS \"rows\", count_if(is_anomaly) AS anomalies FROM "
+    _HISTORY_SQL + "SELECT count(*) AS \"rows\", CAST(count_if(is_anomaly) AS BIGINT) AS anomalies FROM "
     "(SELECT * FROM hist ORDER BY id DESC LIMIT 100)"))
 def q_history_summary(spark, sf):
     path = scratch_path(spark, "history")
@@ -613,11 +613,11 @@ def q_history_summary(spark, sf):
 
 
 @register("results_contract", preds_sql(
-    "SELECT " + ", ".join(f"count_if({c} IS NULL) AS null_{c}" for c in
+    "SELECT " + ", ".join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_{c}" for c in
                           ["\"timestamp\"", "client_ip", "endpoint_uri", "response_time_ms", "status_code",
                            "anomaly_score"]).replace("null_\"timestamp\"", "null_timestamp") +
-    ", count_if(is_anomaly_pred IS NULL) AS null_is_anomaly, count_if(length(client_ip) > 45) AS long_client_ip, "
-    "count_if(length(endpoint_uri) > 512) AS long_endpoint_uri FROM preds"))
+    ", CAST(count_if(is_anomaly_pred IS NULL) AS BIGINT) AS null_is_anomaly, CAST(count_if(length(client_ip) > 45) AS BIGINT) AS long_client_ip, "
+    "CAST(count_if(length(endpoint_uri) > 512) AS BIGINT) AS long_endpoint_uri FROM preds"))
 def q_results_contract(spark, sf):
     return history.contract_violations(history.history_rows(_preds(spark, sf)))
 

@@ -59,6 +59,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check on any Hadoop-compatible file system (no failed read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def materialize(df, partition_by=None, name: str = "table"):
     """Cut lineage: write ``df`` as a Parquet table under the shared checkpoint
     folder and return a fresh scan of it.

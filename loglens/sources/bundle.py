@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators.forest import NODE_SCHEMA, PackedForest
 from loglens.plans.feature_builder import FeatureBuilder
+from loglens.session import path_exists
 
 TABLES = ("endpoint_freq", "ip_stats", "nodes", "meta")
 
@@ -65,10 +65,9 @@ def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> str:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     if not path:
         raise FileNotFoundError("no model bundle path given; train one first")
-    try:
-        meta_row = spark.read.parquet(os.path.join(path, "meta")).first().asDict(recursive=True)
-    except AnalysisException as e:
-        raise FileNotFoundError(f"no model bundle at {path!r}; train one first") from e
+    if not all(path_exists(spark, os.path.join(path, t)) for t in TABLES):
+        raise FileNotFoundError(f"no model bundle at {path!r}; train one first")
+    meta_row = spark.read.parquet(os.path.join(path, "meta")).first().asDict(recursive=True)
     meta = {k: (json.loads(v) if k == "best_params" and isinstance(v, str) else v) for k, v in meta_row.items()}
     fb = FeatureBuilder(rate_window_seconds=int(meta["rate_window_seconds"]))
     fb.endpoint_freq = spark.read.parquet(os.path.join(path, "endpoint_freq"))

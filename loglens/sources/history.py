@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators.ordering import with_row_index
+from loglens.session import path_exists
 from loglens.schema import HISTORY_COLUMNS, HISTORY_DEFAULT_LIMIT, HISTORY_ENDPOINT_MAX_LEN, HISTORY_IP_MAX_LEN
 
 _FIELDS = ["timestamp", "client_ip", "endpoint_uri", "response_time_ms", "status_code", "anomaly_score"]
@@ -59,10 +59,9 @@ def _enforce_contract(rows: DataFrame) -> DataFrame:
 
 
 def _existing_max_id(spark: SparkSession, path: str) -> int:
-    try:
-        row = spark.read.parquet(path).agg(F.max("id").alias("m")).first()
-    except AnalysisException:
+    if not path_exists(spark, path):
         return 0
+    row = spark.read.parquet(path).agg(F.max("id").alias("m")).first()
     return int(row["m"] or 0)
 
 

@@ -17,16 +17,11 @@ from pyspark.sql import types as T
 
 from loglens.plans import pipeline
 from loglens.schema import RAW_LOG_SCHEMA
+from loglens.session import path_exists, release_persisted
 from loglens.sources import history
 from loglens.sources.bundle import Bundle
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _touch(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +41,7 @@ def score_batch(batch: DataFrame, batch_id: int, bundle: Bundle, predictions_dir
                 history_path: str | None, marker_dir: str, threshold: float | None = None) -> None:
     spark = batch.sparkSession
     marker = f"{marker_dir.rstrip('/')}/{batch_id}"
-    if _exists(spark, marker):
+    if path_exists(spark, marker):
         return
     preds = pipeline.predict(spark, batch, bundle, threshold)
     if predictions_dir:
@@ -55,6 +50,7 @@ def score_batch(batch: DataFrame, batch_id: int, bundle: Bundle, predictions_dir
     if history_path:
         history.append_results(preds, history_path)
     _touch(spark, marker)
+    release_persisted()  # frames cached for this batch only
 
 
 def start_scoring(spark: SparkSession, source_dir: str, bundle: Bundle, checkpoint_location: str,
