@@ -35,14 +35,21 @@ from pyspark.sql import functions as F
 
 from loglens.schema import RATE_WINDOW_SECONDS
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 _MICROS = 1_000_000
+_DAY_US = 86_400 * _MICROS
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Wall-clock microseconds since 1970 for TIMESTAMP_NTZ (zone-free)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), c.cast("timestamp_ntz"))
+    """Wall-clock microseconds since 1970 for TIMESTAMP_NTZ.
+
+    Built from zone-free parts (day number + wall-clock time of day), so the
+    session time zone never enters: no daylight-saving gaps or overlaps.
+    """
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    day = F.unix_date(c.cast("date")).cast("long")
+    secs = F.extract(F.lit("SECOND"), c)  # seconds with 6 fractional digits
+    return (day * _DAY_US + F.hour(c).cast("long") * 3_600 * _MICROS + F.minute(c).cast("long") * 60 * _MICROS
+            + (secs * F.lit(_MICROS)).cast("long"))
 
 
 def _floor_div(x: Column, d: int) -> Column:

@@ -65,3 +65,17 @@ def test_partition_columns_keep_frames_apart(spark):
 def test_keeps_all_columns(spark):
     df = frame(spark, [(1, "A", t(10, 0, 0))]).withColumn("extra", F.lit("x"))
     assert request_rate(df).columns == ["id", "client_ip", "timestamp", "extra", "request_rate"]
+
+
+def test_daylight_saving_zone_does_not_matter(spark):
+    # 2026-03-08 02:00-03:00 does not exist in New York; wall-clock arithmetic must still hold
+    rows = [(1, "A", dt.datetime(2026, 3, 8, 1, 59, 30)), (2, "A", dt.datetime(2026, 3, 8, 2, 0, 20)),
+            (3, "A", dt.datetime(2026, 3, 8, 3, 0, 10)), (4, "A", dt.datetime(2026, 11, 1, 1, 30, 0)),
+            (5, "A", dt.datetime(2026, 11, 1, 1, 30, 50))]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for method in ("bucketed", "window"):
+            assert rates(frame(spark, rows), method=method) == {1: 1.0, 2: 2.0, 3: 1.0, 4: 1.0, 5: 2.0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
