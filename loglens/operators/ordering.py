@@ -50,9 +50,14 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row
     partition index, so the result needs no join.
     """
     n = _partitions(df, num_partitions)
-    pid, local, mid = "_ri_pid", "_ri_local", "_ri_mid"
-    tagged = (df.repartitionByRange(n, *order_cols)
-                .sortWithinPartitions(*order_cols)
+    pid, local, mid, uid = "_ri_pid", "_ri_local", "_ri_mid", "_ri_uid"
+    # a unique last key: copies of a row (equal on every order column) can
+    # then be split across range partitions instead of landing in one task;
+    # their mutual order does not change the result
+    keys = [*order_cols, uid]
+    tagged = (df.withColumn(uid, F.monotonically_increasing_id())
+                .repartitionByRange(n, *keys)
+                .sortWithinPartitions(*keys)
                 .withColumn(mid, F.monotonically_increasing_id())
                 .withColumn(pid, F.shiftright(F.col(mid), 33).cast("int"))
                 .withColumn(local, F.col(mid).bitwiseAND(F.lit(_LOW_BITS)))
@@ -69,7 +74,7 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row
     out = tagged.withColumn(idx_col, offset + F.col(local))
     if total_col:
         out = out.withColumn(total_col, F.lit(running).cast("bigint"))
-    return out.drop(pid, local)
+    return out.drop(pid, local, uid)
 
 
 def split_bounds(n_col, train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO):

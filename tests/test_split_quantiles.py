@@ -54,3 +54,16 @@ def test_quantiles_match_numpy_with_hot_values(spark):
 def test_quantile_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantile_row(df, "x", [0.5], names=["m"]).first()["m"] is None
+
+
+def test_row_index_splits_a_group_of_copies(spark):
+    # a third of the rows are identical copies; positions stay a permutation and
+    # the copies are spread over several range partitions
+    copies = spark.range(3000).select(F.lit(5).alias("k"))
+    rest = spark.range(6000).select((F.col("id") % 10).alias("k"))
+    df = copies.unionByName(rest)
+    out = with_row_index(df, ["k"], num_partitions=8)
+    idx = sorted(r.row_idx for r in out.select("row_idx").collect())
+    assert idx == list(range(9000))
+    per_part = out.where(F.col("k") == 5).groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_part) >= 2 and max(r["count"] for r in per_part) < 3300
