@@ -32,6 +32,11 @@ from pyspark.sql import types as T
 from loglens.session import persist_for_reuse
 
 
+def lerp(lo: float, hi: float, frac: float) -> float:
+    """numpy's ``linear`` interpolation between two order statistics."""
+    return _lerp(lo, hi, frac)
+
+
 def _lerp(lo: float, hi: float, frac: float) -> float:
     if frac >= 0.5:
         return hi - (hi - lo) * (1.0 - frac)
@@ -41,6 +46,17 @@ def _lerp(lo: float, hi: float, frac: float) -> float:
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), num_partitions: int | None = None) -> dict:
     """``{(group values..., column): {prob: value}}`` for every group with values."""
+    stats = order_statistics(df, columns, probs, group_cols, num_partitions)
+    return {key: {p: _lerp(*t) for p, t in d.items()} for key, d in stats.items()}
+
+
+def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                     group_cols: Sequence[str] = (), num_partitions: int | None = None) -> dict:
+    """``{key: {prob: (value at floor rank, value at ceil rank, fraction)}}``.
+
+    A monotone map of the column (e.g. subtracting a constant) maps these
+    order statistics one to one, so callers can interpolate on mapped values.
+    """
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
@@ -96,7 +112,7 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                 value_at[(key, rank)] = r["v"]
     out = {}
     for key, items in plan.items():
-        out[key] = {p: _lerp(value_at[(key, lo)], value_at[(key, hi)], pos - lo) for p, pos, lo, hi in items}
+        out[key] = {p: (value_at[(key, lo)], value_at[(key, hi)], pos - lo) for p, pos, lo, hi in items}
     return out
 
 

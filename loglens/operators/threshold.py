@@ -60,16 +60,19 @@ def _ratio_py(num: int, den: int) -> float:
 
 
 def threshold_sweep(scored: DataFrame, score_col: str = "anomaly_score", label_col: str = "is_anomaly",
-                    n_steps: int = THRESHOLD_STEPS) -> DataFrame:
+                    n_steps: int = THRESHOLD_STEPS, bounds_: tuple[float, float] | None = None) -> DataFrame:
     """``n_steps`` rows: step, threshold, tp, fp, fn, tn, precision, recall, f1.
 
     Predicted positive means ``score >= threshold``.  No rows -> empty table.
+    ``bounds_`` passes (p1, p99) already computed by the caller.
     """
     spark = scored.sparkSession
-    b = bounds(scored, score_col)
+    b = bounds(scored, score_col) if bounds_ is None else bounds_
     if b is None:
         return spark.createDataFrame([], SWEEP_SCHEMA)
     lo, hi = b
+    if lo >= hi:
+        hi = lo + 1e-6
     ths = candidate_thresholds(lo, hi, n_steps)
     step = (hi - lo) / (n_steps - 1)
     arr = F.array(*[F.lit(t) for t in ths])

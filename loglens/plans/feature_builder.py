@@ -70,16 +70,18 @@ class FeatureBuilder:
         return out.withColumns({c: fx.finite_or_null(F.col(c)) for c in FEATURE_COLUMNS})
 
     def transform(self, df: DataFrame, partition_cols: Sequence[str] = (),
-                  impute_columns: Sequence[str] | None = None) -> DataFrame:
+                  impute_columns: Sequence[str] | None = None, stage=None) -> DataFrame:
         """Input columns + 14 double features, nulls filled with batch medians.
 
         ``impute_columns=None`` finds the feature columns holding nulls with one
-        aggregate over the (persisted) raw features and computes exact medians
-        only for those; pass a list to skip that check.
+        aggregate over the staged raw features and computes exact medians only
+        for those; pass a list to skip that check.  ``stage`` turns the raw
+        features into a frame that can be read more than once (default: a
+        persisted frame; jobs pass a writer of a Parquet table).
         """
         raw = self.raw_features(df, partition_cols)
         if impute_columns is None:
-            raw = persist_for_reuse(raw)
+            raw = (stage or persist_for_reuse)(raw)
             counts = raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FEATURE_COLUMNS]).first()
             impute_columns = [c for c in FEATURE_COLUMNS if counts[c] > 0]
         return impute_with_medians(raw, impute_columns, partition_cols)

@@ -24,7 +24,7 @@ from loglens.operators import forest as iforest
 from loglens.operators import threshold as th
 from loglens.operators.cleaning import alias_columns, clean_logs, validate_log_schema
 from loglens.operators.ordering import chronological_split
-from loglens.operators.quantiles import quantile_row
+from loglens.operators.quantiles import lerp, order_statistics
 from loglens.plans.feature_builder import FeatureBuilder
 from loglens.schema import (
     CONTAMINATION,
@@ -76,7 +76,8 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     fb.ip_stats = fb.ip_stats.persist(StorageLevel.MEMORY_AND_DISK)
     median = fb.median.first()["global_median_latency"]
     fb.median = spark.range(1).select(F.lit(median).cast("double").alias("global_median_latency"))
-    feats = materialize(fb.transform(split, partition_cols=["split"]), partition_by="split", name="features")
+    feats = fb.transform(split, partition_cols=["split"],
+                         stage=lambda d: materialize(d, partition_by="split", name="features"))
 
     psi = min(max_samples, n_train)
     samples = iforest.draw_samples(spark, n_train, n_estimators, max_samples, seed)
@@ -92,11 +93,19 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     bundle = Bundle(features=fb, nodes=nodes, meta=meta)
     raw = iforest.score_column(spark, bundle.packed(), FEATURE_COLUMNS)
     scored = persist_for_reuse(feats.withColumn("_s", raw))
-    offset = quantile_row(scored.where(is_train), "_s", [1.0 - contamination], names=["q"]).first()["q"]
-    meta["score_offset"] = float(offset)
-    scored = scored.withColumn("anomaly_score", F.col("_s") - F.lit(float(offset))).drop("_s")
-
-    sweep = th.threshold_sweep(scored.where(F.col("split") == "val"), n_steps=n_steps)
+    # one exact-quantile pass: the contamination cut on train, the sweep bounds on val
+    q_off = 1.0 - contamination
+    qs = order_statistics(scored.where(F.col("split").isin("train", "val")), ["_s"], [0.01, q_off, 0.99], ["split"])
+    offset = float(lerp(*qs[("train", "_s")][q_off]))
+    meta["score_offset"] = offset
+    scored = scored.withColumn("anomaly_score", F.col("_s") - F.lit(offset)).drop("_s")
+    val_q = qs.get(("val", "_s"))
+    # p1/p99 of the anomaly scores: order statistics of s shifted, then interpolated
+    val_bounds = None
+    if val_q:
+        val_bounds = tuple(lerp(lo - offset, hi - offset, frac) for lo, hi, frac in (val_q[0.01], val_q[0.99]))
+
+    sweep = th.threshold_sweep(scored.where(F.col("split") == "val"), n_steps=n_steps, bounds_=val_bounds)
     best = th.best_threshold(sweep).first()
     threshold, val_f1 = float(best["threshold"]), float(best["f1"])
     test = th.flag_scores(scored.where(F.col("split") == "test"), threshold)
