@@ -37,7 +37,7 @@ from loglens.schema import (
     TRAIN_RATIO,
     VAL_RATIO,
 )
-from loglens.session import materialize, persist_for_reuse, release_persisted
+from loglens.session import materialize, persist_for_reuse, release_persisted, spread
 from loglens.sources.bundle import Bundle, save_bundle
 
 
@@ -92,7 +92,8 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     }
     bundle = Bundle(features=fb, nodes=nodes, meta=meta)
     raw = iforest.score_column(spark, bundle.packed(), FEATURE_COLUMNS)
-    scored = persist_for_reuse(feats.withColumn("_s", raw))
+    # scoring is CPU-bound Python: make sure every task slot takes part
+    scored = persist_for_reuse(spread(feats).withColumn("_s", raw))
     # one exact-quantile pass: the contamination cut on train, the sweep bounds on val
     q_off = 1.0 - contamination
     qs = order_statistics(scored.where(F.col("split").isin("train", "val")), ["_s"], [0.01, q_off, 0.99], ["split"])

@@ -59,6 +59,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df):
+    """Round-robin a frame with fewer partitions than task slots.
+
+    A small table (one file with one row group, or a few small files packed
+    into one split) is read by fewer tasks than the cluster has slots, so the
+    work after it would run partly serial.  Frames that already have at least
+    as many partitions as slots (any large table) are returned unchanged: no
+    extra shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check on any Hadoop-compatible file system (no failed read)."""
     jvm = spark.sparkContext._jvm

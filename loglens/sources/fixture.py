@@ -12,19 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-partitioned scan over the cluster's task slots.
-
-    A table stored as one file with one row group is read by a single task, so
-    everything before the first shuffle would run serially.  Tables with at
-    least as many input splits as task slots (any large table) are returned
-    unchanged: no extra shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+from loglens.session import spread
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
