@@ -58,10 +58,29 @@ def _enforce_contract(rows: DataFrame) -> DataFrame:
     return rows.where(F.assert_true(ok, "history row violates the table contract").isNull())
 
 
+def _date_partitions(spark: SparkSession, path: str) -> list[str]:
+    """``predicted_date`` partition folders, newest first (a directory listing)."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/predicted_date=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    return sorted((str(st.getPath().toString()) for st in found if st.isDirectory()), reverse=True)
+
+
+def _latest_partition(spark: SparkSession, path: str) -> str | None:
+    dirs = _date_partitions(spark, path)
+    return dirs[0] if dirs else None
+
+
 def _existing_max_id(spark: SparkSession, path: str) -> int:
+    """Largest id so far.  Ids grow with ``predicted_at``, so only the newest
+    date partition is read, not the whole (ever-growing) history."""
     if not path_exists(spark, path):
         return 0
-    row = spark.read.parquet(path).agg(F.max("id").alias("m")).first()
+    latest = _latest_partition(spark, path)
+    if latest is None:
+        return 0
+    row = spark.read.parquet(latest).agg(F.max("id").alias("m")).first()
     return int(row["m"] or 0)
 
 
@@ -93,8 +112,22 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent_results(spark: SparkSession, path: str, limit: int = HISTORY_DEFAULT_LIMIT) -> DataFrame:
-    """Newest first (predicted_at, then id), at most ``limit`` rows (top-n, no full sort)."""
-    return read_history(spark, path).orderBy(F.desc("predicted_at"), F.desc("id")).limit(limit)
+    """Newest first (predicted_at, then id), at most ``limit`` rows.
+
+    Only the newest date partitions that together hold ``limit`` rows are
+    read (row counts come from Parquet footers), then a top-n (no full sort)
+    picks the rows: the cost does not grow with the age of the history.
+    """
+    chosen, total = [], 0
+    for part in _date_partitions(spark, path):
+        chosen.append(part)
+        total += spark.read.parquet(part).count()
+        if total >= limit:
+            break
+    if not chosen:
+        return read_history(spark, path).limit(0)
+    table = spark.read.option("basePath", path).parquet(*chosen).select(*HISTORY_COLUMNS)
+    return table.orderBy(F.desc("predicted_at"), F.desc("id")).limit(limit)
 
 
 def history_summary(history: DataFrame) -> DataFrame:

@@ -56,3 +56,18 @@ def test_contract_rejects_bad_rows(spark, scratch):
     assert v.long_client_ip == 1 and v.null_timestamp == 0
     with pytest.raises(Exception, match="contract"):
         history.append_results(p, f"{scratch}/h")
+
+
+def test_recent_results_reaches_into_older_partitions(spark, scratch):
+    path = f"{scratch}/hist"
+    old = (history.history_rows(preds(spark)).limit(4)
+           .withColumn("id", F.monotonically_increasing_id() + 1)
+           .withColumn("predicted_at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+           .withColumn("predicted_date", F.lit("2020-01-01").cast("date")))
+    old.select(*history.HISTORY_COLUMNS, "predicted_date").write.partitionBy("predicted_date").parquet(path)
+    assert history.append_results(preds(spark).limit(2), path) == 2
+    top = history.recent_results(spark, path, 3).collect()
+    assert len(top) == 3
+    assert top[0].predicted_at > top[2].predicted_at  # two new rows, then the newest old one
+    assert [r.id for r in top][:2] == sorted([r.id for r in top][:2], reverse=True)
+    assert min(r.id for r in top[:2]) > max(r.id for r in old.collect())
