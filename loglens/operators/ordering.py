@@ -42,12 +42,19 @@ def order_by_time(df: DataFrame, ts_col: str = "timestamp", tiebreak: Sequence[s
 
 
 def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row_idx",
-                   total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                   total_col: str | None = None, num_partitions: int | None = None,
+                   stage=None) -> DataFrame:
     """Add a 0-based global position in ``order_cols`` order (ties: give a total order).
 
     Runs one small job now (row counts per range partition); the offsets
     (one per partition) enter the plan as a literal array indexed by the
     partition index, so the result needs no join.
+
+    ``stage`` makes the tagged frame re-readable (default: persisted).  That
+    is exact as long as the input's row order is reproducible (file scans,
+    narrow maps, round-robin spreads); for an input that comes out of a
+    shuffle pass ``stage=materialize`` so a lost executor cannot re-tag rows
+    after the offsets were taken.
     """
     n = _partitions(df, num_partitions)
     pid, local, mid, uid = "_ri_pid", "_ri_local", "_ri_mid", "_ri_uid"
@@ -62,7 +69,7 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], idx_col: str = "row
                 .withColumn(pid, F.shiftright(F.col(mid), 33).cast("int"))
                 .withColumn(local, F.col(mid).bitwiseAND(F.lit(_LOW_BITS)))
                 .drop(mid))
-    tagged = persist_for_reuse(tagged)
+    tagged = (stage or persist_for_reuse)(tagged)
     counts = {r[0]: r[1] for r in tagged.groupBy(pid).agg(F.count(F.lit(1))).collect()}
     offsets, running = [], 0
     for p in range(max(counts, default=-1) + 1):
@@ -86,13 +93,13 @@ def split_bounds(n_col, train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL
 
 def chronological_split(df: DataFrame, ts_col: str = "timestamp", tiebreak: Sequence[str] = (),
                         train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO,
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, stage=None) -> DataFrame:
     """Label rows ``train``/``val``/``test`` by position in time order.
 
     Adds ``row_idx`` (global 0-based position) and ``split``.
     """
     tot = "_split_n"
-    indexed = with_row_index(df, [ts_col, *tiebreak], "row_idx", tot, num_partitions)
+    indexed = with_row_index(df, [ts_col, *tiebreak], "row_idx", tot, num_partitions, stage)
     train_end, val_end = split_bounds(F.col(tot), train_ratio, val_ratio)
     idx = F.col("row_idx")
     return (indexed.withColumn("split", F.when(idx < train_end, "train").when(idx < val_end, "val")
