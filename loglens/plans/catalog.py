@@ -698,9 +698,11 @@ def q_fixed_forest_score(spark, sf):
     return feats.select("event_id", "split", r6(s).alias("score"))
 
 
-@register("iforest_sample")
+@register("iforest_sample", split_sql(
+    "SELECT CAST(t.i AS INTEGER) AS tree_id, least(256, n.n_train) AS n_rows, least(256, n.n_train) AS n_distinct "
+    "FROM range(300) t(i), (SELECT count(*) AS n_train FROM split WHERE split = 'train') n"))
 def q_iforest_sample(spark, sf):
-    """Per tree: rows drawn and distinct positions (both must equal psi)."""
+    """Per tree: rows drawn and distinct positions (both must equal psi = min(256, n_train))."""
     split = _split(spark, sf)
     n_train = split.where(F.col("split") == "train").count()
     samples = iforest.draw_samples(spark, n_train)
