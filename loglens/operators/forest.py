@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglens.schema import MAX_SAMPLES, N_ESTIMATORS, RANDOM_STATE
+from loglens.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -112,6 +113,7 @@ def grow_forest(samples: DataFrame, feature_cols: Sequence[str], psi: int,
     """``samples``: (tree_id, row_idx, features...) -> node table (NODE_SCHEMA)."""
     cols = list(feature_cols)
     depth_limit = max_depth_for(psi)
+    ship_package(samples.sparkSession)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree_id"].iloc[0])
@@ -172,6 +174,7 @@ class PackedForest:
 
 def score_column(spark: SparkSession, packed: PackedForest, feature_cols: Sequence[str]) -> Column:
     """Column with the raw isolation score s of each row."""
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf(T.DoubleType())

@@ -123,3 +123,34 @@ def persist_for_reuse(df):
 def release_persisted() -> None:
     while _PERSISTED:
         _PERSISTED.pop().unpersist(blocking=False)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``loglens`` importable by Python workers (once per application).
+
+    The tree-growing and scoring functions run in executor Python processes;
+    the package is zipped and added with ``addPyFile`` (the programmatic form
+    of ``--py-files``), so executors need no pre-installed copy.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import loglens
+
+    pkg = os.path.dirname(os.path.abspath(loglens.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="loglens-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
