@@ -759,3 +759,29 @@ def q_bundle_round_trip(spark, sf):
     a = pipeline.predict(spark, raw, res.bundle).select("event_id", F.col("anomaly_score").alias("a"))
     b = pipeline.predict(spark, raw, loaded).select("event_id", F.col("anomaly_score").alias("b"))
     return a.join(b, "event_id").where(F.abs(F.col("a") - F.col("b")) > 1e-12)
+
+
+# ---- streaming: files arriving in a folder, scored batch by batch ---------------
+
+from loglens.streaming.micro_batch import start_scoring  # noqa: E402
+
+_STREAM_COLS = ["timestamp", "client_ip", "endpoint_uri", "response_time_ms", "status_code"]
+
+
+@register("stream_history", clean_sql(
+    "SELECT \"timestamp\", client_ip, endpoint_uri, response_time_ms, status_code FROM clean"))
+def q_stream_history(spark, sf):
+    """Two CSV drops scored as two micro-batches; the history must hold every clean row."""
+    bundle = trained(spark, sf).bundle
+    raw = fixture.fixture_raw(spark, sf).withColumnRenamed("response_time", "response_time_ms")
+    cols = ["timestamp", "client_ip", "endpoint_uri", "http_method", "response_time_ms", "status_code",
+            "bytes_sent", "is_anomaly", "anomaly_type"]
+    src = scratch_path(spark, "incoming.csv")
+    half = F.col("event_id") % 2 == 0
+    logfiles.write_csv(raw.where(half).select(*cols), src, mode="append")
+    logfiles.write_csv(raw.where(~half).select(*cols), src, mode="append")
+    hist_path = scratch_path(spark, "stream_history")
+    q = start_scoring(spark, src, bundle, scratch_path(spark, "stream_ckpt"), history_path=hist_path,
+                      available_now=True)
+    q.awaitTermination()
+    return history.read_history(spark, hist_path).select(*_STREAM_COLS)
