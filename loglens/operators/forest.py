@@ -32,6 +32,9 @@ from loglens.schema import MAX_SAMPLES, N_ESTIMATORS, RANDOM_STATE
 from loglens.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
+# sample positions are broadcast only up to this many rows (n_trees x psi);
+# larger forests join the positions with a shuffle
+SAMPLE_BROADCAST_MAX_ROWS = 2_000_000
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType(), False),
@@ -108,6 +111,16 @@ def _grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[
     return [tuple(n) for n in nodes]
 
 
+def pick_samples(train_features: DataFrame, samples: DataFrame, n_rows: int) -> DataFrame:
+    """Join the drawn positions to the position-numbered training features.
+
+    The positions table has ``n_trees x psi`` rows, fixed by the parameters;
+    it is broadcast when that count is within ``SAMPLE_BROADCAST_MAX_ROWS``.
+    """
+    side = F.broadcast(samples) if n_rows <= SAMPLE_BROADCAST_MAX_ROWS else samples
+    return train_features.join(side, "row_idx")
+
+
 def grow_forest(samples: DataFrame, feature_cols: Sequence[str], psi: int,
                 seed: int = RANDOM_STATE) -> DataFrame:
     """``samples``: (tree_id, row_idx, features...) -> node table (NODE_SCHEMA)."""
@@ -172,10 +185,14 @@ class PackedForest:
         return np.power(2.0, -self.path_lengths(X) / average_path_length([self.psi])[0])
 
 
-def score_column(spark: SparkSession, packed: PackedForest, feature_cols: Sequence[str]) -> Column:
-    """Column with the raw isolation score s of each row."""
+def score_column(spark: SparkSession, packed: PackedForest, feature_cols: Sequence[str], bc=None) -> Column:
+    """Column with the raw isolation score s of each row.
+
+    ``bc`` reuses an existing broadcast of ``packed`` (one per model and
+    application instead of one per call).
+    """
     ship_package(spark)
-    bc = spark.sparkContext.broadcast(packed)
+    bc = bc if bc is not None else spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf(T.DoubleType())
     def iforest_score(x: pd.DataFrame) -> pd.Series:

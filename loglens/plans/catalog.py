@@ -706,7 +706,7 @@ def q_iforest_sample(spark, sf):
     split = _split(spark, sf)
     n_train = split.where(F.col("split") == "train").count()
     samples = iforest.draw_samples(spark, n_train)
-    picked = split.where(F.col("split") == "train").join(F.broadcast(samples), "row_idx")
+    picked = iforest.pick_samples(split.where(F.col("split") == "train"), samples, 300 * min(256, n_train))
     return picked.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                          F.count_distinct("row_idx").alias("n_distinct"))
 

@@ -49,7 +49,8 @@ class TrainResult:
 
 
 def score_features(spark: SparkSession, features: DataFrame, bundle: Bundle) -> DataFrame:
-    s = iforest.score_column(spark, bundle.packed(), bundle.feature_columns)
+    packed, bc = bundle.broadcast_forest(spark)
+    s = iforest.score_column(spark, packed, bundle.feature_columns, bc)
     return features.withColumn("anomaly_score", s - F.lit(bundle.score_offset))
 
 
@@ -81,7 +82,7 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
 
     psi = min(max_samples, n_train)
     samples = iforest.draw_samples(spark, n_train, n_estimators, max_samples, seed)
-    picked = feats.where(is_train).join(F.broadcast(samples), "row_idx")
+    picked = iforest.pick_samples(feats.where(is_train), samples, n_estimators * psi)
     nodes = iforest.grow_forest(picked, FEATURE_COLUMNS, psi, seed).toPandas()
 
     meta: dict[str, Any] = {
@@ -91,7 +92,8 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
         "feature_columns": list(FEATURE_COLUMNS), "fitted": True,
     }
     bundle = Bundle(features=fb, nodes=nodes, meta=meta)
-    raw = iforest.score_column(spark, bundle.packed(), FEATURE_COLUMNS)
+    packed, bc = bundle.broadcast_forest(spark)
+    raw = iforest.score_column(spark, packed, FEATURE_COLUMNS, bc)
     # scoring is CPU-bound Python: make sure every task slot takes part
     scored = persist_for_reuse(spread(feats).withColumn("_s", raw))
     # one exact-quantile pass: the contamination cut on train, the sweep bounds on val

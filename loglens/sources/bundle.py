@@ -29,6 +29,7 @@ class Bundle:
     features: FeatureBuilder
     nodes: pd.DataFrame            # bounded: n_trees x (2 psi - 1) rows
     meta: dict[str, Any] = field(default_factory=dict)
+    _cache: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def threshold(self) -> float:
@@ -45,6 +46,16 @@ class Bundle:
     def packed(self) -> PackedForest:
         return PackedForest.from_nodes(self.nodes, int(self.meta["psi"]))
 
+    def broadcast_forest(self, spark: SparkSession):
+        """(packed forest, its broadcast), created once per application."""
+        app = spark.sparkContext.applicationId
+        cached = self._cache.get(app)
+        if cached is None:
+            packed = self.packed()
+            cached = (packed, spark.sparkContext.broadcast(packed))
+            self._cache[app] = cached
+        return cached
+
 
 def _meta_frame(spark: SparkSession, meta: dict[str, Any]) -> DataFrame:
     row = {k: (json.dumps(v) if isinstance(v, dict) else v) for k, v in meta.items()}
