@@ -783,5 +783,10 @@ def q_stream_history(spark, sf):
     hist_path = scratch_path(spark, "stream_history")
     q = start_scoring(spark, src, bundle, scratch_path(spark, "stream_ckpt"), history_path=hist_path,
                       available_now=True)
-    q.awaitTermination()
+    try:
+        if not q.awaitTermination(900):
+            raise TimeoutError("scoring stream did not finish within 900 s")
+    finally:
+        if q.isActive:
+            q.stop()
     return history.read_history(spark, hist_path).select(*_STREAM_COLS)

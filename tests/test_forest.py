@@ -76,3 +76,14 @@ def test_hand_made_tree_path_length():
     h = packed.path_lengths(np.array([[0.0], [1.0]]))
     assert h[0] == pytest.approx(1.0)
     assert h[1] == pytest.approx(1.0 + iforest.average_path_length([9])[0])
+
+
+def test_sample_join_falls_back_to_shuffle(spark, monkeypatch):
+    df, _ = _data(spark, 400, seed=2)
+    samples = iforest.draw_samples(spark, 400, n_trees=10, max_samples=64)
+    small = iforest.pick_samples(df, samples, 640).toPandas().sort_values(["tree_id", "row_idx"])
+    monkeypatch.setattr(iforest, "SAMPLE_BROADCAST_MAX_ROWS", 10)
+    plan = iforest.pick_samples(df, samples, 640)
+    assert "BroadcastExchange" not in plan._jdf.queryExecution().sparkPlan().toString()
+    big = plan.toPandas().sort_values(["tree_id", "row_idx"])
+    pd.testing.assert_frame_equal(small.reset_index(drop=True), big.reset_index(drop=True))
