@@ -54,7 +54,7 @@ def q_raw_view(spark, sf):
 
 
 _CLEAN_SQL = fixture.with_log_sql(
-    f", parsed AS ({O.PARSED_RAW}), clean AS ({O.CLEAN_FROM_PARSED})\n", raw=True).replace("\n,", ",")
+    "", raw=True, extra_ctes=f"parsed AS ({O.PARSED_RAW}),\nclean AS ({O.CLEAN_FROM_PARSED})")
 
 
 def clean_sql(body: str) -> str:

@@ -116,9 +116,14 @@ FROM log
 """
 
 
-def with_log_sql(body: str, raw: bool = False) -> str:
-    """Prefix an oracle query with the log (and optionally raw) CTEs."""
-    ctes = f"log AS ({LOG_SQL})"
+def with_log_sql(body: str, raw: bool = False, extra_ctes: str = "") -> str:
+    """Prefix an oracle query with the log (optionally raw, and more) CTEs.
+
+    ``extra_ctes`` is appended to the WITH list as is (``name AS (...), ...``).
+    """
+    ctes = [f"log AS ({LOG_SQL})"]
     if raw:
-        ctes += f",\nraw AS ({RAW_SQL})"
-    return f"WITH {ctes}\n{body}"
+        ctes.append(f"raw AS ({RAW_SQL})")
+    if extra_ctes:
+        ctes.append(extra_ctes)
+    return "WITH " + ",\n".join(ctes) + "\n" + body
