@@ -66,3 +66,22 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 50
     df = E.entry(spark)
     assert {"anomaly_score", "is_anomaly_pred"} <= set(df.columns) and df.count() > 0
+
+
+def test_single_hand_entered_record(spark, trained):
+    from loglens.sources.logfiles import single_record
+
+    one = single_record(spark, timestamp="2024-01-15T07:00:00", client_ip="10.0.0.1",
+                        endpoint_uri="/api/v1/transfer/0", http_method="GET", response_time_ms=100.0,
+                        status_code=200, bytes_sent=1000)
+    r = pipeline.predict(spark, one, trained.bundle).collect()
+    assert len(r) == 1 and r[0].anomaly_score is not None and r[0].is_anomaly_pred in (0, 1)
+
+
+def test_tiny_training_set(spark):
+    raw = fixture.fixture_raw(spark, SF).orderBy("event_id").limit(12)
+    res = pipeline.train(spark, raw, tiebreak=["event_id"], n_estimators=5)
+    rep = res.report
+    n = rep["train_size"] + rep["val_size"] + rep["test_size"]
+    assert rep["train_size"] == int(n * 0.7) and res.bundle.meta["psi"] == rep["train_size"]
+    assert pipeline.predict(spark, raw, res.bundle).count() == n
