@@ -21,6 +21,19 @@ BASIC_ISO_PATTERN = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$"
 # ---- end of fixed values --------------------------------------------------
 
 
+def _lit(pattern: str) -> str:
+    """A regex as a Spark SQL string literal (backslashes and quotes escaped)."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def strip_all_sql(e: str) -> str:
+    return f"regexp_replace({e}, {_lit(OUTER_SPACE_PATTERN)}, '')"
+
+
 def strip_all(c: Column) -> Column:
     return F.regexp_replace(c, OUTER_SPACE_PATTERN, "")
 
@@ -29,35 +42,47 @@ def _is_numeric_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
-def parse_double(c: Column, dtype: T.DataType, allow_infinity: bool = False) -> Column:
+def parse_double_sql(c: str, dtype: T.DataType, allow_infinity: bool = False) -> str:
     """Text or number -> double; anything unparsable (and NaN) -> null."""
     if _is_numeric_type(dtype):
-        x = c.cast("double")
+        x = f"CAST({_q(c)} AS DOUBLE)"
     else:
-        s = c.cast("string")
-        ok = s.rlike(NUMBER_PATTERN)
+        s = f"CAST({_q(c)} AS STRING)"
+        ok = f"({s} RLIKE {_lit(NUMBER_PATTERN)})"
         if allow_infinity:
-            ok = ok | F.lower(s).rlike(INFINITY_PATTERN)
-        x = F.when(ok, strip_all(s).try_cast("double"))
-    return F.nanvl(x, F.lit(None).cast("double"))
+            ok = f"({ok} OR lower({s}) RLIKE {_lit(INFINITY_PATTERN)})"
+        x = f"(CASE WHEN {ok} THEN try_cast({strip_all_sql(s)} AS DOUBLE) END)"
+    return f"nanvl({x}, CAST(NULL AS DOUBLE))"
 
 
-def parse_timestamp(c: Column, dtype: T.DataType) -> Column:
+def parse_double(c: str, dtype: T.DataType, allow_infinity: bool = False) -> Column:
+    return F.expr(parse_double_sql(c, dtype, allow_infinity))
+
+
+def parse_timestamp_sql(c: str, dtype: T.DataType) -> str:
     """ISO-8601 text -> TIMESTAMP_NTZ (wall clock kept); failures -> null."""
     if isinstance(dtype, T.TimestampNTZType):
-        return c
+        return _q(c)
     if isinstance(dtype, (T.TimestampType, T.DateType)):
-        return c.cast("timestamp_ntz")
-    s = strip_all(c.cast("string"))
-    s = F.regexp_replace(s, BASIC_ISO_PATTERN, "$1-$2-$3T$4:$5:$6")
-    return s.try_cast("timestamp_ntz")
+        return f"CAST({_q(c)} AS TIMESTAMP_NTZ)"
+    s = strip_all_sql(f"CAST({_q(c)} AS STRING)")
+    s = f"regexp_replace({s}, {_lit(BASIC_ISO_PATTERN)}, '$1-$2-$3T$4:$5:$6')"
+    return f"try_cast({s} AS TIMESTAMP_NTZ)"
+
 
+def parse_timestamp(c: str, dtype: T.DataType) -> Column:
+    return F.expr(parse_timestamp_sql(c, dtype))
 
-def clean_text(c: Column, upper: bool = False) -> Column:
+
+def clean_text_sql(c: str, upper: bool = False) -> str:
     """str() of the value with outer whitespace stripped; null -> 'nan'."""
     from loglens.schema import MISSING_TEXT
 
-    s = F.coalesce(c.cast("string"), F.lit(MISSING_TEXT))
+    s = f"coalesce(CAST({_q(c)} AS STRING), '{MISSING_TEXT}')"
     if upper:
-        s = F.upper(s)
-    return strip_all(s)
+        s = f"upper({s})"
+    return strip_all_sql(s)
+
+
+def clean_text(c: str, upper: bool = False) -> Column:
+    return F.expr(clean_text_sql(c, upper))

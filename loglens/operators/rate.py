@@ -39,17 +39,16 @@ _MICROS = 1_000_000
 _DAY_US = 86_400 * _MICROS
 
 
-def epoch_micros(ts: Column | str) -> Column:
+def epoch_micros(ts: str) -> Column:
     """Wall-clock microseconds since 1970 for TIMESTAMP_NTZ.
 
     Built from zone-free parts (day number + wall-clock time of day), so the
     session time zone never enters: no daylight-saving gaps or overlaps.
     """
-    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
-    day = F.unix_date(c.cast("date")).cast("long")
-    secs = F.extract(F.lit("SECOND"), c)  # seconds with 6 fractional digits
-    return (day * _DAY_US + F.hour(c).cast("long") * 3_600 * _MICROS + F.minute(c).cast("long") * 60 * _MICROS
-            + (secs * F.lit(_MICROS)).cast("long"))
+    c = f"CAST(`{ts}` AS TIMESTAMP_NTZ)"
+    return F.expr(f"CAST(unix_date(CAST({c} AS DATE)) AS BIGINT) * {_DAY_US}L "
+                  f"+ CAST(hour({c}) AS BIGINT) * {3_600 * _MICROS}L + CAST(minute({c}) AS BIGINT) * {60 * _MICROS}L "
+                  f"+ CAST(extract(SECOND FROM {c}) * {_MICROS} AS BIGINT)")
 
 
 def _floor_div(x: Column, d: int) -> Column:

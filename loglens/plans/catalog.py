@@ -279,7 +279,7 @@ def q_unseen_keys(spark, sf):
     "AS method_code, count(*) AS n FROM clean GROUP BY http_method"))
 def q_method_code(spark, sf):
     return (_clean(spark, sf).groupBy("http_method").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("method_code", fx.method_code(F.col("http_method"))))
+            .withColumn("method_code", fx.method_code("http_method")))
 
 
 @register("feat_logs", clean_sql(
@@ -287,8 +287,8 @@ def q_method_code(spark, sf):
     "round(ln(1 + greatest(CAST(bytes_sent AS DOUBLE), 0.0)), 6) AS bytes_sent_log1p FROM clean"))
 def q_feat_logs(spark, sf):
     return _clean(spark, sf).select(
-        "event_id", r6(fx.log1p_clipped(F.col("response_time_ms"))).alias("response_time_log1p"),
-        r6(fx.log1p_clipped(F.col("bytes_sent"))).alias("bytes_sent_log1p"))
+        "event_id", r6(fx.log1p_clipped("response_time_ms")).alias("response_time_log1p"),
+        r6(fx.log1p_clipped("bytes_sent")).alias("bytes_sent_log1p"))
 
 
 @register("feat_status", clean_sql(
@@ -296,9 +296,8 @@ def q_feat_logs(spark, sf):
     "coalesce(CAST(status_code >= 500 AS DOUBLE), 0.0) AS is_5xx, "
     "coalesce(CAST(status_code >= 400 AND status_code < 500 AS DOUBLE), 0.0) AS is_4xx FROM clean"))
 def q_feat_status(spark, sf):
-    st = F.col("status_code")
-    return _clean(spark, sf).select("event_id", fx.status_class(st).alias("status_class"),
-                                    fx.is_5xx(st).alias("is_5xx"), fx.is_4xx(st).alias("is_4xx"))
+    return _clean(spark, sf).select("event_id", fx.status_class("status_code").alias("status_class"),
+                                    fx.is_5xx("status_code").alias("is_5xx"), fx.is_4xx("status_code").alias("is_4xx"))
 
 
 @register("feat_time_cycle", clean_sql(
@@ -307,11 +306,9 @@ def q_feat_status(spark, sf):
     "round(sin(2 * pi() * (isodow(\"timestamp\") - 1) / 7.0), 6) AS dow_sin, "
     "round(cos(2 * pi() * (isodow(\"timestamp\") - 1) / 7.0), 6) AS dow_cos FROM clean"))
 def q_feat_time_cycle(spark, sf):
-    ts = F.col("timestamp")
-    hs, hc = fx.cyclic(fx.hour_of_day(ts), 24)
-    ds, dc = fx.cyclic(fx.day_of_week(ts), 7)
-    return _clean(spark, sf).select("event_id", r6(hs).alias("hour_sin"), r6(hc).alias("hour_cos"),
-                                    r6(ds).alias("dow_sin"), r6(dc).alias("dow_cos"))
+    cyc = fx.time_cycle("timestamp")
+    return _clean(spark, sf).select("event_id", *[r6(cyc[c]).alias(c) for c in ("hour_sin", "hour_cos",
+                                                                                  "dow_sin", "dow_cos")])
 
 
 @register("feature_matrix", features_sql("SELECT * FROM feats"))
@@ -659,7 +656,7 @@ _C_SQL = ("CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE "
     ", 6) AS c_n FROM clean GROUP BY client_ip"))
 def q_c_normaliser(spark, sf):
     g = _clean(spark, sf).groupBy("client_ip").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("c_n", r6(fx.average_path_length(F.col("n"))))
+    return g.withColumn("c_n", r6(fx.average_path_length("n")))
 
 
 # two hand-made trees over the real feature matrix; leaf value = depth + c(size)

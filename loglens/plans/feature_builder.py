@@ -45,9 +45,6 @@ class FeatureBuilder:
         """Input columns + the 14 features before imputation (+-inf already null)."""
         if not self.fitted:
             raise RuntimeError("FeatureBuilder is not fitted; call fit() before transform()")
-        ts, st = F.col("timestamp"), F.col("status_code")
-        hour_sin, hour_cos = fx.cyclic(fx.hour_of_day(ts), 24)
-        dow_sin, dow_cos = fx.cyclic(fx.day_of_week(ts), 7)
         # rate and client statistics depend on (client, time) only: attach both
         # to the narrow key table, then join it back to the rows once
         key_cols = [*partition_cols, "client_ip", "timestamp"]
@@ -58,16 +55,15 @@ class FeatureBuilder:
         out = rate.join_keys(df, keyed, key_cols)
         out = stats.lookup_endpoint_freq(out, self.endpoint_freq)
         out = out.withColumns({
-            "response_time_log1p": fx.log1p_clipped(F.col("response_time_ms")),
-            "status_class": fx.status_class(st),
-            "is_5xx": fx.is_5xx(st),
-            "is_4xx": fx.is_4xx(st),
-            "hour_sin": hour_sin, "hour_cos": hour_cos,
-            "dow_sin": dow_sin, "dow_cos": dow_cos,
-            "method_code": fx.method_code(F.col("http_method")),
-            "bytes_sent_log1p": fx.log1p_clipped(F.col("bytes_sent")),
+            "response_time_log1p": fx.log1p_clipped("response_time_ms"),
+            "status_class": fx.status_class("status_code"),
+            "is_5xx": fx.is_5xx("status_code"),
+            "is_4xx": fx.is_4xx("status_code"),
+            **fx.time_cycle("timestamp"),
+            "method_code": fx.method_code("http_method"),
+            "bytes_sent_log1p": fx.log1p_clipped("bytes_sent"),
         })
-        return out.withColumns({c: fx.finite_or_null(F.col(c)) for c in FEATURE_COLUMNS})
+        return out.withColumns({c: fx.finite_or_null(c) for c in FEATURE_COLUMNS})
 
     def transform(self, df: DataFrame, partition_cols: Sequence[str] = (),
                   impute_columns: Sequence[str] | None = None, stage=None) -> DataFrame:

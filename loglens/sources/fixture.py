@@ -9,7 +9,7 @@ Both forms must stay row-for-row identical.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.session import spread
@@ -19,57 +19,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def _str(c: Column) -> Column:
-    return c.cast("string")
-
-
 def log_view(events: DataFrame) -> DataFrame:
     """Typed, labelled access log (already clean) over ``events``."""
-    k = F.col("k")
-    et = F.col("event_type")
-    is_err = et == "error"
-    latency_spike = is_err & (k % 4 == 0)
-    spam = is_err & (k % 4 == 1)
-    return (
-        events
-        .withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
-        .select(
-            "event_id",
-            F.col("ts").alias("timestamp"),
-            F.concat(F.lit("10.0."), _str(F.floor(F.col("user_id") / 256).cast("int")), F.lit("."),
-                     _str(F.col("user_id") % 256)).alias("client_ip"),
-            F.concat(F.lit("/api/v1/"), et, F.lit("/"), _str(k % 5)).alias("endpoint_uri"),
-            F.when(k % 17 == 0, "TRACE").when(et == "signup", "PUT")
-             .when(et.isin("purchase", "error"), "POST").otherwise("GET").alias("http_method"),
-            F.when(latency_spike, F.col("value") * 40).otherwise(F.col("value")).alias("response_time_ms"),
-            F.when(latency_spike, 503).when(spam, 429).when(k % 10 == 0, 404).otherwise(200)
-             .cast("int").alias("status_code"),
-            (F.lit(120) + k * 37).cast("bigint").alias("bytes_sent"),
-            F.when(is_err & (k % 4 <= 1), 1).otherwise(0).cast("int").alias("is_anomaly"),
-            F.when(latency_spike, "high_latency").when(spam, "spam").otherwise("normal").alias("anomaly_type"),
-        )
-    )
+    return (events.withColumn("k", F.expr("CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"))
+                  .selectExpr(
+        "event_id",
+        "ts AS timestamp",
+        "concat('10.0.', CAST(CAST(floor(user_id / 256) AS INT) AS STRING), '.', "
+        "CAST(user_id % 256 AS STRING)) AS client_ip",
+        "concat('/api/v1/', event_type, '/', CAST(k % 5 AS STRING)) AS endpoint_uri",
+        "CASE WHEN k % 17 = 0 THEN 'TRACE' WHEN event_type = 'signup' THEN 'PUT' "
+        "WHEN event_type IN ('purchase', 'error') THEN 'POST' ELSE 'GET' END AS http_method",
+        "CASE WHEN event_type = 'error' AND k % 4 = 0 THEN value * 40 ELSE value END AS response_time_ms",
+        "CAST(CASE WHEN event_type = 'error' AND k % 4 = 0 THEN 503 WHEN event_type = 'error' AND k % 4 = 1 "
+        "THEN 429 WHEN k % 10 = 0 THEN 404 ELSE 200 END AS INT) AS status_code",
+        "CAST(120 + k * 37 AS BIGINT) AS bytes_sent",
+        "CAST(CASE WHEN event_type = 'error' AND k % 4 <= 1 THEN 1 ELSE 0 END AS INT) AS is_anomaly",
+        "CASE WHEN event_type = 'error' AND k % 4 = 0 THEN 'high_latency' "
+        "WHEN event_type = 'error' AND k % 4 = 1 THEN 'spam' ELSE 'normal' END AS anomaly_type",
+    ))
 
 
 def raw_view(log: DataFrame) -> DataFrame:
     """All-text log with invalid values planted by ``event_id`` residues."""
-    eid = F.col("event_id")
-    return log.select(
+    return log.selectExpr(
         "event_id",
-        F.when(eid % 101 == 0, "not-a-time").when(eid % 103 == 0, F.lit(None).cast("string"))
-         .otherwise(F.replace(_str(F.col("timestamp")), F.lit(" "), F.lit("T"))).alias("timestamp"),
-        F.when(eid % 7 == 0, F.concat(F.lit("  "), F.col("client_ip"), F.lit(" ")))
-         .otherwise(F.col("client_ip")).alias("client_ip"),
+        "CASE WHEN event_id % 101 = 0 THEN 'not-a-time' WHEN event_id % 103 = 0 THEN CAST(NULL AS STRING) "
+        "ELSE replace(CAST(timestamp AS STRING), ' ', 'T') END AS timestamp",
+        "CASE WHEN event_id % 7 = 0 THEN concat('  ', client_ip, ' ') ELSE client_ip END AS client_ip",
         "endpoint_uri",
-        F.when(eid % 3 == 0, F.concat(F.lit(" "), F.lower("http_method")))
-         .otherwise(F.col("http_method")).alias("http_method"),
-        F.when(eid % 107 == 0, "abc").when(eid % 109 == 0, "12d").when(eid % 113 == 0, "NaN")
-         .when(eid % 11 == 0, "-5").otherwise(_str(F.col("response_time_ms"))).alias("response_time"),
-        F.when(eid % 127 == 0, "600").when(eid % 131 == 0, "99").when(eid % 137 == 0, "")
-         .when(eid % 139 == 0, "200.7").otherwise(_str(F.col("status_code"))).alias("status_code"),
-        F.when(eid % 149 == 0, F.lit(None).cast("string")).otherwise(_str(F.col("bytes_sent"))).alias("bytes_sent"),
-        F.when(eid % 151 == 0, F.lit(None).cast("string")).otherwise(_str(F.col("is_anomaly"))).alias("is_anomaly"),
-        F.when(eid % 157 == 0, F.lit(None).cast("string")).otherwise(F.col("anomaly_type")).alias("anomaly_type"),
+        "CASE WHEN event_id % 3 = 0 THEN concat(' ', lower(http_method)) ELSE http_method END AS http_method",
+        "CASE WHEN event_id % 107 = 0 THEN 'abc' WHEN event_id % 109 = 0 THEN '12d' "
+        "WHEN event_id % 113 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN '-5' "
+        "ELSE CAST(response_time_ms AS STRING) END AS response_time",
+        "CASE WHEN event_id % 127 = 0 THEN '600' WHEN event_id % 131 = 0 THEN '99' "
+        "WHEN event_id % 137 = 0 THEN '' WHEN event_id % 139 = 0 THEN '200.7' "
+        "ELSE CAST(status_code AS STRING) END AS status_code",
+        "CASE WHEN event_id % 149 = 0 THEN CAST(NULL AS STRING) ELSE CAST(bytes_sent AS STRING) END AS bytes_sent",
+        "CASE WHEN event_id % 151 = 0 THEN CAST(NULL AS STRING) ELSE CAST(is_anomaly AS STRING) END AS is_anomaly",
+        "CASE WHEN event_id % 157 = 0 THEN CAST(NULL AS STRING) ELSE anomaly_type END AS anomaly_type",
     )
 
 
