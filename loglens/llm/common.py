@@ -36,3 +36,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: A side with at most this many narrow rows may be broadcast; it is counted first.
+BROADCAST_ROWS = 100_000
+
+
+def join_checked(df: DataFrame, side: DataFrame, on: list[str], how: str, name: str) -> DataFrame:
+    """Join a grouped side that is usually small: it is written once and counted, broadcast if it has at most
+    ``BROADCAST_ROWS`` rows and joined by a shuffle otherwise (adaptive execution then splits hot keys)."""
+    side = cut(side, name)
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)

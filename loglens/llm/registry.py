@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import tier_packing
+from loglens.llm import fertility, host_rank, tier_packing
 from loglens.llm.common import table
 
 
+def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", *fertility.MEASURES)
+
+
+def op8_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rank.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op5_fertility": op5_fertility,
+    "op8_host_rank": op8_host_rank,
     "op10_tier_packing": op10_tier_packing,
 }
 
