@@ -167,8 +167,8 @@ def found_base(docs: DataFrame, keep: list[str]) -> DataFrame:
 def discovered(table: DataFrame, rounds: int = ROUNDS, least_support: int = LEAST_SUPPORT,
                least_share: float = LEAST_SHARE, least_score: float = LEAST_SCORE) -> DataFrame:
     """(instance, kind) of unknown instances that the pattern graph accepts."""
-    mentions = table.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", "m.patterns")
-    edges = cut(mentions.groupBy("instance", F.explode("patterns").alias("pattern")).agg(F.min("kind").alias("kind")), "pii-edges")
+    mentions = table.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
+    edges = cut(mentions.groupBy("instance", "pattern").agg(F.min("kind").alias("kind")), "pii-edges")
     share = [f"s{k}" for k in range(len(KINDS))]
 
     def scored(known):  # the scores of each edge's instance: 1 for a seed of the kind
