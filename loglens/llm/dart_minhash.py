@@ -14,7 +14,8 @@ each bucket offers pairs of its members with its least member, never all pairs.
 signatures agree enough are compared on their real texts, and settled pairs merge by connected
 components.  Only pairs still in different components go to the next round; at the end members of one bucket
 that remain in different components are compared with each other, so no link is lost to the
-choice of the bucket's least member.
+choice of the bucket's least member.  Such pairs grow with a bucket's members outside its main
+component, not with the square of a group of copies.
 
 Defined results: a document without words (or with a null text) is alone; one of fewer than five
 words is one shingle; ties and repeated rows are copies, of which the row with the smallest id stays (null
@@ -231,18 +232,18 @@ def near_groups(docs: DataFrame, keep: list[str], least: float = SIMILARITY, ban
         group = _settle(near, table, group, _verify_batches(size, weighted, least))
         if last:
             break
-        # buckets whose members are still in different components: all such pairs, once
-        placed = members.select("bucket", "node")
-        if group is not None:
-            placed = placed.join(group["components"], "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            placed = placed.withColumn("component", F.col("node"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q")
-        placed = cut(placed.join(split.select("bucket"), "bucket", "left_semi"), "unsettled")
-        x, y = placed.toDF("bucket", "a", "ca"), placed.toDF("bucket", "b", "cb")
-        pairs = x.join(y, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
-        tried = group["tried"] if group is not None else near.select("a", "b").limit(0)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "offered")
+        # buckets whose members are still in different components: members outside a bucket's main component meet
+        # those of the other components, once; members of one component never meet
+        placed = members.select("bucket", "node").join(group["components"], "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        main = (placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+                .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+        placed = cut(placed.join(main.select("bucket", "main"), "bucket"), "unsettled")
+        x = placed.where("component != main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+        y = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
+        pairs = (x.join(y, "bucket").where("ca != cb and (cb = main or a < b)")
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = cut(pairs.join(group["tried"], ["a", "b"], "left_anti"), "offered")
         last = True
     return _placed(table, classes, group)
 
