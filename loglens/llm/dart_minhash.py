@@ -12,9 +12,9 @@ coordinate with the probability of their similarity (published by Christiani, 20
 Spark's part: copies collapse to classes first (map-side minimum).  The classes' bands are grouped, and
 each bucket offers pairs of its members with its least member, never all pairs.  Pairs whose
 signatures agree enough are compared on their real texts, and settled pairs merge by connected
-components.  Only pairs still in different components go to the next round; at the end members of one bucket
-that remain in different components are compared with each other, so no link is lost to the
-choice of the bucket's least member.  Such pairs grow with a bucket's members outside its main
+components, in a fixed few steps: a node's most agreeing pair first, then all its pairs that are still in
+different components.  At the end members of one bucket that remain in different components are
+compared with each other, so no link is lost to the choice of the bucket's least member.  Such pairs grow with a bucket's members outside its main
 component, not with the square of a group of copies.
 
 Defined results: a document without words (or with a null text) is alone; one of fewer than five
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import BROADCAST_ROWS, cut, join_checked, map_arrow
@@ -223,59 +223,62 @@ def near_groups(docs: DataFrame, keep: list[str], least: float = SIMILARITY, ban
     members = cut(rows.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
 
     slack = SLACK * math.sqrt(least * (1 - least) / k)
-    links, group = None, None
-    pairs = cut(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "offered")
-    last = False
-    while True:
-        near = cut(map_arrow(_pairs_with(pairs, table, "prints"), _agree_batches(least - slack),
-                             "a bigint, b bigint, agree double"), "agreeing")
-        group = _settle(near, table, group, _verify_batches(size, weighted, least))
-        if last:
+    verify = _verify_batches(size, weighted, least)
+
+    def agreeing(pairs, name):
+        return cut(map_arrow(_pairs_with(pairs, table, "prints"), _agree_batches(least - slack),
+                             "a bigint, b bigint, agree double"), name)
+
+    offered = cut(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "offered")
+    found = _settle(agreeing(offered, "agreeing"), table, None, verify)
+
+    # buckets whose members are still in different components: members outside a bucket's main component meet
+    # those of the other components, once; members of one component never meet
+    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = (placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+            .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    placed = cut(placed.join(main.select("bucket", "main"), "bucket"), "unsettled")
+    x = placed.where("component != main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
+    pairs = (x.join(y, "bucket").where("ca != cb and (cb = main or a < b)")
+             .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("a").alias("outer"))
+             .join(offered.toDF("low", "high"), ["low", "high"], "left_anti"))
+    pairs = cut(pairs.select((F.col("low") + F.col("high") - F.col("outer")).alias("a"), F.col("outer").alias("b")), "offered-again")
+    found = _settle(agreeing(pairs, "agreeing-again"), table, found, verify)
+    return _placed(table, classes, found)
+
+
+#: A node's pairs are compared in so many steps, by rank of their agreement; all that is left comes in the last.
+STEPS = (1, 16, 256, None)
+
+
+def _settle(near: DataFrame, table: DataFrame, found: DataFrame | None, verify) -> DataFrame:
+    """Components (node, component) after pairs are compared on their texts: each node's best agreeing pairs first, as
+    a pair within a component needs no comparison; every other pair is compared."""
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    near = cut(near.withColumn("rank", rank), "ranked")
+    if found is None:
+        found = cut(near.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0), "components")
+    most = near.agg(F.max("rank").alias("most")).first().most or 0
+    low = 0
+    for high in STEPS:
+        if low >= most:
             break
-        # buckets whose members are still in different components: members outside a bucket's main component meet
-        # those of the other components, once; members of one component never meet
-        placed = members.select("bucket", "node").join(group["components"], "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        main = (placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-                .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-        placed = cut(placed.join(main.select("bucket", "main"), "bucket"), "unsettled")
-        x = placed.where("component != main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-        pairs = (x.join(y, "bucket").where("ca != cb and (cb = main or a < b)")
-                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        pairs = cut(pairs.join(group["tried"], ["a", "b"], "left_anti"), "offered")
-        last = True
-    return _placed(table, classes, group)
-
-
-def _settle(near: DataFrame, table: DataFrame, group, verify) -> dict:
-    """Compare pairs on their texts, the best pair of each node first, until every pair is compared or within a component."""
-    links = group["links"] if group else None
-    tried = group["tried"] if group else None
-    found = group["components"] if group else None
-    while True:
-        open_pairs = near
-        if found is not None:
-            open_pairs = (near.join(tried, ["a", "b"], "left_anti")
-                          .join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
-                          .where("coalesce(ca, a) != coalesce(cb, b)"))
-        best = cut(open_pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), "best")
-        if best.isEmpty():
-            break
-        result = cut(map_arrow(_pairs_with(best, table, "_text"), verify, "a bigint, b bigint, linked boolean"), "compared")
-        passed = result.where("linked").select("a", "b")
-        links = passed if links is None else links.union(passed)
-        tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
-        found = cut(components(links), "components")
-    if tried is None:
-        none = near.select("a", "b").limit(0)
-        return {"links": none, "tried": none, "components": near.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)}
-    return {"links": links, "tried": tried, "components": found}
-
-
-def _placed(table: DataFrame, classes: DataFrame, group: dict) -> DataFrame:
+        pairs = near.where(F.col("rank") > low)
+        pairs = pairs if high is None else pairs.where(F.col("rank") <= high)
+        pairs = (pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+                 .where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"))
+        pairs = cut(pairs, "compared")
+        passed = cut(map_arrow(_pairs_with(pairs, table, "_text"), verify, "a bigint, b bigint, linked boolean")
+                     .where("linked").select("a", "b"), "links-found")
+        if not passed.isEmpty():
+            found = cut(components(found.toDF("a", "b").union(passed)), "components")
+        low = high
+    return found
+
+
+def _placed(table: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Every row with its component's first row."""
-    found = group["components"]
     nodes = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = nodes.groupBy("component").agg(F.min("first").alias("head"))
     # copies and links are few against documents; what is neither needs no entry
