@@ -217,7 +217,10 @@ def digest(found: DataFrame) -> DataFrame:
         return F.array_join(F.transform(column, lambda x: F.concat_ws(
             ":", F.element_at(F.array(*map(F.lit, KINDS)), x.kind + 1), x.start.cast("string"), x.end.cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    def counted(number):
+        return F.size(F.filter("base", lambda x: x.kind == number)).cast("bigint").alias(f"n_{KINDS[number]}")
+
+    counts = [counted(k) for k in range(len(KINDS))]
     return found.select("row.*", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
