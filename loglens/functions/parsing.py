@@ -16,10 +16,17 @@ NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(inf|infinity)\s*$"
 # leading / trailing whitespace of any kind
 OUTER_SPACE_PATTERN = r"^\s+|\s+$"
-# ISO-8601 basic form 20260105T070000
-BASIC_ISO_PATTERN = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$"
 # ---- end of fixed values --------------------------------------------------
 
+# ISO-8601 basic forms (no separators), rewritten to the extended form step by step: the date, then
+# HHMMSS (a fraction and a zone may follow), HHMM and HH (a zone may follow)
+BASIC_ISO_STEPS = [
+    (r"^(\d{4})(\d{2})(\d{2})($|[T ])", "$1-$2-$3$4"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})($|[Zz+-].*$)", "$1:$2$3"),
+    (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})($|[Zz+-].*$)", "$1:00$2"),
+]
+
 
 def _lit(pattern: str) -> str:
     """A regex as a Spark SQL string literal (backslashes and quotes escaped)."""
@@ -55,6 +62,32 @@ def parse_double_sql(c: str, dtype: T.DataType, allow_infinity: bool = False) ->
     return f"nanvl({x}, CAST(NULL AS DOUBLE))"
 
 
+def parse_bigint_sql(c: str, dtype: T.DataType) -> str:
+    """Text or number -> BIGINT, exact for every 64-bit integer; fractions are cut off, all else -> null."""
+    if isinstance(dtype, T.IntegralType):
+        return f"CAST({_q(c)} AS BIGINT)"
+    through_double = f"try_cast({parse_double_sql(c, dtype)} AS BIGINT)"
+    if _is_numeric_type(dtype):
+        return f"try_cast({_q(c)} AS BIGINT)" if isinstance(dtype, T.DecimalType) else through_double
+    s = strip_all_sql(f"CAST({_q(c)} AS STRING)")
+    return f"(CASE WHEN {s} RLIKE '^[+-]?[0-9]+$' THEN try_cast({s} AS BIGINT) ELSE {through_double} END)"
+
+
+def parse_bigint(c: str, dtype: T.DataType) -> Column:
+    return F.expr(parse_bigint_sql(c, dtype))
+
+
+def parse_flag_sql(c: str, dtype: T.DataType) -> str:
+    """A 0/1 label -> INT: booleans, the texts true/false (any case) and numbers (fractions cut off); all else -> null."""
+    if isinstance(dtype, T.BooleanType):
+        return f"CAST({_q(c)} AS INT)"
+    number = f"try_cast({parse_double_sql(c, dtype)} AS INT)"
+    if _is_numeric_type(dtype):
+        return number
+    s = strip_all_sql(f"lower(CAST({_q(c)} AS STRING))")
+    return f"(CASE {s} WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE {number} END)"
+
+
 def parse_double(c: str, dtype: T.DataType, allow_infinity: bool = False) -> Column:
     return F.expr(parse_double_sql(c, dtype, allow_infinity))
 
@@ -66,7 +99,8 @@ def parse_timestamp_sql(c: str, dtype: T.DataType) -> str:
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return f"CAST({_q(c)} AS TIMESTAMP_NTZ)"
     s = strip_all_sql(f"CAST({_q(c)} AS STRING)")
-    s = f"regexp_replace({s}, {_lit(BASIC_ISO_PATTERN)}, '$1-$2-$3T$4:$5:$6')"
+    for pattern, extended in BASIC_ISO_STEPS:
+        s = f"regexp_replace({s}, {_lit(pattern)}, '{extended}')"
     return f"try_cast({s} AS TIMESTAMP_NTZ)"
 
 

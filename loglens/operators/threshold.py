@@ -82,7 +82,7 @@ def threshold_sweep(scored: DataFrame, score_col: str = "anomaly_score", label_c
     # exact correction: k = number of thresholds <= s
     down = F.when((k0 > 0) & (F.element_at(arr, F.greatest(k0, F.lit(1))) > s), k0 - 1).otherwise(k0)
     up = F.when((k0 < n_steps) & (F.element_at(arr, F.least(k0 + 1, F.lit(n_steps))) <= s), k0 + 1).otherwise(k0)
-    hist = (scored.select(s.alias("_s"), F.col(label_col).cast("int").alias("_y"))
+    hist = (scored.select(s.alias("_s"), (F.col(label_col) == 1).cast("int").alias("_y"))
                   .where(F.col("_s").isNotNull() & ~F.isnan("_s"))
                   .withColumnRenamed("_s", score_col)
                   .withColumn("_k0", guess).withColumn("_k0", down).withColumn("_k0", up)

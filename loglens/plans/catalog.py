@@ -508,10 +508,10 @@ def _preds(spark, sf):
 
 
 _DISPLAY_SQL = ", ".join([
-    "\"timestamp\" AS \"Time\"", "client_ip AS \"IP\"", "endpoint_uri AS \"Endpoint\"", "http_method AS \"Method\"",
-    "response_time_ms AS \"Latency (ms)\"", "status_code AS \"HTTP status\"", "bytes_sent AS \"Bytes\"",
-    "anomaly_score AS \"Anomaly score\"",
-    "CASE is_anomaly_pred WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS \"Anomalous\""])
+    "\"timestamp\" AS \"Requested at\"", "client_ip AS \"Client\"", "endpoint_uri AS \"Path\"", "http_method AS \"Verb\"",
+    "response_time_ms AS \"Took (ms)\"", "status_code AS \"Status\"", "bytes_sent AS \"Size (bytes)\"",
+    "anomaly_score AS \"Score\"",
+    "CASE is_anomaly_pred WHEN 0 THEN 'no' WHEN 1 THEN 'yes' END AS \"Flagged\""])
 
 
 @register("display_projection", preds_sql(f"SELECT {_DISPLAY_SQL} FROM preds"))

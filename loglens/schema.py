@@ -76,3 +76,10 @@ HISTORY_SCHEMA = T.StructType(
     ]
 )
 HISTORY_COLUMNS = [f.name for f in HISTORY_SCHEMA.fields]
+
+# What a result table shows, in this order, and what each column is called there.
+RESULT_CAPTIONS = [
+    ("timestamp", "Requested at"), ("client_ip", "Client"), ("endpoint_uri", "Path"), ("http_method", "Verb"),
+    ("response_time_ms", "Took (ms)"), ("status_code", "Status"), ("bytes_sent", "Size (bytes)"),
+    ("anomaly_score", "Score"), ("is_anomaly_pred", "Flagged"),
+]

@@ -45,9 +45,14 @@ def raw_view(log: DataFrame) -> DataFrame:
     return log.selectExpr(
         "event_id",
         "CASE WHEN event_id % 101 = 0 THEN 'not-a-time' WHEN event_id % 103 = 0 THEN CAST(NULL AS STRING) "
+        "WHEN event_id % 163 = 0 THEN replace(substr(CAST(timestamp AS STRING), 1, 10), '-', '') "
+        "WHEN event_id % 167 = 0 THEN replace(replace(replace(substr(CAST(timestamp AS STRING), 1, 16), '-', ''), ':', ''), ' ', 'T') "
+        "WHEN event_id % 173 = 0 THEN replace(replace(replace(CAST(timestamp AS STRING), '-', ''), ':', ''), ' ', 'T') "
         "ELSE replace(CAST(timestamp AS STRING), ' ', 'T') END AS timestamp",
         "CASE WHEN event_id % 7 = 0 THEN concat('  ', client_ip, ' ') ELSE client_ip END AS client_ip",
-        "endpoint_uri",
+        "CASE WHEN event_id % 179 = 0 THEN concat(endpoint_uri, '?q=\"x\",y') "
+        "WHEN event_id % 181 = 0 THEN concat(endpoint_uri, chr(10), 'z') "
+        "WHEN event_id % 191 = 0 THEN concat(endpoint_uri, chr(92), '\"') ELSE endpoint_uri END AS endpoint_uri",
         "CASE WHEN event_id % 3 = 0 THEN concat(' ', lower(http_method)) ELSE http_method END AS http_method",
         "CASE WHEN event_id % 107 = 0 THEN 'abc' WHEN event_id % 109 = 0 THEN '12d' "
         "WHEN event_id % 113 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN '-5' "
@@ -55,8 +60,11 @@ def raw_view(log: DataFrame) -> DataFrame:
         "CASE WHEN event_id % 127 = 0 THEN '600' WHEN event_id % 131 = 0 THEN '99' "
         "WHEN event_id % 137 = 0 THEN '' WHEN event_id % 139 = 0 THEN '200.7' "
         "ELSE CAST(status_code AS STRING) END AS status_code",
-        "CASE WHEN event_id % 149 = 0 THEN CAST(NULL AS STRING) ELSE CAST(bytes_sent AS STRING) END AS bytes_sent",
-        "CASE WHEN event_id % 151 = 0 THEN CAST(NULL AS STRING) ELSE CAST(is_anomaly AS STRING) END AS is_anomaly",
+        "CASE WHEN event_id % 149 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 193 = 0 THEN '9223372036854775807' "
+        "WHEN event_id % 197 = 0 THEN '9007199254740993' WHEN event_id % 199 = 0 THEN '9223372036854775808' "
+        "ELSE CAST(bytes_sent AS STRING) END AS bytes_sent",
+        "CASE WHEN event_id % 151 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 5 = 1 AND is_anomaly = 1 THEN 'True' "
+        "WHEN event_id % 5 = 1 THEN 'FALSE' ELSE CAST(is_anomaly AS STRING) END AS is_anomaly",
         "CASE WHEN event_id % 157 = 0 THEN CAST(NULL AS STRING) ELSE anomaly_type END AS anomaly_type",
     )
 
@@ -90,15 +98,23 @@ FROM (SELECT *, CAST(regexp_extract(props,'([0-9]+)',1) AS INTEGER) AS k FROM ev
 RAW_SQL = """
 SELECT event_id,
  CASE WHEN event_id % 101 = 0 THEN 'not-a-time' WHEN event_id % 103 = 0 THEN NULL
+      WHEN event_id % 163 = 0 THEN replace(substr(CAST("timestamp" AS VARCHAR),1,10),'-','')
+      WHEN event_id % 167 = 0 THEN replace(replace(replace(substr(CAST("timestamp" AS VARCHAR),1,16),'-',''),':',''),' ','T')
+      WHEN event_id % 173 = 0 THEN replace(replace(replace(CAST("timestamp" AS VARCHAR),'-',''),':',''),' ','T')
       ELSE replace(CAST("timestamp" AS VARCHAR),' ','T') END AS "timestamp",
- CASE WHEN event_id % 7 = 0 THEN concat('  ', client_ip, ' ') ELSE client_ip END AS client_ip, endpoint_uri,
+ CASE WHEN event_id % 7 = 0 THEN concat('  ', client_ip, ' ') ELSE client_ip END AS client_ip,
+ CASE WHEN event_id % 179 = 0 THEN concat(endpoint_uri, '?q="x",y') WHEN event_id % 181 = 0 THEN concat(endpoint_uri, chr(10), 'z')
+      WHEN event_id % 191 = 0 THEN concat(endpoint_uri, chr(92), '"') ELSE endpoint_uri END AS endpoint_uri,
  CASE WHEN event_id % 3 = 0 THEN concat(' ', lower(http_method)) ELSE http_method END AS http_method,
  CASE WHEN event_id % 107 = 0 THEN 'abc' WHEN event_id % 109 = 0 THEN '12d' WHEN event_id % 113 = 0 THEN 'NaN'
       WHEN event_id % 11 = 0 THEN '-5' ELSE CAST(response_time_ms AS VARCHAR) END AS response_time,
  CASE WHEN event_id % 127 = 0 THEN '600' WHEN event_id % 131 = 0 THEN '99' WHEN event_id % 137 = 0 THEN ''
       WHEN event_id % 139 = 0 THEN '200.7' ELSE CAST(status_code AS VARCHAR) END AS status_code,
- CASE WHEN event_id % 149 = 0 THEN NULL ELSE CAST(bytes_sent AS VARCHAR) END AS bytes_sent,
- CASE WHEN event_id % 151 = 0 THEN NULL ELSE CAST(is_anomaly AS VARCHAR) END AS is_anomaly,
+ CASE WHEN event_id % 149 = 0 THEN NULL WHEN event_id % 193 = 0 THEN '9223372036854775807'
+      WHEN event_id % 197 = 0 THEN '9007199254740993' WHEN event_id % 199 = 0 THEN '9223372036854775808'
+      ELSE CAST(bytes_sent AS VARCHAR) END AS bytes_sent,
+ CASE WHEN event_id % 151 = 0 THEN NULL WHEN event_id % 5 = 1 AND is_anomaly = 1 THEN 'True'
+      WHEN event_id % 5 = 1 THEN 'FALSE' ELSE CAST(is_anomaly AS VARCHAR) END AS is_anomaly,
  CASE WHEN event_id % 157 = 0 THEN NULL ELSE anomaly_type END AS anomaly_type
 FROM log
 """

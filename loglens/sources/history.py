@@ -4,8 +4,8 @@ Default store is a Parquet table (one folder; each append is one atomic job
 commit).  Ids are assigned by the store: ``max(id) + 1 + position`` where the
 position is the distributed row index of the batch in time order.  All rows
 of one append share one ``predicted_at`` (a single ``current_timestamp()``).
-The table is partitioned by the date of ``predicted_at`` so newest-first reads
-with a date filter prune old partitions.
+The table is partitioned by the UTC date of ``predicted_at``, so reads with a date
+filter prune old partitions.
 
 A JDBC variant writes the batch to a staging table first and moves it into
 the target with one ``INSERT ... SELECT`` so a failed job leaves the target
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.operators.ordering import with_row_index
-from loglens.session import path_exists
-from loglens.schema import HISTORY_COLUMNS, HISTORY_DEFAULT_LIMIT, HISTORY_ENDPOINT_MAX_LEN, HISTORY_IP_MAX_LEN
+from loglens.session import materialize, path_exists
+from loglens.schema import HISTORY_COLUMNS, HISTORY_DEFAULT_LIMIT, HISTORY_ENDPOINT_MAX_LEN, HISTORY_IP_MAX_LEN, HISTORY_SCHEMA
 
 _FIELDS = ["timestamp", "client_ip", "endpoint_uri", "response_time_ms", "status_code", "anomaly_score"]
 
@@ -58,30 +58,11 @@ def _enforce_contract(rows: DataFrame) -> DataFrame:
     return rows.where(F.assert_true(ok, "history row violates the table contract").isNull())
 
 
-def _date_partitions(spark: SparkSession, path: str) -> list[str]:
-    """``predicted_date`` partition folders, newest first (a directory listing)."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/predicted_date=*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(pattern) or []
-    return sorted((str(st.getPath().toString()) for st in found if st.isDirectory()), reverse=True)
-
-
-def _latest_partition(spark: SparkSession, path: str) -> str | None:
-    dirs = _date_partitions(spark, path)
-    return dirs[0] if dirs else None
-
-
 def _existing_max_id(spark: SparkSession, path: str) -> int:
-    """Largest id so far.  Ids grow with ``predicted_at``, so only the newest
-    date partition is read, not the whole (ever-growing) history."""
+    """Largest id so far, from the ids themselves (a scan of that one column)."""
     if not path_exists(spark, path):
         return 0
-    latest = _latest_partition(spark, path)
-    if latest is None:
-        return 0
-    row = spark.read.parquet(latest).agg(F.max("id").alias("m")).first()
-    return int(row["m"] or 0)
+    return int(read_history(spark, path).agg(F.max("id").alias("m")).first()["m"] or 0)
 
 
 def append_results(results: DataFrame, path: str, order: Sequence[str] | None = None) -> int:
@@ -95,10 +76,11 @@ def append_results(results: DataFrame, path: str, order: Sequence[str] | None =
     order = list(order or ["timestamp", "client_ip", "endpoint_uri", "response_time_ms",
                            "status_code", "anomaly_score", "is_anomaly"])
     start = _existing_max_id(spark, path) + 1
-    numbered = with_row_index(rows, order, "_pos")
+    # predictions come out of shuffles: the tagged rows are written, so offsets and rows agree after a lost block
+    numbered = with_row_index(rows, order, "_pos", stage=materialize)
     out = (numbered.withColumn("id", F.col("_pos") + F.lit(start))
                    .withColumn("predicted_at", F.current_timestamp())
-                   .withColumn("predicted_date", F.to_date("predicted_at"))
+                   .withColumn("predicted_date", F.expr("date_from_unix_date(CAST(floor(unix_seconds(predicted_at) / 86400) AS INT))"))
                    .select(*HISTORY_COLUMNS, "predicted_date"))
     # the row count is observed while the rows are written (no second pass)
     seen = Observation("history_append")
@@ -108,26 +90,25 @@ def append_results(results: DataFrame, path: str, order: Sequence[str] | None =
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*HISTORY_COLUMNS)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).select(*HISTORY_COLUMNS)
 
 
 def recent_results(spark: SparkSession, path: str, limit: int = HISTORY_DEFAULT_LIMIT) -> DataFrame:
     """Newest first (predicted_at, then id), at most ``limit`` rows.
 
-    Only the newest date partitions that together hold ``limit`` rows are
-    read (row counts come from Parquet footers), then a top-n (no full sort)
-    picks the rows: the cost does not grow with the age of the history.
+    The time of the ``limit``-th newest row comes from the ``predicted_at`` column alone (one value per append, so it
+    is stored as runs); the rows are then read from that time on, which row-group statistics prune, and a top-n
+    orders them.  No folder name is trusted, so the result holds under any session zone or clock.
     """
-    chosen, total = [], 0
-    for part in _date_partitions(spark, path):
-        chosen.append(part)
-        total += spark.read.parquet(part).count()
-        if total >= limit:
-            break
-    if not chosen:
-        return read_history(spark, path).limit(0)
-    table = spark.read.option("basePath", path).parquet(*chosen).select(*HISTORY_COLUMNS)
-    return table.orderBy(F.desc("predicted_at"), F.desc("id")).limit(limit)
+    table = read_history(spark, path)
+    oldest = (table.select("predicted_at").orderBy(F.desc("predicted_at")).limit(limit)
+              .agg(F.min("predicted_at").alias("t")))
+    # the instant travels as a number of microseconds: a Python datetime would depend on the driver's zone
+    since = oldest.select(F.unix_micros("t").alias("t")).first()["t"]
+    if since is None:
+        return table.limit(0)
+    newest = table.where(F.col("predicted_at") >= F.timestamp_micros(F.lit(since)))
+    return newest.orderBy(F.desc("predicted_at"), F.desc("id")).limit(limit)
 
 
 def history_summary(history: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from loglens.schema import RAW_LOG_SCHEMA
 from loglens.session import path_exists, release_persisted
 from loglens.sources import history
 from loglens.sources.bundle import Bundle
+from loglens.sources.logfiles import CSV_DIALECT, blank_tokens
 
 
 def _touch(spark: SparkSession, path: str) -> None:
@@ -30,11 +31,12 @@ def _touch(spark: SparkSession, path: str) -> None:
 
 def read_log_stream(spark: SparkSession, source_dir: str, schema: T.StructType = RAW_LOG_SCHEMA,
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """CSV files (with header) arriving in ``source_dir``; all columns text."""
-    reader = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False))
+    """CSV files (with header) arriving in ``source_dir``; all columns text, in the dialect and with the
+    missing-value tokens of the batch reader."""
+    reader = spark.readStream.schema(schema).options(**CSV_DIALECT, multiLine=True, enforceSchema=False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(source_dir)
+    return blank_tokens(reader.csv(source_dir))
 
 
 def score_batch(batch: DataFrame, batch_id: int, bundle: Bundle, predictions_dir: str | None,

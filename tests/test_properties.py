@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from loglens.operators.quantiles import quantile_values
 from loglens.operators.rate import request_rate
 from loglens.operators.threshold import best_threshold, threshold_sweep
-from tests.test_threshold import brute_force
+from tests.test_threshold import f1_at
 
 BASE = dt.datetime(2026, 1, 5)
 SETTINGS = settings(max_examples=12, deadline=None, derandomize=True)
@@ -42,8 +42,11 @@ def test_quantiles_match_numpy(spark, values, probs, parts):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 50).map(lambda x: x / 50), st.integers(0, 1)), min_size=1, max_size=150))
-def test_threshold_matches_brute_force(spark, rows):
-    df = spark.createDataFrame([(float(s), y) for s, y in rows], "anomaly_score double, is_anomaly int")
+def test_threshold_is_the_best_step(spark, rows):
+    scores, labels = [float(s) for s, _ in rows], [y for _, y in rows]
+    df = spark.createDataFrame(list(zip(scores, labels)), "anomaly_score double, is_anomaly int")
+    sweep = threshold_sweep(df).collect()
+    best = max(f1_at(scores, labels, r.threshold) for r in sweep)
     r = best_threshold(threshold_sweep(df)).first()
-    t, f1 = brute_force([s for s, _ in rows], [y for _, y in rows])
-    assert abs(r.threshold - t) <= 1e-12 and abs(r.f1 - f1) <= 1e-12
+    assert abs(r.f1 - best) <= 1e-12 and abs(f1_at(scores, labels, r.threshold) - best) <= 1e-12
+    assert all(f1_at(scores, labels, x.threshold) < best for x in sweep if x.threshold < r.threshold)

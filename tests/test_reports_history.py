@@ -30,9 +30,9 @@ def test_all_null_column_stays_null_and_groups_use_own_median(spark):
 def test_display_projection_and_filters(spark):
     p = preds(spark)
     shown = reports.display_projection(p.drop("bytes_sent"))
-    assert shown.columns == ["Time", "IP", "Endpoint", "Method", "Latency (ms)", "HTTP status",
-                             "Anomaly score", "Anomalous"]
-    assert sorted(r["Anomalous"] for r in shown.collect()) == ["No", "No", "No", "Yes", "Yes"]
+    assert shown.columns == ["Requested at", "Client", "Path", "Verb", "Took (ms)", "Status",
+                             "Score", "Flagged"]
+    assert sorted(r["Flagged"] for r in shown.collect()) == ["no", "no", "no", "yes", "yes"]
     assert reports.filter_predictions(p, "anomalous").count() == 2
     assert reports.filter_predictions(p, "normal").count() == 3
     with pytest.raises(ValueError):
@@ -71,3 +71,24 @@ def test_recent_results_reaches_into_older_partitions(spark, scratch):
     assert top[0].predicted_at > top[2].predicted_at  # two new rows, then the newest old one
     assert [r.id for r in top][:2] == sorted([r.id for r in top][:2], reverse=True)
     assert min(r.id for r in top[:2]) > max(r.id for r in old.collect())
+
+
+def test_history_under_changing_zones(spark, scratch):
+    path, before = f"{scratch}/zones", spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ["Pacific/Kiritimati", "Pacific/Pago_Pago", "Pacific/Pago_Pago"]:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            history.append_results(preds(spark).limit(3), path)
+        ids = [r.id for r in history.read_history(spark, path).collect()]
+        assert sorted(ids) == list(range(1, 10))
+        assert [r.id for r in history.recent_results(spark, path, 2).collect()] == [9, 8]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_empty_append(spark, scratch):
+    path = f"{scratch}/none"
+    assert history.append_results(preds(spark).limit(0), path) == 0
+    assert history.recent_results(spark, path).count() == 0
+    assert history.append_results(preds(spark).limit(1), path) == 1
+    assert [r.id for r in history.recent_results(spark, path).collect()] == [1]
