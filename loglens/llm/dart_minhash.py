@@ -162,21 +162,41 @@ def signed(docs: DataFrame, keep: list[str], k: int = BANDS * BAND_SIZE, size: i
 
 def similarity(a: list, b: list, size: int = SHINGLE, weighted: bool = False) -> float:
     """Jaccard similarity of the word shingles of two texts given as words."""
-    from collections import Counter
+    return _overlap(_shingles(a, size), _shingles(b, size), weighted)
 
-    x, y = (Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) for w in (a, b))
+
+def _shingles(words: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles, and their counts."""
+    return np.unique(shingle_hashes(words, size), return_counts=True)
+
+
+def _overlap(x: tuple, y: tuple, weighted: bool) -> float:
+    """Jaccard similarity of two sorted shingle sets, by their counts if ``weighted``."""
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    same = y[0][at] == x[0]
     if not weighted:
-        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
-    return (x & y).total() / (x | y).total()
+        both = int(same.sum())
+        return both / (len(x[0]) + len(y[0]) - both)
+    both = int(np.minimum(x[1][same], y[1][at[same]]).sum())
+    return both / (int(x[1].sum()) + int(y[1].sum()) - both)
 
 
 def _verify_batches(size: int, weighted: bool, least: float):
     def run(batches):
         import pyarrow as pa
 
+        known: dict = {}  # a hub's text comes with many pairs
+
+        def shingles(uid, text):
+            if uid not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[uid] = _shingles(text.as_py().encode().split(), size)
+            return known[uid]
+
         for batch in batches:
-            ok = [similarity(a.as_py().encode().split(), b.as_py().encode().split(), size, weighted) >= least
-                  for a, b in zip(batch.column(2), batch.column(3))]
+            ok = [_overlap(shingles(a, x), shingles(b, y), weighted) >= least for a, b, x, y in
+                  zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
     return run
