@@ -1,18 +1,21 @@
 """Similarity join of vectors by spherical-cap filters.
 
-Filters are random directions of the whole space; a vector falls into the caps of the directions whose
-cosine with it is high enough.  The directions form a structured product code: each half of the
-coordinates has its own few hundred code vectors, and every pair of them is a direction, so that
-a vector's caps are list-decoded from two short sorted lists instead of being compared with every
-direction (published by Becker, Ducas, Gama and Laarhoven, 2016).  Vectors within the wanted angle share some
-cap almost surely; vectors that share a cap are verified by their cosine in double precision.
+Filters are random directions of the whole space; a vector falls into the caps of the directions nearest
+to it.  The directions form structured product codes: the vector is rotated at random, each half of
+its coordinates has its own code vectors, and every pair of them is a direction, so that a vector's nearest
+directions are list-decoded from two short sorted lists instead of being compared with every
+direction (published by Becker, Ducas, Gama and Laarhoven, 2016).  Several codes with rotations of their
+own are used: whether a code brings two vectors together depends on their cosine alone, and the codes miss
+independently, so as many are taken as a pair at exactly the wanted cosine needs to share some cap with a
+chance of ``RECALL``.  Vectors that share a cap are verified by their cosine in double precision.
 
 Spark collapses equal vectors to classes, joins classes on (label, cap), and splits large caps into
 blocks whose pairs are separate tasks' work, so that no task holds a hot cap.  A pair of classes
 that share several caps is reported by the least of them alone, so links need no distinct step.
 
-Caps grow rarer and more numerous with the largest group (``caps_for``), so a cap holds a bounded number of
-unrelated vectors at any size.
+Directions grow more numerous with the largest group, so a cap holds a bounded number of unrelated vectors,
+and the number of codes is measured anew for each number of directions (``codes_for``), so recall is the same at
+any size.  Groups of at most ``EXACT`` vectors form one cap and are compared whole.
 
 Defined results: vectors that are null, empty or zero, or hold a null or non-finite component, and vectors without a label, have no
 links; vectors of different lengths are not compared; equal vectors of a label are linked; a null
@@ -32,65 +35,91 @@ from loglens.llm.common import cut, map_arrow
 from loglens.llm.components import components
 
 LEAST_COSINE = 0.93
-#: Caps that a vector falls into on average.
-CAPS_PER_VECTOR = 32
-#: Share of the sphere in a cap, unless the largest group asks for less.
-CAP_SHARE = 1.5e-4
+#: Chance that two vectors at exactly the least cosine share a cap; pairs that are nearer have a higher one.
+RECALL = 0.999
+#: Caps of a code that a vector falls into.
+CAPS_PER_CODE = 4
 #: Unrelated vectors of the largest group in a cap.
-STRANGERS_PER_CAP = 2.0
+STRANGERS_PER_CAP = 32
+#: A group of at most so many vectors is one cap.
+EXACT = 512
+#: A code that brings together fewer pairs at the least cosine gets fewer directions: in few dimensions a cap
+#: that is narrow against the wanted angle holds back more links than strangers.
+LEAST_CODE_RECALL = 0.25
+#: Pairs on which the recall of a code is measured.
+TRIALS = 2000
 #: Members of a cap compared by one unit of work.
 BLOCK = 512
 SEED = 20160106
 
 
-def cap_height(dimensions: int, share: float) -> float:
-    """The cosine above which a random vector lies with the given chance."""
-    if dimensions < 2:
-        return 0.5
-    t = np.linspace(-1, 1, 200_001)
-    density = np.maximum(1 - t * t, 1e-300) ** ((dimensions - 3) / 2) if dimensions != 2 else 1 / np.sqrt(np.maximum(1 - t * t, 1e-6))
-    tail = np.cumsum(density[::-1])[::-1]
-    return float(t[np.searchsorted(-tail / tail[0], -share)])
-
-
-@lru_cache(maxsize=64)
-def caps_for(dimensions: int, share: float):
-    """(code of the first half, code of the second half, least sum of the two products)."""
-    height = min(cap_height(dimensions, share), 0.85)
-    if dimensions < 8:  # too few coordinates to halve: one code
-        share = max(share, 1e-3)
-        height = min(cap_height(dimensions, share), 0.85)
-        sizes, halves = (math.ceil(CAPS_PER_VECTOR / share), 1), (dimensions, 0)
-    else:
-        size = math.ceil(math.sqrt(CAPS_PER_VECTOR / share))
-        sizes, halves = (size, size), (dimensions // 2, dimensions - dimensions // 2)
-    random = np.random.default_rng([SEED, dimensions])
+@lru_cache(maxsize=256)
+def code(dimensions: int, size: int, number: int):
+    """(rotation, code vectors of the first half, of the second half); too few coordinates to halve have one code."""
+    random = np.random.default_rng([SEED, dimensions, size, number])
+    q, r = np.linalg.qr(random.standard_normal((dimensions, dimensions)))
+    half = dimensions // 2 if dimensions >= 8 else dimensions
     codes = []
-    for n, d in zip(sizes, halves):
-        code = random.standard_normal((n, max(d, 1)))
-        code /= np.linalg.norm(code, axis=1, keepdims=True)
-        codes.append(code[:, :d])
-    return codes[0], codes[1], height * (math.sqrt(2) if halves[1] else 1)
+    for n, d in ((size, half), (size if half < dimensions else 1, dimensions - half)):
+        vectors = random.standard_normal((n, d))
+        codes.append(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if d else vectors)
+    return q * np.sign(np.diag(r)), codes[0], codes[1]
 
 
-def list_decode(unit: np.ndarray, share: float) -> list[np.ndarray]:
-    """For each unit vector, the sorted numbers of its caps: all that exceed the height, and its best one."""
-    first, second, least = caps_for(unit.shape[1], share)
+def nearest_caps(unit: np.ndarray, size: int, number: int) -> np.ndarray:
+    """For each unit vector, the numbers of its nearest directions of one code."""
+    rotation, first, second = code(unit.shape[1], size, number)
+    unit = unit @ rotation
     half = first.shape[1]
-    a, b = unit[:, :half] @ first.T, unit[:, half:] @ second.T
-    order = np.argsort(-b, axis=1)
-    out = []
-    for row, other, rank in zip(a, b, order):
-        falling = other[rank]
-        hopeful = np.flatnonzero(row + falling[0] >= least)
-        if len(hopeful):
-            reach = np.searchsorted(-falling, row[hopeful] - least, side="right")
-            at = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-            caps = np.repeat(hopeful, reach) * len(second) + rank[at]
-        else:
-            caps = np.zeros(0, np.int64)
-        out.append(np.union1d(caps, [int(np.argmax(row)) * len(second) + int(rank[0])]).astype(np.int64))
-    return out
+    order, falling = [], []
+    for product in (unit[:, :half] @ first.T, unit[:, half:] @ second.T):
+        best = np.argpartition(-product, CAPS_PER_CODE - 1, axis=1)[:, :CAPS_PER_CODE] if product.shape[1] > CAPS_PER_CODE else np.tile(
+            np.arange(product.shape[1]), (len(product), 1))
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(product, best, axis=1), axis=1, kind="stable"), axis=1)
+        order.append(best)
+        falling.append(np.take_along_axis(product, best, axis=1))
+    # a pair of ranks has (i + 1) * (j + 1) - 1 pairs before it, so those beyond the number of caps cannot be among the nearest
+    i, j = np.array([(i, j) for i in range(order[0].shape[1]) for j in range(order[1].shape[1]) if (i + 1) * (j + 1) <= CAPS_PER_CODE]).T
+    best = np.argsort(-(falling[0][:, i] + falling[1][:, j]), axis=1, kind="stable")[:, :CAPS_PER_CODE]
+    return np.take_along_axis(order[0][:, i].astype(np.int64) * len(second) + order[1][:, j], best, axis=1)
+
+
+def pairs_at(cosine: float, dimensions: int, n: int, random) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at a cosine."""
+    x, u = random.standard_normal((2, n, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=256)
+def codes_for(dimensions: int, largest: int, least: float = LEAST_COSINE) -> tuple[int, int]:
+    """(code vectors of a half, number of codes) for a largest group of so many vectors; (1, 1) is one cap."""
+    if dimensions < 2 or largest <= EXACT:
+        return 1, 1
+    halved = dimensions >= 8
+    directions = largest * CAPS_PER_CODE / STRANGERS_PER_CAP
+    size = round(math.sqrt(directions)) if halved else min(round(directions), 4096)
+    while size > 1:
+        random = np.random.default_rng([SEED, dimensions, size])
+        found = []
+        for number in range(3):
+            x, y = (nearest_caps(v, size, number) for v in pairs_at(least, dimensions, TRIALS // 2, random))
+            found.append((x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean())
+        mean = float(np.mean(found))
+        recall = mean - 2 * math.sqrt(mean * (1 - mean) / (3 * (TRIALS // 2)))  # at least this, beyond sampling noise
+        if recall >= LEAST_CODE_RECALL:
+            # two at least, as single misses of a nearly perfect code are too few to be measured
+            return size, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(recall, 0.9999))))
+        size = int(size / (1.5 if halved else 2))
+    return 1, 1
+
+
+def list_decode(unit: np.ndarray, largest: int, least: float = LEAST_COSINE) -> np.ndarray:
+    """For each unit vector, the sorted numbers of its caps in all codes."""
+    size, codes = codes_for(unit.shape[1], largest, least)
+    caps = [nearest_caps(unit, size, number) + number * size * size for number in range(codes)] if size > 1 else [np.zeros((len(unit), 1), np.int64)]
+    return np.sort(np.concatenate(caps, axis=1), axis=1)
 
 
 def _read_batches(kind: str):
@@ -124,7 +153,7 @@ def _unit(data: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decode_batches(kind: str, share: float):
+def _decode_batches(kind: str, largest: int, least: float):
     def run(batches):
         import pyarrow as pa
 
@@ -136,7 +165,7 @@ def _decode_batches(kind: str, share: float):
                 at = np.flatnonzero(lengths == n)
                 for i in range(0, len(at), 1024):
                     part = at[i:i + 1024]
-                    for j, found in zip(part, list_decode(_unit([data[j] for j in part], kind), share)):
+                    for j, found in zip(part, list_decode(_unit([data[j] for j in part], kind), largest, least)):
                         caps[j] = found
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("data"),
                                               pa.array(caps, pa.list_(pa.int64()))], ["node", "label", "data", "caps"])
@@ -217,8 +246,7 @@ def link_groups(vectors: DataFrame, least: float = LEAST_COSINE, block: int = BL
         F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"),
         F.first("label").alias("label"), F.first("data").alias("data")), "vector-classes")
     largest = classes.groupBy("label", F.length("data")).count().agg(F.max("count").alias("n")).first().n or 1
-    share = min(CAP_SHARE, STRANGERS_PER_CAP / largest)
-    decoded = cut(map_arrow(classes.select("node", "label", "data"), _decode_batches(kind, share),
+    decoded = cut(map_arrow(classes.select("node", "label", "data"), _decode_batches(kind, largest, least),
                             "node bigint, label string, data binary, caps array<bigint>"), "caps")
     entries = decoded.select("node", F.explode("caps").alias("cap"), F.xxhash64("label", F.length("data")).alias("key"))
     shared = entries.groupBy("key", "cap").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn(

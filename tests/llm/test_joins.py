@@ -179,3 +179,27 @@ def test_cap_join_recall_on_a_hot_table(spark):
     want = int(np.triu(unit @ unit.T >= 0.93, 1).sum())
     assert cap_join.link_groups(table)[2].count() >= 0.999 * want
     assert table.select(F.count("*")).first()[0] == len(rows)
+
+
+def shared(x, y, largest):
+    a, b = cap_join.list_decode(x, largest), cap_join.list_decode(y, largest)
+    return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean()
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.94, 0.95])
+def test_cap_join_recall_of_pairs_planted_at_the_limit(cosine):
+    """Even vectors, and vectors with 95% of their norm in one half of the coordinates."""
+    rng = np.random.default_rng([4, int(cosine * 100)])
+    assert shared(*cap_join.pairs_at(cosine, 64, 5000, rng), 13_000) >= 0.998
+    halves = [cap_join.pairs_at(cosine, 32, 5000, rng) for _ in range(2)]
+    heavy, light = 0.95, np.sqrt(1 - 0.95 ** 2)
+    x, y = (np.concatenate([heavy * halves[0][k], light * halves[1][k]], axis=1) for k in (0, 1))
+    assert np.allclose((x * y).sum(axis=1), cosine) and shared(x, y, 13_000) >= 0.998
+
+
+def test_cap_join_links_planted_pairs(spark):
+    """One pair at 0.935 for each of 1,500 random vectors of one label, far more than are compared whole."""
+    x, y = cap_join.pairs_at(0.935, 64, 1500, np.random.default_rng(5))
+    rows = [(i, v.astype(np.float32).tolist(), 1, None) for i, v in enumerate(np.concatenate([x, y]))]
+    got = cap_join.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sum(r.component_id == r.vec_id % 1500 for r in got) >= 2997
