@@ -203,3 +203,9 @@ def test_cap_join_links_planted_pairs(spark):
     rows = [(i, v.astype(np.float32).tolist(), 1, None) for i, v in enumerate(np.concatenate([x, y]))]
     got = cap_join.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
     assert sum(r.component_id == r.vec_id % 1500 for r in got) >= 2997
+
+
+@pytest.mark.parametrize("largest", [1_000, 100_000, 1_000_000, 10_000_000])
+def test_cap_join_recall_does_not_depend_on_the_largest_group(largest):
+    for dimensions in (32, 64):
+        assert shared(*cap_join.pairs_at(0.93, dimensions, 3000, np.random.default_rng(6)), largest) >= 0.997
