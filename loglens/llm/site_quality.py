@@ -1,10 +1,13 @@
 """Quality classifier: document evidence combined with host and path posteriors (hierarchical empirical Bayes).
 
-Evidence.  A document shows indicator features: its words and the levels of a few style measures.
-On labelled documents Spark counts, per feature, how often it comes with good and with toxic
-documents; features whose counts differ beyond chance (likelihood-ratio test) get Bernoulli
-naive-Bayes weights.  A monotone map from score to probability, counted on labelled documents that the
-weights have not seen, makes both probabilities honest.  A document is good with the
+Evidence.  A document shows indicator features: its words, the levels of a few style measures and, for
+toxicity, how often (once, twice, three times) its words begin with the same 4 to 6 letters, as inflected and
+compound forms are too rare to count whole.  On labelled documents Spark counts, per language and feature, how
+often it comes with good and with toxic documents; features whose counts differ beyond chance (likelihood-ratio
+test) get Bernoulli naive-Bayes weights, over all languages and, for toxicity, for each language by itself; a
+document is judged by its own language's weights if that has any.  Each half of the labelled documents gives a
+model, and a monotone map from score to probability, counted on the half that the weights have not seen, makes
+its probabilities honest; the mean of the two models' probabilities counts.  A document is good with the
 probability of quality times that of not being toxic.
 
 Sites.  Expected good documents are summed per path and per host.  A host's mean is shrunk to the
@@ -30,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import cut, join_checked, map_arrow
 
-#: Labelled documents that the classifier may use (half for weights, half for the map).
+#: Labelled documents that the classifier may use.
 TRAIN_ROWS = 50_000
 #: Features need this many documents and this much evidence (likelihood ratio) to count.
 LEAST_DOCUMENTS = 5
@@ -51,6 +55,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _LEVELS = (0.0, 0.01, 0.03, 0.1, 0.3, 0.6)
 TARGETS = ("quality", "toxic")
+#: Lengths of the word beginnings, and the numbers of words with one that are features.
+PREFIXES = (4, 5, 6)
+TIMES = (1, 2, 3)
+#: The part of all languages together, and what precedes a language's name.
+WHOLE, LANGUAGE = "", "lang:"
 
 
 def _level(share: float) -> int:
@@ -80,69 +89,92 @@ def style(text: str) -> list[str]:
     return [f"#{k}:{_level(v)}" for k, v in shares.items()] + [f"#length:{len(words).bit_length()}"]
 
 
-def features(text: str) -> set[str]:
-    """What a document shows: its lower-cased words and its style levels."""
-    words = set(_WORD.findall(text.lower()))
+def features(text: str, wanted: set[str] | None = None) -> set[str]:
+    """What a document shows: its lower-cased words, its style levels and its word beginnings (those ``wanted``)."""
+    words = Counter(_WORD.findall(text.lower()))
+    begins: dict[str, int] = {}
+    if wanted is None or wanted:
+        for w, n in words.items():
+            for k in PREFIXES:
+                if len(w) >= k and (wanted is None or w[:k] in wanted):
+                    begins[w[:k]] = begins.get(w[:k], 0) + n
+    shown = set(words)
     if words and max(map(len, words)) > 64:
-        words = {w if len(w) <= 64 else "#long:" + hashlib.md5(w.encode()).hexdigest() for w in words}
-    words.update(style(text))
-    return words
+        shown = {w if len(w) <= 64 else "#long:" + hashlib.md5(w.encode()).hexdigest() for w in words}
+    shown.update(style(text))
+    shown.update(f"^{t}{w}" for w, n in begins.items() for t in TIMES if n >= t)
+    return shown
+
+
+#: Counters of a feature: documents with a label and with label 1, for both targets and both halves.
+_COUNTERS = [f"{kind}_{t}_{half}" for half in (0, 1) for t in TARGETS for kind in ("n", "one")]
 
 
 def _count_batches(batches):
-    """Sums per feature: documents with a label and with label 1, for both targets."""
+    """Counters per language and feature."""
     import pyarrow as pa
 
-    counts: dict[str, list] = {}
+    counts: dict[tuple, list] = {}
 
     def flush():
-        columns = [pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts.values()))]
+        part, feature = zip(*counts)
+        columns = [pa.array(part, pa.string()), pa.array(feature, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts.values()))]
         counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["feature", "n_quality", "one_quality", "n_toxic", "one_toxic"])
+        return pa.RecordBatch.from_arrays(columns, ["part", "feature", *_COUNTERS])
 
     for batch in batches:
-        for text, q, t in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            add = (q is not None, q == 1, t is not None, t == 1)
+        for text, q, t, half, part in zip(batch.column(0), *(batch.column(i).to_pylist() for i in range(1, 5))):
+            add = [(4 * half + i, x) for i, x in enumerate((q is not None, q == 1, t is not None, t == 1)) if x]
             for f in ("#all", *features(text.as_py() or "")):
-                have = counts.get(f)
+                have = counts.get((part, f))
                 if have is None:
-                    counts[f] = [*map(int, add)]
-                else:
-                    for i, x in enumerate(add):
-                        have[i] += x
+                    have = counts[part, f] = [0] * 8
+                for i, x in add:
+                    have[i] += x
             if len(counts) > 300_000:
                 yield flush()
     if counts:
         yield flush()
 
 
-def _evidence(ones: Column, n: Column, all_ones, all_n) -> Column:
+def _evidence(ones: Column, n: Column, all_ones: Column, all_n: Column) -> Column:
     """Likelihood-ratio statistic of the two-by-two table of a feature and a label."""
     def cell(x, row, column):
         return F.when(x > 0, x * F.log(x * all_n / (row * column))).otherwise(0.0)
 
-    rest, zeros = F.lit(all_n) - n, F.lit(all_n - all_ones)
-    return 2 * (cell(ones, n, F.lit(all_ones)) + cell(n - ones, n, zeros)
-                + cell(F.lit(all_ones) - ones, rest, F.lit(all_ones)) + cell(zeros - (n - ones), rest, zeros))
+    rest, zeros = all_n - n, all_n - all_ones
+    return 2 * (cell(ones, n, all_ones) + cell(n - ones, n, zeros)
+                + cell(all_ones - ones, rest, all_ones) + cell(zeros - (n - ones), rest, zeros))
 
 
 class Model:
-    """Weights, biases and probability maps of both targets."""
+    """Weights, biases and probability maps by target and part."""
 
     def __init__(self):
-        self.weights: dict[str, dict[str, float]] = {t: {} for t in TARGETS}
-        self.bias = dict.fromkeys(TARGETS, 0.0)
-        self.map: dict[str, tuple] = {}
+        self.weights: dict[tuple, dict[str, float]] = {}
+        self.bias: dict[tuple, float] = {}
+        self.map: dict[tuple, tuple] = {}
+
+    def beginnings(self) -> set[str]:
+        return {f[2:] for weights in self.weights.values() for f in weights if f[0] == "^"}
 
-    def score(self, shown: set[str], target: str) -> float:
-        weights = self.weights[target]
-        return self.bias[target] + sum(weights[f] for f in shown & weights.keys())
+    def score(self, shown: set[str], key: tuple) -> float:
+        weights = self.weights[key]
+        return self.bias[key] + sum(weights[f] for f in shown & weights.keys())
 
-    def probability(self, shown: set[str], target: str) -> float | None:
-        if target not in self.map:
-            return None
-        edges, values = self.map[target]
-        return values[min(max(_bin(self.score(shown, target)) - edges, 0), len(values) - 1)]
+    def probability(self, shown: set[str], target: str, lang: str | None) -> float | None:
+        """By the document's own language if that has a map, else by all languages; null where nothing was learned."""
+        for key in ((target, f"{LANGUAGE}{lang or ''}"), (target, WHOLE)):
+            if key in self.map:
+                edges, values = self.map[key]
+                return values[min(max(_bin(self.score(shown, key)) - edges, 0), len(values) - 1)]
+        return None
+
+
+def probability(models: list[Model], shown: set[str], target: str, lang: str | None) -> float | None:
+    """The mean over the models that have learned something of the target."""
+    known = [p for m in models if (p := m.probability(shown, target, lang)) is not None]
+    return sum(known) / len(known) if known else None
 
 
 def _bin(score: float) -> int:
@@ -166,53 +198,70 @@ def monotone(counts: list[tuple[int, int, int]]) -> tuple[int, list[float]]:
     return low, values
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """The model from at most ``rows`` labelled documents."""
+def _weigh(counts: DataFrame, whole: dict, half: int) -> Model:
+    """Weights from the counters of a half; ``whole`` has the '#all' row of each part."""
     model = Model()
-    sample = worst(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = cut(sample.withColumn("fit", F.xxhash64("doc_id", F.lit(1)) % 2 == 0), "quality-sample")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = cut(texts.join(F.broadcast(sample), "doc_id").select("text", "quality", "toxic", "fit"), "quality-texts")
-    counts = map_arrow(texts.where("fit").drop("fit"), _count_batches,
-                       "feature string, n_quality bigint, one_quality bigint, n_toxic bigint, one_toxic bigint")
-    counts = cut(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in counts.columns[1:]))
-                 .where((F.col("n_quality") >= LEAST_DOCUMENTS) | (F.col("n_toxic") >= LEAST_DOCUMENTS)), "quality-counts")
-    whole = counts.where("feature = '#all'").first()
-    if whole is None:
-        return model
     for t in TARGETS:
-        n, ones = whole[f"n_{t}"], whole[f"one_{t}"]
-        if not 0 < ones < n:
+        sums = {p: (r[f"n_{t}_{half}"], r[f"one_{t}_{half}"]) for p, r in whole.items()}
+        sums = {p: (n, ones) for p, (n, ones) in sums.items() if 0 < ones < n and (t == "toxic" or p == WHOLE)}
+        if not sums:
             continue
-        chosen = (counts.where(f"feature != '#all' and n_{t} > 0").select("feature", F.col(f"n_{t}").alias("n"), F.col(f"one_{t}").alias("ones"))
-                  .withColumn("evidence", _evidence(F.col("ones").cast("double"), F.col("n").cast("double"), float(ones), float(n)))
-                  .where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect())
-        bias = math.log(ones / (n - ones))
+        every = F.broadcast(counts.sparkSession.createDataFrame(
+            [(p, float(n), float(ones)) for p, (n, ones) in sums.items()], "part string, all_n double, all_ones double"))
+        rows = counts.where("feature != '#all'" + ("" if t == "toxic" else " and not startswith(feature, '^')"))
+        chosen = (rows.select("part", "feature", F.col(f"n_{t}_{half}").alias("n"), F.col(f"one_{t}_{half}").alias("ones")).where(F.col("n") >= LEAST_DOCUMENTS).join(every, "part")
+                  .withColumn("evidence", _evidence(F.col("ones").cast("double"), F.col("n").cast("double"), F.col("all_ones"), F.col("all_n")))
+                  .where(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "feature", "part").limit(MOST_FEATURES).collect())
         for f in chosen:
+            n, ones = sums[f.part]
+            key = t, f.part
             p1, p0 = (f.ones + 0.5) / (ones + 1), (f.n - f.ones + 0.5) / (n - ones + 1)
-            model.weights[t][f.feature] = math.log(p1 * (1 - p0) / (p0 * (1 - p1)))
-            bias += math.log((1 - p1) / (1 - p0))
-        model.bias[t] = bias
+            model.weights.setdefault(key, {})[f.feature] = math.log(p1 * (1 - p0) / (p0 * (1 - p1)))
+            model.bias[key] = model.bias.get(key, math.log(ones / (n - ones))) + math.log((1 - p1) / (1 - p0))
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Model]:
+    """The models from at most ``rows`` labelled documents, none if nothing was learned."""
+    sample = worst(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = cut(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")), "quality-sample")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    texts = cut(texts.join(F.broadcast(sample), "doc_id").select(
+        "text", "quality", "toxic", "half", F.concat(F.lit(LANGUAGE), "lang").alias("part")), "quality-texts")
+    counts = map_arrow(texts, _count_batches,
+                       "part string, feature string, " + ", ".join(f"{c} bigint" for c in _COUNTERS))
+    # each language's row and the sum over all languages in one shuffle; only counts that may reach the least are kept
+    counts = counts.select(F.explode(F.array("part", F.lit(WHOLE))).alias("part"), "feature", *_COUNTERS)
+    counts = cut(counts.groupBy("part", "feature").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
+                 .where(" or ".join(f"n_{t}_{h} >= {LEAST_DOCUMENTS}" for t in TARGETS for h in (0, 1)) + " or feature = '#all'"), "quality-counts")
+    whole = {r.part: r for r in counts.where("feature = '#all'").collect()}  # one row for each language of the sample
+    models = [_weigh(counts, whole, half) for half in (0, 1)] if whole else []
+    wanted = [m.beginnings() for m in models]
 
     def bins(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text, q, label in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                shown = features(text.as_py() or "")
-                out += [(t, _bin(model.score(shown, t)), 1, int(y == 1)) for t, y in zip(TARGETS, (q, label)) if y is not None]
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                                             ["target", "bin", "n", "ones"])
-
-    seen = (map_arrow(texts.where("not fit").drop("fit"), bins, "target string, bin bigint, n bigint, ones bigint")
-            .groupBy("target", "bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect())  # at most 242 bins each
-    for t in TARGETS:
-        mine = [(r.bin, r.n, r.ones) for r in seen if r.target == t]
-        if mine and model.weights[t]:
-            model.map[t] = monotone(mine)
-    return model
+            for text, q, label, half, part in zip(batch.column(0), *(batch.column(i).to_pylist() for i in range(1, 5))):
+                other = 1 - half
+                shown = features(text.as_py() or "", wanted[other])
+                out += [(t, p, other, _bin(models[other].score(shown, (t, p))), 1, int(y == 1)) for t, y in zip(TARGETS, (q, label))
+                        for p in (WHOLE, part) if y is not None and (t, p) in models[other].weights]
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(columns)],
+                                             ["target", "part", "model", "bin", "n", "ones"])
+
+    if any(m.weights for m in models):
+        seen = (map_arrow(texts, bins, "target string, part string, model bigint, bin bigint, n bigint, ones bigint")
+                .groupBy("target", "part", "model", "bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect())  # at most 242 bins each
+        found: dict[tuple, list] = {}
+        for r in seen:
+            found.setdefault((r.model, r.target, r.part), []).append((r.bin, r.n, r.ones))
+        for (m, t, p), mine in found.items():
+            models[m].map[t, p] = monotone(mine)
+    return [m for m in models if m.map]
 
 
 def worst(labels: DataFrame) -> DataFrame:
@@ -221,21 +270,22 @@ def worst(labels: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def scored(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
     """``row``, id, host, path and the probabilities of both targets (null where nothing was learned)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
+        wanted = set().union(*(x.beginnings() for x in m))
         for batch in batches:
             q, t = [], []
-            for text in batch.column("_text"):
-                shown = features(text.as_py() or "")
-                q.append(m.probability(shown, "quality"))
-                t.append(m.probability(shown, "toxic"))
-            names = [n for n in batch.schema.names if n != "_text"]
+            for text, lang in zip(batch.column("_text"), batch.column("_lang").to_pylist()):
+                shown = features(text.as_py() or "", wanted)
+                q.append(probability(m, shown, "quality", lang))
+                t.append(probability(m, shown, "toxic", lang))
+            names = [n for n in batch.schema.names if n not in ("_text", "_lang")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(q, pa.float64()), pa.array(t, pa.float64())],
                                              [*names, "p_quality", "p_toxic"])
 
@@ -244,7 +294,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                        F.substring_index(source, "/", 1).alias("host"),
                        F.concat(F.regexp_extract(source, r"(?s)^[^/]*(/.*/|)", 1), F.lit("|"),
                                 F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("path"),
-                       F.col("text").cast("string").alias("_text"))
+                       F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     schema = (f"row {rows.schema['row'].dataType.simpleString()}, id bigint, host string, path string, "
               "p_quality double, p_toxic double")
     return map_arrow(rows, run, schema)
@@ -282,11 +332,11 @@ def site_posteriors(documents: DataFrame):
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
     """``row``, ``p_quality``, ``p_toxic``, ``p_document`` (its own evidence), ``p_site``, ``posterior`` and ``kept``."""
-    model = learn(docs, labels, rows)
-    documents = cut(scored(docs, model, keep), "quality-scores")
+    models = learn(docs, labels, rows)
+    documents = cut(scored(docs, models, keep), "quality-scores")
     own = F.coalesce("p_quality", F.lit(1.0)) * (1 - F.coalesce("p_toxic", F.lit(0.0)))
     documents = documents.withColumn("p_document", F.least(F.greatest(own, F.lit(1e-6)), F.lit(1 - 1e-6)))
-    if not model.map:
+    if not models:
         return documents.withColumn("p_site", F.lit(None).cast("double")).withColumn("posterior", F.col("p_document")).withColumn("kept", F.lit(True))
     known = worst(labels).select(F.col("doc_id").alias("id"), F.when(
         F.col("quality").isNotNull() | F.col("toxic").isNotNull(),

@@ -130,6 +130,18 @@ def test_classifier_rejects_toxic_and_keeps_clean(spark):
     assert all(kept[i] == (i % 6 != 0) for i in kept)
 
 
+def test_toxic_labels_of_each_language_held_out(spark):
+    """Half of the labels teach; of the other half at least 0.8 of the toxic go and 0.95 of the clean stay, in each language."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 1
+    judged = site_quality.judge(docs, labels.where(~out), ["doc_id", "lang"]).select("row.*", "kept").join(labels.where(out), "doc_id")
+    sums = {(r.lang, r.toxic): r.kept for r in judged.where("quality = 1 or toxic = 1").groupBy("lang", "toxic").agg(
+        F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert {lang for lang, _ in sums} == {"en", "de", "fr", "es"}
+    assert all(kept <= 0.2 if toxic else kept >= 0.95 for (_, toxic), kept in sums.items()), sums
+
+
 def test_posteriors_shrink_sparse_sites(spark):
     rows = [("good", "|", 1.0)] * 400 + [("bad", "|", 0.0)] * 200 + [("bad", "/x/|", 1.0)] * 2 + [("tiny", "|", 0.0)]
     sites, pi, host_k, path_k = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, good double"))
