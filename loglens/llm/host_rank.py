@@ -3,13 +3,18 @@
 Rules decide the pages they fit.  For the rest, two personalised PageRanks run over the graph of hosts:
 trust starts on hosts with pages that a rule allows and follows the edges; distrust starts on
 hosts with pages that a rule blocks and follows the edges backwards (who points at a bad host
-is suspect).  Both start with the share of all pages that the rules judged so, hence the two scores of a
-host compare directly: a host with more distrust than ``ratio`` times its trust is blocked.
+is suspect).  Both start with the number of pages that the rules judged so, hence the two scores of a
+host compare directly: a host with more distrust than ``ratio`` times its trust is blocked.  Scores are
+not rounded or divided by the size of the table; they are compared up to a relative ``TOLERANCE``.
+
+Rounds go on until no score grows by more than ``SETTLED`` of itself, so trust and distrust reach every
+host they can reach, however long the way (0.85 a link: doubles end after about 4,000 links).
 
 Edges: links from a page to another host (weighted by the pages that carry the link), and each host
 with the domain above it, both ways, as hosts of one domain share an owner.  Relative links
 stay on the host and add no edge.  Everything is DataFrame work on the (host, host) table, which a
-map-side sum shrinks before any shuffle; a rank round is one join and one sum.
+map-side sum shrinks before any shuffle; a rank round is one join and one sum.  A graph of at most ``SMALL`` edges
+runs the same rounds in the driver's memory.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is
 allowed, as it has no host to hold anything against; a null html has no links; repeated rows are
@@ -18,6 +23,7 @@ judged alike; null page ids are kept; extra columns are not read; an empty table
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +38,13 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS = 10
+#: Rounds end when no score changes by more than this share of itself.
+SETTLED = 1e-11
+#: Relative difference up to which trust and distrust count as equal, far above what unsettled rounds and the
+#: order of sums leave.
+TOLERANCE = 1e-9
+#: Edges (both directions) up to which the rounds run in the driver.
+SMALL = 100_000
 RATIO = 1.0
 #: Rules become one expression; longer lists belong in a table joined on host suffixes.
 MOST_RULES = 1000
@@ -84,8 +96,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(above).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from ``edges`` (src, dst, weight) and ``seeds`` (host, trust, distrust).
+def _settle(messages: DataFrame, start: DataFrame, damping: float, rounds: int | None) -> DataFrame:
+    """The rounds of ``propagate`` in the driver, for small graphs."""
+    edges, seeds = messages.toArrow(), start.toArrow()
+    hosts = seeds["host"].to_pylist()
+    at = {h: i for i, h in enumerate(hosts)}
+    sender, receiver = (np.array([at[h] for h in edges[c].to_pylist()], np.int64) for c in ("sender", "receiver"))
+    ranks = []
+    for kind in ("trust", "distrust"):
+        share, seed = edges[f"{kind}_share"].to_numpy(), seeds[f"{kind}_seed"].to_numpy().astype(float)
+        rank, done = seed, 0
+        while rounds is None or done < rounds:
+            new = (1 - damping) * seed + damping * np.bincount(receiver, rank[sender] * share, len(hosts))
+            change, rank, done = np.abs(new - rank), new, done + 1
+            if rounds is None and (change <= SETTLED * new).all():
+                break
+        ranks.append(rank)
+    return start.sparkSession.createDataFrame(list(zip(hosts, *(r.tolist() for r in ranks))), "host string, trust double, distrust double")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, small: int = SMALL) -> DataFrame:
+    """(host, trust, distrust) from ``edges`` (src, dst, weight) and ``seeds`` (host, trust, distrust), after the
+    rounds given or else when all scores have settled.
 
     A message table holds each edge once forwards (for trust) and once backwards (for distrust), with the
     share of its sender.  The mass of hosts without edges in a direction leaves the graph.
@@ -105,8 +137,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
                                              F.lit(0.0).alias("distrust_seed")).distinct())
                 .groupBy("host").agg(F.sum("trust_seed").alias("trust_seed"), F.sum("distrust_seed").alias("distrust_seed")),
                 "host-seeds")
+    if messages.count() <= small and start.count() <= small:
+        return _settle(messages, start, damping, rounds)
     rank = start.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    for _ in range(rounds):
+    moves = F.lit(False)
+    for kind in ("trust", "distrust"):
+        moves = moves | (F.abs(F.col(kind) - F.col(f"{kind}_before")) > SETTLED * F.col(kind))
+    done = 0
+    while rounds is None or done < rounds:
         got = (messages.join(rank, messages.sender == rank.host).groupBy("receiver").agg(
             F.sum(F.col("trust") * F.col("trust_share")).alias("trust_in"),
             F.sum(F.col("distrust") * F.col("distrust_share")).alias("distrust_in")))
@@ -115,24 +153,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             return (F.lit(1 - damping) * F.col(f"{kind}_seed")
                     + F.lit(damping) * F.coalesce(F.col(f"{kind}_in"), F.lit(0.0))).alias(kind)
 
-        rank = cut(start.join(got, start.host == got.receiver, "left").select("host", mixed("trust"), mixed("distrust")),
-                   "host-rank")
+        before = rank.select(F.col("host").alias("same"), F.col("trust").alias("trust_before"), F.col("distrust").alias("distrust_before"))
+        step = cut(start.join(got, start.host == got.receiver, "left").join(before, start.host == before.same)
+                   .select("host", mixed("trust"), mixed("distrust"), "trust_before", "distrust_before"), "host-rank")
+        rank, done = step.select("host", "trust", "distrust"), done + 1
+        if rounds is None and step.where(moves).isEmpty():
+            break
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust, for every page."""
     parsed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"),
                           path_of(F.col("url")).alias("path"), link_hosts(F.col("html")).alias("links"))
     parsed = cut(parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), "pages-parsed")
-    total = F.lit(float(max(parsed.count(), 1)))
     seeds = parsed.where("host != ''").groupBy("host").agg(
-        (F.count(F.when(F.col("fit.verdict") == "allow", 1)) / total).alias("trust"),
-        (F.count(F.when(F.col("fit.verdict") == "block", 1)) / total).alias("distrust"))
+        F.count(F.when(F.col("fit.verdict") == "allow", 1)).cast("double").alias("trust"),
+        F.count(F.when(F.col("fit.verdict") == "block", 1)).cast("double").alias("distrust"))
     rank = propagate(cut(host_edges(parsed), "host-edges"), seeds, damping, rounds)
-    # rounded, as the order of a sum over partitions moves its last digits
-    scores = rank.select("host", F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
-    joined = join_checked(parsed.drop("links"), scores, ["host"], "left", "host-scores")
-    own = F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow")
+    joined = join_checked(parsed.drop("links"), rank, ["host"], "left", "host-scores")
+    own = F.when(F.col("distrust") > F.col("trust") * (ratio * (1 + TOLERANCE)), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
                          F.coalesce(F.col("fit.verdict"), own).alias("verdict"), "trust", "distrust")

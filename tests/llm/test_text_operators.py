@@ -226,6 +226,21 @@ def test_propagation_equals_dense_iteration(spark):
     assert all(math.isclose(got[h][k], rank[h][k], abs_tol=1e-9) for h in got for k in (0, 1)) and {"h0", "h5", "alone"} <= set(got)
 
 
+def test_distrust_goes_all_the_way_back(spark):
+    """Forty hosts in a chain that ends at a blocked one; no other host is linked to."""
+    rows = [(i, f"http://h{i}.net/", f"<a href=http://h{i + 1}.net/>") for i in range(40)] + [(40, "http://h40.net/", "<a href=http://bad.com/>"), (41, "http://bad.com/de/", "")]
+    got = host_rank.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert [r.page_id for r in got if r.verdict != "block"] == []
+
+
+def test_rounds_in_the_driver_equal_rounds_in_spark(spark):
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(13)] + [("h13", "x", 2.0), ("x", "h13", 1.0), ("h13", "h2", 1.0)]
+    frames = (spark.createDataFrame(edges, "src string, dst string, weight double"),
+              spark.createDataFrame([("x", 0.0, 3.0), ("h4", 2.0, 0.0)], "host string, trust double, distrust double"))
+    a, b = ({r.host: (r.trust, r.distrust) for r in host_rank.propagate(*frames, damping=0.3, small=n).collect()} for n in (0, 1000))
+    assert a.keys() == b.keys() and all(math.isclose(x, y, rel_tol=1e-10) for h in a for x, y in zip(a[h], b[h])) and a["h0"][1] > 0
+
+
 def test_urls_awkward_rows(spark):
     schema = "page_id bigint, url string, html string, host string, rule int"
     rows = [(None, None, None, None, None), (1, "nothing", "", "x", 1), (1, "nothing", "", "x", 1), (2, "://", None, None, None),
