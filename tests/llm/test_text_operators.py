@@ -241,6 +241,14 @@ def test_rounds_in_the_driver_equal_rounds_in_spark(spark):
     assert a.keys() == b.keys() and all(math.isclose(x, y, rel_tol=1e-10) for h in a for x, y in zip(a[h], b[h])) and a["h0"][1] > 0
 
 
+def test_distrust_counts_however_little_of_it_is_left(spark):
+    """Six links to a blocked host, each time one of a hundred: 1e-12 of its distrust, still more than no trust."""
+    rows = [(100 * level + i, f"http://h{level}x{i}.net/", f"<a href=http://{f'h{level - 1}x0.net' if level else 'bad.com'}/>")
+            for level in range(6) for i in range(100)] + [(600, "http://bad.com/de/", "")]
+    got = host_rank.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 601 and [r.page_id for r in got if r.verdict != "block"] == []
+
+
 def test_urls_awkward_rows(spark):
     schema = "page_id bigint, url string, html string, host string, rule int"
     rows = [(None, None, None, None, None), (1, "nothing", "", "x", 1), (1, "nothing", "", "x", 1), (2, "://", None, None, None),
