@@ -73,30 +73,28 @@ def style(text: str) -> list[str]:
     lines = [x for x in text.split("\n") if x.strip()]
     top = 0
     if words:
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        top = max(counts.values())
+        top = max(Counter(words).values())
     shares = {
-        "symbols": sum(1 for w in words if _SYMBOLS.search(w)) / n,
+        "symbols": sum(1 for w in words if _SYMBOLS.search(w)) / n if _SYMBOLS.search(text) else 0.0,
         "shout": sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
         "bangs": sum(1 for w in words if w.endswith("!!")) / n,
         "again": sum(1 for a, b in zip(words, words[1:]) if a == b) / n,
         "top": top / n if n >= 20 else 0.0,
         "lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
-        "digits": sum(1 for w in words if any(c.isdigit() for c in w)) / n,
+        "digits": sum(1 for w in words if not w.isalpha() and any(c.isdigit() for c in w)) / n,
     }
     return [f"#{k}:{_level(v)}" for k, v in shares.items()] + [f"#length:{len(words).bit_length()}"]
 
 
-def features(text: str, wanted: set[str] | None = None) -> set[str]:
-    """What a document shows: its lower-cased words, its style levels and its word beginnings (those ``wanted``)."""
+def features(text: str, wanted: dict[str, set] | None = None) -> set[str]:
+    """What a document shows: its lower-cased words, its style levels and its word beginnings (those ``wanted``, by the shortest)."""
     words = Counter(_WORD.findall(text.lower()))
     begins: dict[str, int] = {}
-    if wanted is None or wanted:
-        for w, n in words.items():
+    for w, n in words.items():
+        mine = None if wanted is None else wanted.get(w[:PREFIXES[0]], ())
+        if mine != ():
             for k in PREFIXES:
-                if len(w) >= k and (wanted is None or w[:k] in wanted):
+                if len(w) >= k and (mine is None or w[:k] in mine):
                     begins[w[:k]] = begins.get(w[:k], 0) + n
     shown = set(words)
     if words and max(map(len, words)) > 64:
@@ -155,9 +153,6 @@ class Model:
         self.bias: dict[tuple, float] = {}
         self.map: dict[tuple, tuple] = {}
 
-    def beginnings(self) -> set[str]:
-        return {f[2:] for weights in self.weights.values() for f in weights if f[0] == "^"}
-
     def score(self, shown: set[str], key: tuple) -> float:
         weights = self.weights[key]
         return self.bias[key] + sum(weights[f] for f in shown & weights.keys())
@@ -171,6 +166,14 @@ class Model:
         return None
 
 
+def beginnings(models: list[Model]) -> dict[str, set]:
+    """The word beginnings with weights, by their first letters."""
+    out: dict[str, set] = {}
+    for f in {f for m in models for weights in m.weights.values() for f in weights if f[0] == "^"}:
+        out.setdefault(f[2:2 + PREFIXES[0]], set()).add(f[2:])
+    return out
+
+
 def probability(models: list[Model], shown: set[str], target: str, lang: str | None) -> float | None:
     """The mean over the models that have learned something of the target."""
     known = [p for m in models if (p := m.probability(shown, target, lang)) is not None]
@@ -237,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Mo
                  .where(" or ".join(f"n_{t}_{h} >= {LEAST_DOCUMENTS}" for t in TARGETS for h in (0, 1)) + " or feature = '#all'"), "quality-counts")
     whole = {r.part: r for r in counts.where("feature = '#all'").collect()}  # one row for each language of the sample
     models = [_weigh(counts, whole, half) for half in (0, 1)] if whole else []
-    wanted = [m.beginnings() for m in models]
+    wanted = [beginnings([m]) for m in models]
 
     def bins(batches):
         import pyarrow as pa
@@ -278,7 +281,7 @@ def scored(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
-        wanted = set().union(*(x.beginnings() for x in m))
+        wanted = beginnings(m)
         for batch in batches:
             q, t = [], []
             for text, lang in zip(batch.column("_text"), batch.column("_lang").to_pylist()):
