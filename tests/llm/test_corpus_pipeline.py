@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglens.llm import dart_minhash, tier_packing
@@ -44,6 +45,24 @@ def test_stages_against_brute_force(spark):
         assert at == len(ids)
 
 
+def test_toxic_labels_decide(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    kept = cut(corpus_pipeline.quality_classifier(spark, docs, "/root/testdata/sf0.01"), "test-kept").select("doc_id", F.lit(True).alias("kept"))
+    labels = table(spark, "/root/testdata/sf0.01", "labels").join(kept, "doc_id", "left").fillna(False, ["kept"])
+    sums = {r.toxic: (r.n, r.k) for r in labels.where("quality = 1 or toxic = 1").groupBy("toxic").agg(
+        F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+    assert sums[1][1] <= 0.05 * sums[1][0] and sums[0][1] >= 0.95 * sums[0][0]
+
+
+def test_toxic_labels_decide_in_each_language(spark):
+    path = "/root/testdata/sf0.1"
+    docs = table(spark, path, "documents")
+    kept = cut(corpus_pipeline.quality_classifier(spark, docs, path), "test-kept").select("doc_id", F.lit(1).alias("kept"))
+    labels = table(spark, path, "labels").join(docs.select("doc_id", "lang"), "doc_id").join(kept, "doc_id", "left").fillna(0, ["kept"])
+    sums = {(r.lang, r.toxic): r.kept for r in labels.where("quality = 1 or toxic = 1").groupBy("lang", "toxic").agg(F.avg("kept").alias("kept")).collect()}
+    assert len(sums) == 8 and all(kept <= 0.05 if toxic else kept >= 0.95 for (_, toxic), kept in sums.items()), sums
+
+
 #: Insults planted in the toxic documents of the table.
 INSULTS = ["idiot", "loser", "trash", "pathetic", "worthless", "moron", "scum", "clown"]
 
