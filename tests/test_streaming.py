@@ -24,3 +24,23 @@ def test_stream_scores_each_file_and_appends_history(spark, scratch):
     assert hist.count() == expected
     assert sorted(r.id for r in hist.select("id").collect()) == list(range(1, expected + 1))
     assert spark.read.parquet(f"{scratch}/preds").select("batch_id").distinct().count() == 2
+
+
+def test_registered_stream_has_no_clock(spark, monkeypatch):
+    """A stream slower than any limit: a wait with a limit comes back unfinished."""
+    from loglens.plans import catalog
+
+    start = catalog.start_scoring
+
+    class Slow:
+        def __init__(self, query):
+            self.query = query
+
+        def awaitTermination(self, timeout=None):
+            return self.query.awaitTermination() if timeout is None else False
+
+        def __getattr__(self, name):
+            return getattr(self.query, name)
+
+    monkeypatch.setattr(catalog, "start_scoring", lambda *a, **k: Slow(start(*a, **k)))
+    assert catalog.q_stream_history(spark, SF).count() > 0
