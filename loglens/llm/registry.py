@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import (bitmask_langid, cap_join, chunk_bpe, dart_minhash, fertility, host_rank, pii_bootstrap, preference,
-                         site_quality, tier_packing)
+from loglens.llm import (bitmask_langid, cap_join, chunk_bpe, dart_minhash, fertility, host_rank, pair_bitmaps, pii_bootstrap,
+                         preference, site_quality, tier_packing)
 from loglens.llm.common import table
 
 
@@ -63,6 +63,12 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = pair_bitmaps.align(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return aligned.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
+                          "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_site_quality": op1_site_quality,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_host_rank": op8_host_rank,
     "op9_bitmask_langid": op9_bitmask_langid,
     "op10_tier_packing": op10_tier_packing,
+    "op13_pair_bitmaps": op13_pair_bitmaps,
 }
 
 ORACLE = {
