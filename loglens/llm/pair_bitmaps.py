@@ -9,9 +9,9 @@ plane ``i``, summed, is its number of links.
 
 How it runs: one Arrow pass tokenises the texts and writes, per block of a task's documents, the documents'
 own numbers and one posting a pair (bitmaps of pieces of a block are OR-merged in the task; blocks hold different
-documents, so counts of blocks add).  The counts of a pair are a grouped sum over its postings.  Postings
-are then joined with the counts of their pair, dealt by block and read back, bit by bit, into the scores of the block's
-documents.  A pair that occurs everywhere has one posting a block; a block holds at most
+documents, so counts of blocks add).  The counts of a pair are a grouped sum over its postings.  The counts
+are joined to the keys of the postings and meet the bitmaps by block, where postings are read back, bit by bit, into the
+scores of the block's documents.  A pair that occurs everywhere has one posting a block; a block holds at most
 ``BLOCK_DOCUMENTS`` documents and about ``BLOCK_ENTRIES`` (pair, document) entries, whatever the corpus.
 
 Exactness of the cutting: a text is cut where a character that is no white space meets a blank, tab or
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,15 +38,18 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import cut, map_arrow, text_of, tokenizer_path
 from loglens.llm.wordcode import _byte_letters
+from loglens.session import ship_package
 
 #: A block of documents is closed at this many documents, or entries (pairs of a document).
 BLOCK_DOCUMENTS = 1 << 16
-BLOCK_ENTRIES = 3_000_000
+BLOCK_ENTRIES = 2_000_000
 #: Links that are gathered before they are counted per (pair, document).
 GATHERED_LINKS = 1_000_000
 #: Distinct chunks that a task remembers, and their characters.
-MOST_CHUNKS = 150_000
+MOST_CHUNKS = 250_000
 MOST_CHARACTERS = 8_000_000
+#: Chunks that are looked up at once.
+CHUNKS_AT_ONCE = 20_000
 #: Characters of a text that are read at a time.
 SEGMENT = 1_000_000
 
@@ -64,22 +68,42 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[list[str]]:
         start = end
 
 
+def byte_encoder(path: str):
+    """The encoder of a byte-level tokenizer file and the bytes of its ids.
+
+    Where the file's merges make its ids in order, merging by the smallest id is merging by the file's rules; the
+    ids then come from tiktoken, which costs a chunk a quarter of the time.  Other files are refused.
+    """
+    import json
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    letters = {letter: byte for byte, letter in _byte_letters().items()}
+    special = {t["content"] for t in conf["added_tokens"]}
+    vocabulary = {t: i for t, i in conf["model"]["vocab"].items() if t not in special}
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in conf["model"]["merges"]]
+    before = conf["pre_tokenizer"]
+    if (merged != list(range(len(letters), len(letters) + len(merged))) or len(vocabulary) != len(letters) + len(merged)
+            or conf["normalizer"] or before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]):
+        raise ValueError(f"{path}: not a byte-level vocabulary whose ids follow its merges")
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
+    spelled = [b""] * (1 + max([*ranks.values(), *(t["id"] for t in conf["added_tokens"])]))
+    for data, i in ranks.items():
+        spelled[i] = data
+    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), spelled
+
+
 class Aligner:
     """Alignments of chunks, each distinct chunk worked out once while the table holds it."""
 
     def __init__(self, byte_path: str, piece_path: str, most: int = MOST_CHUNKS):
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        letters = {letter: byte for byte, letter in _byte_letters().items()}
-        vocabulary = self.a.get_vocab()
-        self.a_length = [0] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_length[i] = len(token) if all(c in letters for c in token) else len(token.encode())
+
+        self.a, spelled_a = byte_encoder(byte_path)
+        self.a_length = np.array([len(x) for x in spelled_a])
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -87,6 +111,7 @@ class Aligner:
             if "\t" in piece or "\n" in piece or re.search("[^▁]▁", piece):
                 raise ValueError(f"{piece_path}: piece {piece!r} crosses a cut")
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.b_length = np.array([len(x) for x in self.b_bytes])
         self.blank = self.b.piece_to_id("▁")
         self.most = most
         self.clear()
@@ -105,56 +130,56 @@ class Aligner:
         return chunk[1:] if chunk[0] == " " else chunk
 
     def _learn(self, chunks: list[str]) -> None:
-        tokens_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        tokens_a = list(map(self.a.encode_ordinary, chunks))
         tokens_b = self.b.encode([self.pieces(c) for c in chunks], num_threads=1)
-        end = self.count + len(chunks)
+        tokens_b = [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, tokens_b)]
+        bad = np.zeros(len(chunks), bool)
+        spelled = self.b_bytes.__getitem__
+        if b"".join(map(spelled, chain.from_iterable(tokens_b))) != "".join(chunks).encode():
+            bad[:] = [b"".join(map(spelled, ids)) != c.encode() for c, ids in zip(chunks, tokens_b)]
+            for i in np.flatnonzero(bad).tolist():
+                tokens_a[i], tokens_b[i] = [], []
+        n_a, n_b = (np.fromiter(map(len, t), np.int64, len(chunks)) for t in (tokens_a, tokens_b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), np.int64) for t in (tokens_a, tokens_b))
+        groups, links, shown = self._align(ids_a, n_a, ids_b, n_b)
+        end, last = self.count + len(chunks), self.filled + int(links.sum())
         while end > len(self.start):
             for name in ("start", "sizes", "bad"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        found: list[int] = []
-        for i, (chunk, ids_a, ids_b) in enumerate(zip(chunks, tokens_a, tokens_b), self.count):
-            if chunk == " ":
-                ids_b = [self.blank]
-            elif chunk[0] != " ":
-                ids_b = ids_b[1:]
-            bad = b"".join(map(self.b_bytes.__getitem__, ids_b)) != chunk.encode()
-            before = len(found)
-            groups, shown = (0, b"") if bad else self._align(ids_a, ids_b, found)
-            self.bad[i] = bad
-            self.start[i] = self.filled + before
-            self.sizes[i] = len(ids_a), len(ids_b), groups, len(found) - before
-            self.number[chunk] = i
-            self.held += len(chunk)
-            self.shown.append(shown)
-        last = self.filled + len(found)
         while last > len(self.links):
             self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-        self.links[self.filled:last] = found
+        at = slice(self.count, end)
+        self.start[at] = self.filled + np.cumsum(links) - links
+        self.sizes[at] = np.stack([n_a, n_b, groups, links], 1)
+        self.bad[at] = bad
+        self.links[self.filled:last] = self._pairs
+        self.shown += shown
+        self.number.update(zip(chunks, range(self.count, end)))
+        self.held += sum(map(len, chunks))
         self.count, self.filled = end, last
 
-    def _align(self, ids_a, ids_b, found: list[int]) -> tuple[int, bytes]:
-        """Walks both token lists at once; every step's two tokens overlap."""
-        length_a, bytes_b = self.a_length, self.b_bytes
-        i = j = first_a = first_b = groups = 0
-        end_a, end_b = length_a[ids_a[0]], len(bytes_b[ids_b[0]])
-        shown = []
-        while True:
-            found.append(ids_a[i] << 16 | ids_b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += length_a[ids_a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += len(bytes_b[ids_b[j]])
-            else:
-                i, j, groups = i + 1, j + 1, groups + 1
-                shown.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
-                first_a, first_b = i, j
-                if i == len(ids_a):
-                    return groups, ";".join(shown).encode()
-                end_a += length_a[ids_a[i]]
-                end_b += len(bytes_b[ids_b[j]])
+    def _align(self, ids_a, n_a, ids_b, n_b) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Groups, links and shown groups of chunks that are laid end to end; both tokenizers spell the same bytes."""
+        end_a, end_b = np.cumsum(self.a_length[ids_a]), np.cumsum(self.b_length[ids_b])
+        ends = np.unique(np.concatenate([end_a, end_b]))  # a stretch between two ends lies in one token of each
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        self._pairs = (ids_a[at_a] << 16 | ids_b[at_b]).astype(np.uint32)
+        chunk_a = np.repeat(np.arange(len(n_a)), n_a)
+        shared = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)] if len(ends) else ends
+        links = np.bincount(chunk_a[at_a], minlength=len(n_a))
+        groups = np.bincount(chunk_a[np.searchsorted(end_a, shared)], minlength=len(n_a))
+        # every token as "id" and the mark after it, A's tokens of a group before B's
+        key = np.concatenate([np.searchsorted(shared, end_a) * 2, np.searchsorted(shared, end_b) * 2 + 1])
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], np.concatenate([ids_a, ids_b])[order]
+        last = np.r_[key[1:] != key[:-1], True][:len(key)]
+        marks = np.where(last, np.where(key % 2 == 0, "|", ";"), ",").tolist()
+        text = [""] * (2 * len(ids))
+        text[::2], text[1::2] = map(str, ids.tolist()), marks
+        bound = [0, *(2 * np.cumsum(n_a + n_b)).tolist()]
+        shown = ["".join(text[lo:hi])[:-1].encode() for lo, hi in zip(bound, bound[1:])]
+        return groups, links, shown
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """A number for each chunk; numbers hold until the next call."""
@@ -189,6 +214,65 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+class Reading:
+    """What has been read of a text: tokens of A and B, groups and links, the digest, the linked pairs."""
+
+    def __init__(self, good: bool):
+        self.good, self.total, self.digest = good, np.zeros(4, np.int64), hashlib.sha256()
+        self.links: list[np.ndarray] = []
+        self.size = 0
+        self.merged = None  # distinct pairs and their links, of a long text
+
+    def add(self, table: Aligner, numbers: np.ndarray) -> None:
+        if not self.good or table.bad[numbers].any():
+            self.good, self.links, self.merged = False, [], None
+            return
+        if self.total[0]:
+            self.digest.update(b";")
+        self.total += table.sizes[numbers].sum(0)
+        self.digest.update(b";".join(map(table.shown.__getitem__, numbers.tolist())))
+        self.links.append(table.linked(numbers))
+        self.size += len(self.links[-1])
+        if self.size >= GATHERED_LINKS:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts = counted(np.concatenate(self.links))
+        if self.merged:
+            keys, counts = counted(np.r_[self.merged[0], keys], np.r_[self.merged[1], counts])
+        self.links, self.size, self.merged = [], 0, (keys, counts)
+
+
+def read(texts, table: Aligner) -> Iterator[Reading]:
+    """Readings of the texts in order; chunks of neighbouring texts are looked up together."""
+    waiting: list[Reading] = []
+    units: list[tuple[Reading, list[str]]] = []
+    size = 0
+
+    def settle() -> None:
+        numbers = table.numbers([c for _, chunks in units for c in chunks])
+        at = 0
+        for reading, chunks in units:
+            reading.add(table, numbers[at:at + len(chunks)])
+            at += len(chunks)
+        units.clear()
+
+    for text in texts:
+        reading = Reading(bool(text))
+        waiting.append(reading)
+        for chunks in segments(" " + text) if text else ():
+            units.append((reading, chunks))
+            size += len(chunks)
+            if size >= CHUNKS_AT_ONCE:
+                settle()
+                size = 0
+        if not units:
+            yield from waiting
+            waiting.clear()
+    settle()
+    yield from waiting
+
+
 def container(documents: np.ndarray) -> bytes:
     """A compressed bitmap: the sorted numbers, or the plain bitmap where that is no longer."""
     if 2 * len(documents) < _BITMAP_BYTES:
@@ -214,18 +298,26 @@ class Block:
         self.keys = np.zeros(0, np.uint64)
         self.counts = np.zeros(0, np.int64)
 
-    def add(self, slot: int, pairs: np.ndarray) -> None:
-        self.raw.append(pairs.astype(np.uint64) << np.uint64(16) | np.uint64(slot))
-        self.raw_size += len(pairs)
+    def add(self, slot: int, reading: Reading) -> None:
+        if reading.merged:
+            reading.links and reading.merge()
+            self.merge(reading.merged[0].astype(np.uint64) << np.uint64(16) | np.uint64(slot), reading.merged[1])
+            return
+        for pairs in reading.links:
+            self.raw.append(pairs.astype(np.uint64) << np.uint64(16) | np.uint64(slot))
+            self.raw_size += len(pairs)
         if self.raw_size >= GATHERED_LINKS:
             self.merge()
 
-    def merge(self) -> None:
-        """OR-merges what was gathered into the block's entries (pair and document in order, links)."""
+    def merge(self, *more: np.ndarray) -> None:
+        """OR-merges what was gathered (and counted entries) into the block's entries: pair and document in order, links."""
+        parts = [more] if more else []
         if self.raw:
-            keys, counts = counted(np.concatenate(self.raw))
+            parts.append(counted(np.concatenate(self.raw)))
             self.raw, self.raw_size = [], 0
-            self.keys, self.counts = counted(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
+        if parts:
+            keys, counts = zip((self.keys, self.counts), *parts)
+            self.keys, self.counts = counted(np.concatenate(keys), np.concatenate(counts))
 
     def postings(self) -> Iterator[tuple[int, int, int, list[bytes]]]:
         """pair, documents, links and planes, in the order of pairs."""
@@ -289,23 +381,12 @@ def _index(paths: tuple, row_type: str):
                          ("b", pa.int32()), ("documents", pa.int64()), ("links", pa.int64()), ("planes", pa.list_(pa.binary()))]
                 names = [name for name, _ in types]
             done, blocks, slots, digests = [], [], [], []
-            kept, first = batch.column(0), 0
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                total, digest, pairs, good = np.zeros(4, np.int64), hashlib.sha256(), [], bool(text)
-                for k, chunks in enumerate(segments(" " + text) if text else ()):
-                    numbers = table.numbers(chunks)
-                    good = good and not table.bad[numbers].any()
-                    if not good:
-                        break
-                    total += table.sizes[numbers].sum(0)
-                    digest.update((b";" if k else b"") + b";".join([table.shown[n] for n in numbers.tolist()]))
-                    pairs.append(table.linked(numbers))
+            for reading in read((t.as_py() for t in batch.column(1)), table):
+                good = reading.good
                 if good:
-                    for p in pairs:
-                        opened.add(slot, p)
-                done.append(total if good else np.zeros(4, np.int64))
-                digests.append(digest.hexdigest() if good else "")
+                    opened.add(slot, reading)
+                done.append(reading.total if good else np.zeros(4, np.int64))
+                digests.append(reading.digest.hexdigest() if good else "")
                 blocks.append(block)
                 slots.append(slot)
                 slot += 1
@@ -316,7 +397,7 @@ def _index(paths: tuple, row_type: str):
                     block, slot, opened = block + 1, 0, Block()
             if done:
                 sums = np.array(done)
-                yield batch_of({"block": pa.array(blocks, pa.int64()), "slot": pa.array(slots, pa.int32()), "row": kept,
+                yield batch_of({"block": pa.array(blocks, pa.int64()), "slot": pa.array(slots, pa.int32()), "row": batch.column(0),
                                 **{name: pa.array(sums[:, i]) for i, name in enumerate(_NUMBERS)},
                                 "groups_sha256": pa.array(digests)}, len(done))
         if types is not None:
@@ -352,63 +433,52 @@ def pair_counts(postings: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(top), "b").select("a", "b", "documents", "links", (F.col("links") == F.col("top")).alias("best"))
 
 
-def _scores(batches) -> Iterator:
-    """Reads postings of one block after the other back into its documents' scores."""
+def _scores(postings, judged):
+    """The scores of a block's documents: its postings, read back bit by bit with the counts of their pairs."""
     import pyarrow as pa
 
-    block, best, total, seen = None, None, None, None
-
-    def flush() -> pa.RecordBatch:
-        slots = np.flatnonzero(seen)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), block)), pa.array(slots.astype(np.int32)),
-                                           pa.array(best[slots]), pa.array(total[slots])], ["block", "slot", "n_best", "count_sum"])
-
-    for batch in batches:
-        at = batch.column("block").to_numpy()
-        links, is_best = batch.column("links").to_numpy(), batch.column("best").to_numpy(zero_copy_only=False).astype(np.int64)
-        lists = batch.column("planes")
+    best, total, seen = np.zeros(BLOCK_DOCUMENTS, np.int64), np.zeros(BLOCK_DOCUMENTS, np.int64), np.zeros(BLOCK_DOCUMENTS, bool)
+    block = postings.column("block")[0].as_py()
+    key = {side: (t.column("a").to_numpy().astype(np.int64) << 16) | t.column("b").to_numpy()
+           for side, t in (("postings", postings), ("judged", judged))}
+    order = np.argsort(key["judged"])
+    at = order[np.searchsorted(key["judged"][order], key["postings"])]
+    links = judged.column("links").to_numpy()[at]
+    is_best = judged.column("best").to_numpy()[at].astype(np.int64)
+    row = 0
+    for lists in postings.column("planes").chunks:
         begin = lists.offsets.to_numpy().astype(np.int64)
-        planes, rows = lists.values, np.repeat(np.arange(len(at)), np.diff(begin))
-        weight = np.int64(1) << (np.arange(begin[0], begin[-1]) - begin[rows])
-        base, bound = int(begin[0]), np.frombuffer(planes.buffers()[1], np.int32)[planes.offset:planes.offset + len(planes) + 1]
-        data = planes.buffers()[2]
-        data = memoryview(data) if data is not None else memoryview(b"")
-        edges = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if at[lo] != block:
-                if block is not None:
-                    yield flush()
-                block = int(at[lo])
-                best, total = np.zeros(BLOCK_DOCUMENTS, np.int64), np.zeros(BLOCK_DOCUMENTS, np.int64)
-                seen = np.zeros(BLOCK_DOCUMENTS, bool)
-            p, q = int(begin[lo]), int(begin[hi])
-            size = np.diff(bound[p:q + 1])
-            row, times = rows[p - base:q - base], weight[p - base:q - base]
-            short = np.flatnonzero(size < _BITMAP_BYTES)
-            found = []
-            if len(short):
-                n = size[short] // 2
-                if len(short) == len(size):  # one stretch of memory
-                    documents = np.frombuffer(data[int(bound[p]):int(bound[q])], "<u2")
-                else:
-                    documents = np.concatenate([np.frombuffer(data[int(bound[p + k]):int(bound[p + k + 1])], "<u2") for k in short.tolist()])
-                found.append((documents.astype(np.int64), np.repeat(times[short], n), np.repeat(row[short], n)))
-            for k in np.flatnonzero(size >= _BITMAP_BYTES).tolist():
-                documents = members(bytes(data[int(bound[p + k]):int(bound[p + k + 1])]))
-                found.append((documents, times[k], row[k]))
-            for documents, many, r in found:
-                np.add.at(total, documents, many * links[r])
-                np.add.at(best, documents, many * is_best[r])
-                seen[documents] = True
-    if block is not None:
-        yield flush()
+        of = np.repeat(np.arange(len(lists)), np.diff(begin)) + row  # posting of each plane
+        times = np.int64(1) << (np.arange(begin[0], begin[-1]) - np.repeat(begin[:-1], np.diff(begin)))
+        planes = lists.values.slice(int(begin[0]), int(begin[-1] - begin[0]))
+        bound = np.frombuffer(planes.buffers()[1], np.int32)[planes.offset:planes.offset + len(planes) + 1]
+        data, size = planes.buffers()[2], np.diff(bound)
+        found, short = [], size < _BITMAP_BYTES
+        if short.all():
+            documents = np.frombuffer(data, "<u2", (int(bound[-1]) - int(bound[0])) // 2, int(bound[0])) if len(size) else np.zeros(0, "<u2")
+            found.append((documents.astype(np.int64), np.repeat(times, size // 2), np.repeat(of, size // 2)))
+        else:
+            found += [(members(memoryview(data)[int(bound[k]):int(bound[k + 1])]), times[k], of[k]) for k in range(len(size))]
+        for documents, many, posting in found:
+            np.add.at(total, documents, many * links[posting])
+            np.add.at(best, documents, many * is_best[posting])
+            seen[documents] = True
+        row += len(lists)
+    slots = np.flatnonzero(seen)
+    return pa.table({"block": np.full(len(slots), block), "slot": slots.astype(np.int32), "n_best": best[slots], "count_sum": total[slots]})
 
 
 def scores(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """block, slot, n_best and count_sum of every document that has links."""
-    judged = postings.select("block", "a", "b", "planes").join(pairs.select("a", "b", "links", "best"), ["a", "b"])
-    dealt = judged.select("block", "links", "best", "planes").repartition("block").sortWithinPartitions("block")
-    return map_arrow(dealt, _scores, "block bigint, slot int, n_best bigint, count_sum bigint")
+    """block, slot, n_best and count_sum of every document that has links.
+
+    Only the keys of postings are joined with the counts; the bitmaps are dealt once, by block.
+    """
+    ship_package(postings.sparkSession)
+    keys = postings.select("block", "a", "b").toDF("block", "a", "b")
+    judged = keys.join(pairs.select("a", "b", "links", "best"), ["a", "b"]).select("a", "b", "block", "links", "best")
+    judged = judged.toDF("a", "b", "judged_block", "links", "best")
+    return (postings.select("block", "a", "b", "planes").groupBy("block").cogroup(judged.groupBy("judged_block"))
+            .applyInArrow(_scores, "block bigint, slot int, n_best bigint, count_sum bigint"))
 
 
 def align(docs: DataFrame, keep: list[str], vocabularies: tuple | None = None) -> DataFrame:

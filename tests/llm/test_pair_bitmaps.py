@@ -128,15 +128,31 @@ def test_many_blocks_and_dense_bitmaps(spark, tokens, monkeypatch):
         try:
             yield from pair_bitmaps._index(PATHS, "")(batches)
         finally:
-            pair_bitmaps.BLOCK_ENTRIES, pair_bitmaps.SEGMENT, pair_bitmaps.MOST_CHUNKS = 3_000_000, 1_000_000, 150_000
+            pair_bitmaps.BLOCK_ENTRIES, pair_bitmaps.SEGMENT, pair_bitmaps.MOST_CHUNKS = 2_000_000, 1_000_000, 250_000
             pair_bitmaps.GATHERED_LINKS = 1_000_000
             pair_bitmaps.segments.__defaults__ = (1_000_000,)
-            pair_bitmaps.Aligner.__init__.__defaults__ = (150_000,)
+            pair_bitmaps.Aligner.__init__.__defaults__ = (250_000,)
 
     monkeypatch.setattr(pair_bitmaps, "_index", lambda paths, row: run)
     assert rows_of(pair_bitmaps.align(docs_of(spark, texts), ["doc_id"])) == want
 
 
+def test_byte_encoder_equals_the_library_on_all_given_chunks(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    chunks = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        for part in pair_bitmaps.segments(" " + (r.text or "")):
+            chunks.update(part)
+    chunks = sorted(chunks)
+    encoder, spelled = pair_bitmaps.byte_encoder(PATHS[0])
+    got = [encoder.encode_ordinary(c) for c in chunks]
+    assert got == [e.ids for e in library.encode_batch(chunks, add_special_tokens=False)]
+    assert all(b"".join(spelled[i] for i in ids) == c.encode() for ids, c in zip(got, chunks))
+
+
 def test_bitmaps_round_trip():
     r = np.random.default_rng(0)
     for n in (0, 1, 100, 4095, 4096, 60_000, 65_536):
