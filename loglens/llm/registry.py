@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglens.llm import (bitmask_langid, cap_join, chunk_bpe, dart_minhash, fertility, host_rank, pair_bitmaps, pii_bootstrap,
-                         preference, site_quality, tier_packing)
+                         preference, prefix_trie, site_quality, tier_packing)
 from loglens.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = pair_bitmaps.align(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return aligned.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
@@ -80,9 +84,11 @@ QUERIES = {
     "op8_host_rank": op8_host_rank,
     "op9_bitmask_langid": op9_bitmask_langid,
     "op10_tier_packing": op10_tier_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_pair_bitmaps": op13_pair_bitmaps,
 }
 
 ORACLE = {
     "op3_preference": preference.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
 }
