@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import (bitmask_langid, cap_join, chunk_bpe, dart_minhash, fertility, host_rank, pair_bitmaps, pii_bootstrap,
-                         preference, prefix_trie, site_quality, tier_packing)
+from loglens.llm import (attention_lm, bitmask_langid, cap_join, chunk_bpe, dart_minhash, fertility, host_rank, pair_bitmaps,
+                         pii_bootstrap, preference, prefix_trie, site_quality, tier_packing)
 from loglens.llm.common import table
 
 
@@ -63,6 +63,14 @@ def op10_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = attention_lm.held_out(F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", out.alias("held_out"))
+    scored = attention_lm.score(docs, F.col("doc_id").isNotNull() & ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return scored.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "row.held_out", "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -84,6 +92,7 @@ QUERIES = {
     "op8_host_rank": op8_host_rank,
     "op9_bitmask_langid": op9_bitmask_langid,
     "op10_tier_packing": op10_tier_packing,
+    "op11_attention_lm": op11_attention_lm,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_pair_bitmaps": op13_pair_bitmaps,
 }
