@@ -3,12 +3,11 @@
 One Arrow pass reads the corpus into blocks: the subword ids of every text, each block's distinct words
 with their training counts, and the texts as numbers of their block's words.  From there:
 
-* unigram base: a grouped sum over the blocks' words gives every word's training count; the counts go back to the
-  blocks by a join on the word and meet the block's texts (``cogroup``), so a word is shuffled once per block,
-  not once per occurrence;
-* attention model: an id is predicted as class and member.  The most frequent ids are classes of their own, the others share
-  classes of equal mass; members follow smoothed counts over all training texts.  Classes come from one causal
-  self-attention layer with a hidden layer after it, trained in numpy over all windows of all training texts: in each of
+* unigram base: a windowed sum over the blocks' words gives every word's training count; the counts go back to the
+  blocks and meet the block's texts (``cogroup``), so a word is shuffled once per block, not once per occurrence;
+* attention model: an id is predicted as group of classes, class and member.  The most frequent ids are classes of their
+  own, the others share classes of equal mass; members follow smoothed counts over all training texts.  Groups and
+  classes come from one causal self-attention layer with a hidden layer after it, trained in numpy over all windows of all training texts: in each of
   ``ROUNDS`` rounds every task trains on its share of the round's texts from the same weights, and the results are averaged
   by tokens (a grouped mean per weight);
 * scoring: a text is laid on a grid of windows of ``WINDOW`` ids that start every ``HOP`` ids; every id is scored
@@ -29,9 +28,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import cut, map_arrow, text_of, tokenizer_path
@@ -39,16 +39,18 @@ from loglens.llm.wordcode import WordCoder
 from loglens.session import ship_package
 
 #: Ids of a window, and ids between the starts of windows when scoring.
-WINDOW = 24
-HOP = 16
+WINDOW = 16
+HOP = 12
 #: Width of the model, of its hidden layer, and rows of its input table.
 WIDTH, HIDDEN, INPUTS = 8, 16, 2048
-#: Ids that are classes of their own, and classes that the others share.
-SINGLES, SHARED = 48, 16
+#: Groups of classes and classes of a group; the last SHARED classes are shared by the rarer ids.
+GROUPS, MEMBERS = 8, 16
+SHARED = 24
+SINGLES = GROUPS * MEMBERS - SHARED
 #: Rounds of training, windows of a step, step size.
-ROUNDS, STEP_WINDOWS, RATE = 4, 256, 0.02
+ROUNDS, STEP_WINDOWS, RATE = 4, 512, 0.02
 #: A block is closed at this many words or distinct words.
-BLOCK_WORDS, BLOCK_DISTINCT = 2_000_000, 200_000
+BLOCK_WORDS, BLOCK_DISTINCT = 3_000_000, 300_000
 #: Bytes of a text that are read at a time.
 SEGMENT = 1_000_000
 #: Smoothing of counts.
@@ -77,25 +79,28 @@ class Words:
         try:
             found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            for w in dict.fromkeys(words):
-                if w not in known:
-                    self._add(w)
+            self._add([w for w in dict.fromkeys(words) if w not in known])
             found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if learn and len(found):
-            self.trained[:len(known)] += np.bincount(found, minlength=len(known))
+            np.add.at(self.trained, found, 1)
         return found
 
-    def _add(self, word: bytes) -> None:
-        ids, n = self.coder.ids(word.decode()), len(self.number)
-        if n == len(self.start):
+    def _add(self, words: list[bytes]) -> None:
+        first, end = len(self.number), len(self.number) + len(words)
+        lists = self.coder.ids_of(words)
+        lengths = np.fromiter(map(len, lists), np.int64, len(words))
+        last = self.filled + int(lengths.sum())
+        while end > len(self.start):
             for name in ("start", "length", "trained"):
-                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(n, np.int64)]))
-        while self.filled + len(ids) > len(self.flat):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        while last > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.number[word] = n
-        self.start[n], self.length[n] = self.filled, len(ids)
-        self.flat[self.filled:self.filled + len(ids)] = ids
-        self.filled += len(ids)
+        self.number.update(zip(words, range(first, end)))
+        self.start[first:end] = self.filled + np.cumsum(lengths) - lengths
+        self.length[first:end] = lengths
+        self.flat[self.filled:last] = np.fromiter(chain.from_iterable(lists), np.uint16, last - self.filled)
+        self.filled = last
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """Subword ids of words in a row."""
@@ -110,6 +115,20 @@ class Words:
         return np.bincount(self.flat[:self.filled], every, size).astype(np.int64)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane: the high planes of small numbers vanish."""
+    import zstandard
+
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def segments(data: bytes, size: int = SEGMENT) -> Iterator[list[bytes]]:
     """The words of a text, a bounded number of bytes at a time (at least one list)."""
     start = 0
@@ -131,7 +150,7 @@ def _read(path: str, end_id: int, names: list[str], size: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder = WordCoder(path, tuple, 200_000)
+        coder = WordCoder(path, tuple, 300_000)
         base = TaskContext.get().partitionId()
         uid, block, types = base << 33, base << 31, None
         words, uids, lengths, texts, total = Words(coder), [], [], [], 0
@@ -160,7 +179,7 @@ def _read(path: str, end_id: int, names: list[str], size: int):
             counts = words.id_counts(size)
             used = np.flatnonzero(counts)
             yield batch_of(len(used), idx=pa.array(used.astype(np.int32)), n=pa.array(counts[used]))
-            joined = np.concatenate(texts).astype("<u4").tobytes() if texts else b""
+            joined = packed(np.concatenate(texts)) if texts else packed(np.zeros(0, np.uint32))
             yield batch_of(1, block=pa.array([block]), uids=pa.array([np.array(uids, "<i8").tobytes()]),
                            lengths=pa.array([np.array(lengths, "<i8").tobytes()]), words=pa.array([joined]))
             words, uids, lengths, texts, total, block = Words(coder), [], [], [], 0, block + 1
@@ -207,12 +226,12 @@ def _base(denominator: float):
         """Per text of a block: its words, known words and log10 score."""
         import pyarrow as pa
 
-        uids, lengths, words = (np.frombuffer(block.column(c)[0].as_py(), t) for c, t in (("uids", "<i8"), ("lengths", "<i8"), ("words", "<u4")))
+        uids, lengths = (np.frombuffer(block.column(c)[0].as_py(), "<i8") for c in ("uids", "lengths"))
+        words = unpacked(block.column("words")[0].as_py())
         count = np.zeros(counts.num_rows, np.int64)
         if counts.num_rows:
             count[counts.column("idx").to_numpy()] = counts.column("c").to_numpy()
         score = np.log10((count + ALPHA) / denominator)
-        # running sums over the block would lose digits: sums are taken text by text
         of = np.repeat(np.arange(len(uids)), lengths)
         return pa.table({"uid": uids, "n_words": lengths,
                          "n_known": np.bincount(of, count[words] > 0, len(uids)).astype(np.int64),
@@ -235,7 +254,9 @@ class Classes:
         self.of[order[SINGLES:]] = SINGLES + np.minimum(upto / mass[SINGLES:].sum() * SHARED, SHARED - 1).astype(np.int32)
         weight = np.bincount(self.of, counts + ALPHA, SINGLES + SHARED)
         self.member = np.log((counts + ALPHA) / weight[self.of])  # natural log of an id within its class
-        self.share = np.log(np.maximum(weight, ALPHA) / weight.sum()).astype(np.float32)
+        share = np.log(np.maximum(weight, ALPHA) / weight.sum()).reshape(GROUPS, MEMBERS)
+        self.group_share = np.log(np.exp(share).sum(1))
+        self.share = share - self.group_share[:, None]
         rank = np.empty(len(counts), np.int64)
         rank[order] = np.arange(len(counts))
         half = INPUTS // 2
@@ -243,9 +264,8 @@ class Classes:
 
 
 def shapes() -> dict[str, tuple]:
-    c = SINGLES + SHARED
-    return {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, 3 * WIDTH), "O": (WIDTH, WIDTH), "H": (WIDTH, HIDDEN),
-            "h": (HIDDEN,), "U": (HIDDEN, c), "u": (c,)}
+    return {"E": (INPUTS, WIDTH), "P": (WINDOW, WIDTH), "Q": (WIDTH, 3 * WIDTH), "O": (WIDTH, WIDTH), "H": (WIDTH, HIDDEN), "h": (HIDDEN,),
+            "U": (HIDDEN, GROUPS), "V": (GROUPS, HIDDEN, MEMBERS), "u": (GROUPS,), "v": (GROUPS, MEMBERS)}
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -260,9 +280,9 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 def initial(classes: Classes, seed: int = 11) -> np.ndarray:
     """Weights before training: small random ones, and the classes' shares as the output's start."""
     rng = np.random.default_rng(seed)
-    scale = {"E": 0.3, "P": 0.1, "Q": WIDTH ** -0.5, "O": WIDTH ** -0.5, "H": WIDTH ** -0.5, "h": 0.0, "U": 0.05, "u": 0.0}
+    scale = {"E": 0.3, "P": 0.1, "Q": WIDTH ** -0.5, "O": WIDTH ** -0.5, "H": WIDTH ** -0.5, "h": 0.0, "U": 0.05, "V": 0.05, "u": 0.0, "v": 0.0}
     parts = [rng.standard_normal(shape).astype(np.float32) * np.float32(scale[name]) for name, shape in shapes().items()]
-    parts[-1] = classes.share
+    parts[-2:] = classes.group_share.astype(np.float32), classes.share.astype(np.float32)
     return np.concatenate([p.ravel() for p in parts])
 
 
@@ -287,19 +307,59 @@ def attend(m: dict, inputs: np.ndarray) -> dict:
             "state": x + (mixed.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)}
 
 
-def classes_of(m: dict, state: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For states (n, WIDTH): hidden layer, weights of the classes, their sums, and the natural log probability of the
-    wanted classes."""
-    hidden = state @ m["H"]
-    hidden += m["h"]
-    np.maximum(hidden, 0, out=hidden)
-    logits = hidden @ m["U"]
-    logits += m["u"]
+def _softened(logits: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into weights in place; their sums and the natural log probability of the wanted columns."""
     np.minimum(logits, _STEEPEST, out=logits)
     chosen = logits[np.arange(len(want)), want]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    return hidden, logits, total, chosen - np.log(total)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return total, chosen - np.log(total)
+
+
+def predict(m: dict, state: np.ndarray, want: np.ndarray, weight: np.ndarray | None = None, g: dict | None = None):
+    """Natural log probabilities of the wanted classes for states (n, WIDTH).
+
+    With weights, also the gradient of their negative weighted sum: the weights' in ``g``, the states' returned.
+    Classes of a group are only worked out for the states that want one of them.
+    """
+    hidden = state @ m["H"]
+    hidden += m["h"]
+    np.maximum(hidden, 0, out=hidden)
+    group, inner = np.divmod(want, MEMBERS)
+    top = hidden @ m["U"]
+    top += m["u"]
+    total, logp = _softened(top, group)
+    if weight is not None:
+        top *= (weight / total)[:, None]
+        top[np.arange(len(want)), group] -= weight
+        g["U"][:] = hidden.T @ top
+        g["u"][:] = np.ones(len(want), top.dtype) @ top
+        back = top @ m["U"].T
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    hidden_of, inner_of = hidden[order], inner[order]
+    logp_of, back_of = np.empty_like(logp), np.empty_like(hidden)
+    for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if lo == hi:
+            continue
+        d = hidden_of[lo:hi] @ m["V"][k]
+        d += m["v"][k]
+        total, logp_of[lo:hi] = _softened(d, inner_of[lo:hi])
+        if weight is not None:
+            w = weight[order[lo:hi]]
+            d *= (w / total)[:, None]
+            d[np.arange(hi - lo), inner_of[lo:hi]] -= w
+            g["V"][k] = hidden_of[lo:hi].T @ d
+            g["v"][k] = np.ones(hi - lo, d.dtype) @ d
+            back_of[lo:hi] = d @ m["V"][k].T
+    logp[order] += logp_of
+    if weight is None:
+        return logp
+    back[order] += back_of
+    back *= hidden > 0
+    g["H"][:] = state.T @ back
+    g["h"][:] = np.ones(len(want), back.dtype) @ back
+    return logp, back @ m["H"].T
 
 
 def gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
@@ -311,18 +371,8 @@ def gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np
     state = a["state"].reshape(-1, WIDTH)
     want, weight = targets.ravel(), real.ravel().astype(np.float32)
     weight /= max(weight.sum(), 1)
-    hidden, d, total, logp = classes_of(m, state, want)
+    logp, d_state = predict(m, state, want, weight, g)
     loss = float(-(logp * weight).sum())
-    d *= (weight / total)[:, None]
-    d[np.arange(len(want)), want] -= weight
-    one = np.ones(len(state), np.float32)
-    g["U"][:] = hidden.T @ d
-    g["u"][:] = one @ d
-    d = d @ m["U"].T
-    d *= hidden > 0
-    g["H"][:] = state.T @ d
-    g["h"][:] = one @ d
-    d_state = d @ m["H"].T
     g["O"][:] = a["mixed"].reshape(-1, WIDTH).T @ d_state
     d_mixed = (d_state @ m["O"].T).reshape(n, WINDOW, WIDTH)
     d_s = d_mixed @ a["v"].transpose(0, 2, 1)
@@ -439,7 +489,7 @@ def log_probabilities(flat: np.ndarray, classes: Classes, parts, begin_id: int)
     edges = np.searchsorted(window, np.arange(0, len(inputs) + 256, 256))  # ids lie in the order of their windows
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         state = attend(m, inputs[256 * i:256 * (i + 1)])["state"]
-        out[lo:hi] += classes_of(m, state[window[lo:hi] - 256 * i, place[lo:hi]], want[lo:hi])[3]
+        out[lo:hi] += predict(m, state[window[lo:hi] - 256 * i, place[lo:hi]], want[lo:hi])
     return out, part
 
 
@@ -493,13 +543,16 @@ def score(docs: DataFrame, learn: Column, keep: list[str], vocabulary: str | Non
     blocks = read.where("words IS NOT NULL").select("block", "uids", "lengths", "words")
     ids = read.where("block IS NULL AND idx IS NOT NULL").groupBy("idx").agg(F.sum("n").alias("n"))
 
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    # a word has at most one row a block, so the commonest word is no hot key here
+    same = Window.partitionBy("word")
+    counts = cut(words.select("block", "idx", F.sum("n").over(same).alias("c"), "n",
+                              (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "lm-words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
     texts = parts.where("learn AND last").count()
     n, v = total["n"] + texts, total["v"] + (texts > 0)
     denominator = n + ALPHA * (v + 1)
     ship_package(docs.sparkSession)
-    known = words.join(counts, "word").select("block", "idx", "c").toDF("of", "idx", "c")
+    known = counts.select(F.col("block").alias("of"), "idx", "c")
     base = blocks.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(
         _base(denominator), "uid bigint, n_words bigint, n_known bigint, base double")
     base = base.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_known", "base")])

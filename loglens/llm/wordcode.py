@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 #: Words longer than this are encoded each time and not kept.
 LONGEST_KEPT = 256
@@ -18,6 +19,7 @@ LONGEST_KEPT = 256
 _SPECIAL_START = "<|"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -58,7 +60,8 @@ class WordCoder:
     def _piece(self, piece: str) -> tuple:
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = tuple(t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters)))
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+            ids = tuple([t.id for t in self._model.tokenize(shown)])
             if len(piece) <= LONGEST_KEPT:
                 if len(self._pieces) >= self._max:
                     self._pieces.clear()
@@ -77,6 +80,27 @@ class WordCoder:
             return tuple(out)
         return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def ids_of(self, words: list[bytes]) -> list[tuple]:
+        """Ids of many distinct words; the pieces of plain ones are cut in one go."""
+        texts = [w.decode() for w in words]
+        if not self._known:
+            return list(map(self.ids, texts))
+        plain = [_PLAIN.fullmatch(t) is not None and _SPECIAL_START not in t for t in texts]
+        pieces = _LINES.findall("\n".join([t for t, p in zip(texts, plain) if p]).lower())
+        known = self._pieces
+        if len(known) + len(pieces) > self._max:
+            known.clear()
+        parts, found = [], []
+        for piece in pieces:
+            if piece == "\n":
+                found.append(parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts)))
+                parts = []
+            else:
+                parts.append(known[piece] if piece in known else self._piece(piece))
+        found.append(parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts)))
+        found = iter(found)
+        return [next(found) if p else self.ids(t) for t, p in zip(texts, plain)]
+
     def values(self, data: bytes) -> list:
         """The kept value of every word of a text given as UTF-8."""
         words = data.split()
