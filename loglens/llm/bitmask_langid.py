@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import cut, map_arrow
+from loglens.llm.common import cut, map_arrow, row_with_text, texts
 
 #: Slots of the bit-sliced table (a power of two) and slots per gram.
 SLOTS = 1 << 18
@@ -184,12 +184,12 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
 
         model = shared.value
         for batch in batches:
-            found = [model.predict(text.as_py()) for text in batch.column("_text")]
+            found = [model.predict(text.as_py()) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*row_with_text(docs, keep))
     return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 

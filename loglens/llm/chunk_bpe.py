@@ -211,7 +211,7 @@ def in_filter(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 #: Kinds of the second pass's rows.
 DONE, OPEN, OWN, SHARED = range(4)
-_PART = "seq bigint, k1 bigint, k2 bigint, text binary, head binary, tail binary, n_head bigint, n_tail bigint, ids binary, bridge boolean"
+_PART = "seq bigint, k1 bigint, k2 bigint, text binary, head binary, tail binary, n_head bigint, n_tail bigint, part_ids binary, bridge boolean"
 
 
 def _part_columns(part: Chunk) -> tuple:
@@ -279,7 +279,7 @@ def _once_batches(path: str):
             found = [_part_columns(encode_chunk(t.as_py(), encode)) for t in batch.column("text")]
             columns = [pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 6, types)]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *columns],
-                                             ["k1", "k2", "head", "tail", "n_head", "n_tail", "ids", "bridge"])
+                                             ["k1", "k2", "head", "tail", "n_head", "n_tail", "part_ids", "bridge"])
 
     return run
 
@@ -293,7 +293,7 @@ def _join_batches(path: str, finish: type):
         for batch in batches:
             out = []
             for parts in batch.column("parts"):
-                made = [Chunk(p["head"], p["tail"], p["n_head"], p["n_tail"], p["ids"], p["bridge"]) for p in parts.as_py()]
+                made = [Chunk(p["head"], p["tail"], p["n_head"], p["n_tail"], p["part_ids"], p["bridge"]) for p in parts.as_py()]
                 out.append(done(_ids(join_chunks(made, encode))))
             columns = [pa.array(c, simple[t]) for c, (_, t) in zip(list(zip(*out)) or [[]] * 3, finish.columns)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), *columns], ["uid", *(n for n, _ in finish.columns)])
@@ -313,8 +313,8 @@ def encode(docs: DataFrame, keep: list[str], finish: type = Finish, vocabulary:
 
     texts = table.where(F.col("kind") == SHARED).groupBy("k1", "k2").agg(F.max("text").alias("text"))
     once = cut(map_arrow(texts, _once_batches(path), "k1 bigint, k2 bigint, head binary, tail binary, n_head bigint, "
-                         "n_tail bigint, ids binary, bridge boolean"), "chunks-once")
-    part = ["seq", "head", "tail", "n_head", "n_tail", "ids", "bridge"]
+                         "n_tail bigint, part_ids binary, bridge boolean"), "chunks-once")
+    part = ["seq", "head", "tail", "n_head", "n_tail", "part_ids", "bridge"]
     occurrences = table.where(F.col("kind") == SHARED).select("uid", "seq", "k1", "k2").join(once, ["k1", "k2"]).select("uid", *part)
     own = table.where(F.col("kind") == OWN).select("uid", *part)
     whole = own.union(occurrences).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(*part))).alias("parts"))  # a document's own chunks

@@ -28,9 +28,35 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Rows of an Arrow batch while a step is written: rows hold whole texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: a Parquet table in the shared checkpoint folder, reread."""
-    return materialize(df, name=name)
+    """Cut lineage: a Parquet table in the shared checkpoint folder, reread.  The session's Arrow batches are kept
+    small while it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        return materialize(df, name=name)
+    finally:
+        conf.set(_BATCH, before)
+
+
+def row_with_text(docs: DataFrame, keep: list[str]) -> list[Column]:
+    """``row`` (a struct of the columns to keep) and ``_text``, which is left out where the row holds it as it is."""
+    row = F.struct(*keep).alias("row")
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":
+        return [row]
+    return [row, F.col("text").cast("string").alias("_text")]
+
+
+def texts(batch):
+    """The texts of an Arrow batch made with ``row_with_text``."""
+    return batch.column("_text") if "_text" in batch.schema.names else batch.column("row").field("text")
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

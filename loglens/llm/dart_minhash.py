@@ -31,13 +31,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglens.llm.common import BROADCAST_ROWS, cut, join_checked, map_arrow
+from loglens.llm.common import BROADCAST_ROWS, cut, join_checked, map_arrow, row_with_text, texts
 from loglens.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 36
 BAND_SIZE = 7
+#: Shingles (16 bytes each) that a task remembers while it compares texts.
+KNOWN_SHINGLES = 2_000_000
 #: Signatures are compared with this much slack (five standard deviations of the estimate) before texts are.
 SLACK = 5.0
 
@@ -102,7 +104,7 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """One 64-bit hash per window of ``size`` words, in order (one for all words of a shorter text)."""
     from xxhash import xxh3_64_intdigest
 
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     numbers = []
     for w in words:
@@ -128,7 +130,7 @@ def _sign_batches(k: int, size: int, weighted: bool):
         recent: dict[bytes, bytes] = {}  # copies that follow one another are signed once
         for batch in batches:
             copy, prints = [], []
-            for text in batch.column("_text"):
+            for text in texts(batch):
                 words = (text.as_py() or "").encode().split()
                 if not words:
                     copy.append(None)
@@ -142,8 +144,9 @@ def _sign_batches(k: int, size: int, weighted: bool):
                     recent[key] = signature(hashes, counts.astype(np.float64) if weighted else None, k).tobytes()
                 copy.append(key)
                 prints.append(recent[key])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("_text"), pa.array(copy, pa.binary()),
-                                              pa.array(prints, pa.binary())], ["row", "_text", "copy", "prints"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy, pa.binary()), pa.array(prints, pa.binary())],
+                                             [*batch.schema.names, "copy", "prints"])
+        _WORDS.clear()  # the worker goes on to other work
 
     return run
 
@@ -151,13 +154,12 @@ def _sign_batches(k: int, size: int, weighted: bool):
 def signed(docs: DataFrame, keep: list[str], k: int = BANDS * BAND_SIZE, size: int = SHINGLE,
            weighted: bool = False) -> DataFrame:
     """A written table: a row number, the kept columns, the text, the copy key and the signature."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("_text"),
-                       F.col("doc_id").cast("bigint").alias("_id"))
-    rows = rows.withColumn("row", F.struct("row", "_id"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, _text string, copy binary, prints binary"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), *row_with_text(docs, keep))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", copy binary, prints binary"
     out = map_arrow(rows, _sign_batches(k, size, weighted), schema)
-    return cut(out.select(F.monotonically_increasing_id().alias("uid"), F.col("row.row").alias("row"),
-                          F.col("row._id").alias("id"), "_text", "copy", "prints"), "signed")
+    text = "_text" if "_text" in rows.columns else "row.text"
+    table = cut(out.select(F.monotonically_increasing_id().alias("uid"), *out.columns), "signed")
+    return table.select("uid", "row", "id", F.col(text).alias("_text"), "copy", "prints")
 
 
 def similarity(a: list, b: list, size: int = SHINGLE, weighted: bool = False) -> float:
@@ -186,18 +188,23 @@ def _verify_batches(size: int, weighted: bool, least: float):
         import pyarrow as pa
 
         known: dict = {}  # a hub's text comes with many pairs
+        held = 0
 
         def shingles(uid, text):
+            nonlocal held
             if uid not in known:
-                if len(known) >= 256:
+                if held >= KNOWN_SHINGLES:
                     known.clear()
+                    held = 0
                 known[uid] = _shingles(text.as_py().encode().split(), size)
+                held += len(known[uid][0])
             return known[uid]
 
         for batch in batches:
             ok = [_overlap(shingles(a, x), shingles(b, y), weighted) >= least for a, b, x, y in
                   zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+        _WORDS.clear()
 
     return run
 

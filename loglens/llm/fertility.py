@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglens.llm.common import cut, join_checked, map_arrow, tokenizer_path
+from loglens.llm.common import cut, join_checked, map_arrow, row_with_text, texts, tokenizer_path
 
 #: The rules' fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -61,7 +61,7 @@ _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 class Fertility:
     """Word table of a worker: each distinct word is encoded once and then known by a number."""
 
-    def __init__(self, piece_path: str, byte_path: str, max_words: int = 500_000):
+    def __init__(self, piece_path: str, byte_path: str, max_words: int = 300_000):
         import base64
 
         import sentencepiece
@@ -205,12 +205,13 @@ def _measure_batches(paths: tuple):
         types = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.string()]
         for batch in batches:
             out = []
-            for text, lang in zip(batch.column("_text"), batch.column("_lang").to_pylist()):
+            for text, lang in zip(texts(batch), batch.column("_lang").to_pylist()):
                 text = text.as_py() or ""
                 out.append((*measure(text, table), script_of(text) if lang is None else None))
             columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(types), types)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("_lang"), *columns],
                                              ["row", "_lang", *_NAMES])
+        table.clear()  # the worker goes on to other work
 
     return run
 
@@ -218,8 +219,7 @@ def _measure_batches(paths: tuple):
 def measured(docs: DataFrame, keep: list[str], vocabularies: tuple | None = None) -> DataFrame:
     """One row per document: ``row`` (a struct of the columns to keep) and the measures."""
     paths = vocabularies or (tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("_text"),
-                       F.col("lang").cast("string").alias("_lang"))
+    rows = docs.select(*row_with_text(docs, keep), F.col("lang").cast("string").alias("_lang"))
     schema = ", ".join([f"row {rows.schema['row'].dataType.simpleString()}", "_lang string",
                         *(f"{n} bigint" for n in _NAMES[:6]), *(f"{n} double" for n in MEASURES), "script string"])
     return map_arrow(rows, _measure_batches(paths), schema)

@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import cut, join_checked, map_arrow
+from loglens.llm.common import cut, join_checked, map_arrow, row_with_text, texts
 
 #: Kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -143,7 +143,7 @@ def _find_batches(batches):
                                   ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
     for batch in batches:
         found, mentions = [], []
-        for value in batch.column("_text"):
+        for value in texts(batch):
             text = value.as_py() or ""
             spans = base_spans(text)
             found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
@@ -157,7 +157,7 @@ def _find_batches(batches):
 
 def found_base(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A written table: a row number, the kept columns, base spans and mentions."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*row_with_text(docs, keep))
     schema = (f"row {rows.schema['row'].dataType.simpleString()}, base array<struct<kind:int,start:bigint,end:bigint>>, "
               "mentions array<struct<kind:int,start:bigint,end:bigint,instance:string,patterns:array<string>>>")
     out = map_arrow(rows, _find_batches, schema)

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglens.llm.common import cut, join_checked, map_arrow
+from loglens.llm.common import cut, join_checked, map_arrow, row_with_text, texts
 
 #: Labelled documents that the classifier may use.
 TRAIN_ROWS = 50_000
@@ -284,7 +284,7 @@ def scored(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
         wanted = beginnings(m)
         for batch in batches:
             q, t = [], []
-            for text, lang in zip(batch.column("_text"), batch.column("_lang").to_pylist()):
+            for text, lang in zip(texts(batch), batch.column("_lang").to_pylist()):
                 shown = features(text.as_py() or "", wanted)
                 q.append(probability(m, shown, "quality", lang))
                 t.append(probability(m, shown, "toxic", lang))
@@ -293,11 +293,11 @@ def scored(docs: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
                                              [*names, "p_quality", "p_toxic"])
 
     source = F.regexp_replace(F.coalesce(F.col("source").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("bigint").alias("id"),
+    rows = docs.select(*row_with_text(docs, keep), F.col("doc_id").cast("bigint").alias("id"),
                        F.substring_index(source, "/", 1).alias("host"),
                        F.concat(F.regexp_extract(source, r"(?s)^[^/]*(/.*/|)", 1), F.lit("|"),
                                 F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("path"),
-                       F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
+                       F.col("lang").cast("string").alias("_lang"))
     schema = (f"row {rows.schema['row'].dataType.simpleString()}, id bigint, host string, path string, "
               "p_quality double, p_toxic double")
     return map_arrow(rows, run, schema)
@@ -344,8 +344,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float
     known = worst(labels).select(F.col("doc_id").alias("id"), F.when(
         F.col("quality").isNotNull() | F.col("toxic").isNotNull(),
         (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double").alias("label"))
-    evidence = documents.select("id", "host", "path", "p_document").join(known, "id", "left")
-    sites, pi, host_k, path_k = site_posteriors(evidence.select("host", "path", F.coalesce("label", "p_document").alias("good")))
+    # what a document adds to its site's sums: its label, or else its own probability
+    documents = join_checked(documents, known, ["id"], "left", "site-labels").withColumn("added", F.coalesce("label", "p_document"))
+    sites, pi, host_k, path_k = site_posteriors(documents.select("host", "path", F.col("added").alias("good")))
     joined = join_checked(documents, sites, ["host", "path"], "left", "site-sums")
     me = F.col("p_document")
 
@@ -353,8 +354,8 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str], threshold: float
         p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(p / (1 - p))
 
-    host = (F.lit(host_k * pi) + F.col("host_s") - me) / (F.lit(host_k) + F.col("host_n") - 1)
-    site = F.least(F.greatest((F.lit(path_k) * host + F.col("s") - me) / (F.lit(path_k) + F.col("n") - 1), F.lit(1e-6)), F.lit(1 - 1e-6))
+    host = (F.lit(host_k * pi) + F.col("host_s") - F.col("added")) / (F.lit(host_k) + F.col("host_n") - 1)
+    site = F.least(F.greatest((F.lit(path_k) * host + F.col("s") - F.col("added")) / (F.lit(path_k) + F.col("n") - 1), F.lit(1e-6)), F.lit(1 - 1e-6))
     joined = joined.withColumn("p_site", site)
     logit = odds(me) - math.log(pi / (1 - pi)) + odds(F.col("p_site"))
     posterior = 1 / (1 + F.exp(-logit))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglens.llm.common import map_arrow, text_of, tokenizer_path
-from loglens.llm.wordcode import coder
+from loglens.llm.wordcode import coder, forget
 
 TIERS = (256, 512, 1024, 2048)
 #: Appended to every document.
@@ -176,6 +176,7 @@ def _pack_shard(path: str, tiers, pool_windows: int, per_step: int):
         packer.finish()
         if out:
             yield flush()
+        forget()
 
     return run
 

@@ -36,7 +36,7 @@ def _byte_letters() -> dict[int, str]:
 class WordCoder:
     """Ids of a text, word by word; ``render`` turns a word's ids into what is kept for it."""
 
-    def __init__(self, path: str, render=bytes, max_words: int = 600_000):
+    def __init__(self, path: str, render=bytes, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -57,6 +57,10 @@ class WordCoder:
         self._words: dict = {}
         self._pieces: dict = {}
 
+    def clear(self) -> None:
+        self._words.clear()
+        self._pieces.clear()
+
     def _piece(self, piece: str) -> tuple:
         ids = self._pieces.get(piece)
         if ids is None:
@@ -125,9 +129,17 @@ class WordCoder:
 _CODERS: dict = {}
 
 
-def coder(path: str, render, max_words: int = 600_000) -> WordCoder:
-    """The worker's coder for a file and rendering (kept between tasks)."""
+def coder(path: str, render, max_words: int = 300_000) -> WordCoder:
+    """The worker's coder for a file and rendering; its words are forgotten between tasks, so that a worker that goes
+    on to other work doesn't hold them."""
     key = (path, render.__qualname__, max_words)
     if key not in _CODERS:
         _CODERS[key] = WordCoder(path, render, max_words)
+    _CODERS[key].clear()
     return _CODERS[key]
+
+
+def forget() -> None:
+    """Empties the word tables of this worker, at the end of a task."""
+    for one in _CODERS.values():
+        one.clear()
