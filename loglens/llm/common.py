@@ -22,28 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: rows hold whole texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the Python workers first."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with the package shipped to the Python workers first.
 
+    The session's Arrow batches are set to at most ``BATCH_ROWS`` rows and stay so: Spark keeps a second set of Python
+    workers for another setting, and both would hold memory.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(_tidied(fn), schema)
 
-#: Rows of an Arrow batch while a step is written: rows hold whole texts.
-BATCH_ROWS = 2_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+def _tidied(fn):
+    """The same, and then memory that the task's batches took goes back to the system: workers live on."""
+    def run(batches):
+        yield from fn(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: a Parquet table in the shared checkpoint folder, reread.  The session's Arrow batches are kept
-    small while it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(_BATCH)
-    if not 0 < int(before) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
-    try:
-        return materialize(df, name=name)
-    finally:
-        conf.set(_BATCH, before)
+    """Cut lineage: a Parquet table in the shared checkpoint folder, reread."""
+    return materialize(df, name=name)
 
 
 def row_with_text(docs: DataFrame, keep: list[str]) -> list[Column]:
