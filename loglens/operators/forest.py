@@ -1,11 +1,9 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) grown and applied as Spark jobs.
 
-* sampling - the driver draws only ``n_trees x psi`` row *positions* (psi =
-  min(max_samples, n)); they are broadcast-joined to the position-numbered
-  training features, so the feature table is scanned once and never blown up;
-* growing - ``groupBy(tree_id).applyInPandas``: each tree is one task over at
-  most psi rows.  Rows are sorted by position and the generator is seeded
-  with ``[seed, tree_id]``, so trees do not depend on shuffle order;
+* sampling - every tree takes the psi = min(max_samples, n) training rows of smallest keyed hash, found in
+  one pass without global row numbers (``draw_samples``);
+* growing - all trees together, level by level, as windows over (tree, node) in one stage; feature and cut
+  come from a hash of (seed, tree, node), so no Python runs and trees don't depend on partitions (``grow_forest``);
 * scoring - an Arrow-batched ``pandas_udf``; the packed node arrays (at most
   ``n_trees x (2 psi - 1)`` nodes, fixed by the parameters) are broadcast and
   every tree is walked for a whole batch at once with numpy indexing.
@@ -24,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +30,6 @@ from loglens.schema import MAX_SAMPLES, N_ESTIMATORS, RANDOM_STATE
 from loglens.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
-# sample positions are broadcast only up to this many rows (n_trees x psi);
-# larger forests join the positions with a shuffle
-SAMPLE_BROADCAST_MAX_ROWS = 2_000_000
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType(), False),
@@ -63,83 +58,127 @@ def max_depth_for(psi: int) -> int:
     return int(math.ceil(math.log2(max(psi, 2))))
 
 
-def draw_samples(spark: SparkSession, n_rows: int, n_trees: int = N_ESTIMATORS,
+# ---- sampling: per-tree bottom-k by a keyed hash ---------------------------------
+# A row's key is hashed once; tree t ranks rows by (a_t x + b_t) mod HASH_PRIME.  Both engines of
+# the oracle check compute the same numbers, so the drawn rows themselves can be compared.
+
+HASH_PRIME = 2_147_483_647
+#: Trees draw from a pool of this many times the rows that all trees need; smaller tables are their own pool.
+POOL_FACTOR = 8
+
+
+def hash_text(seed: int, *parts) -> str:
+    return ":".join(str(p) for p in (seed, *parts))
+
+
+def _hash32(text: Column, first: int = 1) -> Column:
+    """A 32-bit number from an MD5 digest's hex digits ``first`` to ``first + 7``."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), first, 8), 16, 10).cast("bigint")
+
+
+def tree_coefficients(n_trees: int, seed: int) -> tuple[list[int], list[int]]:
+    """Multiplier and offset of every tree's hash."""
+    import hashlib
+
+    def number(*parts) -> int:
+        return int(hashlib.md5(hash_text(seed, *parts).encode()).hexdigest()[:8], 16)
+
+    return ([1 + number("a", t) % (HASH_PRIME - 1) for t in range(n_trees)], [number("b", t) % HASH_PRIME for t in range(n_trees)])
+
+
+def pool_bound(n_rows: int, n_trees: int, psi: int) -> int:
+    """Rows whose 32-bit hash lies below this are the pool (all of them for tables up to the pool's size)."""
+    pool = POOL_FACTOR * n_trees * psi
+    return 1 << 32 if n_rows <= pool else max(1, (1 << 32) * pool // n_rows)
+
+
+def rank_bound(n_rows: int, n_trees: int, psi: int) -> int:
+    """Only hashes below this can be among a tree's psi smallest (to eight standard deviations and more)."""
+    pool = min(n_rows, POOL_FACTOR * n_trees * psi)
+    wanted = psi + 8 * math.isqrt(psi) + 32
+    return HASH_PRIME if 2 * wanted >= pool else HASH_PRIME * wanted // pool
+
+
+def draw_samples(rows: DataFrame, key_cols: Sequence[str], n_rows: int, n_trees: int = N_ESTIMATORS,
                  max_samples: int = MAX_SAMPLES, seed: int = RANDOM_STATE) -> DataFrame:
-    """(tree_id, row_idx): psi distinct positions in [0, n_rows) per tree."""
-    psi = min(max_samples, n_rows)
-    parts = []
-    for tree in range(n_trees):
-        rng = np.random.default_rng([seed, tree])
-        idx = rng.choice(n_rows, size=psi, replace=False) if psi else np.empty(0, dtype=np.int64)
-        parts.append(pd.DataFrame({"tree_id": np.int32(tree), "row_idx": idx.astype(np.int64)}))
-    pdf = pd.concat(parts, ignore_index=True)
-    schema = T.StructType([T.StructField("tree_id", T.IntegerType(), False),
-                           T.StructField("row_idx", T.LongType(), False)])
-    return spark.createDataFrame(pdf, schema)
-
-
-def _grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Nodes of one isolation tree as (node_id, depth, feature, threshold, left, right, size)."""
-    nodes: list[list] = []
-    queue = [(0, np.arange(len(X)), 0)]
-    nodes.append(None)
-    head = 0
-    while head < len(queue):
-        node_id, rows, depth = queue[head]
-        head += 1
-        size = len(rows)
-        leaf = [node_id, depth, -1, None, -1, -1, size]
-        if size <= 1 or depth >= max_depth:
-            nodes[node_id] = leaf
-            continue
-        sub = X[rows]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        candidates = np.flatnonzero(hi > lo)
-        if candidates.size == 0:
-            nodes[node_id] = leaf
-            continue
-        f = int(candidates[rng.integers(candidates.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        if thr >= hi[f]:
-            thr = float(lo[f])
-        go_left = sub[:, f] <= thr
-        left_id, right_id = len(nodes), len(nodes) + 1
-        nodes.extend([None, None])
-        queue.append((left_id, rows[go_left], depth + 1))
-        queue.append((right_id, rows[~go_left], depth + 1))
-        nodes[node_id] = [node_id, depth, f, thr, left_id, right_id, size]
-    return [tuple(n) for n in nodes]
-
-
-def pick_samples(train_features: DataFrame, samples: DataFrame, n_rows: int) -> DataFrame:
-    """Join the drawn positions to the position-numbered training features.
-
-    The positions table has ``n_trees x psi`` rows, fixed by the parameters;
-    it is broadcast when that count is within ``SAMPLE_BROADCAST_MAX_ROWS``.
+    """``rows`` with a ``tree_id``: for every tree its psi = min(max_samples, n_rows) rows of smallest hash.
+
+    ``key_cols`` must tell all rows apart.  One narrow pass: a row outside the pool costs one hash, rows of the
+    pool are ranked per tree, and only hashes that can be among the smallest leave the task, about
+    ``1.6 psi`` rows a tree.  No global row numbers and no join.
     """
-    side = F.broadcast(samples) if n_rows <= SAMPLE_BROADCAST_MAX_ROWS else samples
-    return train_features.join(side, "row_idx")
+    psi = min(max_samples, n_rows)
+    if not psi:
+        return rows.withColumn("tree_id", F.lit(0)).limit(0)
+    a, b = tree_coefficients(n_trees, seed)
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit("row"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
+    gate, limit = pool_bound(n_rows, n_trees, psi), rank_bound(n_rows, n_trees, psi)
+    pool = rows.where(_hash32(text, 9) < gate) if gate < 1 << 32 else rows
+    pool = pool.withColumn("_x", _hash32(text) % HASH_PRIME)
 
+    def coefficient(values):
+        return F.element_at(F.lit(values).cast("array<bigint>"), F.col("tree_id") + 1)
+
+    dealt = (pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+             .withColumn("_h", (coefficient(a) * F.col("_x") + coefficient(b)) % HASH_PRIME).where(F.col("_h") < limit))
+    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", *key_cols))
+    return dealt.withColumn("_rank", rank).where(F.col("_rank") <= psi).drop("_x", "_h", "_rank")
 
-def grow_forest(samples: DataFrame, feature_cols: Sequence[str], psi: int,
-                seed: int = RANDOM_STATE) -> DataFrame:
-    """``samples``: (tree_id, row_idx, features...) -> node table (NODE_SCHEMA)."""
-    cols = list(feature_cols)
-    depth_limit = max_depth_for(psi)
-    ship_package(samples.sparkSession)
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree_id"].iloc[0])
-        pdf = pdf.sort_values("row_idx", kind="mergesort")
-        X = pdf[cols].to_numpy(dtype=np.float64)
-        rng = np.random.default_rng([seed, tree])
-        rows = _grow_tree(X, rng, depth_limit)
-        out = pd.DataFrame(rows, columns=["node_id", "depth", "feature", "threshold", "left", "right", "size"])
-        out.insert(0, "tree_id", tree)
-        return out.astype({"tree_id": "int32", "node_id": "int32", "depth": "int32", "feature": "int32",
-                           "left": "int32", "right": "int32", "size": "int64"})
+# ---- growing: all trees level by level -----------------------------------------------
 
-    return samples.select("tree_id", "row_idx", *cols).groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
+def _uniform(seed: int, salt: str) -> Column:
+    """A number in [0, 1) that belongs to a node of a tree."""
+    return _hash32(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("tree_id").cast("string"), F.col("node_id").cast("string"))) / F.lit(float(1 << 32))
+
+
+def grow_forest(samples: DataFrame, feature_cols: Sequence[str], psi: int, seed: int = RANDOM_STATE) -> DataFrame:
+    """``samples`` (tree_id, features...) -> node table (NODE_SCHEMA).
+
+    Level-synchronous: at every level each (tree, node) group finds its size and the range of every feature by a window,
+    picks one of the features that vary and a cut between its least and greatest value, and sends its rows to nodes
+    ``2 i + 1`` and ``2 i + 2``.  Rows are dealt by tree once, and every level's window keeps that
+    partitioning, so all levels run in one stage of JVM expressions.  Feature and cut come from a hash of (seed, tree,
+    node): trees don't depend on the order or the partitions of the rows.
+    """
+    cols = list(feature_cols)
+    depth_limit = max_depth_for(psi)
+    node = Window.partitionBy("tree_id", "node_id")
+    index = F.array(*[F.lit(i) for i in range(len(cols))])
+    # trees are few rows but much work: adaptive execution would put them into a few tasks, a given count spreads them
+    tasks = max(1, 2 * samples.sparkSession.sparkContext.defaultParallelism)
+    rows = samples.select("tree_id", F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).repartition(tasks, "tree_id")
+    rows = rows.select(F.col("tree_id").cast("int").alias("tree_id"), *[F.col("_x")[i].alias(f"_f{i}") for i in range(len(cols))],
+                       F.lit(0).alias("node_id"), F.lit(False).alias("_done"),
+                       F.array().cast("array<struct<node_id:int,depth:int,feature:int,threshold:double,size:bigint>>").alias("_path"))
+    features = [f"_f{i}" for i in range(len(cols))]
+    # every level has the same columns; only its depth differs
+    ranges = [F.count(F.lit(1)).over(node).alias("_size"), F.array(*[F.min(f).over(node) for f in features]).alias("_low"),
+              F.array(*[F.max(f).over(node) for f in features]).alias("_high")]
+    varying = F.filter(index, lambda i: F.get("_high", i) > F.get("_low", i)).alias("_varying")
+    pick = F.floor(_uniform(seed, "feature") * F.size("_varying")).cast("int")
+    chosen = F.when(F.col("_size") > 1, F.get("_varying", pick)).alias("_feature")
+    low, high = F.get("_low", F.col("_feature")), F.get("_high", F.col("_feature"))
+    cut = low + _uniform(seed, "cut") * (high - low)
+    cut = F.when(cut >= high, low).otherwise(cut).alias("_cut")
+    value = F.get(F.array(*features), F.col("_feature")).alias("_value")
+    leaf = F.col("_done") | F.col("_feature").isNull()
+    child = 2 * F.col("node_id") + F.when(F.col("_value") <= F.col("_cut"), 1).otherwise(2)
+    moved = F.when(leaf, F.col("node_id")).otherwise(child).cast("int").alias("node_id")
+    for level in range(depth_limit + 1):
+        rows = rows.select("*", *ranges).select("*", varying if level < depth_limit else F.array().cast("array<int>").alias("_varying"))
+        rows = rows.select("*", chosen).select("*", cut, value)
+        here = F.struct("node_id", F.lit(level).alias("depth"), F.coalesce("_feature", F.lit(-1)).alias("feature"),
+                        F.col("_cut").alias("threshold"), F.col("_size").alias("size"))
+        path = F.when(F.col("_done"), F.col("_path")).otherwise(F.array_append("_path", here)).alias("_path")
+        rows = rows.select("tree_id", *features, moved, leaf.alias("_done"), path)
+    seen = rows.select("tree_id", F.explode("_path").alias("n")).select("tree_id", "n.*")
+    nodes = seen.groupBy("tree_id", "node_id").agg(*[F.first(c).alias(c) for c in ("depth", "feature", "threshold", "size")])
+    inner = F.col("feature") >= 0
+    return nodes.select(
+        "tree_id", "node_id", "depth", "feature", "threshold",
+        F.when(inner, 2 * F.col("node_id") + 1).otherwise(-1).cast("int").alias("left"),
+        F.when(inner, 2 * F.col("node_id") + 2).otherwise(-1).cast("int").alias("right"), "size")
 
 
 @dataclass
@@ -156,13 +195,13 @@ class PackedForest:
     @classmethod
     def from_nodes(cls, nodes: pd.DataFrame, psi: int) -> PackedForest:
         nodes = nodes.sort_values(["tree_id", "node_id"], kind="mergesort").reset_index(drop=True)
-        tree_sizes = nodes.groupby("tree_id", sort=True).size()
-        offsets = np.concatenate([[0], np.cumsum(tree_sizes.to_numpy())[:-1]]).astype(np.int64)
-        base = pd.Series(offsets, index=tree_sizes.index)[nodes["tree_id"]].to_numpy()
+        tree, node = nodes["tree_id"].to_numpy(np.int64), nodes["node_id"].to_numpy(np.int64)
+        key = tree * (1 << 32) + node  # sorted: a child's place is found by its key
+        offsets = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if len(tree) else np.zeros(0, np.int64)
         is_leaf = nodes["feature"].to_numpy() < 0
         own = np.arange(len(nodes))
-        left = np.where(is_leaf, own, nodes["left"].to_numpy() + base)
-        right = np.where(is_leaf, own, nodes["right"].to_numpy() + base)
+        left, right = (np.where(is_leaf, own, np.searchsorted(key, tree * (1 << 32) + nodes[side].to_numpy(np.int64)))
+                       for side in ("left", "right"))
         leaf_value = np.where(is_leaf, nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy()), 0.0)
         return cls(
             feature=np.where(is_leaf, 0, nodes["feature"].to_numpy()).astype(np.int32),

@@ -339,7 +339,7 @@ from loglens.operators import threshold as th  # noqa: E402
 
 SURROGATE_CTES = """,
 scored AS (SELECT event_id, split, is_anomaly, round(ln(1 + response_time_ms), 6) AS anomaly_score FROM split),
-val AS (SELECT * FROM scored WHERE split = 'val'),
+""" + (SWEEP_CTES := """val AS (SELECT * FROM scored WHERE split = 'val'),
 b0 AS (SELECT quantile_cont(anomaly_score, 0.01) AS lo, quantile_cont(anomaly_score, 0.99) AS hi0 FROM val),
 b AS (SELECT lo, CASE WHEN lo >= hi0 THEN lo + 1e-6 ELSE hi0 END AS hi FROM b0),
 th AS (SELECT i AS step, CASE WHEN i = 199 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 199.0) + lo END AS threshold
@@ -360,7 +360,7 @@ test_flagged AS (SELECT s.event_id, s.is_anomaly, s.anomaly_score,
 conf AS (SELECT CAST(count_if(is_anomaly = 1 AND is_anomaly_pred = 1) AS BIGINT) AS tp, CAST(count_if(is_anomaly <> 1 AND is_anomaly_pred <> 1) AS BIGINT) AS tn,
         CAST(count_if(is_anomaly <> 1 AND is_anomaly_pred = 1) AS BIGINT) AS fp, CAST(count_if(is_anomaly = 1 AND is_anomaly_pred <> 1) AS BIGINT) AS fn
         FROM test_flagged)
-"""
+""")
 
 
 def surrogate_sql(body: str) -> str:
@@ -695,67 +695,186 @@ def q_fixed_forest_score(spark, sf):
     return feats.select("event_id", "split", r6(s).alias("score"))
 
 
-@register("iforest_sample", split_sql(
-    "SELECT CAST(t.i AS INTEGER) AS tree_id, least(256, n.n_train) AS n_rows, least(256, n.n_train) AS n_distinct "
-    "FROM range(300) t(i), (SELECT count(*) AS n_train FROM split WHERE split = 'train') n"))
+# The model in DuckDB: the same keyed hashes draw the same rows and make the same cuts, so samples, trees, scores and
+# everything after them are compared, not only their shapes.
+
+_SEED, _TREES, _PSI = 42, 300, 256
+_FS = ", ".join(FEATURE_COLUMNS)
+
+
+def _hex32(text: str, first: int = 1) -> str:
+    return f"CAST('0x' || substr(md5({text}), {first}, 8) AS BIGINT)"
+
+
+def _unrounded(raw: str, group: str = "") -> str:
+    over = f"OVER ({group})"
+    return ",\n".join(f" coalesce(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, "
+                      f"quantile_cont(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, 0.5) {over}) AS {c}" for c in FEATURE_COLUMNS)
+
+
+def _tree_ctes() -> str:
+    """Unrounded features and the rows that every tree draws."""
+    return f"""
+featx AS MATERIALIZED (SELECT event_id, split, is_anomaly, {_unrounded("rawf", "PARTITION BY split")} FROM (SELECT r.*, s.is_anomaly FROM rawf r JOIN split s ON s.event_id = r.event_id)),
+n_train AS (SELECT count(*) AS n, least({_PSI}, count(*)) AS psi FROM featx WHERE split = 'train'),
+coef AS (SELECT CAST(i AS INTEGER) AS tree_id, 1 + {_hex32(f"'{_SEED}:a:' || i")} % {iforest.HASH_PRIME - 1} AS a,
+         {_hex32(f"'{_SEED}:b:' || i")} % {iforest.HASH_PRIME} AS b FROM range({_TREES}) t(i)),
+keyed AS (SELECT event_id, {_hex32(f"'{_SEED}:row:' || event_id")} % {iforest.HASH_PRIME} AS x FROM featx, n_train WHERE split = 'train'
+          AND (n <= {iforest.POOL_FACTOR * _TREES} * psi OR {_hex32(f"'{_SEED}:row:' || event_id", 9)} <
+               greatest(1, 4294967296 * {iforest.POOL_FACTOR * _TREES} * psi // n))),
+sample AS MATERIALIZED (SELECT tree_id, event_id FROM (SELECT tree_id, event_id, row_number() OVER (PARTITION BY tree_id
+          ORDER BY (a * x + b) % {iforest.HASH_PRIME}, event_id) AS place FROM keyed, coef), n_train WHERE place <= psi)"""
+
+
+def _grow_ctes() -> str:
+    """The levels of all trees, a few common table expressions each."""
+    depth_limit = iforest.max_depth_for(_PSI)
+
+    def uniform(salt: str) -> str:
+        return f"({_hex32(f"'{_SEED}:{salt}:' || tree_id || ':' || node_id")} / 4294967296.0::DOUBLE)"
+
+    fields = FEATURE_COLUMNS
+    lists = ", ".join(f"[{', '.join(f'{how}(f[{i + 1}]) OVER w' for i in range(len(fields)))}] AS {name}" for how, name in (("min", "low"), ("max", "high")))
+    parts = [f"tree_rows0 AS MATERIALIZED (SELECT s.tree_id, 0 AS node_id, false AS done, [{_FS}] AS f FROM sample s JOIN featx x ON x.event_id = s.event_id)"]
+    for level in range(depth_limit + 1):
+        varying = f"list_filter(range({len(fields)}), lambda i: high[i + 1] > low[i + 1])" if level < depth_limit else "[]::BIGINT[]"
+        parts.append(f"""
+tree_sizes{level} AS (SELECT *, {varying} AS varying FROM (SELECT *, count(*) OVER w AS size, {lists} FROM tree_rows{level} WINDOW w AS (PARTITION BY tree_id, node_id))),
+tree_picks{level} AS (SELECT *, CASE WHEN size > 1 AND len(varying) > 0 THEN varying[CAST(floor({uniform("feature")} * len(varying)) AS BIGINT) + 1] END AS feature FROM tree_sizes{level}),
+tree_cuts{level} AS MATERIALIZED (SELECT *, low[feature + 1] + {uniform("cut")} * (high[feature + 1] - low[feature + 1]) AS cut0 FROM tree_picks{level}),
+tree_splits{level} AS MATERIALIZED (SELECT tree_id, node_id, done, f, size, feature, CASE WHEN cut0 >= high[feature + 1] THEN low[feature + 1] ELSE cut0 END AS cut FROM tree_cuts{level}),
+tree_rows{level + 1} AS MATERIALIZED (SELECT tree_id, CASE WHEN done OR feature IS NULL THEN node_id ELSE 2 * node_id + CASE WHEN f[feature + 1] <= cut THEN 1 ELSE 2 END END AS node_id,
+   done OR feature IS NULL AS done, f FROM tree_splits{level})""")
+    union = " UNION ALL ".join(f"SELECT DISTINCT tree_id, node_id, {level} AS depth, coalesce(feature, -1) AS feature, cut AS threshold, size FROM tree_splits{level} WHERE NOT done"
+                               for level in range(depth_limit + 1))
+    parts.append(f"nodes AS MATERIALIZED ({union})")
+    return ",\n".join(parts)
+
+
+def _walk_ctes(name: str, source: str) -> str:
+    """``name``: event_id and raw score of every row of ``source``."""
+    c_size, c_psi = _C_SQL.format(n="CAST(n.size AS DOUBLE)"), _C_SQL.format(n="CAST(p.psi AS DOUBLE)")
+    return f"""
+{name}_f AS MATERIALIZED (SELECT event_id, [{_FS}] AS f FROM {source}),
+{name}_w AS (SELECT event_id, CAST(i AS INTEGER) AS tree_id, 0 AS node_id FROM {source}, range({_TREES}) t(i)
+  UNION ALL SELECT w.event_id, w.tree_id, 2 * w.node_id + CASE WHEN x.f[n.feature + 1] <= n.threshold THEN 1 ELSE 2 END
+  FROM {name}_w w JOIN nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id JOIN {name}_f x ON x.event_id = w.event_id WHERE n.feature >= 0),
+{name} AS MATERIALIZED (SELECT w.event_id, power(2.0, -avg(n.depth + {c_size}) / max({c_psi})) AS s FROM {name}_w w
+  JOIN nodes n ON n.tree_id = w.tree_id AND n.node_id = w.node_id AND n.feature < 0 CROSS JOIN n_train p GROUP BY w.event_id)"""
+
+
+_MODEL_CTES = """,
+scored AS MATERIALIZED (SELECT x.event_id, x.split, x.is_anomaly, r.s - (SELECT quantile_cont(r2.s, 1.0::DOUBLE - 0.08::DOUBLE) FROM raw_scores r2
+  JOIN featx y ON y.event_id = r2.event_id WHERE y.split = 'train') AS anomaly_score FROM featx x JOIN raw_scores r ON r.event_id = x.event_id),
+""" + SWEEP_CTES
+
+# one batch of all logs, as the predict job sees them: rates and medians over the whole batch
+_BATCH_CTES = (",\nrawp AS (" + _RAW_FEATURES.replace("PARTITION BY s.split, s.client_ip", "PARTITION BY s.client_ip")
+               + f"),\nfeatp AS MATERIALIZED (SELECT event_id, {_unrounded('rawp')} FROM rawp)")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def sample_sql(body: str) -> str:
+    return features_sql("," + _tree_ctes() + body)
+
+
+def forest_sql(body: str) -> str:
+    return features_sql("," + _tree_ctes() + ",\n" + _grow_ctes() + body)
+
+
+def model_sql(body: str) -> str:
+    return _recursive(features_sql("," + _tree_ctes() + ",\n" + _grow_ctes() + ",\n" + _walk_ctes("raw_scores", "featx") + _MODEL_CTES + body))
+
+
+def predict_sql(body: str) -> str:
+    return model_sql(_BATCH_CTES + ",\n" + _walk_ctes("batch_scores", "featp") + """,
+predicted AS (SELECT p.event_id, p.s - o.score_offset AS anomaly_score, p.s - o.score_offset >= best.threshold AS flag FROM batch_scores p
+  CROSS JOIN best CROSS JOIN (SELECT quantile_cont(r.s, 1.0::DOUBLE - 0.08::DOUBLE) AS score_offset FROM raw_scores r JOIN featx y ON y.event_id = r.event_id
+  WHERE y.split = 'train') o)
+""" + body)
+
+
+@register("iforest_sample", sample_sql("SELECT tree_id, event_id FROM sample"))
 def q_iforest_sample(spark, sf):
-    """Per tree: rows drawn and distinct positions (both must equal psi = min(256, n_train))."""
-    split = _split(spark, sf)
-    n_train = split.where(F.col("split") == "train").count()
-    samples = iforest.draw_samples(spark, n_train)
-    picked = iforest.pick_samples(split.where(F.col("split") == "train"), samples, 300 * min(256, n_train))
-    return picked.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_rows"),
-                                         F.count_distinct("row_idx").alias("n_distinct"))
+    """The rows that every tree draws."""
+    train = _split(spark, sf).where(F.col("split") == "train").select("event_id")
+    return iforest.draw_samples(train, ["event_id"], train.count()).select("tree_id", "event_id")
 
 
-@register("iforest_train")
+@register("iforest_train", forest_sql(
+    "SELECT tree_id, CAST(node_id AS INTEGER) AS node_id, CAST(depth AS INTEGER) AS depth, CAST(feature AS INTEGER) AS feature, "
+    "round(threshold, 6) AS threshold, CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node_id + 1 END AS INTEGER) AS \"left\", "
+    "CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node_id + 2 END AS INTEGER) AS \"right\", CAST(size AS BIGINT) AS size FROM nodes"))
 def q_iforest_train(spark, sf):
-    res = trained(spark, sf)
-    return spark.createDataFrame(res.bundle.nodes, iforest.NODE_SCHEMA)
+    nodes = spark.createDataFrame(trained(spark, sf).bundle.nodes, iforest.NODE_SCHEMA)
+    return nodes.withColumn("threshold", r6(F.col("threshold")))
 
 
-@register("iforest_score")
+@register("iforest_score", model_sql("SELECT event_id, split, round(anomaly_score, 6) AS anomaly_score FROM scored"))
 def q_iforest_score(spark, sf):
-    return trained(spark, sf).scored.select("event_id", "split", "anomaly_score")
+    return trained(spark, sf).scored.select("event_id", "split", r6(F.col("anomaly_score")).alias("anomaly_score"))
+
 
+_F1_SQL = "round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6)"
+_SIZE_SQL = "(SELECT count(*) FROM split WHERE split = '{0}')"
 
-@register("train_report")
+
+@register("train_report", model_sql(
+    f"SELECT round(best.threshold, 6) AS threshold, round(best.f1, 6) AS val_f1, {_F1_SQL} AS test_f1_preview, "
+    f"{_SIZE_SQL.format('train')} AS train_size, {_SIZE_SQL.format('val')} AS val_size, {_SIZE_SQL.format('test')} AS test_size FROM best, conf"))
 def q_train_report(spark, sf):
     rep = trained(spark, sf).report
-    return spark.createDataFrame([{k: v for k, v in rep.items() if k not in ("best_params", "output_path")}])
+    out = spark.createDataFrame([{k: v for k, v in rep.items() if k not in ("best_params", "output_path")}])
+    return out.withColumns({c: r6(F.col(c)) for c in ("threshold", "val_f1", "test_f1_preview")})
 
 
-@register("model_info")
+@register("model_info", model_sql(
+    "SELECT round(best.threshold, 6) AS threshold, (SELECT round(quantile_cont(r.s, 0.92::DOUBLE), 6) FROM raw_scores r JOIN featx y "
+    "ON y.event_id = r.event_id WHERE y.split = 'train') AS score_offset, n_train.psi AS psi, CAST(300 AS BIGINT) AS n_estimators, 0.08::DOUBLE AS contamination, "
+    "1.0::DOUBLE AS max_features, CAST(42 AS BIGINT) AS random_state, CAST(60 AS BIGINT) AS rate_window_seconds, round(best.f1, 6) AS val_f1, "
+    f"{_F1_SQL} AS test_f1, '{','.join(FEATURE_COLUMNS)}' AS feature_columns FROM best, conf, n_train"))
 def q_model_info(spark, sf):
     meta = trained(spark, sf).bundle.meta
     keys = ["threshold", "score_offset", "psi", "n_estimators", "contamination", "max_features",
             "random_state", "rate_window_seconds", "val_f1", "test_f1", "feature_columns"]
-    return spark.createDataFrame([{k: meta[k] for k in keys}])
+    out = spark.createDataFrame([{k: meta[k] for k in keys}])
+    return out.withColumns({**{c: r6(F.col(c)) for c in ("threshold", "score_offset", "val_f1", "test_f1")},
+                            "feature_columns": F.array_join("feature_columns", ",")})
 
 
-@register("predict_logs")
+@register("predict_logs", predict_sql(
+    "SELECT c.*, round(p.anomaly_score, 6) AS anomaly_score, CAST(p.flag AS INTEGER) AS is_anomaly_pred, p.flag AS predicted_anomaly "
+    "FROM clean c JOIN predicted p ON p.event_id = c.event_id"))
 def q_predict_logs(spark, sf):
     res = trained(spark, sf)
-    return pipeline.predict(spark, fixture.fixture_raw(spark, sf), res.bundle)
+    out = pipeline.predict(spark, fixture.fixture_raw(spark, sf), res.bundle)
+    return out.withColumn("anomaly_score", r6(F.col("anomaly_score")))
 
 
-@register("evaluate_pipeline")
+@register("evaluate_pipeline", model_sql(
+    "SELECT tp + tn + fp + fn AS test_size, round(best.threshold, 6) AS threshold, "
+    "round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision, "
+    "round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall, " + _F1_SQL + " AS f1, "
+    "round(CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy, "
+    "round(CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END, 6) AS false_positive_rate, tp, tn, fp, fn, "
+    "'metrics on the labelled test period only' AS note FROM conf, best"))
 def q_evaluate_pipeline(spark, sf):
     res = trained(spark, sf)
-    return pipeline.evaluate(spark, fixture.fixture_raw(spark, sf), res.bundle, tiebreak=["event_id"])
+    out = pipeline.evaluate(spark, fixture.fixture_raw(spark, sf), res.bundle, tiebreak=["event_id"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("threshold", "precision", "recall", "f1", "accuracy", "false_positive_rate")})
 
 
-@register("bundle_round_trip")
+@register("bundle_round_trip", predict_sql(
+    "SELECT event_id, round(anomaly_score, 6) AS anomaly_score, CAST(flag AS INTEGER) AS is_anomaly_pred FROM predicted"))
 def q_bundle_round_trip(spark, sf):
-    """Save, load, predict again: rows whose score changed (must be none)."""
-    res = trained(spark, sf)
+    """Predictions of the saved and restored model."""
     path = scratch_path(spark, "bundle")
-    save_bundle(spark, res.bundle, path)
-    loaded = load_bundle(spark, path)
-    raw = fixture.fixture_raw(spark, sf)
-    a = pipeline.predict(spark, raw, res.bundle).select("event_id", F.col("anomaly_score").alias("a"))
-    b = pipeline.predict(spark, raw, loaded).select("event_id", F.col("anomaly_score").alias("b"))
-    return a.join(b, "event_id").where(F.abs(F.col("a") - F.col("b")) > 1e-12)
+    save_bundle(spark, trained(spark, sf).bundle, path)
+    out = pipeline.predict(spark, fixture.fixture_raw(spark, sf), load_bundle(spark, path))
+    return out.select("event_id", r6(F.col("anomaly_score")).alias("anomaly_score"), "is_anomaly_pred")
 
 
 # ---- streaming: files arriving in a folder, scored batch by batch ---------------

@@ -2,7 +2,7 @@
 
 train:    clean -> split (distributed row index) -> fit stats on train ->
           features per split (rates and medians never cross splits) ->
-          sample positions -> grow trees in parallel -> score all splits ->
+          sample by keyed hash -> grow all trees level by level -> score all splits ->
           offset from train scores -> F1 sweep on val -> test F1 -> bundle
 predict:  clean -> restored stats -> features -> score -> flag
 evaluate: clean -> split -> test part -> features -> score -> flag -> metrics
@@ -81,9 +81,14 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
                          stage=lambda d: materialize(d, partition_by="split", name="features"))
 
     psi = min(max_samples, n_train)
-    samples = iforest.draw_samples(spark, n_train, n_estimators, max_samples, seed)
-    picked = iforest.pick_samples(feats.where(is_train), samples, n_estimators * psi)
-    nodes = iforest.grow_forest(picked, FEATURE_COLUMNS, psi, seed).toPandas()
+    # what tells rows apart: the tie-break names them, or else their place in the written features
+    trained_on = feats.where(is_train)
+    keys = ["timestamp", *order]
+    if tiebreak is None:
+        trained_on, keys = trained_on.withColumn("_place", F.monotonically_increasing_id()), ["_place"]
+    samples = iforest.draw_samples(trained_on.select(*dict.fromkeys(keys), *FEATURE_COLUMNS), order if tiebreak is not None else keys,
+                                   n_train, n_estimators, max_samples, seed)
+    nodes = iforest.grow_forest(samples, FEATURE_COLUMNS, psi, seed).toPandas()
 
     meta: dict[str, Any] = {
         "threshold": 0.0, "score_offset": 0.0, "psi": psi, "n_estimators": n_estimators,

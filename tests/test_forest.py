@@ -1,8 +1,8 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
-
 from loglens.operators import forest as iforest
 
 
@@ -13,14 +13,54 @@ def test_average_path_length():
     assert c[4] == pytest.approx(10.244770920116851, rel=1e-9)
 
 
-def test_samples_are_distinct_positions(spark):
-    s = iforest.draw_samples(spark, 700, n_trees=300, max_samples=256).toPandas()
-    per_tree = s.groupby("tree_id")["row_idx"].agg(["count", "nunique", "min", "max"])
-    assert len(per_tree) == 300
-    assert (per_tree["count"] == 256).all() and (per_tree["nunique"] == 256).all()
-    assert per_tree["min"].min() >= 0 and per_tree["max"].max() < 700
-    small = iforest.draw_samples(spark, 40, n_trees=5).toPandas()
-    assert (small.groupby("tree_id").size() == 40).all()
+def _keys(spark, n):
+    return spark.range(n).withColumnRenamed("id", "row_idx")
+
+
+def _hash32(text, first=0):
+    return int(hashlib.md5(text.encode()).hexdigest()[first:first + 8], 16)
+
+
+def _brute_samples(keys, n_trees, psi, gate=1 << 32, seed=42):
+    """The psi rows of smallest hash of every tree, in plain Python."""
+    p = iforest.HASH_PRIME
+    pool = [(k, _hash32(f"{seed}:row:{k}") % p) for k in keys if _hash32(f"{seed}:row:{k}", 8) < gate]
+    out = set()
+    for t in range(n_trees):
+        a, b = 1 + _hash32(f"{seed}:a:{t}") % (p - 1), _hash32(f"{seed}:b:{t}") % p
+        out |= {(t, k) for _, k in sorted(((a * x + b) % p, k) for k, x in pool)[:psi]}
+    return out
+
+
+@pytest.mark.parametrize("n,psi", [(700, 256), (40, 256), (5000, 16), (3000, 1)])
+def test_samples_are_the_smallest_hashes_of_every_tree(spark, n, psi):
+    got = iforest.draw_samples(_keys(spark, n), ["row_idx"], n, n_trees=20, max_samples=psi).collect()
+    assert len(got) == 20 * min(n, psi)
+    assert {(r.tree_id, r.row_idx) for r in got} == _brute_samples(range(n), 20, min(n, psi), iforest.pool_bound(n, 20, min(n, psi)))
+
+
+def test_a_large_table_draws_from_a_pool(spark, monkeypatch):
+    """Beyond the pool's size rows pass a gate first; every tree still gets its psi rows."""
+    monkeypatch.setattr(iforest, "POOL_FACTOR", 2)
+    n, trees, psi = 20_000, 10, 64
+    gate = iforest.pool_bound(n, trees, psi)
+    assert gate < 1 << 32 and iforest.rank_bound(n, trees, psi) < iforest.HASH_PRIME
+    got = iforest.draw_samples(_keys(spark, n).repartition(5), ["row_idx"], n, trees, psi).collect()
+    assert {(r.tree_id, r.row_idx) for r in got} == _brute_samples(range(n), trees, psi, gate)
+    assert len(got) == trees * psi
+
+
+def test_every_row_is_drawn_equally_often(spark):
+    n, trees = 500, 300
+    got = iforest.draw_samples(_keys(spark, n), ["row_idx"], n, trees, 100).groupBy("row_idx").count().toPandas()
+    assert len(got) == n
+    # 300 draws of one in five: mean 60, standard deviation 6.9
+    assert got["count"].mean() == pytest.approx(60) and got["count"].std() == pytest.approx(6.9, abs=1.2)
+    assert got["count"].min() > 25 and got["count"].max() < 95
+
+
+def test_no_rows_no_samples(spark):
+    assert iforest.draw_samples(_keys(spark, 0), ["row_idx"], 0).count() == 0
 
 
 def _data(spark, n=600, seed=0):
@@ -35,8 +75,7 @@ def _data(spark, n=600, seed=0):
 def _grow(spark, df, n, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        samples = iforest.draw_samples(spark, n, n_trees=50, max_samples=256)
-        picked = df.repartition(partitions).join(F.broadcast(samples), "row_idx")
+        picked = iforest.draw_samples(df.repartition(partitions), ["row_idx"], n, n_trees=50, max_samples=256)
         return iforest.grow_forest(picked, ["a", "b", "c"], psi=256).toPandas() \
             .sort_values(["tree_id", "node_id"]).reset_index(drop=True)
     finally:
@@ -78,12 +117,44 @@ def test_hand_made_tree_path_length():
     assert h[1] == pytest.approx(1.0 + iforest.average_path_length([9])[0])
 
 
-def test_sample_join_falls_back_to_shuffle(spark, monkeypatch):
-    df, _ = _data(spark, 400, seed=2)
-    samples = iforest.draw_samples(spark, 400, n_trees=10, max_samples=64)
-    small = iforest.pick_samples(df, samples, 640).toPandas().sort_values(["tree_id", "row_idx"])
-    monkeypatch.setattr(iforest, "SAMPLE_BROADCAST_MAX_ROWS", 10)
-    plan = iforest.pick_samples(df, samples, 640)
-    assert "BroadcastExchange" not in plan._jdf.queryExecution().sparkPlan().toString()
-    big = plan.toPandas().sort_values(["tree_id", "row_idx"])
-    pd.testing.assert_frame_equal(small.reset_index(drop=True), big.reset_index(drop=True))
+def test_trees_equal_a_plain_recursion(spark):
+    """Every node of a few trees, grown again row by row in Python."""
+    df, X = _data(spark, 300, seed=2)
+    samples = iforest.draw_samples(df, ["row_idx"], 300, n_trees=6, max_samples=64)
+    got = {(r.tree_id, r.node_id): r for r in iforest.grow_forest(samples, ["a", "b", "c"], psi=64, seed=42).collect()}
+    drawn = {}
+    for r in samples.select("tree_id", "row_idx").collect():
+        drawn.setdefault(r.tree_id, []).append(r.row_idx)
+    want = {}
+
+    def grow(tree, node, rows, depth):
+        low, high = X[rows].min(axis=0), X[rows].max(axis=0)
+        varying = [i for i in range(3) if high[i] > low[i]]
+        if len(rows) <= 1 or depth == iforest.max_depth_for(64) or not varying:
+            want[tree, node] = (depth, -1, None, len(rows))
+            return
+        f = varying[int(_hash32(f"42:feature:{tree}:{node}") / 2**32 * len(varying))]
+        cut = low[f] + _hash32(f"42:cut:{tree}:{node}") / 2**32 * (high[f] - low[f])
+        want[tree, node] = (depth, f, cut, len(rows))
+        for child, part in ((1, [r for r in rows if X[r, f] <= cut]), (2, [r for r in rows if X[r, f] > cut])):
+            grow(tree, 2 * node + child, part, depth + 1)
+
+    for tree, rows in drawn.items():
+        grow(tree, 0, sorted(rows), 0)
+    assert {k: (r.depth, r.feature, r.threshold, r["size"]) for k, r in got.items()} == want
+    for r in got.values():
+        assert (r.left, r.right) == ((2 * r.node_id + 1, 2 * r.node_id + 2) if r.feature >= 0 else (-1, -1))
+
+
+def test_equal_rows_make_a_leaf(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(50)], "row_idx bigint, a double, b double")
+    nodes = iforest.grow_forest(iforest.draw_samples(df, ["row_idx"], 50, n_trees=3), ["a", "b"], psi=50).collect()
+    assert sorted((r.tree_id, r.node_id, r.feature, r["size"]) for r in nodes) == [(t, 0, -1, 50) for t in range(3)]
+
+
+def test_growing_is_one_stage_without_python(spark):
+    df, _ = _data(spark, 100)
+    grown = iforest.grow_forest(iforest.draw_samples(df, ["row_idx"], 100, n_trees=3), ["a", "b", "c"], psi=100)
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # the samples' ranks and the trees
+    assert "Python" not in plan and "Arrow" not in plan
