@@ -121,6 +121,7 @@ def q_rate_1h(spark, sf):
 # ---- ordering and split --------------------------------------------------------
 
 from loglens.operators import ordering  # noqa: E402
+from loglens.operators.boundaries import boundary_split  # noqa: E402
 
 SPLIT_CTES = """,
 numbered AS (SELECT *, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS row_idx,
@@ -137,7 +138,7 @@ def split_sql(body: str) -> str:
 
 
 def _split(spark, sf):
-    return ordering.chronological_split(_clean(spark, sf), tiebreak=["event_id"])
+    return boundary_split(_clean(spark, sf), tiebreak=["event_id"])
 
 
 @register("order_by_time", clean_sql(
@@ -148,7 +149,12 @@ def q_order_by_time(spark, sf):
 
 @register("chronological_split", split_sql("SELECT event_id, row_idx, split FROM split"))
 def q_chronological_split(spark, sf):
-    return _split(spark, sf).select("event_id", "row_idx", "split")
+    return ordering.chronological_split(_clean(spark, sf), tiebreak=["event_id"]).select("event_id", "row_idx", "split")
+
+
+@register("split_by_boundary", split_sql("SELECT event_id, split FROM split"))
+def q_split_by_boundary(spark, sf):
+    return _split(spark, sf).select("event_id", "split")
 
 
 @register("split_counts", split_sql("SELECT split, count(*) AS n FROM split GROUP BY split"))

@@ -1,6 +1,6 @@
 """Train, predict and evaluate jobs.
 
-train:    clean -> split (distributed row index) -> fit stats on train ->
+train:    clean -> split (selected boundary keys) -> fit stats on train ->
           features per split (rates and medians never cross splits) ->
           sample by keyed hash -> grow all trees level by level -> score all splits ->
           offset from train scores -> F1 sweep on val -> test F1 -> bundle
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loglens.operators import forest as iforest
 from loglens.operators import threshold as th
 from loglens.operators.cleaning import alias_columns, clean_logs, validate_log_schema
-from loglens.operators.ordering import chronological_split
+from loglens.operators.boundaries import boundary_split
 from loglens.operators.quantiles import lerp, order_statistics
 from loglens.plans.feature_builder import FeatureBuilder
 from loglens.schema import (
@@ -64,7 +64,7 @@ def train(spark: SparkSession, logs: DataFrame, out_dir: str | None = None,
     validate_log_schema(logs, require_labels=True)
     clean = clean_logs(logs)
     order = list(tiebreak) if tiebreak is not None else [c for c in clean.columns if c != "timestamp"]
-    split = materialize(chronological_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio),
+    split = materialize(boundary_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio),
                         partition_by="split", name="split")
     sizes = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_train = int(sizes.get("train", 0))
@@ -154,7 +154,7 @@ def evaluate(spark: SparkSession, logs: DataFrame, bundle: Bundle, tiebreak: Seq
     validate_log_schema(logs, require_labels=True)
     clean = clean_logs(logs)
     order = list(tiebreak) if tiebreak is not None else [c for c in clean.columns if c != "timestamp"]
-    test = chronological_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio) \
+    test = boundary_split(clean, tiebreak=order, train_ratio=train_ratio, val_ratio=val_ratio) \
         .where(F.col("split") == "test")
     feats = bundle.features.transform(test)
     flagged = th.flag_scores(score_features(spark, feats, bundle), bundle.threshold)
