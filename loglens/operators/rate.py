@@ -24,6 +24,12 @@ Two exact plans for the key table:
   ``sum(n)`` up to ``t - w - 1us``: two growing frames, each O(1) per row.  A
   hot client is spread over its time buckets; one hash exchange on
   ``(ip, bucket)`` and one sort.
+* ``"dense"`` - for traffic that crowds into one bucket.  Every key becomes an event at ``t`` and a probe at
+  ``t - w - 1us``; both are sorted by ranges of (ip, time), so one client's crowded minute spreads over all tasks.
+  Running counts inside a piece of a range are completed by the counts of the client's pieces before it (one row per piece
+  and client), and a key's rate is the count at its event minus the count at its probe.  Three narrow exchanges.
+* ``"auto"`` - counts the keys per (ip, bucket) first; clients with a bucket of more than ``CROWDED`` keys
+  take the dense plan, all others the bucketed one.
 """
 
 from __future__ import annotations
@@ -34,9 +40,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.schema import RATE_WINDOW_SECONDS
+from loglens.session import materialize
 
 _MICROS = 1_000_000
 _DAY_US = 86_400 * _MICROS
+#: Keys of one client in one bucket beyond which ``"auto"`` takes the dense plan for the client.
+CROWDED = 1_000_000
+#: Ranges of the dense plan are counted in pieces of 2 ** PIECE_BITS rows, many more than tasks.
+PIECE_BITS = 16
 
 
 def epoch_micros(ts: str) -> Column:
@@ -70,11 +81,15 @@ def rate_table(keys: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS,
     """Key table (with ``_rr_n``) -> same columns + ``out_col`` (double)."""
     if method == "window":
         return _rate_window(keys, window_seconds, ip_col, ts_col, partition_cols, out_col)
-    if method != "bucketed":
+    if method == "dense":
+        return _rate_dense(keys, window_seconds, ip_col, ts_col, partition_cols, out_col)
+    if method not in ("bucketed", "auto"):
         raise ValueError(f"unknown rate method {method!r}")
     bucket_s = bucket_seconds or 4 * window_seconds
     if bucket_s < window_seconds:
         raise ValueError("bucket_seconds must be >= the rate window")
+    if method == "auto":
+        return _rate_auto(keys, window_seconds, ip_col, ts_col, partition_cols, out_col, bucket_s)
     return _rate_bucketed(keys, window_seconds, ip_col, ts_col, partition_cols, out_col, bucket_s)
 
 
@@ -136,3 +151,45 @@ def _rate_bucketed(keys, w, ip_col, ts_col, pcols, out_col, bucket_s):
     return (rated.where(F.col(real))
                  .select(*group, ts_col, "_rr_n",
                          F.when(valid, F.col(out_col)).otherwise(0).cast("double").alias(out_col)))
+
+
+def _rate_dense(keys, w, ip_col, ts_col, pcols, out_col):
+    w_us = w * _MICROS
+    group = list(pcols) + [ip_col]
+    valid = _valid(ip_col, ts_col)
+    base = keys.where(valid).select(*group, ts_col, "_rr_n", epoch_micros(ts_col).alias("_rr_t"))
+    marks = F.array(F.struct(F.col("_rr_t").alias("at"), F.lit(0).alias("probe"), F.col("_rr_n").alias("n")),
+                    F.struct((F.col("_rr_t") - (w_us + 1)).alias("at"), F.lit(1).alias("probe"), F.lit(0).cast("bigint").alias("n")))
+    # an event at the time of a probe is sorted before it: the probe counts it
+    order = [*group, "_rr_at", "_rr_probe"]
+    marked = base.select(*group, "_rr_t", F.explode(marks).alias("m")).select(
+        *group, "_rr_t", F.col("m.at").alias("_rr_at"), F.col("m.probe").alias("_rr_probe"), F.col("m.n").alias("_rr_n"))
+    order.append("_rr_t")
+    sorted_rows = marked.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ids grow along the sort: their high bits number the pieces in order
+    dealt = materialize(sorted_rows.withColumn("_rr_range", F.shiftright(F.monotonically_increasing_id(), PIECE_BITS)), name="rate-ranges")
+    inside = Window.partitionBy("_rr_range", *group).orderBy("_rr_at", "_rr_probe").rowsBetween(Window.unboundedPreceding, 0)
+    counts = dealt.groupBy("_rr_range", *group).agg(F.sum("_rr_n").alias("_rr_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_rr_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_rr_range", *group, F.coalesce(F.sum("_rr_sum").over(earlier), F.lit(0)).alias("_rr_before"))
+    upto = join_keys(dealt.withColumn("_rr_c", F.sum("_rr_n").over(inside)), counts, ["_rr_range", *group])
+    sign = F.when(F.col("_rr_probe") == 0, 1).otherwise(-1)
+    rates = upto.groupBy(*group, "_rr_t").agg(F.sum(sign * (F.col("_rr_c") + F.col("_rr_before"))).cast("double").alias(out_col))
+    out = keys.withColumn("_rr_t", F.when(valid, epoch_micros(ts_col)))
+    joined = join_keys(out, rates, [*group, "_rr_t"])
+    return joined.select(*group, ts_col, "_rr_n", F.coalesce(out_col, F.lit(0.0)).alias(out_col))
+
+
+def _rate_auto(keys, w, ip_col, ts_col, pcols, out_col, bucket_s):
+    group = list(pcols) + [ip_col]
+    bucket = _floor_div(epoch_micros(ts_col), bucket_s * _MICROS)
+    crowded = (keys.where(_valid(ip_col, ts_col)).groupBy(*group, bucket.alias("_rr_b")).agg(F.count(F.lit(1)).alias("_rr_k"))
+               .where(F.col("_rr_k") > CROWDED).select(*group).distinct().withColumn("_rr_hot", F.lit(True)))
+    crowded = materialize(crowded, name="rate-crowded")
+    if crowded.isEmpty():
+        return _rate_bucketed(keys, w, ip_col, ts_col, pcols, out_col, bucket_s)
+    # clients of more than CROWDED keys each: their table is at most the keys divided by that
+    marked = join_keys(keys, crowded, group)
+    hot = _rate_dense(marked.where("_rr_hot").drop("_rr_hot"), w, ip_col, ts_col, pcols, out_col)
+    rest = _rate_bucketed(marked.where("_rr_hot IS NULL").drop("_rr_hot"), w, ip_col, ts_col, pcols, out_col, bucket_s)
+    return hot.unionByName(rest)

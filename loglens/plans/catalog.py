@@ -118,6 +118,13 @@ def q_rate_1h(spark, sf):
     return rate.request_rate(log, 3600)
 
 
+@register("request_rate_dense", _rate_sql(3600))
+def q_rate_dense(spark, sf):
+    """The rate by running counts over time ranges, for traffic that no bucket holds."""
+    log = fixture.fixture_log(spark, sf).select("event_id", "client_ip", "timestamp")
+    return rate.request_rate(log, 3600, method="dense")
+
+
 # ---- ordering and split --------------------------------------------------------
 
 from loglens.operators import ordering  # noqa: E402

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loglens.operators import rate
 from loglens.operators.rate import request_rate
 
 SCHEMA = "id long, client_ip string, timestamp timestamp_ntz"
@@ -22,14 +23,14 @@ def rates(df, **kw):
 
 def test_documented_example(spark):
     df = frame(spark, [(1, "A", t(10, 0, 0)), (2, "A", t(10, 0, 10)), (3, "A", t(10, 0, 50)), (4, "A", t(10, 1, 20))])
-    for method in ("bucketed", "window"):
+    for method in ("bucketed", "window", "dense", "auto"):
         assert rates(df, method=method) == {1: 1.0, 2: 2.0, 3: 3.0, 4: 2.0}
 
 
 def test_ties_exact_gap_and_nulls(spark):
     df = frame(spark, [(1, "A", t(10, 0, 0)), (2, "A", t(10, 0, 0)), (3, "A", t(10, 1, 0)),
                        (4, "A", None), (5, "A", None), (6, None, t(10, 0, 0))])
-    for method in ("bucketed", "window"):
+    for method in ("bucketed", "window", "dense", "auto"):
         assert rates(df, method=method) == {1: 2.0, 2: 2.0, 3: 3.0, 4: 0.0, 5: 0.0, 6: 0.0}
 
 
@@ -52,6 +53,29 @@ def test_bucket_boundaries_and_bursts_match_brute_force(spark):
     assert rates(df, method="bucketed") == expect
     assert rates(df, method="bucketed", bucket_seconds=60) == expect
     assert rates(df, method="window") == expect
+    assert rates(df, method="dense") == expect
+
+
+def test_crowded_clients_take_the_dense_plan(spark, monkeypatch):
+    """Clients with a crowded bucket are rated by ranges, the others by buckets; both in one result."""
+    rng = random.Random(3)
+    base = dt.datetime(2026, 1, 5)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None]), base + dt.timedelta(microseconds=rng.randrange(90 * 10**6)))
+            for i in range(900)] + [(900, "a", None), (901, "hot", None)]
+    df = frame(spark, rows).repartition(3)
+    monkeypatch.setattr(rate, "CROWDED", 200)
+    plain = rates(df, method="bucketed")
+    assert rates(df, method="auto") == plain == rates(df, method="dense")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(rate, "PIECE_BITS", 4)
+    try:  # one client's minute lies in several ranges, each in several pieces
+        keys = rate.key_table(df.where("client_ip = 'hot'"))
+        assert {(r.client_ip, r.timestamp): r.request_rate for r in rate.rate_table(keys, method="dense").collect()} == \
+            {(r.client_ip, r.timestamp): r.request_rate for r in rate.rate_table(keys, method="window").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    split = df.withColumn("part", F.col("id") % 2)
+    assert rates(split, method="dense", partition_cols=["part"]) == rates(split, method="bucketed", partition_cols=["part"])
 
 
 def test_partition_columns_keep_frames_apart(spark):
@@ -75,7 +99,7 @@ def test_daylight_saving_zone_does_not_matter(spark):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        for method in ("bucketed", "window"):
+        for method in ("bucketed", "window", "dense", "auto"):
             assert rates(frame(spark, rows), method=method) == {1: 1.0, 2: 2.0, 3: 1.0, 4: 1.0, 5: 2.0}
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
