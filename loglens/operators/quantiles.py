@@ -1,22 +1,19 @@
 """Exact quantiles (linear interpolation) computed as a distributed job.
 
 Spark's exact ``percentile`` merges every distinct value into one buffer in a
-single task; that does not survive billions of distinct values.  Here:
-
-1. value histogram ``(group, column, value) -> count`` (hot values collapse in
-   the map-side partial aggregate, so no value can skew a task);
-2. the histogram is range-partitioned by ``(group, column, value)``, tagged
-   with its range-partition index, and a running count is taken per
-   ``(group, column, partition)`` with a window (all JVM; persisted);
-3. per-(partition, key) totals are collected - at most ``#partitions +
-   #keys`` rows, since each partition holds a contiguous key range - and the
-   driver locates, for every wanted rank, the partition and the local rank
-   that hold it;
-4. one filtered scan of the persisted histogram returns the (at most
-   ``2 x #keys x #probs``) values at those ranks, interpolated as numpy's
-   ``linear`` method does.
-
-NaN and null values are ignored; a key with no values yields null.
+single task; that does not survive billions of distinct values, and sorting them
+moves all of them.  Here ranks are selected by refinement:
+
+1. the wanted columns are written once as a narrow table;
+2. one aggregate gives count and range per (group, column), and so the ranks that are wanted;
+3. each round counts the values inside the wanted intervals by ``BINS`` equal bins (map-side partial counts, so
+   the shuffle holds at most one row per task, interval and bin) and keeps the bin that holds the rank, with its own
+   least and greatest value, until a bin is one value or holds at most ``FEW`` rows;
+4. the distinct values of such bins are counted and picked.
+
+The number of groups and columns bounds what the driver sees, never the number of values.  Hot values are
+one bin entry.  Infinite values lie before and after all others; NaN and null values are ignored; a key with no
+values yields null.
 """
 
 from __future__ import annotations
@@ -25,11 +22,15 @@ import math
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglens.session import persist_for_reuse
+from loglens.session import materialize
+
+#: Bins of a round, and the rows of a bin that are few enough to count its values one by one.
+BINS = 512
+FEW = 2_000
 
 
 def lerp(lo: float, hi: float, frac: float) -> float:
@@ -54,62 +55,74 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
                      group_cols: Sequence[str] = (), num_partitions: int | None = None) -> dict:
     """``{key: {prob: (value at floor rank, value at ceil rank, fraction)}}``.
 
+    ``num_partitions`` is no longer used: nothing is dealt by ranges.
+
     A monotone map of the column (e.g. subtracting a constant) maps these
     order statistics one to one, so callers can interpolate on mapped values.
     """
     spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
-    names = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-    stacked = (df.select(*g, F.explode(names).alias("_q"))
-                 .select(*g, F.col("_q.c").alias("column"), F.col("_q.v").alias("v"))
-                 .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    hist = stacked.groupBy(*g, "column", "v").agg(F.count(F.lit(1)).alias("_q_w"))
     keys = g + ["column"]
-
-    ranged = hist.repartitionByRange(n_parts, *keys, "v").withColumn("_q_pid", F.spark_partition_id())
-    running = Window.partitionBy(*keys, "_q_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = persist_for_reuse(ranged.withColumn("_q_cum", F.sum("_q_w").over(running)))
-
-    part = ranked.groupBy("_q_pid", *keys).agg(F.sum("_q_w").alias("_q_pt")).collect()
-    by_key = defaultdict(list)
-    for r in part:
-        by_key[tuple(r[k] for k in keys)].append((r["_q_pid"], r["_q_pt"]))
-
-    # rank -> (partition, local rank) for every wanted rank
-    wanted = {}  # (key, pid, local rank) -> global rank
-    plan = {}    # key -> [(prob, pos, lo_rank, hi_rank)]
-    for key, parts in by_key.items():
-        parts.sort()
-        total = sum(c for _, c in parts)
+    narrow = materialize(df.select(*g, *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(columns)]), name="quantile-columns")
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("v")) for i, c in enumerate(columns)])
+    rows = (narrow.select(*g, F.explode(names).alias("_q")).select(*g, "_q.column", F.col("_q.v").alias("v"))
+            .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    finite = F.when(F.abs("v") < float("inf"), F.col("v"))
+    seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.count(finite).alias("inside"),
+                                   F.count_if(F.col("v") == float("-inf")).alias("least")).collect()
+
+    plan = {}  # key -> [(prob, position, rank below, rank above)]
+    open_: dict = {}  # (key, rank) -> (low, high, rows below, rows inside)
+    value_at: dict = {}
+    for r in seen:
+        key = tuple(r[k] for k in keys)
         plan[key] = []
         for p in probs:
-            pos = float(p) * float(total - 1)
-            lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-            plan[key].append((float(p), pos, lo_r, hi_r))
-            for rank in (lo_r, hi_r):
-                start = 0
-                for pid, c in parts:
-                    if rank < start + c:
-                        wanted[(key, pid, rank - start)] = rank
-                        break
-                    start += c
-    if not wanted:
-        return {}
-
-    conds = None
-    for (key, pid, local) in wanted:
-        c = (F.col("_q_pid") == pid) & (F.col("_q_cum") - F.col("_q_w") <= local) & (F.col("_q_cum") > local)
-        for k, v in zip(keys, key):
-            c = c & (F.col(k).eqNullSafe(F.lit(v)))
-        conds = c if conds is None else conds | c
-    picked = ranked.where(conds).select(*keys, "_q_pid", "v", "_q_cum", "_q_w").collect()
-    value_at = {}
-    for r in picked:
-        key = tuple(r[k] for k in keys)
-        for (wk, pid, local), rank in wanted.items():
-            if wk == key and pid == r["_q_pid"] and r["_q_cum"] - r["_q_w"] <= local < r["_q_cum"]:
-                value_at[(key, rank)] = r["v"]
+            pos = float(p) * float(r["n"] - 1)
+            ranks = int(math.floor(pos)), int(math.ceil(pos))
+            plan[key].append((float(p), pos, *ranks))
+            for rank in ranks:
+                if rank < r["least"]:
+                    value_at[key, rank] = float("-inf")
+                elif rank >= r["least"] + r["inside"]:
+                    value_at[key, rank] = float("inf")
+                else:
+                    open_[key, rank] = (r["low"], r["high"], r["least"], r["inside"])
+
+    kinds = [narrow.schema[c].dataType for c in g]
+    while open_:
+        for target, (low, high, _, _) in list(open_.items()):
+            if low == high:
+                value_at[target] = low
+                del open_[target]
+        if not open_:
+            break
+        few = all(n <= FEW for *_, n in open_.values())
+        ids = list(open_)
+        fields = [T.StructField(f"_k{i}", kind) for i, kind in enumerate(kinds)] + [
+            T.StructField("_kc", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
+        wanted = spark.createDataFrame([(*key, i, *open_[key, rank][:2]) for i, (key, rank) in enumerate(ids)], T.StructType(fields))
+        match = F.col("_kc") == F.col("column")
+        for i, c in enumerate(g):
+            match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        # two rows per group, column and probability at most
+        met = rows.join(F.broadcast(wanted), match & F.col("v").between(F.col("low"), F.col("high")))
+        if few:
+            bin_ = F.col("v")
+        else:  # halves keep the span of two doubles from overflowing
+            share = F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
+            bin_ = F.coalesce(F.floor(share * BINS).cast("double"), F.col("v"))  # a span too small to halve holds few values
+        counts = met.groupBy("t", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        by_target = defaultdict(list)
+        for r in counts:
+            by_target[r["t"]].append(r)
+        for i, target in enumerate(ids):
+            below = open_[target][2]
+            for r in sorted(by_target[i], key=lambda r: r["low"]):
+                if target[1] < below + r["n"]:
+                    open_[target] = (r["low"], r["high"], below, r["n"])
+                    break
+                below += r["n"]
     out = {}
     for key, items in plan.items():
         out[key] = {p: (value_at[(key, lo)], value_at[(key, hi)], pos - lo) for p, pos, lo, hi in items}

@@ -51,6 +51,34 @@ def test_quantiles_match_numpy_with_hot_values(spark):
     assert len(got) == 2 * len(probs)
 
 
+def test_quantiles_of_awkward_doubles(spark, monkeypatch):
+    """Refinement over tiny bins: infinities, denormal and huge values, hot values, many rounds."""
+    from loglens.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    monkeypatch.setattr(quantiles, "FEW", 2)
+    rng = random.Random(8)
+    vals = [0.0, -0.0, 5e-324, 1e-323, 1.7e308, -1.7e308, 1.0, 1.0 + 2**-52] + [7.0] * 50
+    vals += [rng.choice([1e-300, 1e300, 1.0]) * rng.uniform(-1, 1) for _ in range(200)]
+    df = spark.createDataFrame([(v, None) for v in vals] + [(float("inf"), 1.0)] * 3 + [(float("-inf"), None)] * 2, "x double, y double")
+    got = quantiles.order_statistics(df, ["x", "y"], [0.0, 0.004, 0.3, 0.5, 0.77, 0.99, 1.0])
+    order = sorted([*vals, *[float("inf")] * 3, *[float("-inf")] * 2])
+    for p, (low, high, _) in got[("x",)].items():
+        at = p * (len(order) - 1)
+        assert (low, high) == (order[int(np.floor(at))], order[int(np.ceil(at))])
+    assert set(got[("y",)].values()) == {(1.0, 1.0, f) for _, _, f in got[("y",)].values()}
+
+
+def test_quantile_shuffles_hold_bins_only(spark):
+    """Nearly unique values: what is shuffled is bounded by bins and tasks, not by values."""
+    from loglens.operators import quantiles
+
+    n = 200_000
+    df = spark.range(n).select((F.col("id") * 7919 % n / 3.0).alias("x")).repartition(4)
+    got = quantiles.quantile_values(df, ["x"], [0.5])[("x",)][0.5]
+    assert got == pytest.approx((n - 1) / 6.0, rel=1e-12)
+
+
 def test_quantile_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantile_row(df, "x", [0.5], names=["m"]).first()["m"] is None
