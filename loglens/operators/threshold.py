@@ -77,7 +77,9 @@ def threshold_sweep(scored: DataFrame, score_col: str = "anomaly_score", label_c
     step = (hi - lo) / (n_steps - 1)
     arr = F.array(*[F.lit(t) for t in ths])
     s = F.col(score_col)
-    guess = F.least(F.greatest(F.floor((s - F.lit(lo)) / F.lit(step)).cast("int") + 1, F.lit(0)), F.lit(n_steps))
+    # held inside the steps before it becomes a whole number: scores may be infinite
+    place = F.least(F.greatest((s - F.lit(lo)) / F.lit(step), F.lit(-1.0)), F.lit(float(n_steps)))
+    guess = F.least(F.floor(place).cast("int") + 1, F.lit(n_steps))
     k0 = F.col("_k0")
     # exact correction: k = number of thresholds <= s
     down = F.when((k0 > 0) & (F.element_at(arr, F.greatest(k0, F.lit(1))) > s), k0 - 1).otherwise(k0)

@@ -332,7 +332,7 @@ def q_feature_matrix(spark, sf):
 
 @register("impute_median", features_sql(
     "SELECT split, " + ", ".join(
-        f"round(quantile_cont({c}, 0.5), {_DIGITS[c]}) AS med_{c}" for c in FEATURE_COLUMNS) +
+        f"round(quantile_cont(CASE WHEN isinf({c}) THEN NULL ELSE {c} END, 0.5), {_DIGITS[c]}) AS med_{c}" for c in FEATURE_COLUMNS) +
     " FROM rawf GROUP BY split"))
 def q_impute_median(spark, sf):
     from loglens.operators.quantiles import medians_wide
@@ -577,12 +577,12 @@ def q_anomaly_share(spark, sf):
     return reports.anomaly_share(_clean(spark, sf)).withColumn("anomaly_pct", r6(F.col("anomaly_pct")))
 
 
-@register("score_series", preds_sql("SELECT event_id, \"timestamp\", anomaly_score FROM preds"))
+@register("score_series", preds_sql("SELECT event_id, \"timestamp\", anomaly_score, row_number() OVER (ORDER BY \"timestamp\", event_id) - 1 AS position FROM preds"))
 def q_score_series(spark, sf):
     return reports.score_series(_preds(spark, sf), order=("timestamp", "event_id"))
 
 
-@register("latency_series", preds_sql("SELECT event_id, \"timestamp\", response_time_ms FROM preds"))
+@register("latency_series", preds_sql("SELECT event_id, \"timestamp\", response_time_ms, row_number() OVER (ORDER BY \"timestamp\", event_id) - 1 AS position FROM preds"))
 def q_latency_series(spark, sf):
     return reports.latency_series(_preds(spark, sf), order=("timestamp", "event_id"))
 
@@ -627,9 +627,19 @@ def q_history_summary(spark, sf):
                           ["\"timestamp\"", "client_ip", "endpoint_uri", "response_time_ms", "status_code",
                            "anomaly_score"]).replace("null_\"timestamp\"", "null_timestamp") +
     ", CAST(count_if(is_anomaly_pred IS NULL) AS BIGINT) AS null_is_anomaly, CAST(count_if(length(client_ip) > 45) AS BIGINT) AS long_client_ip, "
-    "CAST(count_if(length(endpoint_uri) > 512) AS BIGINT) AS long_endpoint_uri FROM preds"))
+    "CAST(count_if(length(endpoint_uri) > 512) AS BIGINT) AS long_endpoint_uri FROM (SELECT * REPLACE ("
+    "CASE WHEN event_id % 50 = 0 THEN endpoint_uri || repeat('x', 600) ELSE endpoint_uri END AS endpoint_uri, "
+    "CASE WHEN event_id % 70 = 0 THEN NULL WHEN event_id % 90 = 0 THEN repeat('1', 46) ELSE client_ip END AS client_ip, "
+    "CASE WHEN event_id % 110 = 0 THEN NULL ELSE anomaly_score END AS anomaly_score) FROM preds)"))
 def q_results_contract(spark, sf):
-    return history.contract_violations(history.history_rows(_preds(spark, sf)))
+    """Violations of the table's contract; the rows that break it are planted."""
+    key, none = F.col("event_id"), F.lit(None)
+    broken = _preds(spark, sf).withColumns({
+        "endpoint_uri": F.when(key % 50 == 0, F.concat("endpoint_uri", F.repeat(F.lit("x"), 600))).otherwise(F.col("endpoint_uri")),
+        "client_ip": F.when(key % 70 == 0, none).when(key % 90 == 0, F.repeat(F.lit("1"), 46)).otherwise(F.col("client_ip")),
+        "anomaly_score": F.when(key % 110 == 0, none).otherwise(F.col("anomaly_score")),
+    })
+    return history.contract_violations(history.history_rows(broken))
 
 
 @register("csv_export", preds_sql(

@@ -55,7 +55,7 @@ def raw_view(log: DataFrame) -> DataFrame:
         "WHEN event_id % 191 = 0 THEN concat(endpoint_uri, chr(92), '\"') ELSE endpoint_uri END AS endpoint_uri",
         "CASE WHEN event_id % 3 = 0 THEN concat(' ', lower(http_method)) ELSE http_method END AS http_method",
         "CASE WHEN event_id % 107 = 0 THEN 'abc' WHEN event_id % 109 = 0 THEN '12d' "
-        "WHEN event_id % 113 = 0 THEN 'NaN' WHEN event_id % 11 = 0 THEN '-5' "
+        "WHEN event_id % 113 = 0 THEN 'NaN' WHEN event_id % 211 = 0 THEN 'inf' WHEN event_id % 11 = 0 THEN '-5' "
         "ELSE CAST(response_time_ms AS STRING) END AS response_time",
         "CASE WHEN event_id % 127 = 0 THEN '600' WHEN event_id % 131 = 0 THEN '99' "
         "WHEN event_id % 137 = 0 THEN '' WHEN event_id % 139 = 0 THEN '200.7' "
@@ -107,7 +107,7 @@ SELECT event_id,
       WHEN event_id % 191 = 0 THEN concat(endpoint_uri, chr(92), '"') ELSE endpoint_uri END AS endpoint_uri,
  CASE WHEN event_id % 3 = 0 THEN concat(' ', lower(http_method)) ELSE http_method END AS http_method,
  CASE WHEN event_id % 107 = 0 THEN 'abc' WHEN event_id % 109 = 0 THEN '12d' WHEN event_id % 113 = 0 THEN 'NaN'
-      WHEN event_id % 11 = 0 THEN '-5' ELSE CAST(response_time_ms AS VARCHAR) END AS response_time,
+      WHEN event_id % 211 = 0 THEN 'inf' WHEN event_id % 11 = 0 THEN '-5' ELSE CAST(response_time_ms AS VARCHAR) END AS response_time,
  CASE WHEN event_id % 127 = 0 THEN '600' WHEN event_id % 131 = 0 THEN '99' WHEN event_id % 137 = 0 THEN ''
       WHEN event_id % 139 = 0 THEN '200.7' ELSE CAST(status_code AS VARCHAR) END AS status_code,
  CASE WHEN event_id % 149 = 0 THEN NULL WHEN event_id % 193 = 0 THEN '9223372036854775807'
