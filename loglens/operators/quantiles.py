@@ -8,7 +8,7 @@ moves all of them.  Here ranks are selected by refinement:
 2. one aggregate gives count and range per (group, column), and so the ranks that are wanted;
 3. each round counts the values inside the wanted intervals by ``BINS`` equal bins (map-side partial counts, so
    the shuffle holds at most one row per task, interval and bin) and keeps the bin that holds the rank, with its own
-   least and greatest value, until a bin is one value or holds at most ``FEW`` rows;
+   least and greatest value, until bins are one value or hold at most ``FEW`` rows together;
 4. the distinct values of such bins are counted and picked.
 
 The number of groups and columns bounds what the driver sees, never the number of values.  Hot values are
@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from loglens.session import materialize
 
-#: Bins of a round, and the rows of a bin that are few enough to count its values one by one.
+#: Bins of a round, and the rows of all wanted bins that are few enough to count their values one by one.
 BINS = 512
-FEW = 2_000
+FEW = 100_000
 
 
 def lerp(lo: float, hi: float, frac: float) -> float:
@@ -97,7 +97,7 @@ def order_statistics(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
                 del open_[target]
         if not open_:
             break
-        few = all(n <= FEW for *_, n in open_.values())
+        few = sum(n for *_, n in open_.values()) <= FEW
         ids = list(open_)
         fields = [T.StructField(f"_k{i}", kind) for i, kind in enumerate(kinds)] + [
             T.StructField("_kc", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
