@@ -158,3 +158,32 @@ def test_growing_is_one_stage_without_python(spark):
     plan = grown._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2  # the samples' ranks and the trees
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_walk_holds_few_rows_at_a_time():
+    """Rows are walked in small blocks: the same path lengths as tree by tree, without arrays of rows x trees for the batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    trees, inner, n = 100, 127, 6000
+    node = np.arange(2 * inner + 1)
+    pdf = pd.concat([pd.DataFrame({
+        "tree_id": t, "node_id": node, "depth": np.log2(node + 1).astype(int), "feature": np.where(node < inner, rng.integers(3, size=len(node)), -1),
+        "threshold": np.where(node < inner, rng.normal(size=len(node)), np.nan), "left": np.where(node < inner, 2 * node + 1, -1),
+        "right": np.where(node < inner, 2 * node + 2, -1), "size": 2}) for t in range(trees)])
+    packed = iforest.PackedForest.from_nodes(pdf, 256)
+    X = rng.normal(size=(n, 3))
+    X[:3] = np.inf, -np.inf, np.nan
+    tracemalloc.start()
+    got = packed.path_lengths(X)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * trees * 2  # not one small number for each row and tree
+    assert packed.path_lengths(X[:0]).shape == (0,)
+    for i in [0, 1, 2, 63, 64, n - 1]:
+        ends = []
+        for at in packed.roots:
+            for _ in range(packed.max_depth):
+                at = packed.children[at, int(X[i, packed.feature[at]] > packed.threshold[at])]
+            ends.append(packed.leaf_value[at])
+        assert got[i] == np.mean(ends)

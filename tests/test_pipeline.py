@@ -85,3 +85,30 @@ def test_tiny_training_set(spark):
     n = rep["train_size"] + rep["val_size"] + rep["test_size"]
     assert rep["train_size"] == int(n * 0.7) and res.bundle.meta["psi"] == rep["train_size"]
     assert pipeline.predict(spark, raw, res.bundle).count() == n
+
+
+def _counted(spark, monkeypatch):
+    """The raw log of the registered queries, and a counter of the rows that are read from it."""
+    seen = spark.sparkContext.accumulator(0)
+    whole = fixture.fixture_raw
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    monkeypatch.setattr(fixture, "fixture_raw", lambda spark, sf: whole(spark, sf).withColumn(
+        "response_time", F.udf(look, "string")("response_time")))
+    return seen, whole(spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["iforest_train"])
+def test_raw_logs_are_parsed_once(spark, monkeypatch, name):
+    from loglens.plans import catalog
+
+    if name == "iforest_train":
+        monkeypatch.setattr(catalog, "_TRAINED", {})
+    else:
+        catalog.trained(spark, SF)
+    seen, n = _counted(spark, monkeypatch)
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert seen.value == n
