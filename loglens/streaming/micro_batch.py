@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from loglens.plans import pipeline
 from loglens.schema import RAW_LOG_SCHEMA
-from loglens.session import path_exists, release_persisted
+from loglens.session import path_exists, persist_for_reuse, release_persisted
 from loglens.sources import history
 from loglens.sources.bundle import Bundle
 from loglens.sources.logfiles import CSV_DIALECT, blank_tokens
@@ -45,7 +45,7 @@ def score_batch(batch: DataFrame, batch_id: int, bundle: Bundle, predictions_dir
     marker = f"{marker_dir.rstrip('/')}/{batch_id}"
     if path_exists(spark, marker):
         return
-    preds = pipeline.predict(spark, batch, bundle, threshold)
+    preds = pipeline.predict(spark, batch, bundle, threshold, stage=persist_for_reuse)
     if predictions_dir:
         preds.write.mode("overwrite").parquet(f"{predictions_dir.rstrip('/')}/batch_id={batch_id}")
         preds = spark.read.parquet(f"{predictions_dir.rstrip('/')}/batch_id={batch_id}")
