@@ -101,7 +101,7 @@ def _counted(spark, monkeypatch):
     return seen, whole(spark, SF).count()
 
 
-@pytest.mark.parametrize("name", ["iforest_train", "predict_logs", "bundle_round_trip", "evaluate_pipeline"])
+@pytest.mark.parametrize("name", ["iforest_train", "predict_logs", "bundle_round_trip", "evaluate_pipeline", "feature_matrix"])
 def test_raw_logs_are_parsed_once(spark, monkeypatch, name):
     from loglens.plans import catalog
 
