@@ -108,31 +108,43 @@ def features(text: str, wanted: dict[str, set] | None = None) -> set[str]:
 _COUNTERS = [f"{kind}_{t}_{half}" for half in (0, 1) for t in TARGETS for kind in ("n", "one")]
 
 
+#: Features that a task holds counters of at a time; Spark sums what is counted in several goes.
+HELD = 200_000
+
+
 def _count_batches(batches):
     """Counters per language and feature."""
     import pyarrow as pa
 
-    counts: dict[tuple, list] = {}
+    places: dict[str, dict[str, int]] = {}  # language -> feature -> its line in the counters
+    counters = np.zeros((HELD, len(_COUNTERS)), np.int32)
+    used = 0
 
     def flush():
-        part, feature = zip(*counts)
-        columns = [pa.array(part, pa.string()), pa.array(feature, pa.string()), *(pa.array(c, pa.int64()) for c in zip(*counts.values()))]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["part", "feature", *_COUNTERS])
+        for part, mine in places.items():
+            lines = counters[np.fromiter(mine.values(), np.int64, len(mine))].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(mine), pa.string()), pa.array(list(mine), pa.string()), *(pa.array(c) for c in lines.T)],
+                                             ["part", "feature", *_COUNTERS])
+        places.clear()
 
     for batch in batches:
         for text, q, t, half, part in zip(batch.column(0), *(batch.column(i).to_pylist() for i in range(1, 5))):
-            add = [(4 * half + i, x) for i, x in enumerate((q is not None, q == 1, t is not None, t == 1)) if x]
-            for f in ("#all", *features(text.as_py() or "")):
-                have = counts.get((part, f))
-                if have is None:
-                    have = counts[part, f] = [0] * 8
-                for i, x in add:
-                    have[i] += x
-            if len(counts) > 300_000:
-                yield flush()
-    if counts:
-        yield flush()
+            shown = ("#all", *features(text.as_py() or ""))
+            if used + len(shown) > len(counters):
+                yield from flush()
+                counters, used = np.zeros((max(HELD, len(shown)), len(_COUNTERS)), np.int32), 0
+            mine = places.setdefault(part, {})
+            lines = []
+            for f in shown:
+                line = mine.get(f)
+                if line is None:
+                    line = mine[f] = used
+                    used += 1
+                lines.append(line)
+            for i, x in enumerate((q is not None, q == 1, t is not None, t == 1)):
+                if x:
+                    counters[lines, 4 * half + i] += 1
+    yield from flush()
 
 
 def _evidence(ones: Column, n: Column, all_ones: Column, all_n: Column) -> Column:

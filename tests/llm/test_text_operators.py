@@ -306,3 +306,28 @@ def test_language_awkward_rows(spark):
     nothing = bitmask_langid.learn(empty(spark))
     assert {r.lang_pred for r in bitmask_langid.predict(docs, nothing, ["doc_id"]).collect()} == {"und"}
     assert bitmask_langid.predict(empty(spark), filters, ["doc_id"]).count() == 0
+
+
+def test_site_quality_counts_hold_few_features_at_a_time(monkeypatch):
+    """Counters are handed on before they fill the memory, also inside one batch; their sums are those of a plain count."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from loglens.llm import site_quality
+
+    rows = [(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} shared text", (1, 0, None)[i % 3], (0, None)[i % 2], i % 2, ("lang:en", "lang:de")[i % 2]) for i in range(600)]
+    rows += [(None, 1, 1, 0, "lang:")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["text", "quality", "toxic", "half", "part"])
+    monkeypatch.setattr(site_quality, "HELD", 50, raising=False)
+    out = list(site_quality._count_batches(iter([batch])))
+    assert len(out) > 3 and all(b.num_rows <= 50 for b in out)
+    got, want = Counter(), Counter()
+    for b in out:
+        for r in b.to_pylist():
+            got.update({(r["part"], r["feature"], c): r[c] for c in site_quality._COUNTERS})
+    for text, q, t, half, part in rows:
+        for f in ("#all", *site_quality.features(text or "")):
+            want.update({(part, f, f"n_quality_{half}"): int(q is not None), (part, f, f"one_quality_{half}"): int(q == 1),
+                         (part, f, f"n_toxic_{half}"): int(t is not None), (part, f, f"one_toxic_{half}"): int(t == 1)})
+    assert +got == +want
