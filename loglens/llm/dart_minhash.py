@@ -14,8 +14,9 @@ each bucket offers pairs of its members with its least member, never all pairs.
 signatures agree enough are compared on their real texts, and settled pairs merge by connected
 components, in a fixed few steps: a node's most agreeing pair first, then all its pairs that are still in
 different components.  At the end members of one bucket that remain in different components are
-compared with each other, so no link is lost to the choice of the bucket's least member.  Such pairs grow with a bucket's members outside its main
-component, not with the square of a group of copies.
+compared with each other, so no link is lost to the choice of the bucket's least member.  In a bucket with many of them pairs come from
+an exact prefix filter: shingles are ordered from rare to common, and only texts that share one of their first shingles, at
+places that leave enough of both texts behind, and whose parity bitmaps differ little enough, can be linked.
 
 Defined results: a document without words (or with a null text) is alone; one of fewer than five
 words is one shingle; ties and repeated rows are copies, of which the row with the smallest id stays (null
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglens.llm.common import BROADCAST_ROWS, cut, join_checked, map_arrow, row_with_text, texts
+from loglens.llm.common import cut, join_checked, map_arrow, row_with_text, texts
 from loglens.llm.components import components
 
 SHINGLE = 5
@@ -40,6 +41,12 @@ BANDS = 36
 BAND_SIZE = 7
 #: Shingles (16 bytes each) that a task remembers while it compares texts.
 KNOWN_SHINGLES = 2_000_000
+#: Buckets that would offer more pairs between their components go through the prefix filter.
+CROWDED = 1_000
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 8
+#: So many node numbers (8 bytes each) may be broadcast to pick their texts; beyond, the texts are shuffled once.
+BROADCAST_NODES = 1_000_000
 #: Signatures are compared with this much slack (five standard deviations of the estimate) before texts are.
 SLACK = 5.0
 
@@ -209,27 +216,83 @@ def _verify_batches(size: int, weighted: bool, least: float):
     return run
 
 
-def _agree_batches(least: float):
+def _agree_batches(least: float, band_size: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            share = [float((np.frombuffer(x.as_py(), np.uint16) == np.frombuffer(y.as_py(), np.uint16)).mean())
-                     for x, y in zip(batch.column(2), batch.column(3))]
+            share, near = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                same = np.frombuffer(x.as_py(), np.uint16) == np.frombuffer(y.as_py(), np.uint16)
+                share.append(float(same.mean()))
+                near.append(share[-1] >= least and bool(same.reshape(-1, band_size).all(1).any()))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["a", "b", "agree"])
-            yield out.filter(pa.array([s >= least for s in share], pa.bool_()))
+            yield out.filter(pa.array(near, pa.bool_()))
 
     return run
 
 
 def _pairs_with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(a, b, x, y): written pairs with a column of both rows.  The wide table is only shuffled if the pairs
-    are too many to be broadcast."""
-    if pairs.count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
-    left = table.select(F.col("uid").alias("a"), F.col(column).alias("x")).join(pairs, "a").select("a", "b", "x")
-    right = table.select(F.col("uid").alias("b"), F.col(column).alias("y")).join(pairs, "b").select("a", "b", "y")
-    return left.join(right, ["a", "b"]).select("a", "b", "x", "y")
+    """(a, b, x, y): written pairs with a column of both rows, fetched one after the other."""
+    left = pairs.join(table.select(F.col("uid").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(table.select(F.col("uid").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _texts_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """A written table of the texts that pairs name: later steps don't move the others."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "near-nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    return cut(table.select("uid", "_text").join(nodes, "uid", "left_semi"), "near-texts")
+
+
+def _shingle_batches(size: int, weighted: bool):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes, counts = _shingles(text.as_py().encode().split(), size)
+                if weighted:  # the n-th copy of a shingle is an element of its own
+                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    hashes = mix(np.repeat(hashes, counts) ^ mix(nth.astype(np.uint64) * _GOLDEN))
+                for at in range(0, len(hashes), 100_000):
+                    some = hashes[at:at + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), node, np.int64)), pa.array(some)], ["node", "shingle"])
+        _WORDS.clear()
+
+    return run
+
+
+def _prefix_pairs(crowded: DataFrame, table: DataFrame, least: float, size: int, weighted: bool) -> DataFrame:
+    """(low, high): every pair of nodes of different components that can reach ``least``.
+
+    The overlap of two sets of m and n elements at similarity t is at least t max(m, n) and t (m + n) / (1 + t).  So the first
+    element they share, in one order for all sets, lies among the first m - t m + 1 and n - t n + 1 ones, and as many elements
+    as the overlap needs follow it in both.  The order is from rare to common, as what many sets share tells little.
+    A bit of a parity bitmap turns over with every element that falls on it, so two bitmaps differ in at most as many bits
+    as the sets differ in elements, which are (m + n) (1 - t) / (1 + t) at most.
+    """
+    nodes = cut(crowded.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outer")),
+                "crowded")
+    texts = table.select(F.col("uid").alias("node"), "_text").join(nodes.select("node"), "node", "left_semi")
+    shingles = cut(map_arrow(texts, _shingle_batches(size, weighted), "node bigint, shingle bigint"), "shingles")
+    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("common"))
+    own = Window.partitionBy("node")
+    placed = (shingles.join(common, "shingle")
+              .select("node", "shingle", (F.row_number().over(own.orderBy("common", "shingle")) - 1).alias("at"), F.count(F.lit(1)).over(own).alias("n"))
+              .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6)))
+    word, bit = F.pmod(F.shiftright("shingle", 6), F.lit(BITMAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("shingle").bitwiseAND(63).cast("int"))
+    words = [f"w{k}" for k in range(BITMAP_WORDS)]
+    bitmaps = shingles.groupBy("node").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(w) for k, w in enumerate(words)])
+    placed = cut(placed.join(nodes.join(bitmaps, "node"), "node"), "prefixes")
+    x = placed.where("outer").select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("at").alias("i"), F.col("n").alias("m"),
+                                     *[F.col(w).alias(f"x{w}") for w in words])
+    y = placed.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("at").alias("j"), "n", F.col("outer").alias("both"), *words)
+    enough = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-6
+    differing = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words)
+    enough &= differing <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6
+    pairs = x.join(y, "shingle").where((F.col("ca") != F.col("cb")) & (~F.col("both") | (F.col("a") < F.col("b"))) & enough)
+    return pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
 
 
 def near_groups(docs: DataFrame, keep: list[str], least: float = SIMILARITY, bands: int = BANDS,
@@ -253,7 +316,7 @@ def near_groups(docs: DataFrame, keep: list[str], least: float = SIMILARITY, ban
     verify = _verify_batches(size, weighted, least)
 
     def agreeing(pairs, name):
-        return cut(map_arrow(_pairs_with(pairs, table, "prints"), _agree_batches(least - slack),
+        return cut(map_arrow(_pairs_with(pairs, table, "prints"), _agree_batches(least - slack, band_size),
                              "a bigint, b bigint, agree double"), name)
 
     offered = cut(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "offered")
@@ -263,14 +326,18 @@ def near_groups(docs: DataFrame, keep: list[str], least: float = SIMILARITY, ban
     # those of the other components, once; members of one component never meet
     placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     main = (placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-            .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    placed = cut(placed.join(main.select("bucket", "main"), "bucket"), "unsettled")
-    x = placed.where("component != main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
-    pairs = (x.join(y, "bucket").where("ca != cb and (cb = main or a < b)")
-             .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("a").alias("outer"))
-             .join(offered.toDF("low", "high"), ["low", "high"], "left_anti"))
-    pairs = cut(pairs.select((F.col("low") + F.col("high") - F.col("outer")).alias("a"), F.col("outer").alias("b")), "offered-again")
+            .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"),
+                 ((F.sum("n") - F.max("n")) * F.sum("n") > CROWDED).alias("crowded")).where("parts > 1"))
+    placed = cut(placed.join(main.select("bucket", "main", "crowded"), "bucket"), "unsettled")
+    few = placed.where("not crowded")
+    x = few.where("component != main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), "main")
+    pairs = x.join(y, "bucket").where("ca != cb and (cb = main or a < b)").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    crowded = placed.where("crowded")
+    if not crowded.isEmpty():
+        pairs = pairs.union(_prefix_pairs(crowded, table, least, size, weighted))
+    # the same pair in several buckets, or offered before
+    pairs = cut(pairs.distinct().join(offered.toDF("low", "high"), ["low", "high"], "left_anti").toDF("a", "b"), "offered-again")
     found = _settle(agreeing(pairs, "agreeing-again"), table, found, verify)
     return _placed(table, classes, found)
 
@@ -287,6 +354,7 @@ def _settle(near: DataFrame, table: DataFrame, found: DataFrame | None, verify)
     if found is None:
         found = cut(near.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0), "components")
     most = near.agg(F.max("rank").alias("most")).first().most or 0
+    texts = _texts_of(near, table) if most else None
     low = 0
     for high in STEPS:
         if low >= most:
@@ -296,7 +364,7 @@ def _settle(near: DataFrame, table: DataFrame, found: DataFrame | None, verify)
         pairs = (pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
                  .where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"))
         pairs = cut(pairs, "compared")
-        passed = cut(map_arrow(_pairs_with(pairs, table, "_text"), verify, "a bigint, b bigint, linked boolean")
+        passed = cut(map_arrow(_pairs_with(pairs, texts, "_text"), verify, "a bigint, b bigint, linked boolean")
                      .where("linked").select("a", "b"), "links-found")
         if not passed.isEmpty():
             found = cut(components(found.toDF("a", "b").union(passed)), "components")

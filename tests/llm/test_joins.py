@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loglens.llm import cap_join, dart_minhash, registry
+from loglens.llm import cap_join, common, dart_minhash, registry
 from loglens.llm.components import components
 
 from .util import awkward, empty, prose
@@ -211,3 +213,37 @@ def test_cap_join_links_planted_pairs(spark):
 def test_cap_join_recall_does_not_depend_on_the_largest_group(largest):
     for dimensions in (32, 64):
         assert shared(*cap_join.pairs_at(0.93, dimensions, 3000, np.random.default_rng(6)), largest) >= 0.997
+
+
+def test_near_copies_that_are_not_linked_make_few_pairs(spark, monkeypatch):
+    """A family around one text, most of whose members are too far from each other: pairs don't grow with its square."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 6, 7, 8])):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    words = {i: t.split() for i, t in rows}
+    links = [(a, b) for a in words for b in words if a < b and dart_minhash.similarity(words[a], words[b]) >= 0.8]
+    made = {}
+
+    def counted(df, name):
+        out = common.cut(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dart_minhash, "cut", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = dart_minhash.signed(docs, ["doc_id"])
+    node = {r.id: r.uid for r in table.collect()}
+    alone = spark.createDataFrame([(1, n, n, -1) for n in node.values()], "bucket bigint, node bigint, component bigint, main bigint")
+    for weighted in (False, True):
+        pairs = {(r.low, r.high) for r in dart_minhash._prefix_pairs(alone, table, 0.8, 5, weighted).collect()}
+        assert {tuple(sorted((node[a], node[b]))) for a, b in links} <= pairs
+        assert len(pairs) < 2 * len(links)
+    monkeypatch.setattr(dart_minhash, "CROWDED", 0)
+    got = dart_minhash.near_groups(docs, ["doc_id"]).collect()
+    assert {r.row.doc_id: r.component for r in got} == brute_groups(rows)
+    assert made["offered-again"] < 500  # 1,985 without the prefix filter
