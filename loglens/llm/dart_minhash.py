@@ -241,8 +241,12 @@ def _pairs_with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 def _texts_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """A written table of the texts that pairs name: later steps don't move the others."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "near-nodes")
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    return cut(table.select("uid", "_text").join(nodes, "uid", "left_semi"), "near-texts")
+    return cut(_those(table.select("uid", "_text"), nodes), "near-texts")
+
+
+def _those(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose ``uid`` is among the written ``nodes``."""
+    return table.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "uid", "left_semi")
 
 
 def _shingle_batches(size: int, weighted: bool):
@@ -274,7 +278,7 @@ def _prefix_pairs(crowded: DataFrame, table: DataFrame, least: float, size: int,
     """
     nodes = cut(crowded.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outer")),
                 "crowded")
-    texts = table.select(F.col("uid").alias("node"), "_text").join(nodes.select("node"), "node", "left_semi")
+    texts = _those(table.select("uid", "_text"), nodes.select(F.col("node").alias("uid")))
     shingles = cut(map_arrow(texts, _shingle_batches(size, weighted), "node bigint, shingle bigint"), "shingles")
     common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("common"))
     own = Window.partitionBy("node")
