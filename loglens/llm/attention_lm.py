@@ -27,8 +27,9 @@ parts, which may lie in several blocks, carry the ids before them.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -51,8 +52,9 @@ SINGLES = GROUPS * MEMBERS - SHARED
 ROUNDS, STEP_WINDOWS, RATE = 4, 512, 0.02
 #: A block is closed at this many words or distinct words.
 BLOCK_WORDS, BLOCK_DISTINCT = 3_000_000, 300_000
-#: Bytes of a text that are read at a time.
+#: Bytes of a text that are read at a time; texts are looked up together up to about so many words.
 SEGMENT = 1_000_000
+CHUNK_WORDS = 100_000
 #: Smoothing of counts.
 ALPHA = 0.1
 
@@ -67,46 +69,45 @@ class Words:
 
     def __init__(self, coder: WordCoder):
         self.coder = coder
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new word gets the next number
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.trained = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint16)
         self.filled = 0
 
-    def numbers(self, words: list[bytes], learn: bool) -> np.ndarray:
-        known = self.number
-        try:
-            found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._add([w for w in dict.fromkeys(words) if w not in known])
-            found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        if learn and len(found):
-            np.add.at(self.trained, found, 1)
+    def numbers(self, words: list[bytes], learn: np.ndarray | bool) -> np.ndarray:
+        """Numbers of words in a row; ``learn`` says which of them count as training words."""
+        first = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > first:
+            self._add(list(islice(self.number, first, None)), first)
+        end = len(self.number)
+        self.trained[:end] += np.bincount(found[np.broadcast_to(learn, found.shape)], minlength=end)
         return found
 
-    def _add(self, words: list[bytes]) -> None:
-        first, end = len(self.number), len(self.number) + len(words)
-        lists = self.coder.ids_of(words)
-        lengths = np.fromiter(map(len, lists), np.int64, len(words))
-        last = self.filled + int(lengths.sum())
+    def _add(self, words: list[bytes], first: int) -> None:
+        end = first + len(words)
+        lengths, ids = self.coder.flat_ids(words)
+        last = self.filled + len(ids)
         while end > len(self.start):
             for name in ("start", "length", "trained"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         while last > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.number.update(zip(words, range(first, end)))
         self.start[first:end] = self.filled + np.cumsum(lengths) - lengths
         self.length[first:end] = lengths
-        self.flat[self.filled:last] = np.fromiter(chain.from_iterable(lists), np.uint16, last - self.filled)
+        self.flat[self.filled:last] = ids
         self.filled = last
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
         """Subword ids of words in a row."""
-        lengths = self.length[numbers]
-        at = np.repeat(self.start[numbers] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        return self.flat[at]
+        lengths = self.length.take(numbers)
+        at = np.repeat(self.start.take(numbers) - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return self.flat.take(at)
 
     def id_counts(self, size: int) -> np.ndarray:
         """How often each id occurs in training texts."""
@@ -141,6 +142,16 @@ def segments(data: bytes, size: int = SEGMENT) -> Iterator[list[bytes]]:
             return
 
 
+def marked(items: Iterator) -> Iterator[tuple]:
+    """Every item, and whether it is the last."""
+    items = iter(items)
+    one = next(items)
+    for more in items:
+        yield one, False
+        one = more
+    yield one, True
+
+
 _FIELDS = ("uid bigint, part int, row {row}, learn boolean, start bigint, before binary, ids binary, last boolean, "
            "block bigint, idx int, word string, n bigint, uids binary, lengths binary, words binary")
 
@@ -156,6 +167,10 @@ def _read(path: str, end_id: int, names: list[str], size: int):
         words, uids, lengths, texts, total = Words(coder), [], [], [], 0
         parts: list[tuple] = []
         held = 0
+        chunk: list[tuple] = []  # pieces of texts to look up: their text's number, row, learn, number of the piece, whether it is the last
+        found: list[list[bytes]] = []  # their words
+        waiting = 0
+        start, before = 0, np.zeros(0, np.uint16)  # ids of the last text so far, and the last of them
 
         def batch_of(rows: int, /, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(rows, types[k]) for k in names], names)
@@ -175,7 +190,7 @@ def _read(path: str, end_id: int, names: list[str], size: int):
             for at in range(0, len(every), 50_000):
                 some = every[at:at + 50_000]
                 yield batch_of(len(some), block=pa.array(np.full(len(some), block)), idx=pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                               word=pa.array([w.decode() for w in some]), n=pa.array(words.trained[at:at + len(some)]))
+                               word=pa.array(some, pa.binary()).cast(pa.string()), n=pa.array(words.trained[at:at + len(some)]))
             counts = words.id_counts(size)
             used = np.flatnonzero(counts)
             yield batch_of(len(used), idx=pa.array(used.astype(np.int32)), n=pa.array(counts[used]))
@@ -184,33 +199,52 @@ def _read(path: str, end_id: int, names: list[str], size: int):
                            lengths=pa.array([np.array(lengths, "<i8").tobytes()]), words=pa.array([joined]))
             words, uids, lengths, texts, total, block = Words(coder), [], [], [], 0, block + 1
 
+        def look_up() -> Iterator:
+            """The waiting words go to the block, and their texts' pieces with ids to the parts."""
+            nonlocal waiting, total, held, start, before
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            numbers = words.numbers(list(chain.from_iterable(found)), np.repeat([c[2] for c in chunk], sizes))
+            ids = words.ids(numbers)
+            ends = np.r_[0, np.cumsum(words.length.take(numbers))][np.cumsum(sizes)].tolist()
+            for (uid, row, learn, part, last), lo, hi in zip(chunk, [0, *ends], ends):
+                if part == 0:
+                    start, before = 0, ids[:0]
+                mine = ids[lo:hi]
+                parts.append((uid, part, row, learn, start, before.tobytes(), mine.tobytes() + end * last, last))
+                start += len(mine)
+                if not last:
+                    before = np.concatenate([before, mine])[-WINDOW:]
+            uids.extend(c[0] for c in chunk)
+            lengths.extend(sizes.tolist())
+            texts.append(numbers.astype(np.uint32))
+            total += len(numbers)
+            held += 2 * len(ids)
+            chunk.clear()
+            found.clear()
+            waiting = 0
+            if held >= 8_000_000 or len(parts) >= 10_000:
+                yield send_parts()
+            if total >= BLOCK_WORDS or len(words.number) >= BLOCK_DISTINCT:
+                yield from close()
+
+        end = np.uint16(end_id).tobytes()
         for batch in batches:
             if types is None:
                 types = dict(uid=pa.int64(), part=pa.int32(), row=batch.column(0).type, learn=pa.bool_(), start=pa.int64(),
                              before=pa.binary(), ids=pa.binary(), last=pa.bool_(), block=pa.int64(), idx=pa.int32(), word=pa.string(),
                              n=pa.int64(), uids=pa.binary(), lengths=pa.binary(), words=pa.binary())
             for i, (learn, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                data = text.as_py().encode().lower()
-                start, part, before = 0, 0, np.zeros(0, np.uint16)
-                pending = None
-                for found in segments(data):
-                    if pending is not None:
-                        parts.append((*pending, False))
-                    numbers = words.numbers(found, learn)
-                    ids = words.ids(numbers)
-                    uids.append(uid)
-                    lengths.append(len(numbers))
-                    texts.append(numbers.astype(np.uint32))
-                    total += len(numbers)
-                    held += 2 * len(ids)
-                    pending = (uid, part, batch.column(0).slice(i, 1), learn, start, before.tobytes(), ids.tobytes())
-                    start, part, before = start + len(ids), part + 1, np.concatenate([before, ids])[-WINDOW:]
-                    if total >= BLOCK_WORDS or len(words.number) >= BLOCK_DISTINCT:
-                        yield from close()
-                parts.append((*pending[:6], pending[6] + np.uint16(end_id).tobytes(), True))
+                row, part = batch.column(0).slice(i, 1), 0
+                for some, last in marked(segments(text.as_buffer().to_pybytes().lower())):
+                    chunk.append((uid, row, learn, part, last))
+                    found.append(some)
+                    part += 1
+                    waiting += len(some)
+                    if waiting >= min(CHUNK_WORDS, BLOCK_WORDS) or len(chunk) >= 10_000:
+                        yield from look_up()
                 uid += 1
-                if held >= 8_000_000 or len(parts) >= 10_000:
-                    yield send_parts()
+        if chunk:
+            yield from look_up()
         if parts:
             yield send_parts()
         if uids:
@@ -293,27 +327,42 @@ _STEEPEST = np.float32(60)
 
 def attend(m: dict, inputs: np.ndarray) -> dict:
     """Masked attention over windows of input rows (n, WINDOW): the state after the layer, and what its gradient needs."""
-    x = m["E"][inputs] + m["P"]
-    qkv = x.reshape(-1, WIDTH) @ m["Q"]
-    q, k, v = (np.ascontiguousarray(qkv[:, i * WIDTH:(i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
-    q *= np.float32(WIDTH ** -0.5)
-    s = q @ k.transpose(0, 2, 1)
-    np.minimum(s, _STEEPEST, out=s)
+    x = m["E"].take(inputs, axis=0)
+    x += m["P"]
+    Q = _scaled(m["Q"])
+    qkv = (x.reshape(-1, WIDTH) @ Q).reshape(*inputs.shape, 3 * WIDTH)
+    q, k, v = (qkv[..., i * WIDTH:(i + 1) * WIDTH] for i in range(3))
+    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    _cut(s)
     np.exp(s, out=s)
     s *= _BEHIND
     s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(s), WINDOW, 1)
     mixed = s @ v
-    return {"x": x, "q": q, "k": k, "v": v, "s": s, "mixed": mixed,
-            "state": x + (mixed.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)}
+    state = (mixed.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)
+    state += x
+    return {"x": x, "q": q, "k": k, "v": v, "s": s, "mixed": mixed, "state": state, "Q": Q}
+
+
+def _scaled(Q: np.ndarray) -> np.ndarray:
+    """The queries' columns by the width's root."""
+    Q = Q.copy()
+    Q[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
+    return Q
+
 
+def _cut(x: np.ndarray) -> None:
+    if x.size and not x.max() <= _STEEPEST:
+        np.minimum(x, _STEEPEST, out=x)
 
-def _softened(logits: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns logits into weights in place; their sums and the natural log probability of the wanted columns."""
-    np.minimum(logits, _STEEPEST, out=logits)
-    chosen = logits[np.arange(len(want)), want]
+
+def _softened(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into weights in place; their sums and the natural log probability at the wanted places of the flat logits."""
+    _cut(logits)
+    chosen = logits.ravel().take(at)
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    return total, chosen - np.log(total)
+    chosen -= np.log(total)
+    return total, chosen
 
 
 def predict(m: dict, state: np.ndarray, want: np.ndarray, weight: np.ndarray | None = None, g: dict | None = None):
@@ -322,73 +371,93 @@ def predict(m: dict, state: np.ndarray, want: np.ndarray, weight: np.ndarray | N
     With weights, also the gradient of their negative weighted sum: the weights' in ``g``, the states' returned.
     Classes of a group are only worked out for the states that want one of them.
     """
+    n = len(want)
+    order = np.argsort(want.astype(np.uint8), kind="stable")  # by group
+    again = np.empty(n, np.int64)
+    again[order] = np.arange(n)
+    state, want = state.take(order, axis=0), want.take(order)
+    group, inner = np.divmod(want, MEMBERS)
     hidden = state @ m["H"]
     hidden += m["h"]
     np.maximum(hidden, 0, out=hidden)
-    group, inner = np.divmod(want, MEMBERS)
     top = hidden @ m["U"]
     top += m["u"]
-    total, logp = _softened(top, group)
-    if weight is not None:
-        top *= (weight / total)[:, None]
-        top[np.arange(len(want)), group] -= weight
-        g["U"][:] = hidden.T @ top
-        g["u"][:] = np.ones(len(want), top.dtype) @ top
-        back = top @ m["U"].T
-    order = np.argsort(group.astype(np.int8), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    hidden_of, inner_of = hidden[order], inner[order]
-    logp_of, back_of = np.empty_like(logp), np.empty_like(hidden)
-    for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        if lo == hi:
-            continue
-        d = hidden_of[lo:hi] @ m["V"][k]
-        d += m["v"][k]
-        total, logp_of[lo:hi] = _softened(d, inner_of[lo:hi])
-        if weight is not None:
-            w = weight[order[lo:hi]]
-            d *= (w / total)[:, None]
-            d[np.arange(hi - lo), inner_of[lo:hi]] -= w
-            g["V"][k] = hidden_of[lo:hi].T @ d
-            g["v"][k] = np.ones(hi - lo, d.dtype) @ d
-            back_of[lo:hi] = d @ m["V"][k].T
-    logp[order] += logp_of
+    low = np.empty((n, MEMBERS), hidden.dtype)
+    edges = np.bincount(group, minlength=GROUPS).cumsum().tolist()
+    groups = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip([0, *edges], edges)) if lo < hi]
+    for k, mine in groups:
+        np.matmul(hidden[mine], m["V"][k], out=low[mine])
+        low[mine] += m["v"][k]
+    top_at, low_at = np.arange(0, n * GROUPS, GROUPS) + group, np.arange(0, n * MEMBERS, MEMBERS) + inner
+    top_sum, logp = _softened(top, top_at)
+    low_sum, inside = _softened(low, low_at)
+    logp += inside
     if weight is None:
-        return logp
-    back[order] += back_of
+        return logp.take(again)
+    weight = weight.take(order)
+    for x, total, at in ((top, top_sum, top_at), (low, low_sum, low_at)):
+        x *= (weight / total)[:, None]
+        x.ravel()[at] -= weight
+    one = np.ones(n, low.dtype)
+    g["U"] += hidden.T @ top
+    g["u"] += one @ top
+    back = top @ m["U"].T
+    for k, mine in groups:
+        d = low[mine]
+        g["V"][k] += hidden[mine].T @ d
+        g["v"][k] += one[mine] @ d
+        back[mine] += d @ m["V"][k].T
     back *= hidden > 0
-    g["H"][:] = state.T @ back
-    g["h"][:] = np.ones(len(want), back.dtype) @ back
-    return logp, back @ m["H"].T
+    g["H"] += state.T @ back
+    g["h"] += one @ back
+    return logp.take(again), (back @ m["H"].T).take(again, axis=0)
+
+
+#: Windows whose arrays fit a core's cache; the model goes through so many at a time.
+BLOCK_WINDOWS = 256
 
 
 def gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over the real targets of windows, and that loss."""
     m, out = unpack(flat), np.zeros_like(flat)
     g = unpack(out)
-    a = attend(m, inputs)
-    n = len(inputs)
-    state = a["state"].reshape(-1, WIDTH)
-    want, weight = targets.ravel(), real.ravel().astype(np.float32)
+    weight = real.astype(np.float32)
     weight /= max(weight.sum(), 1)
-    logp, d_state = predict(m, state, want, weight, g)
-    loss = float(-(logp * weight).sum())
-    g["O"][:] = a["mixed"].reshape(-1, WIDTH).T @ d_state
-    d_mixed = (d_state @ m["O"].T).reshape(n, WINDOW, WIDTH)
-    d_s = d_mixed @ a["v"].transpose(0, 2, 1)
-    d_s *= a["s"]
-    d_s -= a["s"] * (d_s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-    d_qkv = np.concatenate([(d_s @ a["k"]) * np.float32(WIDTH ** -0.5), d_s.transpose(0, 2, 1) @ a["q"],
-                            a["s"].transpose(0, 2, 1) @ d_mixed], -1).reshape(-1, 3 * WIDTH)
-    g["Q"][:] = a["x"].reshape(-1, WIDTH).T @ d_qkv
-    d_x = d_state + d_qkv @ m["Q"].T
-    g["P"][:] = d_x.reshape(n, WINDOW, WIDTH).sum(0)
-    where = inputs.ravel()
+    d_x, loss = np.empty((*inputs.shape, WIDTH), flat.dtype), 0.0
+    for lo in range(0, len(inputs), BLOCK_WINDOWS):
+        some = slice(lo, lo + BLOCK_WINDOWS)
+        loss += _add_gradient(m, g, inputs[some], targets[some], weight[some], d_x[some])
+    g["P"][:] = d_x.sum(0)
+    where, d_x = inputs.ravel(), d_x.reshape(-1, WIDTH)
     for j in range(WIDTH):
         g["E"][:, j] = np.bincount(where, d_x[:, j], INPUTS)
     return out, loss
 
 
+def _add_gradient(m: dict, g: dict, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, d_x: np.ndarray) -> float:
+    """Adds the gradient of the weighted loss of some windows to ``g`` (that of their inputs' rows goes to ``d_x``); returns that loss."""
+    a = attend(m, inputs)
+    n = len(inputs)
+    state = a["state"].reshape(-1, WIDTH)
+    weight = weight.ravel()
+    logp, d_state = predict(m, state, targets.ravel(), weight, g)
+    loss = -float(logp @ weight)
+    g["O"] += a["mixed"].reshape(-1, WIDTH).T @ d_state
+    d_mixed = (d_state @ m["O"].T).reshape(n, WINDOW, WIDTH)
+    s = a["s"]
+    d_s = d_mixed @ np.ascontiguousarray(a["v"].transpose(0, 2, 1))
+    d_s *= s
+    d_s -= s * (d_s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
+    d_qkv = np.empty((n, WINDOW, 3 * WIDTH), d_s.dtype)
+    d_qkv[..., :WIDTH] = d_s @ a["k"]
+    d_qkv[..., WIDTH:2 * WIDTH] = d_s.transpose(0, 2, 1) @ a["q"]
+    d_qkv[..., 2 * WIDTH:] = s.transpose(0, 2, 1) @ d_mixed
+    d_qkv = d_qkv.reshape(-1, 3 * WIDTH)
+    g["Q"] += _scaled(a["x"].reshape(-1, WIDTH).T @ d_qkv)
+    np.add(d_state, d_qkv @ a["Q"].T, out=d_x.reshape(-1, WIDTH))
+    return loss
+
+
 class Trainer:
     """Adam steps over batches of windows."""
 
@@ -434,7 +503,7 @@ def windows(parts, classes: Classes, begin_id: int, hop: int) -> tuple:
         made += len(starts)
         at += len(stream)
     stream = np.concatenate([*streams, np.zeros(WINDOW, np.uint16)])
-    inputs = classes.input[stream][np.concatenate(tops)[:, None] + np.arange(WINDOW)]
+    inputs = classes.input.take(stream).take(np.concatenate(tops)[:, None] + np.arange(WINDOW))
     return inputs, np.concatenate(of_window), np.concatenate(place), np.concatenate(of_part)
 
 
@@ -484,12 +553,14 @@ def log_probabilities(flat: np.ndarray, classes: Classes, parts, begin_id: int)
     m = unpack(flat)
     inputs, window, place, part = windows(parts, classes, begin_id, HOP)
     ids = np.concatenate([p[2] for p in parts])
-    out = classes.member[ids]
-    want = classes.of[ids]
-    edges = np.searchsorted(window, np.arange(0, len(inputs) + 256, 256))  # ids lie in the order of their windows
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        state = attend(m, inputs[256 * i:256 * (i + 1)])["state"]
-        out[lo:hi] += predict(m, state[window[lo:hi] - 256 * i, place[lo:hi]], want[lo:hi])
+    out = classes.member.take(ids)
+    want = classes.of.take(ids)
+    place += window % BLOCK_WINDOWS * WINDOW  # in its block of windows
+    starts = range(0, len(inputs), BLOCK_WINDOWS)
+    edges = np.searchsorted(window, [*starts, len(inputs)])  # ids lie in the order of their windows
+    for top, lo, hi in zip(starts, edges, edges[1:]):
+        state = attend(m, inputs[top:top + BLOCK_WINDOWS])["state"]
+        out[lo:hi] += predict(m, state.reshape(-1, WIDTH).take(place[lo:hi], axis=0), want[lo:hi])
     return out, part
 
 
@@ -546,7 +617,7 @@ def score(docs: DataFrame, learn: Column, keep: list[str], vocabulary: str | Non
     # a word has at most one row a block, so the commonest word is no hot key here
     same = Window.partitionBy("word")
     counts = cut(words.select("block", "idx", F.sum("n").over(same).alias("c"), "n",
-                              (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "lm-words")
+                              (F.min("block").over(same) == F.col("block")).alias("first")), "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).first()
     texts = parts.where("learn AND last").count()
     n, v = total["n"] + texts, total["v"] + (texts > 0)

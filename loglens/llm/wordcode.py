@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, islice
+
+import numpy as np
 
 #: Words longer than this are encoded each time and not kept.
 LONGEST_KEPT = 256
@@ -19,6 +22,7 @@ LONGEST_KEPT = 256
 _SPECIAL_START = "<|"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ\n]|<\|")
 _LINES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
 
 
@@ -56,16 +60,21 @@ class WordCoder:
         self._max = max_words
         self._words: dict = {}
         self._pieces: dict = {}
+        self._forget_pieces()
 
     def clear(self) -> None:
         self._words.clear()
         self._pieces.clear()
+        self._forget_pieces()
+
+    def _encoded(self, piece: str) -> list:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(shown)]
 
     def _piece(self, piece: str) -> tuple:
         ids = self._pieces.get(piece)
         if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
-            ids = tuple([t.id for t in self._model.tokenize(shown)])
+            ids = tuple(self._encoded(piece))
             if len(piece) <= LONGEST_KEPT:
                 if len(self._pieces) >= self._max:
                     self._pieces.clear()
@@ -85,25 +94,59 @@ class WordCoder:
         return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids_of(self, words: list[bytes]) -> list[tuple]:
-        """Ids of many distinct words; the pieces of plain ones are cut in one go."""
-        texts = [w.decode() for w in words]
+        """Ids of many distinct words."""
+        lengths, flat = self.flat_ids(words)
+        ends, flat = np.cumsum(lengths).tolist(), flat.tolist()
+        return [tuple(flat[end - n:end]) for end, n in zip(ends, lengths.tolist())]
+
+    def flat_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of many distinct words has, and their ids one after the other; the pieces of plain words are
+        cut in one go."""
+        text = b"\n".join(words).decode()
         if not self._known:
-            return list(map(self.ids, texts))
-        plain = [_PLAIN.fullmatch(t) is not None and _SPECIAL_START not in t for t in texts]
-        pieces = _LINES.findall("\n".join([t for t, p in zip(texts, plain) if p]).lower())
-        known = self._pieces
-        if len(known) + len(pieces) > self._max:
-            known.clear()
-        parts, found = [], []
-        for piece in pieces:
-            if piece == "\n":
-                found.append(parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts)))
-                parts = []
-            else:
-                parts.append(known[piece] if piece in known else self._piece(piece))
-        found.append(parts[0] if len(parts) == 1 else tuple(chain.from_iterable(parts)))
-        found = iter(found)
-        return [next(found) if p else self.ids(t) for t, p in zip(texts, plain)]
+            odd = dict(enumerate(text.split("\n"))) if words else {}
+        elif _ODD.search(text):
+            texts = text.split("\n")
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            found = np.searchsorted(starts, [m.start() for m in _ODD.finditer(text)], "right") - 1
+            odd = {i: texts[i] for i in dict.fromkeys(found.tolist())}
+            text = "\n".join(["" if i in odd else t for i, t in enumerate(texts)])
+        else:
+            odd = {}
+        pieces = [] if len(odd) == len(words) else _LINES.findall(text.lower())
+        if len(self._number) >= self._max:
+            self._forget_pieces()
+        number, first = self._number, len(self._number)
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        self._learn(list(islice(number, first, None)))
+        # a line break ends a word; odd words stand between them as empty ones
+        sizes = self._sizes[at]
+        upto = np.r_[0, np.cumsum(sizes)][np.r_[np.flatnonzero(at == 0), len(at)]] if len(pieces) else np.zeros(len(words), np.int64)
+        lengths = np.diff(upto, prepend=0)[:len(words)]
+        flat = self._flat[np.repeat(self._starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        if odd:
+            lists = [self.ids(t) for t in odd.values()]
+            where = np.fromiter(odd, np.int64, len(odd))
+            more = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.insert(flat, np.repeat(upto[where], more), np.fromiter(chain.from_iterable(lists), flat.dtype, int(more.sum())))
+            lengths[where] = more
+        return lengths, flat
+
+    def _forget_pieces(self) -> None:
+        """An empty table of the pieces of ``flat_ids``: their numbers, and by number their ids; the line break is 0 and has none."""
+        self._number = defaultdict()
+        self._number.default_factory = self._number.__len__  # a new piece gets the next number
+        self._number["\n"]
+        self._starts, self._sizes, self._flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
+        lists = list(map(self._encoded, pieces))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._starts = np.r_[self._starts, len(self._flat) + np.cumsum(sizes) - sizes]
+        self._sizes = np.r_[self._sizes, sizes]
+        self._flat = np.r_[self._flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))]
 
     def values(self, data: bytes) -> list:
         """The kept value of every word of a text given as UTF-8."""

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,50 @@ def test_query_on_the_given_documents(spark, coder):
     unseen = [d for d, _ in rows if not learns[d]]
     model, plain = sum(got[d].score for d in unseen), sum(unigram[ids[d]].sum() for d in unseen)
     assert model > 0.93 * plain  # both negative; the base is no yardstick: it leaves unseen words no room to be spelled
+
+
+def test_words_of_many_texts_are_looked_up_together(coder):
+    """New words are cut and encoded once a chunk, not once a text, and each has the ids that it has alone."""
+    words = lm.Words(coder)
+    calls, encode = [], coder.flat_ids
+    rows = pa.RecordBatch.from_arrays(
+        [pa.StructArray.from_arrays([pa.array(range(300))], ["doc_id"]), pa.array([i % 3 > 0 for i in range(300)]),
+         pa.array([prose(i, 20 + i % 50) + " 你好 naïve" * (i % 2) for i in range(300)])], ["row", "learn", "text"])
+    coder.flat_ids = lambda some: calls.append(len(some)) or encode(some)
+    try:
+        texts = [t.encode().lower().split() for t in rows.column(2).to_pylist()]
+        numbers = words.numbers(sum(texts, []), np.repeat(rows.column(1).to_pylist(), [len(t) for t in texts]))
+    finally:
+        del coder.flat_ids
+    assert calls == [len(words.number)]
+    assert words.ids(numbers).tolist() == [i for t in texts for w in t for i in coder.ids(w.decode())]
+    names = [f.split()[0] for f in lm._FIELDS.format(row="x").split(", ")]
+    asked, looked = [], lm.Words.numbers
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+        patch.setattr(lm.Words, "numbers", lambda self, *a: asked.append(1) or looked(self, *a))
+        parts = [r for b in lm._read(tokenizer_path("word_bpe_49k.json"), END, names, 49408)(iter([rows])) for r in b.to_pylist() if r["uid"] is not None]
+    assert len(asked) == 1 and [r["row"]["doc_id"] for r in parts] == list(range(300))
+    for r, t in zip(parts, texts):
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [i for w in t for i in coder.ids(w.decode())] + [END]
+
+
+def test_gradient_of_blocks_is_that_of_all_windows(monkeypatch):
+    r = np.random.default_rng(5)
+    classes, flat = some_model(r.integers(0, 49408, 5000))
+    inputs, real = r.integers(0, lm.INPUTS, (30, lm.WINDOW)).astype(np.int32), r.random((30, lm.WINDOW)) < 0.8
+    targets = r.integers(0, lm.SINGLES + lm.SHARED, inputs.shape)
+    whole, loss = lm.gradient(flat, inputs, targets, real)
+    monkeypatch.setattr(lm, "BLOCK_WINDOWS", 7)
+    blocks, same = lm.gradient(flat, inputs, targets, real)
+    assert blocks == pytest.approx(whole, abs=1e-5) and same == pytest.approx(loss, rel=1e-5)
+
+
+def test_a_word_window_needs_one_order(spark):
+    """The words' counts and their first blocks come from one sort by the word."""
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(20)], "doc_id bigint, text string")
+    plans, cut = [], lm.cut
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(df, name))
+        lm.score(docs, F.lit(True), ["doc_id"]).collect()
+    assert dict(plans)["lm-words"].count("Window [") == 1
