@@ -110,6 +110,8 @@ _COUNTERS = [f"{kind}_{t}_{half}" for half in (0, 1) for t in TARGETS for kind i
 
 #: Features that a task holds counters of at a time; Spark sums what is counted in several goes.
 HELD = 200_000
+#: Counters that go to Spark at a time.
+SENT = 20_000
 
 
 def _count_batches(batches):
@@ -122,9 +124,12 @@ def _count_batches(batches):
 
     def flush():
         for part, mine in places.items():
-            lines = counters[np.fromiter(mine.values(), np.int64, len(mine))].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(mine), pa.string()), pa.array(list(mine), pa.string()), *(pa.array(c) for c in lines.T)],
-                                             ["part", "feature", *_COUNTERS])
+            names, lines = list(mine), np.fromiter(mine.values(), np.int64, len(mine))
+            for lo in range(0, len(names), SENT):
+                some = names[lo:lo + SENT]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(some), pa.string()), pa.array(some, pa.string()),
+                     *(pa.array(c) for c in counters[lines[lo:lo + SENT]].astype(np.int64).T)], ["part", "feature", *_COUNTERS])
         places.clear()
 
     for batch in batches:
@@ -236,6 +241,15 @@ def _weigh(counts: DataFrame, whole: dict, half: int) -> Model:
     return model
 
 
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """Counters per feature of each language and of all together (``WHOLE``), where they may reach the least, and the '#all' rows."""
+    counts = map_arrow(texts, _count_batches, "part string, feature string, " + ", ".join(f"{c} bigint" for c in _COUNTERS))
+    # a language's row is shuffled once; its copy for all languages is made where the feature's rows meet
+    counts = counts.repartition("feature").select(F.explode(F.array("part", F.lit(WHOLE))).alias("part"), "feature", *_COUNTERS)
+    return (counts.groupBy("part", "feature").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
+            .where(" or ".join(f"n_{t}_{h} >= {LEAST_DOCUMENTS}" for t in TARGETS for h in (0, 1)) + " or feature = '#all'"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Model]:
     """The models from at most ``rows`` labelled documents, none if nothing was learned."""
     sample = worst(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -244,12 +258,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Mo
                         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     texts = cut(texts.join(F.broadcast(sample), "doc_id").select(
         "text", "quality", "toxic", "half", F.concat(F.lit(LANGUAGE), "lang").alias("part")), "quality-texts")
-    counts = map_arrow(texts, _count_batches,
-                       "part string, feature string, " + ", ".join(f"{c} bigint" for c in _COUNTERS))
-    # each language's row and the sum over all languages in one shuffle; only counts that may reach the least are kept
-    counts = counts.select(F.explode(F.array("part", F.lit(WHOLE))).alias("part"), "feature", *_COUNTERS)
-    counts = cut(counts.groupBy("part", "feature").agg(*(F.sum(c).alias(c) for c in _COUNTERS))
-                 .where(" or ".join(f"n_{t}_{h} >= {LEAST_DOCUMENTS}" for t in TARGETS for h in (0, 1)) + " or feature = '#all'"), "quality-counts")
+    # few rows are left, which go to as few files
+    counts = cut(feature_counts(texts).hint("rebalance"), "quality-counts")
     whole = {r.part: r for r in counts.where("feature = '#all'").collect()}  # one row for each language of the sample
     models = [_weigh(counts, whole, half) for half in (0, 1)] if whole else []
     wanted = [beginnings([m]) for m in models]

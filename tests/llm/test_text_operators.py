@@ -331,3 +331,35 @@ def test_site_quality_counts_hold_few_features_at_a_time(monkeypatch):
             want.update({(part, f, f"n_quality_{half}"): int(q is not None), (part, f, f"one_quality_{half}"): int(q == 1),
                          (part, f, f"n_toxic_{half}"): int(t is not None), (part, f, f"one_toxic_{half}"): int(t == 1)})
     assert +got == +want
+
+
+def test_counters_are_shuffled_once_and_written_to_few_files(spark, monkeypatch):
+    """A language's row is doubled for all languages after the shuffle, and small counts don't make a file for each partition."""
+    rows = [(f"word{i % 7} other{i % 3} thing", i % 2, i % 5 == 0, i % 2, f"lang:{'ab'[i % 4 > 0]}") for i in range(200)]
+    texts = spark.createDataFrame([(t, q, int(x), h, p) for t, q, x, h, p in rows], "text string, quality int, toxic int, half int, part string")
+    counts = site_quality.feature_counts(texts.repartition(4))
+    plan = counts._jdf.queryExecution().executedPlan().toString()  # not run yet: each node once
+    got = {(r.part, r.feature): tuple(r)[2:] for r in counts.collect()}
+    want = {}
+    for t, q, x, h, p in rows:
+        for key in ((part, f) for part in (p, "") for f in ("#all", *site_quality.features(t))):
+            mine = want.setdefault(key, [0] * 8)
+            for i, y in enumerate((True, q == 1, True, x)):
+                mine[4 * h + i] += y
+    least = site_quality.LEAST_DOCUMENTS
+    assert got == {k: tuple(v) for k, v in want.items() if k[1] == "#all" or max(v[::2]) >= least}
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+    written, cut = {}, site_quality.cut
+    monkeypatch.setattr(site_quality, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    were = {k: spark.conf.get(k) for k in keys}
+    docs = spark.createDataFrame([(i, r[0] + " " + " ".join(f"{x}{i}" for x in "abcdefgh"), "a") for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, r[1], int(r[2])) for i, r in enumerate(rows)], "doc_id bigint, quality int, toxic int")
+    try:
+        spark.conf.set(keys[0], "16")
+        spark.conf.set(keys[1], "16k")
+        site_quality.learn(docs, labels)
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert len(written["quality-counts"].inputFiles()) <= 2
