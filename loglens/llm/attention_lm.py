@@ -329,25 +329,17 @@ def attend(m: dict, inputs: np.ndarray) -> dict:
     """Masked attention over windows of input rows (n, WINDOW): the state after the layer, and what its gradient needs."""
     x = m["E"].take(inputs, axis=0)
     x += m["P"]
-    Q = _scaled(m["Q"])
-    qkv = (x.reshape(-1, WIDTH) @ Q).reshape(*inputs.shape, 3 * WIDTH)
-    q, k, v = (qkv[..., i * WIDTH:(i + 1) * WIDTH] for i in range(3))
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    qkv = x.reshape(-1, WIDTH) @ m["Q"]
+    q, k, v = (np.ascontiguousarray(qkv[:, i * WIDTH:(i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
+    q *= np.float32(WIDTH ** -0.5)
+    s = q @ k.transpose(0, 2, 1)
     _cut(s)
     np.exp(s, out=s)
     s *= _BEHIND
     s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(s), WINDOW, 1)
     mixed = s @ v
-    state = (mixed.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)
-    state += x
-    return {"x": x, "q": q, "k": k, "v": v, "s": s, "mixed": mixed, "state": state, "Q": Q}
-
-
-def _scaled(Q: np.ndarray) -> np.ndarray:
-    """The queries' columns by the width's root."""
-    Q = Q.copy()
-    Q[:, :WIDTH] *= np.float32(WIDTH ** -0.5)
-    return Q
+    return {"x": x, "q": q, "k": k, "v": v, "s": s, "mixed": mixed,
+            "state": x + (mixed.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)}
 
 
 def _cut(x: np.ndarray) -> None:
@@ -355,14 +347,13 @@ def _cut(x: np.ndarray) -> None:
         np.minimum(x, _STEEPEST, out=x)
 
 
-def _softened(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns logits into weights in place; their sums and the natural log probability at the wanted places of the flat logits."""
+def _softened(logits: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into weights in place; their sums and the natural log probability of the wanted columns."""
     _cut(logits)
-    chosen = logits.ravel().take(at)
+    chosen = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + want)
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
-    chosen -= np.log(total)
-    return total, chosen
+    return total, chosen - np.log(total)
 
 
 def predict(m: dict, state: np.ndarray, want: np.ndarray, weight: np.ndarray | None = None, g: dict | None = None):
@@ -371,91 +362,74 @@ def predict(m: dict, state: np.ndarray, want: np.ndarray, weight: np.ndarray | N
     With weights, also the gradient of their negative weighted sum: the weights' in ``g``, the states' returned.
     Classes of a group are only worked out for the states that want one of them.
     """
-    n = len(want)
-    order = np.argsort(want.astype(np.uint8), kind="stable")  # by group
-    again = np.empty(n, np.int64)
-    again[order] = np.arange(n)
-    state, want = state.take(order, axis=0), want.take(order)
-    group, inner = np.divmod(want, MEMBERS)
     hidden = state @ m["H"]
     hidden += m["h"]
     np.maximum(hidden, 0, out=hidden)
+    group, inner = np.divmod(want, MEMBERS)
     top = hidden @ m["U"]
     top += m["u"]
-    low = np.empty((n, MEMBERS), hidden.dtype)
+    total, logp = _softened(top, group)
+    if weight is not None:
+        top *= (weight / total)[:, None]
+        top[np.arange(len(want)), group] -= weight
+        g["U"][:] = hidden.T @ top
+        g["u"][:] = np.ones(len(want), top.dtype) @ top
+        back = top @ m["U"].T
+    order = np.argsort(group.astype(np.int8), kind="stable")
     edges = np.bincount(group, minlength=GROUPS).cumsum().tolist()
-    groups = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip([0, *edges], edges)) if lo < hi]
-    for k, mine in groups:
-        np.matmul(hidden[mine], m["V"][k], out=low[mine])
-        low[mine] += m["v"][k]
-    top_at, low_at = np.arange(0, n * GROUPS, GROUPS) + group, np.arange(0, n * MEMBERS, MEMBERS) + inner
-    top_sum, logp = _softened(top, top_at)
-    low_sum, inside = _softened(low, low_at)
-    logp += inside
+    hidden_of, inner_of = hidden.take(order, axis=0), inner.take(order)
+    weight_of = None if weight is None else weight.take(order)
+    logp_of, back_of = np.empty_like(logp), None if weight is None else np.empty_like(hidden)
+    for k, (lo, hi) in enumerate(zip([0, *edges], edges)):
+        if lo == hi:
+            continue
+        d = hidden_of[lo:hi] @ m["V"][k]
+        d += m["v"][k]
+        total, logp_of[lo:hi] = _softened(d, inner_of[lo:hi])
+        if weight is not None:
+            w = weight_of[lo:hi]
+            d *= (w / total)[:, None]
+            d[np.arange(hi - lo), inner_of[lo:hi]] -= w
+            g["V"][k] = hidden_of[lo:hi].T @ d
+            g["v"][k] = np.ones(hi - lo, d.dtype) @ d
+            back_of[lo:hi] = d @ m["V"][k].T
+    again = np.empty(len(want), np.int64)
+    again[order] = np.arange(len(want))
+    logp += logp_of.take(again)
     if weight is None:
-        return logp.take(again)
-    weight = weight.take(order)
-    for x, total, at in ((top, top_sum, top_at), (low, low_sum, low_at)):
-        x *= (weight / total)[:, None]
-        x.ravel()[at] -= weight
-    one = np.ones(n, low.dtype)
-    g["U"] += hidden.T @ top
-    g["u"] += one @ top
-    back = top @ m["U"].T
-    for k, mine in groups:
-        d = low[mine]
-        g["V"][k] += hidden[mine].T @ d
-        g["v"][k] += one[mine] @ d
-        back[mine] += d @ m["V"][k].T
+        return logp
+    back += back_of.take(again, axis=0)
     back *= hidden > 0
-    g["H"] += state.T @ back
-    g["h"] += one @ back
-    return logp.take(again), (back @ m["H"].T).take(again, axis=0)
-
-
-#: Windows whose arrays fit a core's cache; the model goes through so many at a time.
-BLOCK_WINDOWS = 256
+    g["H"][:] = state.T @ back
+    g["h"][:] = np.ones(len(want), back.dtype) @ back
+    return logp, back @ m["H"].T
 
 
 def gradient(flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over the real targets of windows, and that loss."""
     m, out = unpack(flat), np.zeros_like(flat)
     g = unpack(out)
-    weight = real.astype(np.float32)
-    weight /= max(weight.sum(), 1)
-    d_x, loss = np.empty((*inputs.shape, WIDTH), flat.dtype), 0.0
-    for lo in range(0, len(inputs), BLOCK_WINDOWS):
-        some = slice(lo, lo + BLOCK_WINDOWS)
-        loss += _add_gradient(m, g, inputs[some], targets[some], weight[some], d_x[some])
-    g["P"][:] = d_x.sum(0)
-    where, d_x = inputs.ravel(), d_x.reshape(-1, WIDTH)
-    for j in range(WIDTH):
-        g["E"][:, j] = np.bincount(where, d_x[:, j], INPUTS)
-    return out, loss
-
-
-def _add_gradient(m: dict, g: dict, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, d_x: np.ndarray) -> float:
-    """Adds the gradient of the weighted loss of some windows to ``g`` (that of their inputs' rows goes to ``d_x``); returns that loss."""
     a = attend(m, inputs)
     n = len(inputs)
     state = a["state"].reshape(-1, WIDTH)
-    weight = weight.ravel()
-    logp, d_state = predict(m, state, targets.ravel(), weight, g)
-    loss = -float(logp @ weight)
-    g["O"] += a["mixed"].reshape(-1, WIDTH).T @ d_state
+    want, weight = targets.ravel(), real.ravel().astype(np.float32)
+    weight /= max(weight.sum(), 1)
+    logp, d_state = predict(m, state, want, weight, g)
+    loss = float(-(logp * weight).sum())
+    g["O"][:] = a["mixed"].reshape(-1, WIDTH).T @ d_state
     d_mixed = (d_state @ m["O"].T).reshape(n, WINDOW, WIDTH)
-    s = a["s"]
-    d_s = d_mixed @ np.ascontiguousarray(a["v"].transpose(0, 2, 1))
-    d_s *= s
-    d_s -= s * (d_s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-    d_qkv = np.empty((n, WINDOW, 3 * WIDTH), d_s.dtype)
-    d_qkv[..., :WIDTH] = d_s @ a["k"]
-    d_qkv[..., WIDTH:2 * WIDTH] = d_s.transpose(0, 2, 1) @ a["q"]
-    d_qkv[..., 2 * WIDTH:] = s.transpose(0, 2, 1) @ d_mixed
-    d_qkv = d_qkv.reshape(-1, 3 * WIDTH)
-    g["Q"] += _scaled(a["x"].reshape(-1, WIDTH).T @ d_qkv)
-    np.add(d_state, d_qkv @ a["Q"].T, out=d_x.reshape(-1, WIDTH))
-    return loss
+    d_s = d_mixed @ a["v"].transpose(0, 2, 1)
+    d_s *= a["s"]
+    d_s -= a["s"] * (d_s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
+    d_qkv = np.concatenate([(d_s @ a["k"]) * np.float32(WIDTH ** -0.5), d_s.transpose(0, 2, 1) @ a["q"],
+                            a["s"].transpose(0, 2, 1) @ d_mixed], -1).reshape(-1, 3 * WIDTH)
+    g["Q"][:] = a["x"].reshape(-1, WIDTH).T @ d_qkv
+    d_x = d_state + d_qkv @ m["Q"].T
+    g["P"][:] = d_x.reshape(n, WINDOW, WIDTH).sum(0)
+    where = inputs.ravel()
+    for j in range(WIDTH):
+        g["E"][:, j] = np.bincount(where, d_x[:, j], INPUTS)
+    return out, loss
 
 
 class Trainer:
@@ -548,6 +522,10 @@ def _train(flat: np.ndarray, classes: Classes, begin_id: int):
     return run
 
 
+#: Windows that are scored at a time.
+BLOCK_WINDOWS = 256
+
+
 def log_probabilities(flat: np.ndarray, classes: Classes, parts, begin_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of every id of the parts, and its part."""
     m = unpack(flat)
